@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .decontam import decontaminate
 from .exact_dedup import exact_dedup
+from .minhash import near_duplicates
 from .mixing import mix_sources
 from .shared import table
 from .url_filter import judge_urls
@@ -31,6 +32,10 @@ def op5_decontaminate(spark, sf_dir):
     )
 
 
+def op7_near_duplicates(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4)
+
+
 def op8_url_filter(spark, sf_dir):
     return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
