@@ -59,8 +59,8 @@ class as (select k, min(doc_id) as rep from sets group by k),
 rs as (select sh.* from sh join class on sh.doc_id = class.rep),
 inter as (select a.doc_id as u, b.doc_id as v, count(*) as i from rs a join rs b on a.g = b.g and a.doc_id < b.doc_id group by all),
 link as (select u, v from inter join n nu on nu.doc_id = u join n nv on nv.doc_id = v where 100 * i >= 80 * (nu.n + nv.n - i)),
-both as (select u, v from link union select v, u from link),
-reach as (select rep as u, rep as v from class union select r.u, b.v from reach r join both b on r.v = b.u),
+way as (select u, v from link union select v, u from link),
+reach as (select rep as u, rep as v from class union select r.u, b.v from reach r join way b on r.v = b.u),
 comp as (select u, min(v) as c from reach group by u)
 select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(comp.c, d.doc_id) as component_id, coalesce(comp.c, d.doc_id) = d.doc_id as kept
 from documents d left join n using (doc_id) left join sets using (doc_id) left join class using (k) left join comp on comp.u = class.rep

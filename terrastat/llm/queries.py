@@ -9,9 +9,17 @@ from .exact_dedup import exact_dedup
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .shared import table
+from .toxicity import held_out, train_toxicity, with_toxicity
 from .url_filter import judge_urls
 
 
+def op1_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_toxicity(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    scored = with_toxicity(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_mix_sources(spark, sf_dir):
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -15,6 +15,8 @@ _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+WORDLESS = np.zeros(256, bool)
+WORDLESS[:128] = [not chr(i).isalnum() for i in range(128)]
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -37,6 +39,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans: equal spans have equal hashes wherever they stand."""
+    run = np.empty(len(data) + 1, np.uint64)
+    run[0] = 0
+    np.cumsum(_BYTE[data] * _power("up", len(data)), out=run[1:])
+    return mix((run[end] - run[start]) * _power("down", len(data) + 1)[start])
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array; null counts as empty."""
     texts = texts.cast(pa.large_string())
@@ -74,10 +84,7 @@ class Words:
         shuts[edges - 1] = inside[edges - 1]
         self.start, self.end = np.flatnonzero(opens), np.flatnonzero(shuts) + 1
         self.first = np.searchsorted(self.start, offsets)
-        run = np.empty(n + 1, np.uint64)
-        run[0] = 0
-        np.cumsum(_BYTE[self.bytes] * _power("up", n), out=run[1:])
-        self.hash = mix((run[self.end] - run[self.start]) * _power("down", n + 1)[self.start])
+        self.hash = hash_spans(self.bytes, self.start, self.end)
 
     def __len__(self) -> int:
         return len(self.start)
