@@ -9,6 +9,7 @@ from .exact_dedup import exact_dedup
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .shared import table
+from .token_output import token_output
 from .toxicity import held_out, train_toxicity, with_toxicity
 from .url_filter import judge_urls
 
@@ -28,6 +29,16 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)
 
 
+def tokenizer_file():
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_token_output(spark, sf_dir):
+    return token_output(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def op5_decontaminate(spark, sf_dir):
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
