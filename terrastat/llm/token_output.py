@@ -160,7 +160,7 @@ def write_token_files(df: DataFrame, folder: str, tokenizer_path: str, id_col="d
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     dealt = rows.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    files = materialise(dealt.mapInArrow(run, "part int, path string, n_docs long, n_ids long"), "token-manifest")
+    files = materialise(dealt.mapInArrow(run, "part long, path string, n_docs long, n_ids long"), "token-manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return files.select("part", "path", "n_docs", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"))
 
