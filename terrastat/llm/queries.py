@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .decontam import decontaminate
 from .exact_dedup import exact_dedup
+from .lattice_lm import lattice_scores
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .shared import table
@@ -59,9 +60,11 @@ def op8_url_filter(spark, sf_dir):
     return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_lattice_scores(spark, sf_dir):
+    import public_tokenizers
+
+    return lattice_scores(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries():
-    return {
-        name: f
-        for name, f in globals().items()
-        if name.startswith("op") and name[2].isdigit()
-    }
+    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}

@@ -39,12 +39,18 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def running(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, factors): the hash of bytes a to b is mix((sums[b] - sums[a]) * factors[a])."""
+    sums = np.empty(len(data) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(_BYTE[data] * _power("up", len(data)), out=sums[1:])
+    return sums, _power("down", len(data) + 1)
+
+
 def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte spans: equal spans have equal hashes wherever they stand."""
-    run = np.empty(len(data) + 1, np.uint64)
-    run[0] = 0
-    np.cumsum(_BYTE[data] * _power("up", len(data)), out=run[1:])
-    return mix((run[end] - run[start]) * _power("down", len(data) + 1)[start])
+    sums, down = running(data)
+    return mix((sums[end] - sums[start]) * down[start])
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
