@@ -1,11 +1,68 @@
-"""Corpus pipeline over `documents`: the stages in order, each a function of (spark, docs, sf_dir)."""
+"""Corpus pipeline over `documents`: the stages in order, each a function of (spark, docs, sf_dir).
 
+Every stage works on all rows that the one before kept and returns the columns of documents; the
+last returns a row per document with its place in the token files.  Run() cuts the lineage after
+each stage with a written table in the shared folder.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from terrastat.llm.decontam import decontaminate
+from terrastat.llm.minhash import near_duplicates
+from terrastat.llm.mixing import mix_sources
+from terrastat.llm.queries import tokenizer_file
+from terrastat.llm.shared import materialise, table
+from terrastat.llm.token_output import token_output
+from terrastat.llm.toxicity import held_out, train_toxicity, with_toxicity
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: no SQL: the first stage's scores come from a trained model
 ORACLE_SQL = None
-STAGES = []
+
+
+def toxicity(spark, docs, sf_dir):
+    """Documents with a toxicity score of 0.5 or more go."""
+    model = train_toxicity(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    return with_toxicity(docs.select(*COLUMNS), model, keep_below=0.5)
+
+
+def near_dedup(spark, docs, sf_dir):
+    """One document of each near-duplicate component stays, the one with the least id; documents without words all stay."""
+    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(kept.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+
+
+def decontamination(spark, docs, sf_dir):
+    """Documents in which a window of a benchmark item occurs go."""
+    hit = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.select(*COLUMNS).join(hit, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+
+
+def mixing(spark, docs, sf_dir):
+    """Each document is repeated as often as the mix takes it."""
+    taken = mix_sources(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.max("repeats").alias("__n")).where("__n > 0")
+    met = docs.select(*COLUMNS).join(taken, F.col("doc_id").eqNullSafe(F.col("__id")))
+    return met.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("__copy")).drop("__copy")
+
+
+def tokens(spark, docs, sf_dir):
+    """The token files' documents: ``doc_id, start, n_tokens, ids_crc32``."""
+    return token_output(docs, tokenizer_file())
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("tokens", tokens),
+]
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

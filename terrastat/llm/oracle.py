@@ -66,6 +66,18 @@ select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(comp.c, d.doc_
 from documents d left join n using (doc_id) left join sets using (doc_id) left join class using (k) left join comp on comp.u = class.rep
 """
 
+OP6 = r"""
+with p as (select page_id, encode(coalesce(html, '')) as raw from pages),
+d as (select page_id, octet_length(raw)::bigint as payload_bytes, sha1(raw) as hex from p),
+n as (select *, min(page_id) over (partition by hex) as first from d)
+select page_id, payload_bytes,
+       list_reduce(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         (((('0x' || substr(hex, (5 * k // 4 + 1)::int, 2))::int >> (3 - (5 * k - 4 * (5 * k // 4)))::int) & 31) + 1)::int, 1)), lambda a, b: a || b) as payload_digest,
+       case when page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id <> first then first end as refers_to
+from n
+"""
+
 
 def oracle_sql():
-    return {"op2_mix_sources": OP2, "op3_exact_dedup": OP3, "op5_decontaminate": OP5, "op7_near_duplicates": OP7}
+    return {"op2_mix_sources": OP2, "op3_exact_dedup": OP3, "op5_decontaminate": OP5, "op6_warc": OP6, "op7_near_duplicates": OP7}

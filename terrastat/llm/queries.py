@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .decontam import decontaminate
 from .exact_dedup import exact_dedup
+from .html_render import extract_text
 from .lattice_lm import lattice_scores
 from .minhash import near_duplicates
 from .mixing import mix_sources
@@ -13,6 +14,7 @@ from .shared import table
 from .token_output import token_output
 from .toxicity import held_out, train_toxicity, with_toxicity
 from .url_filter import judge_urls
+from .warc import archive_pages
 
 
 def op1_toxicity(spark, sf_dir):
@@ -52,6 +54,19 @@ def op5_decontaminate(spark, sf_dir):
     )
 
 
+def op6_warc(spark, sf_dir):
+    captures = archive_pages(table(spark, sf_dir, "pages"), with_payload=False)
+    rec = F.col("response")
+    key = lambda name: rec["headers"][name].cast("long")
+    return captures.select(
+        key("X-Capture-Key").alias("page_id"),
+        rec["payload_bytes"].alias("payload_bytes"),
+        rec["payload_digest"].alias("payload_digest"),
+        rec["type"].alias("record_type"),
+        key("X-Refers-To-Key").alias("refers_to"),
+    )
+
+
 def op7_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4)
 
@@ -66,5 +81,9 @@ def op9_lattice_scores(spark, sf_dir):
     return lattice_scores(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_html_text(spark, sf_dir):
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
