@@ -11,6 +11,7 @@ are confirmed on the full shingle sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ from .shared import materialise
 from .wordhash import mix, words_by_chunk
 
 BANDS, ROWS = 40, 5
+SKETCH_LONGS = (BANDS * ROWS + 15) // 16
 _RNG = np.random.default_rng(77)
 _PERMS = BANDS * ROWS // 2
 _A = (_RNG.integers(0, 2**31, _PERMS, dtype=np.uint64) * 2 + 1).astype(np.uint32)
@@ -31,6 +33,9 @@ _SEAT = _RNG.integers(0, 2**63, BANDS, dtype=np.uint64)
 _PLACE = _RNG.integers(0, 2**63, 16, dtype=np.uint64) | np.uint64(1)
 
 
+_SKETCH = [f"s{k}" for k in range(SKETCH_LONGS)]
+
+
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
     """The sorted distinct hashes of each text's word shingles; a shorter text is one shingle, no words none."""
     place = np.resize(_PLACE, size) if size > len(_PLACE) else _PLACE[:size]
@@ -75,6 +80,27 @@ def band_keys(sigs: np.ndarray) -> np.ndarray:
     return mix((mix(cut + np.uint64(1)) * _COEF).sum(axis=2, dtype=np.uint64) ^ _SEAT).astype(np.int64)
 
 
+def sketches(sigs: np.ndarray) -> np.ndarray:
+    """(texts, SKETCH_LONGS) integers: four hashed bits of each signature value."""
+    four = np.zeros((len(sigs), 16 * SKETCH_LONGS), np.uint8)
+    four[:, : sigs.shape[1]] = mix(sigs.astype(np.uint64) + np.uint64(0x5851F42D4C957F2D)) >> np.uint64(60)
+    return (four[:, 0::2] << 4 | four[:, 1::2]).view(np.int64)
+
+
+def most_differences(percent: int) -> int:
+    """Values in which the sketches of sets of that similarity differ at most, five standard deviations above the mean."""
+    n, p = 2 * _PERMS, (1 - percent / 100) * 15 / 16
+    return int(np.ceil(n * p + 5 * np.sqrt(n * p * (1 - p))))
+
+
+def _differences(a, b):
+    """Hexadecimal digits in which two integers differ."""
+    x = F.col(a).bitwiseXOR(F.col(b))
+    for k in (1, 2):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, k))
+    return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+
 def _sign(size):
     def run(batches):
         for batch in batches:
@@ -86,9 +112,10 @@ def _sign(size):
                 n.append(len(found))
                 keys.append(set_key(found))
                 sigs.append(signature(found) if len(found) else np.zeros(2 * _PERMS, np.uint32))
-            bands = band_keys(np.stack(sigs))
+            sigs = np.stack(sigs)
+            bands, bits = band_keys(sigs), sketches(sigs)
             lists = pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), bands.ravel())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(keys, pa.int64()), lists], ["doc_id", "n_shingles", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(keys, pa.int64()), lists, *[pa.array(bits[:, k]) for k in range(SKETCH_LONGS)]], ["doc_id", "n_shingles", "node", "bands", *_SKETCH])
 
     return run
 
@@ -166,29 +193,35 @@ def near_duplicates(
     """
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = materialise(docs.select("doc_id", "text").mapInArrow(_sign(shingle_words), f"doc_id {kind}, n_shingles long, node long, bands array<long>"), "signatures")
+    signed = materialise(docs.select("doc_id", "text").mapInArrow(_sign(shingle_words), f"doc_id {kind}, n_shingles long, node long, bands array<long>, " + ", ".join(f"{x} long" for x in _SKETCH)), "signatures")
     full = signed.where("n_shingles > 0")
     nodes = materialise(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles")), "classes")
     # one row of a class stands for its copies
     first = full.join(nodes.select("node", "rep"), "node").where(F.col("doc_id").eqNullSafe(F.col("rep"))).dropDuplicates(["node"])
-    seats = materialise(first.select("node", F.explode("bands").alias("bucket")), "buckets")
-    labels, edges, live, leaders = None, None, seats.withColumn("label", F.col("node")), 1
-    while True:
+    first = materialise(first.select("node", "bands", *_SKETCH), "first-rows")
+    seats = first.select("node", F.explode("bands").alias("bucket"))
+    met = seats.groupBy("bucket").count().where("count > 1").select("bucket")
+    live = seats.join(met, "bucket", "left_semi").join(first.select("node", *_SKETCH), "node").withColumn("label", F.col("node"))
+    live = materialise(live, "shared-buckets")
+    theirs = ["__v", "__vl", *[f"__{x}" for x in _SKETCH]]
+    differ = reduce(lambda a, b: a + b, [_differences(x, f"__{x}") for x in _SKETCH])
+    labels, edges, leaders = None, None, 1
+    while live.limit(1).count():
         # up to ``leaders`` members of each bucket, the least of each of its parts, meet all its members
-        part = F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(leaders)) if leaders > 1 else F.lit(0).cast("long")
-        centres = live.groupBy("bucket", part.alias("part")).agg(F.min(F.struct(F.col("node").alias("v"), F.col("label").alias("__vl"))).alias("m")).select("bucket", "m.*")
-        pairs = live.join(centres, "bucket").where(F.col("label") != F.col("__vl")).select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
-        pairs = materialise(pairs, "pairs")
-        if not pairs.limit(1).count():
-            break
+        part = F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(leaders))
+        chosen = live.groupBy("bucket", part.alias("__part")).agg(F.min("node").alias("node")).drop("__part")
+        centres = live.join(chosen, ["bucket", "node"], "left_semi").select("bucket", "node", "label", *_SKETCH).toDF("bucket", *theirs)
+        centres = materialise(centres, "centres")
+        # the sketches settle most pairs inside the join: what they leave is compared in full
+        pairs = live.join(centres, "bucket").where((F.col("label") != F.col("__vl")) & (differ <= most_differences(percent)))
+        pairs = materialise(pairs.select(F.least("node", "__v").alias("u"), F.greatest("node", "__v").alias("v")).distinct(), "pairs")
         found = materialise(_confirmed(pairs, nodes, docs, shingle_words, percent), "links")
         edges = found if edges is None else edges.union(found)
         labels = components(edges)
-        # members that no leader of their bucket explains, and are not leaders, meet other leaders next
-        named = labels.select(F.col("node").alias("v"), F.col("label").alias("__vl"))
-        near = live.drop("label").join(labels, "node", "left").select("bucket", F.coalesce("label", "node").alias("label"), "node")
-        held = centres.drop("__vl").join(named, "v", "left").select("bucket", F.coalesce("__vl", "v").alias("label")).distinct()
-        live = materialise(near.join(held, ["bucket", "label"], "left_anti"), "unexplained")
+        # members that no leader of their bucket explains meet other leaders next
+        held = centres.select("bucket", F.col("__v").alias("node")).join(labels, "node", "left").select("bucket", F.coalesce("label", "node").alias("label")).distinct()
+        rest = live.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        live = materialise(rest.join(held, ["bucket", "label"], "left_anti"), "unexplained")
         leaders *= 4
     if labels is None:
         named = nodes.select("node", F.col("rep").alias("component_id"))
@@ -196,6 +229,6 @@ def near_duplicates(
         at = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
         least = at.groupBy("label").agg(F.min("rep").alias("component_id"))
         named = at.join(least, "label").select("node", "component_id")
-    out = signed.drop("bands").join(named.withColumnRenamed("node", "__node"), (F.col("node") == F.col("__node")) & (F.col("n_shingles") > 0), "left")
+    out = signed.select("doc_id", "n_shingles", "node").join(named.withColumnRenamed("node", "__node"), (F.col("node") == F.col("__node")) & (F.col("n_shingles") > 0), "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
