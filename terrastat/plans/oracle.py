@@ -1,5 +1,155 @@
 """DuckDB SQL of the registered queries."""
 
+from __future__ import annotations
+
+import math
+
+from .layers import BOXES, CUST, EMB, LI, LL
+
+_GRID = f"""with {LI}, ext as (select min(x) x0, max(x) x1, min(y) y0, max(y) y1 from li),
+g as (select v, q, (greatest(0, least(ceil((y - y0) * (10 / (y1 - y0))) - 1, 9)) * 10 + greatest(0, least(ceil((x - x0) * (10 / (x1 - x0))) - 1, 9)) + 1)::bigint as cell_id from li, ext)"""
+_KNN = "knn as (select a.row_id as i, b.row_id as j, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) as d2, row_number() over (partition by a.row_id order by (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y), b.row_id) as r from pts a, pts b where a.row_id <> b.row_id)"
+_LCG = "(row_id * 1103515245 + 42 * 12345) % 2147483648"
+_GLI = "(grp::bigint * 1103515245 + 42 * 12345) % 2147483648"
+
+
+def _vario(extra=""):
+    return f"""with {EMB}, p as (select sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) as d, (a.z-b.z)*(a.z-b.z) as sq, b.x-a.x as dx, b.y-a.y as dy from pts a, pts b where a.row_id < b.row_id)
+select greatest(least(ceil(d/10)-1, 14), 0)::int as bin, count(*) as np, round(avg(d), 6) as dist, round(avg(sq)/2, 6) as gamma from p where d <= 150 and d > 0 {extra} group by 1"""
+
+
+def _gwr(weight, where="", pairs="select a.row_id as i, b.row_id as j, a.w1 as ui, b.w1 as u, b.z as v, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) as d from pts a, pts b"):
+    return f"""with {EMB}, pr as ({pairs}), w as (select *, {weight} as w from pr {where}),
+s as (select i, sum(w) s0, sum(w*u) s1, sum(w*u*u) s2, sum(w*v) t0, sum(w*u*v) t1, max(ui) ui, max(case when i=j then w end) wii from w group by i),
+c as (select *, nullif(s0*s2-s1*s1, 0) as det from s)
+select i as row_id, round((s2*t0-s1*t1)/det, 5) as intercept, round((s0*t1-s1*t0)/det, 5) as slope, round((s2*t0-s1*t1)/det + (s0*t1-s1*t0)/det*ui, 5) as fitted, round(wii*(s2-2*ui*s1+ui*ui*s0)/det, 5) as hat from c"""
+
+
+def _folds(k):
+    return f"r as (select *, row_number() over (order by {_LCG}, row_id) - 1 as rk, count(*) over () as n from pts), f as (select *, (case when rk < (n % {k}) * (n // {k} + 1) then rk // (n // {k} + 1) else (n % {k}) + (rk - (n % {k}) * (n // {k} + 1)) // (n // {k}) end + 1)::int as fold from r)"
+
+
+_CV = f"""with {EMB}, {_folds(5)}, k as (select distinct fold from f),
+b as (select k.fold, regr_slope(f.z, f.w1) as s, regr_intercept(f.z, f.w1) as c, avg(f.z) as m from k join f on f.fold <> k.fold group by k.fold),
+o as (select row_id, f.fold, z as y, c + s * w1 as yhat, m as y_train_mean from f join b using (fold))"""
+
+_N = 1 / 298.257223563 / (2 - 1 / 298.257223563)
+_S = 2 * math.sqrt(_N) / (1 + _N)
+_RAD = 6378137.0 / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+_AL = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240)
+_E2 = (1 / 298.257223563) * (2 - 1 / 298.257223563)
+_EC = math.sqrt(_E2)
+_QL = f"{1 - _E2!r} * (sin(radians(lat)) / (1 - {_E2!r} * sin(radians(lat)) * sin(radians(lat))) + atanh({_EC!r} * sin(radians(lat))) / {_EC!r})"
+
+
+def _q(s):
+    return (1 - _E2) * (s / (1 - _E2 * s * s) + math.atanh(_EC * s) / _EC)
+
+
+def _albers(one, two, lat0, lon0):
+    one, two, lat0 = map(math.radians, (one, two, lat0))
+    m = [math.cos(p) / math.sqrt(1 - _E2 * math.sin(p) ** 2) for p in (one, two)]
+    q = [_q(math.sin(p)) for p in (one, two, lat0)]
+    n = (m[0] ** 2 - m[1] ** 2) / (q[1] - q[0])
+    c = m[0] ** 2 + n * q[0]
+    return f"""with {LL}, t as (select row_id, {6378137.0 / n!r} * sqrt({c!r} - {n!r} * {_QL}) as rho, {n!r} * radians(lon - ({lon0})) as th from pts)
+select row_id, round(rho * sin(th), 3) as x, round({6378137.0 * math.sqrt(c - n * q[2]) / n!r} - rho * cos(th), 3) as y from t"""
+
+
+def _laea(lat0, lon0):
+    p0, qp = math.radians(lat0), _q(1.0)
+    b0, rq = math.asin(_q(math.sin(p0)) / qp), 6378137.0 * math.sqrt(qp / 2)
+    d = 6378137.0 * math.cos(p0) / math.sqrt(1 - _E2 * math.sin(p0) ** 2) / (rq * math.cos(b0))
+    sb, cb = math.sin(b0), math.cos(b0)
+    return f"""with {LL}, t as (select row_id, asin(({_QL}) / {qp!r}) as beta, radians(lon - ({lon0})) as l from pts),
+u as (select *, {rq!r} * sqrt(2 / (1 + {sb!r} * sin(beta) + {cb!r} * cos(beta) * cos(l))) as b from t)
+select row_id, round(b * {d!r} * cos(beta) * sin(l), 3) as x, round(b / {d!r} * ({cb!r} * sin(beta) - {sb!r} * cos(beta) * cos(l)), 3) as y from u"""
+
+
+def _aoa(train, preds, weights, cond, new=None):
+    w = [x * len(preds) / sum(weights) for x in weights]
+    z = ", ".join(f"({p} - (select avg({p}) from tr)) / (select stddev_samp({p}) from tr) * {w[k]!r} as z{k}" for k, p in enumerate(preds))
+    d2 = " + ".join(f"(a.z{k} - b.z{k}) * (a.z{k} - b.z{k})" for k in range(len(preds)))
+    base = f"""with {EMB}, tr as (select * from pts where {train}), tz as (select row_id, {z} from tr),
+nrm as (select avg(sqrt({d2})) as m from tz a, tz b where a.row_id < b.row_id),
+td as (select a.row_id, sqrt(min({d2})) / (select m from nrm) as di from tz a, tz b where {cond} group by a.row_id)"""
+    if not new:
+        return base + " select row_id, round(di, 6) as di from td"
+    return base + f""", q as (select quantile_cont(di, 0.75) + 1.5 * (quantile_cont(di, 0.75) - quantile_cont(di, 0.25)) as fence from td),
+th as (select coalesce(max(case when di <= fence then di end), max(di)) as t from td, q), nz as (select row_id, {z} from pts where {new}),
+nd as (select a.row_id, sqrt(min({d2})) / (select m from nrm) as di from nz a, tz b group by a.row_id)
+select row_id, round(di, 6) as "DI", di <= t as "AOA" from nd, th"""
+
 
 def oracle_sql():
-    return {}
+    hexstep, hexnx = 250 * math.sqrt(3) / 2, 9
+    hexd = lambda r: f"greatest(0, least(round((x - 0 - (({r}) % 2) * 125) / 250), {hexnx - 1}))"
+    hexq = lambda r: f"(x - ({hexd(r)} * 250 + (({r}) % 2) * 125)) * (x - ({hexd(r)} * 250 + (({r}) % 2) * 125)) + (y - ({r}) * {hexstep!r}) * (y - ({r}) * {hexstep!r})"
+    near = lambda t: f"select pts.row_id, b.cell_id, row_number() over (partition by pts.row_id order by {t}) as r from pts join boxes b on x between xmin and xmax and y between ymin and ymax"
+    edge = "sqrt(greatest(xmin - x, 0, x - xmax) * greatest(xmin - x, 0, x - xmax) + greatest(ymin - y, 0, y - ymax) * greatest(ymin - y, 0, y - ymax))"
+    grid = lambda s: f"select (iy * {1000 // s} + ix + 1)::bigint as row_id, -500 + {s} / 2.0 + ix * {s} as x, -500 + {s} / 2.0 + iy * {s} as y from range({1000 // s}) a(ix), range({1000 // s}) b(iy)"
+    return {
+        "cell_summary_square": _GRID + " select cell_id, count(*) as n, round(avg(v), 4) as resp_mean_v, round(stddev_samp(v), 4) as sd_resp_v, round(stddev_samp(v) / sqrt(count(v)), 4) as se_resp_v, round(avg(q), 4) as pred_mean_q, round(stddev_samp(q), 4) as sd_pred_q, round(stddev_samp(q) / sqrt(count(q)), 4) as se_pred_q, count(*)::double as cell_weight from g group by cell_id",
+        "cell_summary_fixed_deff": _GRID + " select cell_id, count(*) as n, round(avg(v), 4) as resp_mean_v, round(max(v), 4) as resp_max_v, round(stddev_samp(v), 4) as sd_resp_v, round(stddev_samp(v) / sqrt(count(v) / 2.0), 4) as se_resp_v, round(count(*) / 2.0, 4) as cell_weight from g group by cell_id",
+        "cell_summary_kish": _GRID + """, s as (select avg(v) m, stddev_samp(v) s from g), z as (select cell_id, (v - m) / s as z from g, s),
+c as (select cell_id, count(*) n, avg(z) m, var_pop(z) v from z group by cell_id), t as (select sum(n)::double as nn, count(*) as k, sum(n*n)::double as q, sum(n*m) as nm, sum(n*v) as ssw from c),
+b as (select sum(c.n * (c.m - t.nm/t.nn) * (c.m - t.nm/t.nn)) as ssb from c, t),
+r as (select least(1, greatest(0, (ssb/(k-1) - ssw/(nn-k)) / (ssb/(k-1) + ((nn - q/nn)/(k-1) - 1) * (ssw/(nn-k))))) as rho from t, b)
+select cell_id, count(*) as n, round(avg(v), 4) as resp_mean_v, round(stddev_samp(v), 4) as sd_resp_v, round(stddev_samp(v) / sqrt(count(v) / greatest(1, 1 + (count(v) - 1) * max(rho))), 4) as se_resp_v, round(count(*) / greatest(1, 1 + (count(*) - 1) * max(rho)), 4) as cell_weight from g, r group by cell_id""",
+        "cell_summary_hex": f"""with {LI}, r as (select *, floor(y / {hexstep!r})::bigint as lo from li), c as (select *, {hexq('lo')} as d0, {hexq('lo + 1')} as d1, (lo * {hexnx} + {hexd('lo')} + 1)::bigint as c0, ((lo + 1) * {hexnx} + {hexd('lo + 1')} + 1)::bigint as c1 from r)
+select case when d0 < d1 or (d0 = d1 and c0 < c1) then c0 else c1 end as cell_id, count(*) as n, round(avg(v), 4) as resp_mean_v, round(stddev_samp(v), 4) as sd_resp_v, round(stddev_samp(v) / sqrt(count(v)), 4) as se_resp_v, count(*)::double as cell_weight from c group by 1""",
+        "cell_variogram_deff": f"with {CUST}, n as (select grp, count(*) as n_used from pts group by grp), s as (select a.grp, sum(least(1, 0.8 * exp(-sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) / 60))) as s from pts a join pts b on a.grp = b.grp and a.row_id < b.row_id group by a.grp) select grp, n_used, round(greatest(1, least(1 + 2 * coalesce(s, 0) / n_used, n_used)), 6)::double as deff from n left join s using (grp)",
+        "assign_smallest_area": f"with {CUST}, {BOXES}, m as ({near('(xmax-xmin)*(ymax-ymin), b.cell_id')}) select row_id, cell_id from m where r = 1",
+        "assign_keep_unassigned": f"with {CUST}, {BOXES}, m as ({near('b.cell_id')}) select pts.row_id, m.cell_id from pts left join m on m.row_id = pts.row_id and r = 1",
+        "point_cell_index": f"with {CUST}, {BOXES}, d as (select pts.row_id, cell_id, row_number() over (partition by pts.row_id order by {edge}, cell_id) as r from pts, boxes) select row_id, cell_id from d where r = 1",
+        "voronoi_assign": f"with {CUST}, d as (select a.row_id, b.row_id as cell_id, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) as d, row_number() over (partition by a.row_id order by (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y), b.row_id) as r from pts a, pts b where b.row_id % 50 = 0) select row_id, cell_id, round(d, 6) as d from d where r = 1",
+        "points_dedup": f"with {CUST}, d as (select *, row_number() over (partition by round(x, -2), round(y, -2) order by row_id) as r from pts) select row_id, x, y from d where r = 1",
+        "stable_cell_ids": "with c as (select -500 + ix * (1000.0::double / 7) as xmin, -500 + iy * 200.0::double as ymin from range(7) a(ix), range(5) b(iy)) select row_number() over (order by round(xmin + 500.0::double / 7, 9), ymin) as cell_id, round(xmin, 6) as xmin, round(ymin, 6) as ymin, round(200 * 1000.0::double / 7, 4) as area from c",
+        "grid_prediction_points": "select (iy * 33 + ix + 1)::bigint as row_id, (-485 + ix * 30)::double as x, (-485 + iy * 30)::double as y from range(33) a(ix), range(33) b(iy)",
+        "knn_weights": f"with {EMB}, {_KNN} select i, j, 0.125::double as w from knn where r <= 8",
+        "distance_pairs": f"with {CUST} select a.row_id as i, b.row_id as j, round(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)), 6) as d from pts a, pts b where (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 400",
+        "knn_five": f"with {CUST}, {_KNN} select i, j, round(sqrt(d2), 6) as d, r::int as rank from knn where r <= 5",
+        "morans_i": f"""with {EMB}, {_KNN}, w as (select i, j, 0.125 as w from knn where r <= 8), m as (select avg(z) as m from pts), e as (select row_id, z - m as e from pts, m),
+q as (select sum(e*e) q2, sum(e*e*e*e) q4, count(*)::double as n from e),
+s as (select sum(w.w) s0, sum(w.w * a.e * b.e) as cr, sum(w.w*w.w + w.w*coalesce(t.w, 0)) as s1 from w join e a on a.row_id = i join e b on b.row_id = w.j left join w t on t.i = w.j and t.j = w.i),
+p as (select sum(t*t) as s2 from (select p, sum(w) as t from (select i as p, w from w union all select j, w from w) group by p)),
+v as (select n, s0, n/s0*cr/q2 as mi, -1/(n-1) as ex, (n*((n*n-3*n+3)*s1-n*s2+3*s0*s0) - (q4/n)/((q2/n)*(q2/n))*((n*n-n)*s1-2*n*s2+6*s0*s0)) / ((n-1)*(n-2)*(n-3)*s0*s0) - 1/((n-1)*(n-1)) as va from q, s, p)
+select n::bigint as n, round(mi, 8)::double as "I", round(ex, 8) as expected, round(va, 8)::double as variance, round((mi-ex)/sqrt(va), 8)::double as z from v""",
+        "variogram_omni": _vario(),
+        "variogram_north": _vario(f"and abs(dy) / d >= {math.cos(math.radians(22.5)) - 1e-12!r}"),
+        "folds_random": f"with {CUST}, {_folds(7)} select row_id, fold from f",
+        "folds_location": f"with {CUST}, g as (select grp, ((row_number() over (order by {_GLI}, grp::varchar) - 1) % 4 + 1)::int as fold from (select distinct grp from pts)) select row_id, fold from pts join g using (grp)",
+        "folds_buffered": f"with {EMB} select a.row_id as fold, count(*) filter (where a.row_id <> b.row_id and (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 2500) as excluded from pts a, pts b group by a.row_id",
+        "folds_nndm": f"""with {EMB}, g as ({grid(100)}), t as (select sqrt(min((g.x-p.x)*(g.x-p.x)+(g.y-p.y)*(g.y-p.y))) as d from g, pts p group by g.row_id),
+s as (select list_sort(list(d)) as l, count(*) as m from t), u as (select row_id, (((row_id * 1103515245 + 7 * 12345) % 2147483648) + 0.5) / 2147483648 * (m - 1) as h, l, m from pts, s),
+rad as (select row_id, l[floor(h)::int + 1] + (h - floor(h)) * (l[least(floor(h)::int + 2, m)] - l[floor(h)::int + 1]) as radius from u),
+n as (select count(*) as n from pts), p as (select a.row_id, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) as d, row_number() over (partition by a.row_id order by sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)), b.row_id) as rk from pts a, pts b where a.row_id <> b.row_id),
+c as (select p.row_id, any_value(radius) as radius, arg_min(rk, (abs(d - radius), rk)) as rk from p join rad using (row_id) group by p.row_id),
+k as (select row_id, radius, case when rk > n - 2 then greatest(1, n - 2) else rk end as rk from c, n)
+select k.row_id, round(radius, 6) as radius, round(d, 6) as realised from k join p on p.row_id = k.row_id and p.rk = k.rk""",
+        "regression_metrics": f"""with {EMB}, d as (select z as y, 0.01 * x + 0.03 * y + 48 * w1 as f from pts where row_id % 17 <> 0), m as (select avg(y) as b from d),
+a as (select count(*) as n, sqrt(avg((y-f)*(y-f))) as r, avg(abs(y-f)) as ma, 100 * avg(case when abs(y) > {100 * 2.220446049250313e-16!r} then abs(y-f)/abs(y) end) as mp, 100 * avg(case when abs(y)+abs(f) > {100 * 2.220446049250313e-16!r} then 2*abs(y-f)/(abs(y)+abs(f)) end) as sm, 1 - sum((y-f)*(y-f))/sum((y-b)*(y-b)) as r2 from d, m)
+select n, round(r, 6) as "RMSE", round(ma, 6) as "MAE", round(mp, 6) as "MAPE", round(sm, 6) as "SMAPE", round(r2, 6) as "R2", round(1 - (1 - r2) * (n - 1) / (n - 4), 6) as "Adj_R2" from a""",
+        "cv_ols_folds": _CV + " select row_id, fold, round(y, 6) as y, round(yhat, 6) as yhat, round(y_train_mean, 6) as y_train_mean from o",
+        "cv_ols_metrics": _CV + ' select fold, count(*) as n_pred, round(sqrt(avg((y-yhat)*(y-yhat))), 6) as "RMSE", round(avg(abs(y-yhat)), 6) as "MAE", round(1 - sum((y-yhat)*(y-yhat)) / sum((y-y_train_mean)*(y-y_train_mean)), 6) as "R2" from o group by fold',
+        "crps_coverage": f"""with {EMB}, k as (select row_id, z, w1 * 50 + (k - 11) * 3.0::double as d, k from pts, range(1, 22) t(k)),
+q as (select row_id, quantile_cont(d, 0.1) as lo, quantile_cont(d, 0.9) as hi, any_value(z) as z, avg(abs(d - z)) - sum(d * (2 * k - 22)) / 441 as c from k group by row_id)
+select row_id, round(c, 6) as crps, (z between lo and hi)::int::double as inside from q""",
+        "aoa_new": _aoa("row_id % 5 <> 0", ["w1", "w2", "w3"], [1, 1, 1], "a.row_id <> b.row_id", "row_id % 5 = 0"),
+        "aoa_train_folds": _aoa("true", ["w1", "w2"], [3, 1], "a.row_id % 4 <> b.row_id % 4"),
+        "gwr_bisquare": _gwr("case when d < 250 then (1 - d/250*d/250) * (1 - d/250*d/250) else 0 end", "where d <= 250"),
+        "gwr_exponential": _gwr("exp(-d/120)"),
+        "gwr_adaptive": _gwr(
+            "case when d/b < 1 then pow(1 - pow(d/b, 3), 3) else 0 end",
+            pairs="select *, max(case when rk <= 60 then d end) over (partition by i) as b from (select a.row_id as i, b.row_id as j, a.w1 as ui, b.w1 as u, b.z as v, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) as d, row_number() over (partition by a.row_id order by sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)), b.row_id) as rk from pts a, pts b)",
+        ),
+        "project_utm": f"""with {LL}, t as (select row_id, sinh(atanh(sin(radians(lat))) - {_S!r} * atanh({_S!r} * sin(radians(lat)))) as t, radians(lon + 81) as l from pts),
+u as (select row_id, atan2(t, cos(l)) as xi, atanh(sin(l) / sqrt(1 + t*t)) as et from t)
+select row_id, round(500000 + {0.9996 * _RAD!r} * (et + {' + '.join(f'{a!r} * cos({2 * j} * xi) * sinh({2 * j} * et)' for j, a in enumerate(_AL, 1))}), 3) as x, round({0.9996 * _RAD!r} * (xi + {' + '.join(f'{a!r} * sin({2 * j} * xi) * cosh({2 * j} * et)' for j, a in enumerate(_AL, 1))}), 3) as y from u""",
+        "project_webmerc": f"with {LL} select row_id, round(6378137 * radians(lon), 3) as x, round(6378137 * ln(tan(pi() / 4 + radians(lat) / 2)), 3) as y from pts",
+        "project_albers": _albers(29.5, 45.5, 37.5, -96.0),
+        "project_laea": _laea(35.0, -78.0),
+        "surface_ols": f"""with {EMB}, g as ({grid(50)}), b as (select regr_slope(z, w1) as s, regr_intercept(z, w1) as c from pts),
+n as (select g.row_id, p.w1, row_number() over (partition by g.row_id order by (g.x-p.x)*(g.x-p.x)+(g.y-p.y)*(g.y-p.y), p.row_id) as r from g, pts p)
+select row_id, round(w1, 6) as w1, round(c + s * w1, 6) as pred from n, b where r = 1""",
+    }

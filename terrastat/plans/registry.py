@@ -1,5 +1,259 @@
 """Registered queries over the driver's tables."""
 
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from ..functions.exprs import lattice_order, shoelace
+from ..operators import aoa as A
+from ..operators import assign as S
+from ..operators import autocorr as C
+from ..operators import cv as V
+from ..operators import folds as D
+from ..operators import metrics as M
+from ..operators import models as G
+from ..operators import surface as P
+from ..operators import tessellate as T
+from ..operators.joins import distance_join, knn_join, nearest_join
+from ..sources.crs import CRS, WEBMERC, forward, utm
+from ..sources.layer import dedup_points, prediction_grid
+from .layers import customer_lonlat, customer_points, embedding_points, lineitem_points, literal_cells
+
+BOX = (-500.0, 500.0, -500.0, 500.0)
+MODEL = [{"model": "Nug", "psill": 0.2, "range": 0.0}, {"model": "Exp", "psill": 0.8, "range": 60.0}]
+
+
+def _r(df, digits=4, skip=()):
+    """Doubles rounded: two engines add in different orders."""
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" and c not in skip else F.col(c) for c, t in df.dtypes])
+
+
+def _gridded(spark, sf_dir, nx=10, ny=10):
+    p = lineitem_points(spark, sf_dir)
+    x0, x1, y0, y1 = p.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+
+    def step(c, lo, hi, n):
+        return F.greatest(F.lit(0), F.least(F.ceil((F.col(c) - lo) * (n / (hi - lo))) - 1, F.lit(n - 1))) if hi > lo else F.lit(0)
+
+    return p.withColumn("cell_id", (step("y", y0, y1, ny) * nx + step("x", x0, x1, nx) + 1).cast("long"))
+
+
+def cell_summary_square(spark, sf_dir):
+    return _r(S.summarize_by_cell(_gridded(spark, sf_dir), "v", ["q"]))
+
+
+def cell_summary_fixed_deff(spark, sf_dir):
+    return _r(S.summarize_by_cell(_gridded(spark, sf_dir), "v", [], deff=2.0, agg_funs={"mean": F.avg, "max": F.max}))
+
+
+def cell_summary_kish(spark, sf_dir):
+    return _r(S.summarize_by_cell(_gridded(spark, sf_dir), "v", [], deff="kish"))
+
+
+def cell_summary_hex(spark, sf_dir):
+    p = lineitem_points(spark, sf_dir)
+    return _r(S.summarize_by_cell(p.withColumn("cell_id", T.hex_cell_of(F.col("x"), F.col("y"), (0.0, 2000.0, 0.0, 2000.0), 250.0)), "v", []))
+
+
+def cell_variogram_deff(spark, sf_dir):
+    return _r(S.cell_design_effect(customer_points(spark, sf_dir), MODEL, "grp"), 6)
+
+
+def assign_smallest_area(spark, sf_dir):
+    return S.assign_to_cells(customer_points(spark, sf_dir), literal_cells(spark)).select("row_id", "cell_id")
+
+
+def assign_keep_unassigned(spark, sf_dir):
+    return S.assign_to_cells(customer_points(spark, sf_dir), literal_cells(spark), keep_unassigned=True, tie_break="first").select("row_id", "cell_id")
+
+
+def point_cell_index(spark, sf_dir):
+    return S.point_cell_index(customer_points(spark, sf_dir), literal_cells(spark))
+
+
+def voronoi_assign(spark, sf_dir):
+    p = customer_points(spark, sf_dir)
+    return nearest_join(p, p.where("row_id % 50 = 0")).select(F.col("i").alias("row_id"), F.col("j").alias("cell_id"), F.round("d", 6).alias("d"))
+
+
+def points_dedup(spark, sf_dir):
+    return dedup_points(customer_points(spark, sf_dir), -2).select("row_id", "x", "y")
+
+
+def stable_cell_ids(spark, sf_dir):
+    g = T.stable_ids(T.square_grid(spark, BOX, 7, 5))
+    return g.select("cell_id", F.round("xmin", 6).alias("xmin"), F.round("ymin", 6).alias("ymin"), F.round(F.abs(shoelace("rings")), 4).alias("area"))
+
+
+def grid_prediction_points(spark, sf_dir):
+    return _r(prediction_grid(spark, BOX, cell_size=30.0), 6)
+
+
+def knn_weights(spark, sf_dir):
+    return C.knn_weights(embedding_points(spark, sf_dir), 8)
+
+
+def distance_pairs(spark, sf_dir):
+    p = customer_points(spark, sf_dir)
+    return _r(distance_join(p, p, 20.0), 6)
+
+
+def knn_five(spark, sf_dir):
+    p = customer_points(spark, sf_dir)
+    return _r(knn_join(p, p, 5, exclude_self=True), 6)
+
+
+def morans_i(spark, sf_dir):
+    p = embedding_points(spark, sf_dir)
+    return _r(C.morans_i(p.select("row_id", F.col("z").alias("e")), C.knn_weights(p, 8)), 8)
+
+
+def variogram_omni(spark, sf_dir):
+    return _r(C.variogram(embedding_points(spark, sf_dir), "z", 150.0, 10.0), 6)
+
+
+def variogram_north(spark, sf_dir):
+    return _r(C.variogram(embedding_points(spark, sf_dir), "z", 150.0, 10.0, azimuth=0.0), 6)
+
+
+def folds_random(spark, sf_dir):
+    return D.random_folds(customer_points(spark, sf_dir), 7, order=lattice_order("row_id", 42)).assignment
+
+
+def folds_block(spark, sf_dir):
+    return D.block_folds(customer_points(spark, sf_dir), 5).assignment
+
+
+def folds_location(spark, sf_dir):
+    order = (F.col("__g").cast("long") * 1103515245 + 42 * 12345) % 2147483648
+    return D.location_folds(customer_points(spark, sf_dir), "grp", 4, order=order).assignment
+
+
+def folds_buffered(spark, sf_dir):
+    p = embedding_points(spark, sf_dir)
+    f = D.buffered_loo(p, 50.0)
+    gone = f.excluded.groupBy("fold").agg(F.count(F.lit(1)).alias("excluded"))
+    return f.assignment.select("fold").join(gone, "fold", "left").select("fold", F.coalesce("excluded", F.lit(0)).cast("long").alias("excluded"))
+
+
+def folds_nndm(spark, sf_dir):
+    p = embedding_points(spark, sf_dir)
+    grid = prediction_grid(spark, BOX, cell_size=100.0)
+    u = (lattice_order("row_id", 7) + 0.5) / 2147483648
+    return _r(D.nndm_folds(p, grid, draw=u).params["realised"].select(F.col("i").alias("row_id"), "radius", "realised"), 6)
+
+
+def regression_metrics(spark, sf_dir):
+    p = embedding_points(spark, sf_dir).withColumn("yhat", F.when(F.col("row_id") % 17 != 0, 0.01 * F.col("x") + 0.03 * F.col("y") + 48 * F.col("w1")))
+    return _r(M.regression_metrics(p, "z", "yhat", 3), 6)
+
+
+def cv_ols_folds(spark, sf_dir):
+    p = embedding_points(spark, sf_dir)
+    f = D.random_folds(p, 5, order=lattice_order("row_id", 42))
+    return _r(V.cv_ols(p, "z", ["w1"], f), 6)
+
+
+def cv_ols_metrics(spark, sf_dir):
+    p = embedding_points(spark, sf_dir)
+    f = D.random_folds(p, 5, order=lattice_order("row_id", 42))
+    return _r(V.fold_metrics(V.cv_ols(p, "z", ["w1"], f)), 6)
+
+
+def crps_coverage(spark, sf_dir):
+    p = embedding_points(spark, sf_dir).withColumn("draws", F.transform(F.sequence(F.lit(1), F.lit(21)), lambda k: F.col("w1") * 50 + (k - 11) * 3.0))
+    return _r(p.select("row_id", M.crps_energy("draws", "z").alias("crps"), M.covered("draws", "z", 0.8).alias("inside")), 6)
+
+
+def aoa_new(spark, sf_dir):
+    p = embedding_points(spark, sf_dir)
+    return _r(A.area_of_applicability(p.where("row_id % 5 = 0"), p.where("row_id % 5 <> 0"), ["w1", "w2", "w3"])[0], 6)
+
+
+def aoa_train_folds(spark, sf_dir):
+    p = embedding_points(spark, sf_dir)
+    f = p.select("row_id", (F.col("row_id") % 4).alias("fold"))
+    return _r(A.area_of_applicability(p.limit(0), p, ["w1", "w2"], {"w1": 3.0, "w2": 1.0}, folds=f)[1], 6)
+
+
+def gwr_bisquare(spark, sf_dir):
+    return _r(G.gwr_one_predictor(embedding_points(spark, sf_dir), "z", "w1", 250.0), 5)
+
+
+def gwr_exponential(spark, sf_dir):
+    return _r(G.gwr_one_predictor(embedding_points(spark, sf_dir), "z", "w1", 120.0, "exponential"), 5)
+
+
+def gwr_adaptive(spark, sf_dir):
+    return _r(G.gwr_one_predictor(embedding_points(spark, sf_dir), "z", "w1", 60, "tricube", adaptive=True), 5)
+
+
+def _projected(spark, sf_dir, crs):
+    x, y = forward(crs, F.col("x"), F.col("y"))
+    return customer_lonlat(spark, sf_dir).select("row_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+def project_utm(spark, sf_dir):
+    return _projected(spark, sf_dir, utm(17))
+
+
+def project_webmerc(spark, sf_dir):
+    return _projected(spark, sf_dir, WEBMERC)
+
+
+def project_albers(spark, sf_dir):
+    return _projected(spark, sf_dir, CRS("albers", (29.5, 45.5, 37.5, -96.0)))
+
+
+def project_laea(spark, sf_dir):
+    return _projected(spark, sf_dir, CRS("laea", (35.0, -78.0)))
+
+
+def surface_ols(spark, sf_dir):
+    p = embedding_points(spark, sf_dir)
+    grid = prediction_grid(spark, BOX, cell_size=50.0)
+    return _r(P.predict_surface(G.fit_ols(p, "z", ["w1"]), grid, covariates=p).select("row_id", "w1", "pred"), 6)
+
+
+# no SQL: iterative or random kernels
+
+
+def gwr_fit_local(spark, sf_dir):
+    return G.fit_gwr(embedding_points(spark, sf_dir), "z", ["w1", "w2"], 80).coef()
+
+
+def forest_oob(spark, sf_dir):
+    return G.fit_forest(embedding_points(spark, sf_dir), "z", ["x", "y", "w1", "w2"], trees=40).fitted()
+
+
+def gp_fitted(spark, sf_dir):
+    return G.fit_gp(embedding_points(spark, sf_dir), "z", ["w1", "w2"], k=8, chains=4, iterations=200).fitted()
+
+
+def voronoi_cells(spark, sf_dir):
+    p = customer_points(spark, sf_dir).where("row_id % 10 = 0")
+    edge = np.array([[0.0, 0.0], [1000.0, 0.0], [1000.0, 1009.0], [0.0, 1009.0]])
+    return T.voronoi_cells(p, edge).select("cell_id", F.round(F.abs(shoelace("rings")), 6).alias("area"))
+
+
+def kmeans_seeds(spark, sf_dir):
+    return T.kmeans_seeds(customer_points(spark, sf_dir), 8, starts=3)
+
+
+def forward_selection(spark, sf_dir):
+    p = embedding_points(spark, sf_dir)
+    chosen, score, history = V.select_forward(p, "z", ["w1", "w2", "w3"], D.random_folds(p, 4))
+    return spark.createDataFrame([(h["step"], h["candidate"], float(h["RMSE"])) for h in history], "step int, candidate string, rmse double")
+
+
+def sac_range(spark, sf_dir):
+    r = C.sac_range(embedding_points(spark, sf_dir), "z")
+    return r.variogram
+
 
 def queries():
-    return {}
+    from types import FunctionType
+
+    skip = {"queries"}
+    return {k: f for k, f in globals().items() if isinstance(f, FunctionType) and f.__module__ == __name__ and not k.startswith("_") and k not in skip}
