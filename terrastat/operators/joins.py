@@ -70,14 +70,14 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, exclude_self: bool = Fal
     """``i, j, d, rank``: the k nearest right points of each left point; ties by the lower id.
 
     Points meet in 3 x 3 bins; a left point whose k-th neighbour lies beyond the ring those bins are
-    sure to cover is tried again with bins twice as wide, so sparse regions cost rounds, not pairs.
+    sure to cover is tried again with bins four times as wide, so sparse regions cost rounds, not pairs.
     """
     lo_x, hi_x, lo_y, hi_y, n = _extent(right)
     if not n:
         return left.select(F.col("row_id").alias("i"), F.lit(None).cast("long").alias("j"), F.lit(0.0).alias("d"), F.lit(0).alias("rank")).limit(0)
     k = max(1, min(k, n - 1 if exclude_self else n))
-    area = max(hi_x - lo_x, 1e-12) * max(hi_y - lo_y, 1e-12)
-    width = max(math.sqrt(area * max(k, per_bin) / n), 1e-9)
+    share = max(k, per_bin) / n  # of the extent, so points on a line don't make bins vanish
+    width = max(math.sqrt((hi_x - lo_x) * (hi_y - lo_y) * share), max(hi_x - lo_x, hi_y - lo_y) * share, 1e-9)
     span = max(hi_x - lo_x, hi_y - lo_y, 1e-9)
     ext = left.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     if ext[0] is not None:
@@ -102,7 +102,7 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, exclude_self: bool = Fal
         todo = todo.join(sure, "i", "left_anti")
         if not todo.limit(1).count():
             return done
-        width *= 2
+        width *= 4
 
 
 def nearest_join(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -438,6 +438,38 @@ def _gp_design(f, names, info):
     return np.column_stack([np.ones(len(f)), f[names].to_numpy(float), phi])
 
 
+def _mode(f, start: np.ndarray, steps: int = 25) -> tuple[np.ndarray, np.ndarray]:
+    """(mode, covariance there) of a smooth log density: damped Newton steps on difference quotients."""
+    t, n, h = start, len(start), 1e-3
+
+    def safe(v):
+        try:
+            return f(v)
+        except np.linalg.LinAlgError:
+            return -np.inf
+
+    def curve(t):
+        base, eye = safe(t), np.eye(n) * h
+        up, down = np.array([safe(t + e) for e in eye]), np.array([safe(t - e) for e in eye])
+        hess = np.diag((up - 2 * base + down) / h**2)
+        for i in range(n):
+            for j in range(i):
+                hess[i, j] = hess[j, i] = (safe(t + eye[i] + eye[j]) - up[i] - up[j] + base) / h**2
+        w, v = np.linalg.eigh(-(hess + hess.T) / 2)
+        return base, (up - down) / (2 * h), (v / np.clip(np.abs(w), 0.5, 1e8)) @ v.T
+
+    for _ in range(steps):
+        base, grad, cov = curve(t)
+        move = cov @ grad
+        move *= min(1.0, 1.5 / max(np.abs(move).max(), 1e-12))
+        while np.abs(move).max() > 1e-4 and not safe(t + move) > base:
+            move /= 2
+        if np.abs(move).max() <= 1e-4:
+            break
+        t = t + move
+    return t, curve(t)[2]
+
+
 def fit_gp(data: DataFrame, response: str, predictors: list[str], k: int | None = None, c: float | None = None, chains: int = 4, iterations: int = 600, draws: int = 200, seed: int = 123, max_basis: int = 625) -> GPFit:
     """A Gaussian response with a 2-D Hilbert-space Gaussian process; coefficients are collapsed.
 
@@ -490,11 +522,12 @@ def fit_gp(data: DataFrame, response: str, predictors: list[str], k: int | None
         for f in frames:
             for number in f["id"]:
                 rng = np.random.default_rng([seed, int(number)])
-                t = np.array([np.log(bounds).mean()] * 2 + [0.5 * math.log(vy) - 0.5] * 2) + rng.normal(0, 0.1, 4)
-                now, step, kept, cov = parts_at(t), 0.3, [], np.eye(4)
-                trace = []
+                start = np.array([np.log(bounds).mean()] * 2 + [0.5 * math.log(vy) - 0.5] * 2) + rng.normal(0, 0.3, 4)
+                t, cov = _mode(lambda v: parts_at(v)[0], start)
+                chol_cov = np.linalg.cholesky(cov)
+                now, step, kept = parts_at(t), 1.2, []
                 for it in range(iterations):
-                    new = t + step * (np.linalg.cholesky(cov) @ rng.normal(size=4))
+                    new = t + step * (chol_cov @ rng.normal(size=4))
                     try:
                         got = parts_at(new)
                     except np.linalg.LinAlgError:
@@ -502,11 +535,8 @@ def fit_gp(data: DataFrame, response: str, predictors: list[str], k: int | None
                     ok = math.log(rng.random()) < got[0] - now[0]
                     if ok:
                         t, now = new, got
-                    trace.append(t)
                     if it < iterations // 2:
                         step *= math.exp((ok - 0.3) / math.sqrt(it + 1))
-                        if it > 100 and it % 50 == 0:
-                            cov = np.cov(np.array(trace[50:]).T) * 1.0 + 1e-6 * np.eye(4)
                     elif (it - iterations // 2) % max(1, iterations // 2 * chains // draws) == 0:
                         coef = np.linalg.solve(now[1].T, now[2] + rng.normal(size=p + m))
                         coef[0] += st[8]

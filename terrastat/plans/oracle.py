@@ -89,15 +89,15 @@ def oracle_sql():
     edge = "sqrt(greatest(xmin - x, 0, x - xmax) * greatest(xmin - x, 0, x - xmax) + greatest(ymin - y, 0, y - ymax) * greatest(ymin - y, 0, y - ymax))"
     grid = lambda s: f"select (iy * {1000 // s} + ix + 1)::bigint as row_id, -500 + {s} / 2.0 + ix * {s} as x, -500 + {s} / 2.0 + iy * {s} as y from range({1000 // s}) a(ix), range({1000 // s}) b(iy)"
     return {
-        "cell_summary_square": _GRID + " select cell_id, count(*) as n, round(avg(v), 4) as resp_mean_v, round(stddev_samp(v), 4) as sd_resp_v, round(stddev_samp(v) / sqrt(count(v)), 4) as se_resp_v, round(avg(q), 4) as pred_mean_q, round(stddev_samp(q), 4) as sd_pred_q, round(stddev_samp(q) / sqrt(count(q)), 4) as se_pred_q, count(*)::double as cell_weight from g group by cell_id",
-        "cell_summary_fixed_deff": _GRID + " select cell_id, count(*) as n, round(avg(v), 4) as resp_mean_v, round(max(v), 4) as resp_max_v, round(stddev_samp(v), 4) as sd_resp_v, round(stddev_samp(v) / sqrt(count(v) / 2.0), 4) as se_resp_v, round(count(*) / 2.0, 4) as cell_weight from g group by cell_id",
+        "cell_summary_square": _GRID + " select cell_id, count(*) as n, round(avg(v), 6) as resp_mean_v, round(stddev_samp(v), 6) as sd_resp_v, round(stddev_samp(v) / sqrt(count(v)), 6) as se_resp_v, round(avg(q), 6) as pred_mean_q, round(stddev_samp(q), 6) as sd_pred_q, round(stddev_samp(q) / sqrt(count(q)), 6) as se_pred_q, count(*)::double as cell_weight from g group by cell_id",
+        "cell_summary_fixed_deff": _GRID + " select cell_id, count(*) as n, round(avg(v), 6) as resp_mean_v, round(max(v), 6) as resp_max_v, round(stddev_samp(v), 6) as sd_resp_v, round(stddev_samp(v) / sqrt(count(v) / 2.0), 6) as se_resp_v, round(count(*) / 2.0, 6) as cell_weight from g group by cell_id",
         "cell_summary_kish": _GRID + """, s as (select avg(v) m, stddev_samp(v) s from g), z as (select cell_id, (v - m) / s as z from g, s),
 c as (select cell_id, count(*) n, avg(z) m, var_pop(z) v from z group by cell_id), t as (select sum(n)::double as nn, count(*) as k, sum(n*n)::double as q, sum(n*m) as nm, sum(n*v) as ssw from c),
 b as (select sum(c.n * (c.m - t.nm/t.nn) * (c.m - t.nm/t.nn)) as ssb from c, t),
 r as (select least(1, greatest(0, (ssb/(k-1) - ssw/(nn-k)) / (ssb/(k-1) + ((nn - q/nn)/(k-1) - 1) * (ssw/(nn-k))))) as rho from t, b)
-select cell_id, count(*) as n, round(avg(v), 4) as resp_mean_v, round(stddev_samp(v), 4) as sd_resp_v, round(stddev_samp(v) / sqrt(count(v) / greatest(1, 1 + (count(v) - 1) * max(rho))), 4) as se_resp_v, round(count(*) / greatest(1, 1 + (count(*) - 1) * max(rho)), 4) as cell_weight from g, r group by cell_id""",
+select cell_id, count(*) as n, round(avg(v), 6) as resp_mean_v, round(stddev_samp(v), 6) as sd_resp_v, round(stddev_samp(v) / sqrt(count(v) / greatest(1, 1 + (count(v) - 1) * max(rho))), 6) as se_resp_v, round(count(*) / greatest(1, 1 + (count(*) - 1) * max(rho)), 6) as cell_weight from g, r group by cell_id""",
         "cell_summary_hex": f"""with {LI}, r as (select *, floor(y / {hexstep!r})::bigint as lo from li), c as (select *, {hexq('lo')} as d0, {hexq('lo + 1')} as d1, (lo * {hexnx} + {hexd('lo')} + 1)::bigint as c0, ((lo + 1) * {hexnx} + {hexd('lo + 1')} + 1)::bigint as c1 from r)
-select case when d0 < d1 or (d0 = d1 and c0 < c1) then c0 else c1 end as cell_id, count(*) as n, round(avg(v), 4) as resp_mean_v, round(stddev_samp(v), 4) as sd_resp_v, round(stddev_samp(v) / sqrt(count(v)), 4) as se_resp_v, count(*)::double as cell_weight from c group by 1""",
+select case when d0 < d1 or (d0 = d1 and c0 < c1) then c0 else c1 end as cell_id, count(*) as n, round(avg(v), 6) as resp_mean_v, round(stddev_samp(v), 6) as sd_resp_v, round(stddev_samp(v) / sqrt(count(v)), 6) as se_resp_v, count(*)::double as cell_weight from c group by 1""",
         "cell_variogram_deff": f"with {CUST}, n as (select grp, count(*) as n_used from pts group by grp), s as (select a.grp, sum(least(1, 0.8 * exp(-sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) / 60))) as s from pts a join pts b on a.grp = b.grp and a.row_id < b.row_id group by a.grp) select grp, n_used, round(greatest(1, least(1 + 2 * coalesce(s, 0) / n_used, n_used)), 6)::double as deff from n left join s using (grp)",
         "assign_smallest_area": f"with {CUST}, {BOXES}, m as ({near('(xmax-xmin)*(ymax-ymin), b.cell_id')}) select row_id, cell_id from m where r = 1",
         "assign_keep_unassigned": f"with {CUST}, {BOXES}, m as ({near('b.cell_id')}) select pts.row_id, m.cell_id from pts left join m on m.row_id = pts.row_id and r = 1",

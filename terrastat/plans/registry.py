@@ -40,20 +40,20 @@ def _gridded(spark, sf_dir, nx=10, ny=10):
 
 
 def cell_summary_square(spark, sf_dir):
-    return _r(S.summarize_by_cell(_gridded(spark, sf_dir), "v", ["q"]))
+    return _r(S.summarize_by_cell(_gridded(spark, sf_dir), "v", ["q"]), 6)
 
 
 def cell_summary_fixed_deff(spark, sf_dir):
-    return _r(S.summarize_by_cell(_gridded(spark, sf_dir), "v", [], deff=2.0, agg_funs={"mean": F.avg, "max": F.max}))
+    return _r(S.summarize_by_cell(_gridded(spark, sf_dir), "v", [], deff=2.0, agg_funs={"mean": F.avg, "max": F.max}), 6)
 
 
 def cell_summary_kish(spark, sf_dir):
-    return _r(S.summarize_by_cell(_gridded(spark, sf_dir), "v", [], deff="kish"))
+    return _r(S.summarize_by_cell(_gridded(spark, sf_dir), "v", [], deff="kish"), 6)
 
 
 def cell_summary_hex(spark, sf_dir):
     p = lineitem_points(spark, sf_dir)
-    return _r(S.summarize_by_cell(p.withColumn("cell_id", T.hex_cell_of(F.col("x"), F.col("y"), (0.0, 2000.0, 0.0, 2000.0), 250.0)), "v", []))
+    return _r(S.summarize_by_cell(p.withColumn("cell_id", T.hex_cell_of(F.col("x"), F.col("y"), (0.0, 2000.0, 0.0, 2000.0), 250.0)), "v", []), 6)
 
 
 def cell_variogram_deff(spark, sf_dir):
@@ -228,7 +228,7 @@ def forest_oob(spark, sf_dir):
 
 
 def gp_fitted(spark, sf_dir):
-    return G.fit_gp(embedding_points(spark, sf_dir), "z", ["w1", "w2"], k=8, chains=4, iterations=200).fitted()
+    return G.fit_gp(embedding_points(spark, sf_dir), "z", ["w1", "w2"], k=8, chains=4, iterations=800).fitted()
 
 
 def voronoi_cells(spark, sf_dir):
