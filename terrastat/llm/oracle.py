@@ -78,6 +78,45 @@ select page_id, payload_bytes,
 from n
 """
 
+_PROB = "case when total{k} is null then {p} else (coalesce(n{k}, 0) + kinds{k} * {p}) / (total{k} + kinds{k}) end"
+
+
+def _op8(order=3, alphabet=256):
+    p = f"(1.0::double / {alphabet})"
+    joins, columns = "", ""
+    for k in range(order + 1):
+        joins += f" left join seen s{k} on s{k}.k = {k} and s{k}.label = w.label and s{k}.g = right(w.gram, {k + 1}) left join ctx c{k} on c{k}.k = {k} and c{k}.label = w.label and c{k}.c = substr(w.gram, {order + 1 - k}, {k})"
+        columns += f", s{k}.n as n{k}, c{k}.total as total{k}, c{k}.kinds as kinds{k}"
+    for k in range(order + 1):
+        p = "(" + _PROB.format(k=k, p=p) + ")"
+    return rf"""
+with h as (select page_id, coalesce(url, '') as url,
+    translate(coalesce(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    coalesce(regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
+r as (select *, case
+    when (host = 'www.example.com' or ends_with(host, '.www.example.com')) and starts_with(path, '/en/') then 'www.example.com/en/'
+    when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/en/') then 'example.com/en/'
+    when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/fr/') then 'net/fr/'
+    when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/es/') then 'net/es/'
+    when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/') then 'com/' end as rule from h),
+lab as (select *, case when rule in ('com/', 'www.example.com/en/') then 'allow' when rule is not null then 'block' end as label from r),
+u as (select url, any_value(label) as label, count(*) as m from lab group by url),
+spot as (select url, label, substr(repeat(chr(2), {order}) || url, i, {order + 1}) as gram from (select *, unnest(range(1, length(url) + 1)) as i from u)),
+seen as (select label, k, right(gram, (k + 1)::int) as g, count(*) as n from spot, range({order + 1}) t(k) where label is not null group by all),
+ctx as (select label, k, substr(g, 1, k::int) as c, sum(n) as total, count(*) as kinds from seen group by all),
+want as (select gram, label from (select distinct gram from spot), (values ('allow'), ('block')) l(label)),
+pr as (select w.gram, w.label{columns} from want w {joins}),
+lp as (select gram, sum(case when label = 'allow' then 1 else -1 end * ln({p})) as delta from pr group by gram),
+two as (select count(distinct label) = 2 as ok from u),
+sc as (select u.url, label, m, coalesce(round(case when ok then s end / greatest(length(u.url), 1), 6), 0) as score
+       from u left join (select url, sum(delta) as s from spot join lp using (gram) group by url) x using (url), two),
+hist as (select greatest(least(floor(score * 1000), 20000), -20000) as bin, sum(case when label = 'allow' then m else 0 end) as a, sum(case when label = 'block' then m else 0 end) as b from sc where label is not null group by 1),
+cum as (select bin, sum(a) over (order by bin desc) as ta, sum(b) over (order by bin desc) as tb, sum(a) over () as na, sum(b) over () as nb from hist),
+cut as (select coalesce((select bin / 1000 from cum where na > 0 and nb > 0 order by ta::double / na - tb::double / nb desc, abs(bin), bin desc limit 1), 0) as t)
+select page_id, host, path, rule, coalesce(lab.label, case when score >= t then 'allow' else 'block' end) as verdict
+from lab join sc on sc.url = lab.url, cut
+"""
+
 
 def oracle_sql():
-    return {"op2_mix_sources": OP2, "op3_exact_dedup": OP3, "op5_decontaminate": OP5, "op6_warc": OP6, "op7_near_duplicates": OP7}
+    return {"op2_mix_sources": OP2, "op3_exact_dedup": OP3, "op5_decontaminate": OP5, "op6_warc": OP6, "op7_near_duplicates": OP7, "op8_url_filter": _op8()}
