@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lower_ascii
+from .shared import lower_ascii, materialise
 
 
 def exact_dedup(
@@ -57,7 +57,11 @@ def exact_dedup(
         .agg(F.max("doc_id").alias("__keep"), F.count(F.lit(1)).alias("__size"))
         .where("__size > 1")
     )
-    out = met.join(groups, F.col("__full") == F.col("__key"), "left")
+    # written first, the groups meet the rows in a plain join, whose hot keys AQE splits; rows that are
+    # unique already are spread by their prefix hash instead of meeting under the null key
+    groups = materialise(groups, "copy-groups")
+    met = met.withColumn("__at", F.coalesce("__full", F.col("__pre").cast("string")))
+    out = met.join(groups, F.col("__at") == F.col("__key"), "left")
     keep = F.when(F.col("__key").isNull(), F.col("doc_id")).otherwise(F.col("__keep"))
     return out.select(
         "doc_id",
