@@ -134,3 +134,22 @@ def select_forward(data: DataFrame, response: str, candidates: list[str], folds:
         best, _, c = min(step)
         chosen.append(c)
     return chosen, (sign * best if chosen else None), history
+
+
+def compare_models_cv(data: DataFrame, response: str, predictors: list[str], models=("GWR", "GP"), folds: Folds | None = None, k: int = 5, options: dict | None = None) -> list[dict]:
+    """Pooled out-of-fold metrics by model over the same folds; models: GWR, GP, RF."""
+    run = {"GWR": cv_gwr, "GP": cv_gp, "RF": cv_forest}
+    folds = folds or make_folds(data, k)
+    chosen = [m for m in models if m in run] or ["GWR"]
+    return [run[m](data, response, predictors, folds, **(options or {}).get(m, {}))[0].first().asDict() | {"model": m} for m in chosen]
+
+
+def residual_morans(fits: dict[str, SpatialFit], k: int = 8) -> list[dict]:
+    """Moran's I of each model's residuals, with its p-value."""
+    from .autocorr import knn_weights, morans_i, p_value
+
+    out = []
+    for name, fit in fits.items():
+        r = morans_i(fit.residuals(), knn_weights(fit.data, k)).first().asDict()
+        out.append({"model": name, "p": p_value(r["z"])} | r)
+    return out

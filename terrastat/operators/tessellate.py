@@ -210,3 +210,95 @@ def elbow(wss: list[float], min_k: int = 1) -> tuple[int, list[int]]:
         gap = np.abs((w[-1] - w[0]) * k - (k[-1] - k[0]) * w + k[-1] * w[0] - w[-1] * k[0]) / math.hypot(w[-1] - w[0], 1)
         knee = min_k + int(np.argmax(gap))
     return knee, [c for c in (knee - 1, knee, knee + 1) if min_k <= c <= min_k + n - 1]
+
+
+def random_seeds(spark: SparkSession, boundary: np.ndarray, k: int, seed: int = 456) -> DataFrame:
+    """``seed_id, x, y``: k points uniform in a polygon ring, by rejection from its box; fewer if ten rounds don't fill it."""
+    lo, hi = boundary.min(0), boundary.max(0)
+    rng, found = np.random.default_rng(seed), np.zeros((0, 2))
+    for _ in range(10):
+        p = lo + rng.random((max(64, 2 * k), 2)) * (hi - lo)
+        a, b = boundary, np.roll(boundary, -1, 0)
+        cross = ((a[:, 1] > p[:, 1:]) != (b[:, 1] > p[:, 1:])) & (p[:, :1] < (b[:, 0] - a[:, 0]) * (p[:, 1:] - a[:, 1]) / np.where(b[:, 1] == a[:, 1], np.inf, b[:, 1] - a[:, 1]) + a[:, 0])
+        found = np.vstack([found, p[cross.sum(1) % 2 == 1]])
+        if len(found) >= k:
+            break
+    return spark.createDataFrame([(i + 1, float(x), float(y)) for i, (x, y) in enumerate(found[:k])], "seed_id long, x double, y double")
+
+
+def clip_box(points: DataFrame, expand: float = 0.0) -> tuple[float, float, float, float]:
+    """The extent of points; ``expand`` below 1 is a share of the longer side, else a distance.  Flat extents are padded."""
+    x0, x1, y0, y1 = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    longest = max(x1 - x0, y1 - y0)
+    pad = expand * longest if 0 < expand < 1 else expand
+    if x1 == x0 or y1 == y0:
+        pad = pad or (0.05 * longest or 1.0)
+    return x0 - pad, x1 + pad, y0 - pad, y1 + pad
+
+
+def build_tessellation(points: DataFrame, method: str = "voronoi", target: int = 100, boundary: np.ndarray | None = None, expand: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """(cells, index) of a point layer by method: voronoi, triangles, square or hex; ``index`` is ``row_id, cell_id``."""
+    from ..sources.layer import dedup_points
+    from .assign import point_cell_index
+
+    spark, box = points.sparkSession, clip_box(points, expand)
+    if boundary is None:
+        boundary = np.array([[box[0], box[2]], [box[1], box[2]], [box[1], box[3]], [box[0], box[3]]], float)
+    if method == "voronoi":
+        cells = stable_ids(voronoi_cells(dedup_points(points), boundary).persist())
+    elif method == "triangles":
+        rows = dedup_points(points).select("x", "y").limit(20_001).toPandas().to_numpy(float)
+        if len(rows) > 20_000:
+            raise ValueError("at most 20,000 points are triangulated")
+        cells = spark.createDataFrame(pd.DataFrame([_cell_row(i + 1, rows[t]) for i, t in enumerate(delaunay(rows))]), CELL)
+    elif method in ("square", "hex"):
+        nx, ny = grid_size(box[1] - box[0], box[3] - box[2], target, method)
+        cells = square_grid(spark, box, nx, ny) if method == "square" else hex_grid(spark, box, (box[1] - box[0]) / nx)
+    else:
+        raise ValueError(f"unknown method: {method}")
+    cells = cells.persist()
+    return cells, point_cell_index(points, cells)
+
+
+def optimal_levels(points: DataFrame, max_levels: int = 12, top_n: int = 3, sample_n: int = 1500, seed: int = 123, response: str | None = None, predictors=()) -> tuple[list[int], list[dict]]:
+    """(best numbers of cells, diagnostics): the elbow of k-means within-sums, near it weighed with Moran's I of
+    residuals of cell means where a response is given.  Ranks are averages over ties."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    from .autocorr import knn_weights, morans_i
+    from .metrics import linear, ols
+
+    part = points.orderBy(F.xxhash64("row_id", F.lit(seed)), "row_id").limit(sample_n).persist()
+    n = part.select(F.round("x", 10), F.round("y", 10)).distinct().count()
+    k_max = min(max_levels, n - 1)
+    if n < 3 or k_max < 2:
+        return [1], []
+    v = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(part).persist()
+    fits = {k: KMeans(k=k, seed=seed, maxIter=50).fit(v) for k in range(2, k_max + 1)}
+    one = part.agg((F.var_pop("x") + F.var_pop("y")) * F.count(F.lit(1))).first()[0]
+    wss = [one] + [fits[k].summary.trainingCost for k in range(2, k_max + 1)]
+    knee, near = elbow(wss)
+    out = [{"k": k, "wss": w} for k, w in enumerate(wss, 1)]
+    if response is None:
+        return near[:top_n], out
+    tried = [k for k in range(max(2, knee - max(4, top_n)), min(k_max, knee + max(4, top_n)) + 1)]
+    top, span = max(wss), (max(wss) - min(wss)) or 1.0
+    for k in tried:
+        cells = fits[k].transform(v).groupBy("prediction").agg(*[F.avg(c).alias(c) for c in ("x", "y", response, *predictors)]).withColumnRenamed("prediction", "row_id").persist()
+        beta = ols(cells, response, list(predictors)) if k >= 4 else None
+        i = None
+        if beta is not None:
+            r = morans_i(cells.select("row_id", (F.col(response) - linear(beta, list(predictors))).alias("e")), knn_weights(cells, 8)).first()
+            i = abs(r["I"]) if r["I"] is not None else None
+        gap = 1 - (wss[k - 1] - min(wss)) / span - (k - 1) / max(1, k_max - 1) if top else 0.0
+        out[k - 1] |= {"moran": i, "gap": gap}
+
+    def ranks(values):
+        order = sorted(values)
+        return [order.index(x) + (order.count(x) - 1) / 2 for x in values]
+
+    usable = [k for k in tried if out[k - 1].get("moran") is not None] or tried
+    a = ranks([-out[k - 1]["gap"] for k in usable])
+    b = ranks([out[k - 1].get("moran") or 0.0 for k in usable])
+    return [k for _, k in sorted(zip([(x + y) / 2 for x, y in zip(a, b, strict=True)], usable, strict=True))][:top_n], out
