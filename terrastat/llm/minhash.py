@@ -3,9 +3,9 @@
 Documents with equal shingle sets form a class, so copies cost one row each and are never paired.
 Each permutation of a class's shingles gives two values of its signature, the least and the
 greatest, which halves the hash evaluations; bands of the signature are bucketed.  In a bucket every
-class is compared with one centre, the class of least hash, never with all others; what a centre
-does not explain is compared in further rounds with centres of the components that are left.  Links
-are confirmed on the full shingle sets.
+class is first compared with few leaders, the classes of least hash, so a group of near copies
+becomes one component without its pairs being made; only what is still unconnected in a bucket is
+then compared with the rest of it.  Links are confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ from .shared import materialise
 from .wordhash import mix, words_by_chunk
 
 BANDS, ROWS = 40, 5
-SKETCH_LONGS = (BANDS * ROWS + 15) // 16
+LEADERS = (1, 8)  # members of a bucket that all others meet, round by round, before the last sweep
+SKETCH_LONGS, ODD_LONGS = (BANDS * ROWS + 15) // 16, 16
 _RNG = np.random.default_rng(77)
 _PERMS = BANDS * ROWS // 2
 _A = (_RNG.integers(0, 2**31, _PERMS, dtype=np.uint64) * 2 + 1).astype(np.uint32)
@@ -33,7 +34,8 @@ _SEAT = _RNG.integers(0, 2**63, BANDS, dtype=np.uint64)
 _PLACE = _RNG.integers(0, 2**63, 16, dtype=np.uint64) | np.uint64(1)
 
 
-_SKETCH = [f"s{k}" for k in range(SKETCH_LONGS)]
+_SIMILAR, _ODD = [f"s{k}" for k in range(SKETCH_LONGS)], [f"o{k}" for k in range(ODD_LONGS)]
+_SKETCH = _SIMILAR + _ODD
 
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -87,6 +89,13 @@ def sketches(sigs: np.ndarray) -> np.ndarray:
     return (four[:, 0::2] << 4 | four[:, 1::2]).view(np.int64)
 
 
+def odd_sketch(found: np.ndarray) -> np.ndarray:
+    """ODD_LONGS integers, one bit a place: whether an odd number of the set's hashes fall there.  Two sets
+    differ in at least as many elements as their sketches in bits."""
+    odd = np.bincount((found >> np.uint64(54)).astype(np.int64), minlength=64 * ODD_LONGS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def most_differences(percent: int) -> int:
     """Values in which the sketches of sets of that similarity differ at most, five standard deviations above the mean."""
     n, p = 2 * _PERMS, (1 - percent / 100) * 15 / 16
@@ -107,15 +116,16 @@ def _sign(size):
             ids, texts = batch.column(0), batch.column(1)
             if not len(texts):
                 continue
-            n, keys, sigs = [], [], []
+            n, keys, sigs, odd = [], [], [], []
             for found in shingle_sets(texts, size):
                 n.append(len(found))
                 keys.append(set_key(found))
+                odd.append(odd_sketch(found))
                 sigs.append(signature(found) if len(found) else np.zeros(2 * _PERMS, np.uint32))
             sigs = np.stack(sigs)
-            bands, bits = band_keys(sigs), sketches(sigs)
+            bands, bits = band_keys(sigs), np.hstack([sketches(sigs), np.stack(odd)])
             lists = pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), bands.ravel())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(keys, pa.int64()), lists, *[pa.array(bits[:, k]) for k in range(SKETCH_LONGS)]], ["doc_id", "n_shingles", "node", "bands", *_SKETCH])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(keys, pa.int64()), lists, *[pa.array(bits[:, k]) for k in range(SKETCH_LONGS + ODD_LONGS)]], ["doc_id", "n_shingles", "node", "bands", *_SKETCH])
 
     return run
 
@@ -155,24 +165,46 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The ``u, v`` pairs whose full sets are similar enough; sets are made again from the candidates' texts only."""
-    sized = nodes.select("node", "n_shingles")
-    near = (
-        pairs.join(sized.select(F.col("node").alias("u"), F.col("n_shingles").alias("nu")), "u")
-        .join(sized.select(F.col("node").alias("v"), F.col("n_shingles").alias("nv")), "v")
-        .where((100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")))
-        .select("u", "v")
-    )
-    near = materialise(near, "near-pairs")
-    wanted = near.select(F.col("u").alias("node")).union(near.select("v")).distinct().join(nodes.select("node", "rep"), "node")
-    wanted = materialise(wanted, "near-nodes")
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes.select("node", "rep"), "node")
     texts = docs.join(wanted.select("rep").distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
     sets = texts.mapInArrow(_sets(size), "node long, shingles array<long>").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
     sets = materialise(sets, "near-sets")
-    both = near.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
     same = F.size(F.array_intersect("a", "b"))
     return both.where(100 * same >= percent * (F.size("a") + F.size("b") - same)).select("u", "v")
 
 
+def _candidates(live: DataFrame, some: DataFrame, percent: int, once: bool) -> DataFrame:
+    """``u, v``: pairs of ``some`` and ``live`` that share a bucket, are not connected yet and may be similar.
+
+    Bounds settle most pairs inside the join: those of set sizes and odd sketches are exact, that of the
+    signature sketches errs once in three million pairs at the limit.  With ``once`` a pair comes from
+    the first bucket that it shares alone.  What leaves the join is compared in full.
+    """
+    names = ["node", "label", "n_shingles", "bands", *_SKETCH]
+    right = some.select("bucket", *[F.col(c).alias(f"__{c}") for c in names])
+    differ = reduce(lambda a, b: a + b, [_differences(x, f"__{x}") for x in _SIMILAR])
+    sizes = F.col("n_shingles") + F.col("__n_shingles")
+    apart = reduce(lambda a, b: a + b, [F.bit_count(F.col(x).bitwiseXOR(F.col(f"__{x}"))) for x in _ODD])
+    sized = 100 * F.least("n_shingles", "__n_shingles") >= percent * F.greatest("n_shingles", "__n_shingles")
+    near = (F.col("label") != F.col("__label")) & sized & ((100 + percent) * apart <= (100 - percent) * sizes) & (differ <= most_differences(percent))
+    if once:
+        near = near & (F.element_at(F.filter(F.zip_with("bands", "__bands", lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull()), 1) == F.col("bucket"))
+    met = live.join(right, "bucket").where(near)
+    return met.select(F.least("node", "__node").alias("u"), F.greatest("node", "__node").alias("v")).distinct()
+
+
+def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels after new links: only the graph of labels that the links connect is contracted."""
+    if labels is None:
+        return components(links)
+    at, bt = labels.select(F.col("node").alias("u"), F.col("label").alias("a")), labels.select(F.col("node").alias("v"), F.col("label").alias("b"))
+    over = links.join(at, "u", "left").join(bt, "v", "left").select(F.coalesce("a", "u").alias("u"), F.coalesce("b", "v").alias("v"))
+    new = components(over)
+    moved = labels.join(new.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return materialise(moved.union(new.join(labels, "node", "left_anti")), "labels")
+
+
 def near_duplicates(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -195,34 +227,36 @@ def near_duplicates(
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = materialise(docs.select("doc_id", "text").mapInArrow(_sign(shingle_words), f"doc_id {kind}, n_shingles long, node long, bands array<long>, " + ", ".join(f"{x} long" for x in _SKETCH)), "signatures")
     full = signed.where("n_shingles > 0")
-    nodes = materialise(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles")), "classes")
+    nodes = materialise(full.groupBy("node").agg(F.min("doc_id").alias("rep")), "classes")
     # one row of a class stands for its copies
     first = full.join(nodes.select("node", "rep"), "node").where(F.col("doc_id").eqNullSafe(F.col("rep"))).dropDuplicates(["node"])
-    first = materialise(first.select("node", "bands", *_SKETCH), "first-rows")
+    first = materialise(first.select("node", full["n_shingles"], "bands", *_SKETCH), "first-rows")
     seats = first.select("node", F.explode("bands").alias("bucket"))
     met = seats.groupBy("bucket").count().where("count > 1").select("bucket")
-    live = seats.join(met, "bucket", "left_semi").join(first.select("node", *_SKETCH), "node").withColumn("label", F.col("node"))
+    live = seats.join(met, "bucket", "left_semi").join(first.select("node", "n_shingles", "bands", *_SKETCH), "node").withColumn("label", F.col("node"))
     live = materialise(live, "shared-buckets")
-    theirs = ["__v", "__vl", *[f"__{x}" for x in _SKETCH]]
-    differ = reduce(lambda a, b: a + b, [_differences(x, f"__{x}") for x in _SKETCH])
-    labels, edges, leaders = None, None, 1
-    while live.limit(1).count():
-        # up to ``leaders`` members of each bucket, the least of each of its parts, meet all its members
-        part = F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(leaders))
-        chosen = live.groupBy("bucket", part.alias("__part")).agg(F.min("node").alias("node")).drop("__part")
-        centres = live.join(chosen, ["bucket", "node"], "left_semi").select("bucket", "node", "label", *_SKETCH).toDF("bucket", *theirs)
-        centres = materialise(centres, "centres")
-        # the sketches settle most pairs inside the join: what they leave is compared in full
-        pairs = live.join(centres, "bucket").where((F.col("label") != F.col("__vl")) & (differ <= most_differences(percent)))
-        pairs = materialise(pairs.select(F.least("node", "__v").alias("u"), F.greatest("node", "__v").alias("v")).distinct(), "pairs")
-        found = materialise(_confirmed(pairs, nodes, docs, shingle_words, percent), "links")
-        edges = found if edges is None else edges.union(found)
-        labels = components(edges)
-        # members that no leader of their bucket explains meet other leaders next
-        held = centres.select("bucket", F.col("__v").alias("node")).join(labels, "node", "left").select("bucket", F.coalesce("label", "node").alias("label")).distinct()
-        rest = live.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        live = materialise(rest.join(held, ["bucket", "label"], "left_anti"), "unexplained")
-        leaders *= 4
+    labels = None
+    for leaders in (*LEADERS, None):
+        if leaders:
+            # the least member of each part of a bucket meets all members
+            part = F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(leaders))
+            chosen = live.groupBy("bucket", part.alias("__part")).agg(F.min("node").alias("node")).drop("__part")
+            some = live.join(chosen, ["bucket", "node"], "left_semi")
+        else:
+            # last, whatever is not of the component of its bucket's least member meets all members:
+            # of two members of different components one at least is such
+            chosen = live.groupBy("bucket").agg(F.min("node").alias("node")).join(live.select("bucket", "node", F.col("label").alias("__top")), ["bucket", "node"])
+            some = live.join(chosen.select("bucket", "__top"), "bucket").where(F.col("label") != F.col("__top")).drop("__top")
+        pairs = materialise(_candidates(live, some, percent, leaders is None), "pairs")
+        if pairs.limit(1).count():
+            found = materialise(_confirmed(pairs, nodes, docs, shingle_words, percent), "links")
+            if found.limit(1).count():
+                labels = _joined(labels, found)
+                live = live.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        if leaders:
+            # a bucket that is one component by now is done
+            open_ = live.groupBy("bucket").agg(F.min("label").alias("__a"), F.max("label").alias("__b")).where("__a <> __b").select("bucket")
+            live = materialise(live.join(open_, "bucket", "left_semi"), "open-buckets")
     if labels is None:
         named = nodes.select("node", F.col("rep").alias("component_id"))
     else:
