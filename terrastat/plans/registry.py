@@ -232,7 +232,7 @@ def gp_fitted(spark, sf_dir):
 
 
 def voronoi_cells(spark, sf_dir):
-    p = customer_points(spark, sf_dir).where("row_id % 10 = 0")
+    p = dedup_points(customer_points(spark, sf_dir))
     edge = np.array([[0.0, 0.0], [1000.0, 0.0], [1000.0, 1009.0], [0.0, 1009.0]])
     return T.voronoi_cells(p, edge).select("cell_id", F.round(F.abs(shoelace("rings")), 6).alias("area"))
 
