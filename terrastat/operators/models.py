@@ -414,8 +414,8 @@ class GPFit(SpatialFit):
 
         def run(frames):
             names, info = me
-            for f in frames:
-                g = _gp_design(f, names, info) @ info["draws"].T
+            for f in frames:  # slices: a design row has up to 2,500 basis functions
+                g = np.vstack([_gp_design(f[at : at + 1000], names, info) @ info["draws"].T for at in range(0, len(f), 1000)] or [np.zeros((0, len(info["draws"])))])
                 yield pd.DataFrame({"row_id": f["row_id"], "pred": g.mean(1), "draws": list(g)})
 
         clean = d.where(all_finite(["x", "y", *self.predictors])).select("row_id", "x", "y", *self.predictors)
@@ -427,17 +427,39 @@ class GPFit(SpatialFit):
         return {n: (float(b[:, k].mean()), float(b[:, k].std(ddof=1))) for k, n in enumerate(["intercept", *self.predictors])}
 
 
-def _gp_design(f, names, info):
+def _angles(f, info) -> list[np.ndarray]:
     z = (f[["x", "y"]].to_numpy(float) - info["mean"]) / info["sd"]
-    cols = []
-    for axis in range(2):
-        big = info["L"][axis]
-        j = np.arange(1, info["k"] + 1)
-        cols.append(np.sin(j * math.pi / (2 * big) * (z[:, [axis]] + big)) / math.sqrt(big))
+    return [math.pi / (2 * big) * (z[:, [axis]] + big) for axis, big in enumerate(info["L"])]
+
+
+def _gp_design(f, names, info):
+    j = np.arange(1, info["k"] + 1)
+    cols = [np.sin(j * t) / math.sqrt(big) for t, big in zip(_angles(f, info), info["L"], strict=True)]
     phi = (cols[0][:, :, None] * cols[1][:, None, :]).reshape(len(f), -1)
     return np.column_stack([np.ones(len(f)), f[names].to_numpy(float), phi])
 
 
+def _gp_sums(f, names, response, shift, info) -> np.ndarray:
+    """What ``_gp_cross`` needs of some rows, added up over rows.  Products of sines are differences of cosines, so
+    (2 k + 1)^2 sums of cosine products hold all k^2 x k^2 products of basis functions."""
+    tx, ty = _angles(f, info)
+    j, a = np.arange(1, info["k"] + 1), np.arange(2 * info["k"] + 1)
+    flat = np.column_stack([np.ones(len(f)), f[names].to_numpy(float), f[response].to_numpy(float) - shift])
+    sx, sy = np.sin(j * tx), np.sin(j * ty)
+    return np.concatenate([(np.cos(a * tx).T @ np.cos(a * ty)).ravel(), *[((sx * c[:, None]).T @ sy).ravel() for c in flat.T], (flat.T @ flat).ravel()])
+
+
+def _gp_cross(sums: np.ndarray, p: int, info) -> np.ndarray:
+    """Cross-products of the design's columns and the response, which comes last."""
+    k, area = info["k"], float(np.prod(info["L"]))
+    m, wide = k * k, (2 * k + 1) ** 2
+    cosines, mixed, flat = sums[:wide].reshape(2 * k + 1, -1), sums[wide : wide + (p + 1) * m].reshape(p + 1, m) / math.sqrt(area), sums[wide + (p + 1) * m :].reshape(p + 1, p + 1)
+    i, j = np.arange(1, k + 1)[:, None], np.arange(1, k + 1)
+    one = cosines[abs(i - j)] - cosines[i + j]
+    both = (one[:, :, abs(i - j)] - one[:, :, i + j]).transpose(0, 2, 1, 3).reshape(m, m) / (4 * area)
+    return np.block([[flat[:p, :p], mixed[:p], flat[:p, p:]], [mixed[:p].T, both, mixed[p:].T], [flat[p:, :p], mixed[p:], flat[p:, p:]]])
+
+
 def _mode(f, start: np.ndarray, steps: int = 25) -> tuple[np.ndarray, np.ndarray]:
     """(mode, covariance there) of a smooth log density: damped Newton steps on difference quotients."""
     t, n, h = start, len(start), 1e-3
@@ -455,6 +477,8 @@ def _mode(f, start: np.ndarray, steps: int = 25) -> tuple[np.ndarray, np.ndarray
         for i in range(n):
             for j in range(i):
                 hess[i, j] = hess[j, i] = (safe(t + eye[i] + eye[j]) - up[i] - up[j] + base) / h**2
+        if not (np.isfinite(base) and np.isfinite(hess).all()):  # at the edge of what can be factorised: the chain goes on from here
+            return base, np.zeros(n), np.eye(n) * 0.01
         w, v = np.linalg.eigh(-(hess + hess.T) / 2)
         return base, (up - down) / (2 * h), (v / np.clip(np.abs(w), 0.5, 1e8)) @ v.T
 
@@ -470,12 +494,14 @@ def _mode(f, start: np.ndarray, steps: int = 25) -> tuple[np.ndarray, np.ndarray
     return t, curve(t)[2]
 
 
-def fit_gp(data: DataFrame, response: str, predictors: list[str], k: int | None = None, c: float | None = None, chains: int = 4, iterations: int = 600, draws: int = 200, seed: int = 123, max_basis: int = 625) -> GPFit:
+def fit_gp(data: DataFrame, response: str, predictors: list[str], k: int | None = None, c: float | None = None, chains: int = 4, iterations: int = 2000, draws: int = 200, seed: int = 123, max_basis: int = 2500) -> GPFit:
     """A Gaussian response with a 2-D Hilbert-space Gaussian process; coefficients are collapsed.
 
     One aggregate pass over batches gives the cross-products of all basis functions; the four
     hyper-parameters are then sampled on the marginal likelihood, whose cost does not depend on n, a
-    chain per task.  Random-walk chains: no divergence figure is reported.
+    chain per task.  Random-walk chains: no divergence figure is reported.  A basis that needs more than
+    ``max_basis`` functions is capped with a warning.  1e-8 of the response's variance is added to that of
+    the noise: a response without noise has its mode where cross-products can't be factorised.
     """
     clean = data.where(all_finite(["x", "y", response, *predictors]))
     st = clean.agg(*[f(v) for v in ("x", "y") for f in (F.avg, F.stddev_samp, F.min, F.max)], F.avg(response), F.stddev_samp(response), F.count(F.lit(1))).first()
@@ -486,6 +512,8 @@ def fit_gp(data: DataFrame, response: str, predictors: list[str], k: int | None
     i, j = np.triu_indices(len(z), 1)
     bounds = lengthscale_bounds(np.hypot(*(z[i] - z[j]).T))
     kk, cc, capped = basis_spec(float(half.max()), bounds, max_basis=max_basis)
+    if capped and not k:
+        log.warning("the shortest length scale needs more than %d basis functions: capped at %d per axis", max_basis, kk)
     k, c = k or kk, c or cc
     if c <= 1 or k < 2:
         raise ValueError("the basis needs k >= 2 and c > 1")
@@ -495,41 +523,43 @@ def fit_gp(data: DataFrame, response: str, predictors: list[str], k: int | None
     def cross(frames):
         total = None
         for f in frames:
-            d = np.column_stack([_gp_design(f, predictors, info), f[response].to_numpy(float) - st[8]])
-            total = d.T @ d if total is None else total + d.T @ d
+            part = _gp_sums(f, predictors, response, st[8], info)
+            total = part if total is None else total + part
         if total is not None:
-            yield pd.DataFrame({"g": [total.ravel().tolist()]})
+            yield pd.DataFrame({"g": [total.tolist()]})
 
     parts = clean.select("x", "y", response, *predictors).mapInPandas(cross, "g array<double>")
-    flat = parts.select(F.posexplode("g")).groupBy("pos").agg(F.sum("col").alias("v")).toPandas().sort_values("pos")["v"].to_numpy()  # (k^2 + p + 1)^2 numbers
-    g = flat.reshape(p + m + 1, p + m + 1)
+    sums = parts.select(F.posexplode("g")).groupBy("pos").agg(F.sum("col").alias("v")).toPandas().sort_values("pos")["v"].to_numpy()  # (2 k + 1)^2 + (p + 1) k^2 + (p + 1)^2 numbers
     n, vy = st[10], (st[9] or 1.0) ** 2
     root = [np.arange(1, k + 1) * math.pi / (2 * L) for L in info["L"]]
     w2 = np.stack(np.meshgrid(root[0] ** 2, root[1] ** 2, indexing="ij"), -1).reshape(-1, 2)
 
-    def parts_at(t):
+    def parts_at(t, g):
         lx, ly, sf, s = np.exp(t)
+        s = math.sqrt(s**2 + 1e-8 * vy)
         prior = np.concatenate([np.full(p, 100 * vy), sf**2 * 2 * math.pi * lx * ly * np.exp(-0.5 * (lx**2 * w2[:, 0] + ly**2 * w2[:, 1])) + 1e-12 * vy])
-        a = g[:-1, :-1] / s**2 + np.diag(1 / prior)
-        chol = np.linalg.cholesky(a)
-        b = np.linalg.solve(chol, g[:-1, -1] / s**2)
-        like = -0.5 * (g[-1, -1] / s**2 - b @ b) - np.log(np.diag(chol)).sum() - 0.5 * np.log(prior).sum() - n * math.log(s)
+        a = g / s**2
+        a[np.diag_indices(len(a))] += np.append(1 / prior, 1.0)
+        whole = np.linalg.cholesky(a)  # its last row solves for the response, so no other factorisation is needed
+        chol, b = whole[:-1, :-1], whole[-1, :-1]
+        like = -0.5 * (whole[-1, -1] ** 2 - 1) - np.log(np.diag(chol)).sum() - 0.5 * np.log(prior).sum() - n * math.log(s)
         lo, hi = np.log(bounds)
         mid, wide = (lo + hi) / 2, (hi - lo) / 4 + 0.1
         return like - 0.5 * (((t[:2] - mid) / wide) ** 2).sum() - 0.5 * ((t[2:] - 0.5 * math.log(vy)) / 1.5) @ ((t[2:] - 0.5 * math.log(vy)) / 1.5), chol, b
 
     def chain(frames):
+        g = _gp_cross(sums, p, info)
         for f in frames:
             for number in f["id"]:
                 rng = np.random.default_rng([seed, int(number)])
                 start = np.array([np.log(bounds).mean()] * 2 + [0.5 * math.log(vy) - 0.5] * 2) + rng.normal(0, 0.3, 4)
-                t, cov = _mode(lambda v: parts_at(v)[0], start)
+                t, cov = _mode(lambda v: parts_at(v, g)[0], start)
                 chol_cov = np.linalg.cholesky(cov)
-                now, step, kept = parts_at(t), 1.2, []
+                now, step, kept = parts_at(t, g), 1.2, []
                 for it in range(iterations):
                     new = t + step * (chol_cov @ rng.normal(size=4))
                     try:
-                        got = parts_at(new)
+                        got = parts_at(new, g)
                     except np.linalg.LinAlgError:
                         got = (-np.inf, None, None)
                     ok = math.log(rng.random()) < got[0] - now[0]

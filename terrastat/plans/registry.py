@@ -228,7 +228,7 @@ def forest_oob(spark, sf_dir):
 
 
 def gp_fitted(spark, sf_dir):
-    return G.fit_gp(embedding_points(spark, sf_dir), "z", ["w1", "w2"], k=8, chains=4, iterations=800).fitted()
+    return G.fit_gp(embedding_points(spark, sf_dir), "z", ["w1", "w2"]).fitted()
 
 
 def voronoi_cells(spark, sf_dir):

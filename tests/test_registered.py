@@ -1,7 +1,13 @@
 """Registered queries do the whole job."""
 
+import inspect
+import logging
+
+import numpy as np
+import pandas as pd
 import pytest
 
+from terrastat.operators import models
 from terrastat.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -12,3 +18,29 @@ def test_voronoi_cells_of_all_customers(spark):
     places = {(r.x, r.y): r.row_id for r in registry.customer_points(spark, SF).orderBy("row_id", ascending=False).collect()}
     assert sorted(r.cell_id for r in rows) == sorted(places.values())
     assert sum(r.area for r in rows) == pytest.approx(1000 * 1009, abs=1e-3)
+
+
+def test_gp_basis_is_derived(spark, monkeypatch, caplog):
+    """The reference's cap and iterations, and no basis size of the query's own."""
+    given = {k: v.default for k, v in inspect.signature(models.fit_gp).parameters.items()}
+    assert (given["max_basis"], given["iterations"], given["k"]) == (2500, 2000, None)
+    p, seen = registry.embedding_points(spark, SF), []
+    real = models.fit_gp
+    monkeypatch.setattr(models, "fit_gp", lambda *a, **b: seen.append(b) or real(*a, max_basis=25, iterations=40, chains=2))
+    with caplog.at_level(logging.WARNING):
+        assert registry.gp_fitted(spark, SF).count() == p.count()
+    assert seen == [{}] and "capped at 5 per axis" in caplog.text
+
+
+def test_gp_cross_products_from_cosine_sums():
+    rng = np.random.default_rng(3)
+    f = pd.DataFrame(rng.normal(size=(200, 4)), columns=["x", "y", "w", "z"])
+    info = {"mean": np.array([0.1, -0.2]), "sd": np.array([1.1, 0.9]), "L": np.array([9.0, 7.5]), "k": 6}
+    d = np.column_stack([models._gp_design(f, ["w"], info), f["z"] - 0.3])
+    sums = sum(models._gp_sums(f[a:b], ["w"], "z", 0.3, info) for a, b in ((0, 120), (120, 200)))
+    assert np.allclose(models._gp_cross(sums, 2, info), d.T @ d, atol=1e-10)
+
+
+def test_mode_at_the_edge_of_the_support():
+    t, cov = models._mode(lambda v: -float(v @ v) if v[0] < 1e-4 else -np.inf, np.array([0.0, 0.1]))
+    assert np.isfinite(t).all() and np.isfinite(np.linalg.cholesky(cov)).all()
