@@ -22,7 +22,13 @@ _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-UNSEEN = frozenset("head script style template noscript noembed noframes iframe object audio video canvas svg math datalist title meta link param source".split())
+UNSEEN = frozenset("head script style template noscript noembed noframes iframe audio video canvas datalist title meta link param source".split())
+#: what is not drawn inside SVG and MathML
+FOREIGN = {"svg": frozenset("defs title desc metadata style script".split()), "math": frozenset("annotation annotation-xml".split())}
+#: elements of SVG and MathML whose content is HTML again; HTML elements that end SVG and MathML; texts placed apart
+HTML_AGAIN = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+APART = frozenset("text foreignobject mtd".split())
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr".split())
 BLOCK = MARGIN | frozenset("html body div section article aside header footer nav main address form li dt dd tr caption thead tbody tfoot td th details summary figcaption legend hgroup center dir menu option optgroup dialog search".split())
 #: a start tag closes these open elements, looking no further out than the given ones
@@ -42,10 +48,10 @@ SCOPE = frozenset("table td th caption html template object".split())
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids")
+    __slots__ = ("tag", "attrs", "kids", "within")
 
-    def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.kids = tag, attrs, []
+    def __init__(self, tag: str, attrs: str = "", within: str = ""):
+        self.tag, self.attrs, self.kids, self.within = tag, attrs, [], within  # within: svg or math for their elements
 
     def get(self, name: str) -> str | None:
         """An attribute's value, empty for one without; the first of the name counts."""
@@ -57,16 +63,31 @@ class Node:
         return None
 
 
+def _within(open_: list[Node]) -> str:
+    """Whether a child of the innermost element is one of svg, math or (empty) HTML."""
+    for node in reversed(open_):
+        if node.tag in ("svg", "math"):
+            return node.tag
+        if node.within and node.tag in HTML_AGAIN:
+            return ""
+    return ""
+
+
 def parse(html: str) -> Node:
     """The tree of a page; unknown and unmatched tags never lose text."""
     root = Node("#root")
-    open_, at, n = [root], 0, len(html)
+    open_, at, n, foreign = [root], 0, len(html), False  # foreign: some svg or math came before
 
     def close(upto: int) -> None:
         del open_[upto:]
 
     while at < n:
         m = _TOKEN.match(html, at)
+        if foreign and html.startswith("<![CDATA[", at) and _within(open_):
+            end = html.find("]]>", at)
+            open_[-1].kids.append(html[at + 9 : end if end >= 0 else n])
+            at = end + 3 if end >= 0 else n
+            continue
         if m is None:  # a tag that never ends
             open_[-1].kids.append(html[at:])
             break
@@ -89,6 +110,12 @@ def parse(html: str) -> Node:
                 if tag in ("p", "br"):
                     open_[-1].kids.append(Node(tag))
             continue
+        within = _within(open_) if foreign else ""
+        if within and tag in BREAKOUT:
+            while _within(open_):
+                open_.pop()
+            within = ""
+        foreign |= tag in ("svg", "math")
         if tag in IMPLIED:
             shut, stop = IMPLIED[tag]
             for i in range(len(open_) - 1, 0, -1):
@@ -110,8 +137,10 @@ def parse(html: str) -> Node:
                 if open_[i].tag == "head":
                     close(i)
                     break
-        node = Node(tag, m[3])
+        node = Node(tag, m[3], within or (tag if tag in ("svg", "math") else ""))
         open_[-1].kids.append(node)
+        if node.within and m[3].endswith("/"):
+            continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
             stop = end.start() if end else n
@@ -124,13 +153,15 @@ def parse(html: str) -> Node:
 
 def _shown(node: Node, visible: bool) -> bool | None:
     """None where the element is not displayed at all, else whether its own text is visible."""
-    if node.tag in UNSEEN:
+    if node.tag in UNSEEN or (node.within and node.tag in FOREIGN[node.within]):
         return None
     if not node.attrs:
         return None if node.tag == "dialog" else visible
     low = node.attrs.lower()
     if "hidden" in low and (node.get("hidden") is not None or (node.tag == "input" and node.get("type") == "hidden")):
         return None
+    if node.within == "svg" and (node.get("display") or "").strip().lower() == "none":
+        return None
     if node.tag == "dialog" and node.get("open") is None:
         return None
     if "style" in low:
@@ -141,6 +172,8 @@ def _shown(node: Node, visible: bool) -> bool | None:
             return False
         if "visibility:visible" in style:
             return True
+    if node.within == "svg" and "visibility" in low:
+        return {"hidden": False, "collapse": False, "visible": True}.get((node.get("visibility") or "").strip().lower(), visible)
     return visible
 
 
@@ -222,6 +255,10 @@ def _walk(node: Node, page: Page, visible: bool, pre: bool, level: int) -> None:
             summary = Node("div")
             summary.kids = [x for x in kid.kids if isinstance(x, Node) and x.tag == "summary"][:1]
             page.block(_lines(summary, shown, pre, level))
+        elif kid.within and tag in APART:
+            page.text(" ")
+            _walk(kid, page, shown, pre, level)
+            page.text(" ")
         elif tag in BLOCK:
             page.edge(tag in MARGIN)
             _walk(kid, page, shown, pre or tag == "pre", level)

@@ -324,3 +324,14 @@ def test_html_keeps_every_visible_word(spark):
     assert len(got) == 4 and [r.text for r in got if r.page_id != 1] == ["", "", ""]
     assert extract_text(d.limit(0)).count() == 0
     assert json.dumps([r.n_chars for r in got if r.page_id == 1])
+
+
+def test_html_formulas_drawings_and_objects():
+    assert visible_text("<p>a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> b</p>") == "a x=1 b"
+    assert visible_text("<math><semantics><mi>x</mi><annotation encoding='t'>no</annotation><annotation-xml>no</annotation-xml></semantics></math>y") == "xy"
+    assert visible_text("<svg><title>no</title><desc>no</desc><metadata>no</metadata><defs><text>no</text></defs><style>no</style><script>no</script><g><text>a</text><text>b</text></g></svg>") == "a b"
+    assert visible_text("<svg><defs/><title/><text>a<tspan>b</tspan></text><foreignObject><div>c</div></foreignObject></svg>d") == "ab\nc\nd"
+    assert visible_text("<svg><text display='none'>no</text><text visibility='hidden'>no</text><text><![CDATA[a<b]]></text></svg>") == "a<b"
+    assert visible_text("<svg><defs><p>out</p>") == "out"
+    assert visible_text("<object data='x'><param name='y'>instead</object>") == "instead"
+    assert visible_text("<defs>a</defs> <desc>b</desc> <annotation>c</annotation>") == "a b c"
