@@ -15,10 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_DEPTH = 200  # deeper elements become siblings, as browsers do at a depth of their own
+# attributes as in the states of HTML's tokeniser: a quote opens a string only directly after "=" and white space
+_VALUE = r"""\s*+=\s*+(?:"{0}[^"]*+{1}"|'{0}[^']*+{1}'|{0}[^\s>"'][^\s>]*+{1}|(?=>|\Z))"""
+_NAME = r"[^\s/>][^\s/>=]*+"
 _TOKEN = re.compile(
-    r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|([^<]+|<)""", re.S
+    rf"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_NAME}(?:{_VALUE.format("", "")}|(?!\s*+=)))*+)>|([^<]+|<)""", re.S
 )
-_ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_ATTR = re.compile(rf"({_NAME})(?:{_VALUE.format('(', ')')})?+")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -63,6 +66,11 @@ class Node:
         return None
 
 
+def _self_closing(attrs: str) -> bool:
+    """Whether a tag ends with a slash that is not of an unquoted value."""
+    return attrs.endswith("/") and max((m.end() for m in _ATTR.finditer(attrs)), default=0) < len(attrs)
+
+
 def _within(open_: list[Node]) -> str:
     """Whether a child of the innermost element is one of svg, math or (empty) HTML."""
     for node in reversed(open_):
@@ -139,7 +147,7 @@ def parse(html: str) -> Node:
                     break
         node = Node(tag, m[3], within or (tag if tag in ("svg", "math") else ""))
         open_[-1].kids.append(node)
-        if node.within and m[3].endswith("/"):
+        if node.within and _self_closing(m[3]):
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)

@@ -335,3 +335,12 @@ def test_html_formulas_drawings_and_objects():
     assert visible_text("<svg><defs><p>out</p>") == "out"
     assert visible_text("<object data='x'><param name='y'>instead</object>") == "instead"
     assert visible_text("<defs>a</defs> <desc>b</desc> <annotation>c</annotation>") == "a b c"
+
+
+def test_html_quotes_in_tags():
+    assert visible_text("<p title=it's>Hello there</p><p>don't go</p>tail") == "Hello there\n\ndon't go\n\ntail"
+    assert visible_text("""<p title=""x"">a</p>b<i title='>'c">d</i>""") == "a\n\nbd"
+    assert visible_text("""<p it's>a</p><b "x>b's</b> <i title = '>'>c</i><u title=>d</u>""") == "a\n\nb's cd"
+    assert visible_text("""<i a=b" hidden>no</i><i ='x' hidden>no</i><i a="b"hidden>no</i><i title="x hidden>y">a</i>""") == "a"
+    assert visible_text("<a href='x>never ends") == "<a href='x>never ends"
+    assert visible_text("<svg><g id=a/><text>b</text></g></svg>") == "b"
