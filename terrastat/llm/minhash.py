@@ -97,9 +97,9 @@ def odd_sketch(found: np.ndarray) -> np.ndarray:
 
 
 def most_differences(percent: int) -> int:
-    """Values in which the sketches of sets of that similarity differ at most, five standard deviations above the mean."""
+    """Values in which the sketches of sets of that similarity differ at most, seven standard deviations above the mean."""
     n, p = 2 * _PERMS, (1 - percent / 100) * 15 / 16
-    return int(np.ceil(n * p + 5 * np.sqrt(n * p * (1 - p))))
+    return int(np.ceil(n * p + 7 * np.sqrt(n * p * (1 - p))))
 
 
 def _differences(a, b):
@@ -178,7 +178,7 @@ def _candidates(live: DataFrame, some: DataFrame, percent: int, once: bool) -> D
     """``u, v``: pairs of ``some`` and ``live`` that share a bucket, are not connected yet and may be similar.
 
     Bounds settle most pairs inside the join: those of set sizes and odd sketches are exact, that of the
-    signature sketches errs once in three million pairs at the limit.  With ``once`` a pair comes from
+    signature sketches errs far less often than the bands miss a pair at the limit.  With ``once`` a pair comes from
     the first bucket that it shares alone.  What leaves the join is compared in full.
     """
     names = ["node", "label", "n_shingles", "bands", *_SKETCH]

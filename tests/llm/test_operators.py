@@ -344,3 +344,13 @@ def test_html_quotes_in_tags():
     assert visible_text("""<i a=b" hidden>no</i><i ='x' hidden>no</i><i a="b"hidden>no</i><i title="x hidden>y">a</i>""") == "a"
     assert visible_text("<a href='x>never ends") == "<a href='x>never ends"
     assert visible_text("<svg><g id=a/><text>b</text></g></svg>") == "b"
+
+
+def test_sketch_bound_adds_nothing_to_the_band_miss():
+    from math import comb
+
+    from terrastat.llm import minhash
+
+    n, p = minhash.BANDS * minhash.ROWS, 0.2 * 15 / 16
+    lost = sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(minhash.most_differences(80) + 1, n + 1))
+    assert lost < 1e-3 * (1 - 0.8**minhash.ROWS) ** minhash.BANDS
