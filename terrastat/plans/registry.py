@@ -224,7 +224,7 @@ def gwr_fit_local(spark, sf_dir):
 
 
 def forest_oob(spark, sf_dir):
-    return G.fit_forest(embedding_points(spark, sf_dir), "z", ["x", "y", "w1", "w2"], trees=40).fitted()
+    return G.fit_forest(embedding_points(spark, sf_dir), "z", ["x", "y", "w1", "w2"]).fitted()
 
 
 def gp_fitted(spark, sf_dir):
@@ -238,7 +238,7 @@ def voronoi_cells(spark, sf_dir):
 
 
 def kmeans_seeds(spark, sf_dir):
-    return T.kmeans_seeds(customer_points(spark, sf_dir), 8, starts=3)
+    return T.kmeans_seeds(customer_points(spark, sf_dir), 8)
 
 
 def forward_selection(spark, sf_dir):

@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from terrastat.operators import models
+from terrastat.operators import models, tessellate
 from terrastat.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -44,3 +44,25 @@ def test_gp_cross_products_from_cosine_sums():
 def test_mode_at_the_edge_of_the_support():
     t, cov = models._mode(lambda v: -float(v @ v) if v[0] < 1e-4 else -np.inf, np.array([0.0, 0.1]))
     assert np.isfinite(t).all() and np.isfinite(np.linalg.cholesky(cov)).all()
+
+
+def test_forest_and_kmeans_run_in_full(spark, monkeypatch):
+    """500 trees and 10 starts, the operators' defaults."""
+    used = {}
+
+    def noted(f):
+        def run(*a, **b):
+            given = inspect.signature(f).bind(*a, **b)
+            given.apply_defaults()
+            used.update(given.arguments)
+            return a[0] if f is tessellate_kmeans else models.OLSFit("OLS", "z", [], a[0], {})
+
+        return run
+
+    tessellate_kmeans = tessellate.kmeans_seeds
+    monkeypatch.setattr(models, "fit_forest", noted(models.fit_forest))
+    monkeypatch.setattr(tessellate, "kmeans_seeds", noted(tessellate_kmeans))
+    monkeypatch.setattr(models.OLSFit, "fitted", lambda self: self.data)
+    registry.forest_oob(spark, SF)
+    registry.kmeans_seeds(spark, SF)
+    assert (used["trees"], used["starts"]) == (500, 10)
