@@ -3,24 +3,31 @@
 A small tree builder supplies the end tags that HTML implies, visibility rules drop what a browser
 would not show, and a renderer lays out the rest: blocks on lines of their own with blank lines for
 margins, list items with marks and indentation, table cells padded to aligned columns.
+
+Work is linear in a page: where a tag can't end is remembered, open elements are found by name, and
+elements nested deeper than ``MAX_DEPTH`` keep their visibility but share the layout of that level.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 200  # deeper elements become siblings, as browsers do at a depth of their own
+MAX_DEPTH = 200  # levels with a layout of their own
+MAX_COLUMNS = 10_000  # columns of a table that spans may reach
 # attributes as in the states of HTML's tokeniser: a quote opens a string only directly after "=" and white space
-_VALUE = r"""\s*+=\s*+(?:"{0}[^"]*+{1}"|'{0}[^']*+{1}'|{0}[^\s>"'][^\s>]*+{1}|(?=>|\Z))"""
-_NAME = r"[^\s/>][^\s/>=]*+"
-_TOKEN = re.compile(
-    rf"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_NAME}(?:{_VALUE.format("", "")}|(?!\s*+=)))*+)>|([^<]+|<)""", re.S
-)
+_W = r"[ \t\n\r\f]"
+_VALUE = rf"""{_W}*+=(?:{_W}*+)(?:"{{0}}[^"]*+{{1}}"|'{{0}}[^']*+{{1}}'|{{0}}[^ \t\n\r\f>"'][^ \t\n\r\f>]*+{{1}}|(?=>|\Z))"""
+_NAME = r"[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+"
+_PART = rf"""(?:[ \t\n\r\f/]++|{_NAME}(?:{_VALUE.format("", "")}|(?!{_W}*+=)))"""
+_STEP, _ALL = re.compile(_PART), re.compile(rf"{_PART}*+>")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^ \t\n\r\f/>]*+)")
+_COMMENT = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?/][^>]*+(?:>|\Z)", re.S)  # the second form: bogus ones
 _ATTR = re.compile(rf"({_NAME})(?:{_VALUE.format('(', ')')})?+")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,10 +58,12 @@ SCOPE = frozenset("table td th caption html template object".split())
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "within")
+    __slots__ = ("tag", "attrs", "kids", "within", "inner", "state", "flat", "fold")
 
-    def __init__(self, tag: str, attrs: str = "", within: str = ""):
+    def __init__(self, tag: str, attrs: str = "", within: str = "", state: bool | None = True):
         self.tag, self.attrs, self.kids, self.within = tag, attrs, [], within  # within: svg or math for their elements
+        self.state = state  # None where the element is not displayed, else whether its own text is visible
+        self.inner, self.flat, self.fold = "", False, None
 
     def get(self, name: str) -> str | None:
         """An attribute's value, empty for one without; the first of the name counts."""
@@ -71,92 +80,181 @@ def _self_closing(attrs: str) -> bool:
     return attrs.endswith("/") and max((m.end() for m in _ATTR.finditer(attrs)), default=0) < len(attrs)
 
 
-def _within(open_: list[Node]) -> str:
-    """Whether a child of the innermost element is one of svg, math or (empty) HTML."""
-    for node in reversed(open_):
-        if node.tag in ("svg", "math"):
-            return node.tag
-        if node.within and node.tag in HTML_AGAIN:
-            return ""
-    return ""
-
+class _Ends:
+    """Ends of tags.  Once a tag turns out never to end, the places it passed are remembered, so that each is tried once."""
+
+    def __init__(self, html: str):
+        self.html, self.last, self.dead = html, html.rfind(">"), None
+
+    def find(self, at: int) -> int:
+        """The place of the > that ends the attributes which begin at ``at``; -1 if there is none."""
+        if at > self.last:
+            return -1
+        if self.dead is None:
+            m = _ALL.match(self.html, at)
+            if m:
+                return m.end() - 1
+            self.dead = set()
+        passed = []
+        while at not in self.dead:
+            passed.append(at)
+            m = _STEP.match(self.html, at)
+            if m is None:
+                if self.html.startswith(">", at):
+                    return at
+                break
+            at = m.end()
+        self.dead.update(passed)
+        return -1
+
+
+class _Tree:
+    """The open elements, from the root inwards, and where each name stands among them."""
 
-def parse(html: str) -> Node:
-    """The tree of a page; unknown and unmatched tags never lose text."""
-    root = Node("#root")
-    open_, at, n, foreign = [root], 0, len(html), False  # foreign: some svg or math came before
+    def __init__(self):
+        self.root = Node("#root")
+        self.open, self.where = [self.root], {}
+
+    def last(self, *tags: str) -> int:
+        """The place of the innermost open element of these names; 0 if none is open."""
+        return max((self.where[t][-1] for t in tags if self.where.get(t)), default=0)
+
+    def close(self, upto: int) -> None:
+        while len(self.open) > upto:
+            node = self.open.pop()
+            self.where[node.tag].pop()
+            if node.flat:
+                self._edge(node)
+
+    def _edge(self, node: Node) -> None:
+        """What is left of the layout of an element below MAX_DEPTH: its break or its gap."""
+        if node.state is not None and (node.tag in BLOCK or (node.within and node.tag in APART)):
+            node.kids.append(Node("div") if node.tag in BLOCK else " ")
+
+    def text(self, text: str) -> None:
+        at = self.open[-1]
+        if not at.flat:
+            at.kids.append(text)
+        elif at.state:
+            shown = Node("span")
+            shown.kids.append(text)
+            at.kids.append(shown)
+
+    def add(self, node: Node, stays: bool) -> None:
+        """A new element in the innermost one; it stays open unless it can hold nothing."""
+        top = self.open[-1]
+        outer = top.fold if node.tag == "summary" and top.fold is not None else top.state
+        node.state = None if outer is None else _shown(node, outer)
+        node.inner = node.tag if node.tag in FOREIGN else "" if node.within and node.tag in HTML_AGAIN else top.inner
+        if not stays:
+            top.kids.append(node)
+            return
+        if len(self.open) < MAX_DEPTH:
+            top.kids.append(node)
+        else:
+            node.flat, node.kids = True, top.kids
+            self._edge(node)
+            if node.tag == "details" and node.get("open") is None:
+                node.fold, node.state = node.state, None
+        self.where.setdefault(node.tag, []).append(len(self.open))
+        self.open.append(node)
+
+    def imply_ends(self, tag: str) -> None:
+        """Close what a start tag closes."""
+        if tag in IMPLIED:
+            shut, stop = IMPLIED[tag]
+            fence = self.last(*stop)
+            if tag in ("li", "td", "th", "option"):
+                at = self.last(*shut)
+            else:  # the outermost one inside the fence
+                inside = [w[bisect_right(w, fence)] for t in shut if (w := self.where.get(t)) and w[-1] > fence]
+                at = min(inside, default=0)
+            if at > fence:
+                self.close(at)
+        if tag in CLOSES_P and self.last("p") > self.last("button", *SCOPE):
+            self.close(self.last("p"))
+        if tag == "body" and self.last("head"):
+            self.close(self.last("head"))
+
+    def end(self, tag: str) -> None:
+        at = self.last(tag)
+        fence = 0 if tag in ("table", "template", "body", "html") else self.last("table", "template")
+        if at > fence or (at and at == fence):
+            self.close(at)
+        elif not fence and tag in ("p", "br"):
+            self.add(Node(tag), False)
 
-    def close(upto: int) -> None:
-        del open_[upto:]
 
+def parse(html: str) -> Node:
+    """The tree of a page; unknown and unmatched tags, and tags that never end, lose no text."""
+    tree, ends = _Tree(), _Ends(html)
+    at, n = 0, len(html)
     while at < n:
-        m = _TOKEN.match(html, at)
-        if foreign and html.startswith("<![CDATA[", at) and _within(open_):
-            end = html.find("]]>", at)
-            open_[-1].kids.append(html[at + 9 : end if end >= 0 else n])
-            at = end + 3 if end >= 0 else n
+        if html[at] != "<":
+            stop = html.find("<", at)
+            stop = n if stop < 0 else stop
+            text = html[at:stop]
+            tree.text(unescape(text) if "&" in text else text)
+            at = stop
             continue
-        if m is None:  # a tag that never ends
-            open_[-1].kids.append(html[at:])
-            break
-        at = m.end()
-        if m[4] is not None:
-            text = m[4]
-            open_[-1].kids.append(unescape(text) if "&" in text else text)
+        m = _TAG.match(html, at)
+        if m is None:
+            if tree.open[-1].inner and html.startswith("<![CDATA[", at):
+                stop = html.find("]]>", at)
+                tree.text(html[at + 9 : stop if stop >= 0 else n])
+                at = stop + 3 if stop >= 0 else n
+                continue
+            m = _COMMENT.match(html, at)
+            if m is None or m[0] == "</":
+                tree.text(html[at : at + 1])
+                at += 1
+            else:
+                at = m.end()
             continue
-        if m[2] is None:
+        begin, tag = m.end(), m[2].lower()
+        end = ends.find(begin)
+        if end < 0:  # a tag that never ends is text, and so are those that begin inside its name
+            if begin > ends.last and (begin := min((x for x in (html.find("<!", at), html.find("<?", at)) if x >= 0), default=n)) == n:
+                tree.text(unescape(html[at:]))
+                break
+            tree.text(html[at:begin])
+            at = begin
             continue
-        tag = m[2].lower()
+        at, attrs = end + 1, html[begin:end]
         if m[1]:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag == tag:
-                    close(i)
-                    break
-                if open_[i].tag in ("table", "template") and tag not in ("table", "template", "body", "html"):
-                    break
-            else:
-                if tag in ("p", "br"):
-                    open_[-1].kids.append(Node(tag))
+            tree.end(tag)
             continue
-        within = _within(open_) if foreign else ""
+        within = tree.open[-1].inner
         if within and tag in BREAKOUT:
-            while _within(open_):
-                open_.pop()
+            while tree.open[-1].inner:
+                tree.close(len(tree.open) - 1)
             within = ""
-        foreign |= tag in ("svg", "math")
-        if tag in IMPLIED:
-            shut, stop = IMPLIED[tag]
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag in stop:
-                    break
-                if open_[i].tag in shut:
-                    close(i)
-                    if tag in ("li", "td", "th", "option"):
-                        break
-        if tag in CLOSES_P:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag == "p":
-                    close(i)
-                    break
-                if open_[i].tag in SCOPE or open_[i].tag == "button":
-                    break
-        if tag == "body":
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag == "head":
-                    close(i)
-                    break
-        node = Node(tag, m[3], within or (tag if tag in ("svg", "math") else ""))
-        open_[-1].kids.append(node)
-        if node.within and _self_closing(m[3]):
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
-            stop = end.start() if end else n
+        tree.imply_ends(tag)
+        node = Node(tag, attrs, within or (tag if tag in FOREIGN else ""))
+        if node.within and _self_closing(attrs):
+            tree.add(node, False)
+        elif tag in RAW:
+            tree.add(node, False)
+            shut = _raw_end(tag).search(html, at)
+            stop = shut.start() if shut else n
             node.kids.append(unescape(html[at:stop]) if tag in ("textarea", "title") else html[at:stop])
-            at = html.find(">", stop) + 1 or n if end else n
-        elif tag not in VOID and not (m[3].endswith("/") and tag in ("path", "rect", "circle", "use")) and len(open_) < MAX_DEPTH:
-            open_.append(node)
-    return root
+            at = html.find(">", stop) + 1 or n if shut else n
+        else:
+            tree.add(node, tag not in VOID and not (attrs.endswith("/") and tag in ("path", "rect", "circle", "use")))
+    return tree.root
+
+
+def _raw_end(tag: str):
+    return re.compile(rf"</{tag}(?=[ \t\n\r\f/>])", re.I)
+
+
+def _style(text: str) -> dict[str, str]:
+    """Declarations of a style attribute, the last of a name counts."""
+    out = {}
+    for part in text.lower().split(";"):
+        name, _, value = part.partition(":")
+        out[name.strip()] = value.replace("!important", "").replace("! important", "").strip()
+    return out
 
 
 def _shown(node: Node, visible: bool) -> bool | None:
@@ -172,17 +270,13 @@ def _shown(node: Node, visible: bool) -> bool | None:
         return None
     if node.tag == "dialog" and node.get("open") is None:
         return None
+    sight = (node.get("visibility") or "").strip().lower() if node.within == "svg" and "visibility" in low else ""
     if "style" in low:
-        style = re.sub(r"\s", "", node.get("style") or "").lower()
-        if "display:none" in style:
+        style = _style(node.get("style") or "")
+        if style.get("display") == "none":
             return None
-        if "visibility:hidden" in style or "visibility:collapse" in style:
-            return False
-        if "visibility:visible" in style:
-            return True
-    if node.within == "svg" and "visibility" in low:
-        return {"hidden": False, "collapse": False, "visible": True}.get((node.get("visibility") or "").strip().lower(), visible)
-    return visible
+        sight = style.get("visibility") or sight
+    return {"hidden": False, "collapse": False, "visible": True}.get(sight, visible)
 
 
 class Page:
@@ -246,7 +340,7 @@ def _walk(node: Node, page: Page, visible: bool, pre: bool, level: int) -> None:
                     page.text(kid)
             continue
         tag = kid.tag
-        shown = _shown(kid, visible)
+        shown = kid.state
         if shown is None:
             continue
         if tag == "br":
@@ -275,20 +369,29 @@ def _walk(node: Node, page: Page, visible: bool, pre: bool, level: int) -> None:
             _walk(kid, page, shown, pre or tag in ("textarea", "xmp"), level)
 
 
+def _whole(text: str | None) -> int | None:
+    return int(text) if text and re.fullmatch(r"\s*[-+]?\d{1,9}\s*", text) else None
+
+
 def _list(node: Node, visible: bool, pre: bool, level: int) -> list[str]:
-    start = node.get("start") if node.tag == "ol" else None
-    n, out = int(start) if start and re.fullmatch(r"-?\d{1,9}", start) else 1, []
+    """Lines of a list.  Ordered items count from ``start`` (``reversed``: down to 1), ``value`` sets the count."""
+    ordered, step = node.tag == "ol", 1
+    n, out = (_whole(node.get("start")) if ordered else None), []
+    if ordered and node.get("reversed") is not None:
+        step, n = -1, n if n is not None else sum(isinstance(k, Node) and k.tag == "li" and k.state is not None for k in node.kids)
+    n = 1 if n is None else n
     loose = Node("div")
     for kid in [*node.kids, None]:
         if isinstance(kid, Node) and kid.tag == "li":
-            shown = _shown(kid, visible)
             out += [f"  {x}" for x in _lines(loose, visible, pre, level + 1)]
             loose = Node("div")
-            if shown is None:
+            if kid.state is None:
                 continue
-            mark = f"{n}. " if node.tag == "ol" else "* "
-            n += 1
-            lines = _lines(kid, shown, pre, level + 1)
+            value = _whole(kid.get("value")) if ordered else None
+            n = n if value is None else value
+            mark = f"{n}. " if ordered else "* "
+            n += step
+            lines = _lines(kid, kid.state, pre, level + 1)
             if lines:
                 out += [mark + lines[0], *[" " * len(mark) + x if x else x for x in lines[1:]]]
         elif kid is not None:
@@ -297,64 +400,77 @@ def _list(node: Node, visible: bool, pre: bool, level: int) -> list[str]:
 
 
 def _rows(node: Node, visible: bool):
-    """(row element, visible) of a table, those of nested tables left out; text between cells comes as rows of its own."""
+    """(row element, visible, whether the table has it as a row), those of nested tables left out; what stands
+    between rows comes as a row of its own."""
     for kid in node.kids:
         if isinstance(kid, str):
             if kid.strip():
                 stray = Node("tr")
-                stray.kids = [Node("td")]
+                stray.kids = [Node("td", state=visible)]
                 stray.kids[0].kids = [kid]
-                yield stray, visible
+                yield stray, visible, False
             continue
-        shown = _shown(kid, visible)
+        shown = kid.state
         if shown is None:
             continue
         if kid.tag in ("thead", "tbody", "tfoot"):
             yield from _rows(kid, shown)
         elif kid.tag == "tr":
-            yield kid, shown
+            yield kid, shown, True
         elif kid.tag not in ("col", "colgroup"):
             row = Node("tr")
             row.kids = [kid]
-            yield row, shown
+            yield row, shown, False
 
 
 def _table(node: Node, visible: bool, pre: bool, level: int) -> list[str]:
-    rows = []
-    for row, shown in _rows(node, visible):
-        cells = []
+    """Lines of a table: each cell begins at its column, what earlier rows' cells span is left free."""
+    rows, until, number = [], {}, 0  # until: the row before which a column is free again
+    for row, shown, real in _rows(node, visible):
+        cells, at = [], 0  # (column, columns, lines)
         for cell in row.kids:
             if isinstance(cell, str):
-                if cell.strip() and shown:
-                    cells.append([_SPACES.sub(" ", cell).strip(" ")])
-                continue
-            seen = _shown(cell, shown)
-            if seen is None:
+                if not (cell.strip() and shown):
+                    continue
+                lines, wide, high = [_SPACES.sub(" ", cell).strip(" ")], 1, 1
+            elif cell.state is None:
                 continue
-            if cell.tag in ("td", "th", "caption"):
-                lines = _lines(cell, seen, pre, level)
+            elif cell.tag in ("td", "th", "caption"):
+                lines = _lines(cell, cell.state, pre, level)
+                wide, high = _whole(cell.get("colspan")) or 1, _whole(cell.get("rowspan"))
+                high = 1 if high is None else high or 1 << 16
             else:
                 box = Node("div")
                 box.kids = [cell]
-                lines = _lines(box, shown, pre, level)
-            cells.append(lines)
-            span = cell.get("colspan")
-            if span and re.fullmatch(r"\d{1,3}", span):
-                cells += [[]] * (int(span) - 1)
-        if any(cells):
+                lines, wide, high = _lines(box, shown, pre, level), 1, 1
+            while until.get(at, 0) > number:
+                at += 1
+            wide = max(1, min(wide, MAX_COLUMNS - at))
+            if high > 1 and real and at < MAX_COLUMNS:
+                until.update(dict.fromkeys(range(at, at + wide), number + high))
+            cells.append((at, wide, lines))
+            at += wide
+        number += real
+        if any(lines for _, _, lines in cells):
             rows.append(cells)
-    width: list[int] = []
+    width: dict[int, int] = {}
     for cells in rows:
-        if len(cells) > 1:
-            width += [0] * (len(cells) - len(width))
-            for k, lines in enumerate(cells):
-                if k + 1 == len(cells) or cells[k + 1]:  # what spans columns doesn't widen its first
-                    width[k] = max([width[k], *map(len, lines)])
+        if len(cells) > 1 or cells[0][0]:  # a lone cell does not widen the columns below it
+            for at, wide, lines in cells:
+                if wide == 1:  # nor what spans columns its first
+                    width[at] = max([width.get(at, 0), *map(len, lines)])
+    begin, place = {}, 0
+    for at in range(max((cells[-1][0] for cells in rows), default=-1) + 1):
+        begin[at] = place
+        place += width[at] + 2 if width.get(at) else 0
     out = []
     for cells in rows:
-        for i in range(max(map(len, cells))):
-            line = [lines[i] if i < len(lines) else "" for lines in cells]
-            out.append("  ".join(x.ljust(width[k]) if k < len(width) else x for k, x in enumerate(line)).rstrip(" "))
+        for i in range(max(len(lines) for _, _, lines in cells)):
+            line = ""
+            for at, _, lines in cells:
+                if i < len(lines) and lines[i]:
+                    line = (line + "  " if line else "").ljust(begin[at]) + lines[i]
+            out.append(line.rstrip(" "))
     return out
 
 
@@ -369,7 +485,7 @@ def extract_text(df: DataFrame, id_col: str = "page_id", html_col: str = "html")
     """One row per input row: ``page_id, n_chars, text``.
 
     Null and empty pages give an empty text; rows that repeat give one row each; null ids stay null.
-    Nesting beyond ``MAX_DEPTH`` is flattened without losing text.  Other columns are ignored,
+    Nesting beyond ``MAX_DEPTH`` is flattened: it loses its layout, neither text nor visibility.  Other columns are ignored,
     whatever their names; an empty table gives no rows.
     """
 

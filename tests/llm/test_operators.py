@@ -354,3 +354,88 @@ def test_sketch_bound_adds_nothing_to_the_band_miss():
     n, p = minhash.BANDS * minhash.ROWS, 0.2 * 15 / 16
     lost = sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(minhash.most_differences(80) + 1, n + 1))
     assert lost < 1e-3 * (1 - 0.8**minhash.ROWS) ** minhash.BANDS
+
+
+def test_html_comments_that_end_at_once():
+    assert visible_text("<p>a</p><!--><p>b</p>") == "a\n\nb"
+    assert visible_text("a<!--->b<!-- x -->c<!--x--!>d</>e</ no>f") == "abcdef"
+
+
+def test_html_visibility_below_the_layout_depth():
+    deep = "<div>" * 250
+    assert visible_text(deep + "<p style='display:none'>secret</p>vis") == "vis"
+    assert visible_text(deep + "<p hidden>no<p>yes</div>after") == "yes\nafter"
+    assert visible_text("<div style='visibility:hidden'>" + "<i>" * 300 + "no<i style='visibility:visible'>ok") == "ok"
+    assert visible_text("<i>" * 300 + "<details><summary>s</summary>no</details>z") == "s\nz"
+    assert visible_text("<ul><li>" * 300 + "<b hidden>x</b>y<table><tr><td>p<td>q").split()[-3:] == ["y", "p", "q"]
+    assert visible_text("<b style='x-display:none'>a</b><b style='display : none ! important'>no</b>") == "a"
+
+
+def test_html_tables_and_list_values():
+    assert visible_text("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>") == "a  b\n   c\nd  e"
+    assert visible_text("<table><tr><th colspan=2>long head<th>x<tr><td>1<td>2<td>3</table>") == "long head  x\n1  2  3"
+    assert visible_text("<table><tr><td>long<td><td>x<tr><td>a<td>b<td>c</table>") == "long     x\na     b  c"
+    assert visible_text("<ol><li>a<li value=7>b<li>c</ol>") == "1. a\n7. b\n8. c"
+    assert visible_text("<ol reversed><li>a<li hidden>no<li>b</ol><ol start=-2><li>c</ol>") == "2. a\n1. b\n\n-2. c"
+
+
+@pytest.mark.parametrize("part", ["<a '", "<a x ", "<a b='", "<a b=\"' ", "<a", "<p>", "</b>", "<li>", "<svg><b>", "<table><tr><td>", "<ul><li>", "<!", "<p hidden>"])
+def test_html_hostile_pages_take_linear_time(part):
+    from time import process_time
+
+    def seconds(n):
+        began = process_time()
+        visible_text(part * n + ' b=">')
+        return process_time() - began
+
+    n = 200_000 // len(part)
+    assert seconds(4 * n) < 12 * max(seconds(n), 0.02)
+
+
+def independent_words(html):
+    """Visible words of a well-formed page by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    void = set("area base br col embed hr img input link meta param source track wbr".split())
+    skip = set("head script style template noscript noembed noframes iframe audio video canvas datalist title".split())
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.open, self.words = [], []
+
+        def handle_starttag(self, tag, attrs):
+            a = dict(attrs)
+            gone = tag in skip or "hidden" in a or "display:none" in (a.get("style") or "").replace(" ", "") or (tag == "dialog" and "open" not in a)
+            if tag not in void:
+                self.open.append((tag, gone))
+
+        def handle_endtag(self, tag):
+            at = [i for i, (t, _) in enumerate(self.open) if t == tag]
+            if at:
+                del self.open[at[-1] :]
+
+        def handle_data(self, data):
+            if not any(g for _, g in self.open):
+                self.words += re.findall(r"\w+", data)
+
+    r = Reader()
+    r.feed(html)
+    r.close()
+    return sorted(r.words)
+
+
+def test_html_words_equal_an_independent_parser_on_all_pages(spark):
+    for row in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        marks = len(re.findall(r"(?m)^\s*\d+\. ", visible_text(row.html)))
+        got = re.findall(r"\w+", visible_text(row.html))
+        want = independent_words(row.html or "")
+        assert marks or "".join(sorted("".join(got))) == "".join(sorted("".join(want))), row.page_id
+
+
+def test_html_query_keeps_odd_rows(spark):
+    long = "<p>" + "word " * 200_000
+    rows = [(1, "u", long), (1, "u", long), (None, None, None), (2, "u", "")]
+    d = spark.createDataFrame([(*r, "c", 7) for r in rows], "page_id long, url string, html string, text string, n_chars int")
+    got = sorted((r.page_id or 0, r.n_chars, len(r.text)) for r in extract_text(d).collect())
+    assert got == [(0, 0, 0), (1, 999_999, 999_999), (1, 999_999, 999_999), (2, 0, 0)]
