@@ -1,9 +1,9 @@
 """Exact deduplication by progressive refinement [native].
 
-Rows are split by length, then by a hash of a short prefix, and only rows whose (length, prefix
-hash) is shared reach the comparison of full hashes.  All joins and aggregates are on narrow keys:
-no text is ever shuffled when every digest is wanted, and hot groups are pre-aggregated before the
-shuffle and joined back by a join that AQE may split.
+Rows are grouped by length; rows whose length is shared, by the hash of a short prefix; rows that share
+both, by full hash.  Texts are read once where every digest is wanted (narrow rows are written and
+refined), and once more, by the last survivors alone, where not.  No text is shuffled; hot groups are
+aggregated before the shuffle and joined back by joins that AQE may split.
 """
 
 from __future__ import annotations
@@ -34,21 +34,20 @@ def exact_dedup(
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     full = F.sha2(lower_ascii(F.col("__text")).cast("binary"), 256)
-    rows = df.select(
-        F.col(id_col).alias("doc_id"),
-        text.alias("__text"),
-        F.char_length(text).alias("__len"),
-        F.xxhash64(lower_ascii(F.substring(text, 1, prefix_chars))).alias("__pre"),
-    )
-    # levels 1 and 2: sizes by length, then by prefix hash inside the lengths that are shared
-    by_prefix = rows.groupBy("__len", "__pre").agg(F.count(F.lit(1)).alias("__n"))
+    rows = df.select(F.col(id_col).alias("doc_id"), text.alias("__text"), F.char_length(text).alias("__len"), F.substring(text, 1, prefix_chars).alias("__head"))
+    narrow = rows.withColumn("__sha", full) if digest_all else rows
+    narrow = materialise(narrow.drop("__text"), "dedup-rows")
+    prefix = F.xxhash64(lower_ascii(F.col("__head")))
+    # level 1: lengths; level 2: prefixes of the rows whose length is shared
+    lengths = materialise(narrow.groupBy("__len").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__len"), "shared-lengths")
+    by_prefix = narrow.join(lengths, "__len", "left_semi").groupBy("__len", prefix.alias("__pre")).agg(F.count(F.lit(1)).alias("__n"))
     shared = by_prefix.where("__n > 1").select("__len", "__pre", F.lit(True).alias("__shared"))
+    if not digest_all:
+        narrow = rows
+    met = narrow.withColumn("__pre", prefix).drop("__head").join(shared, ["__len", "__pre"], "left")
     if digest_all:
-        rows = rows.withColumn("__sha", full).drop("__text")
-        met = rows.join(shared, ["__len", "__pre"], "left")
         met = met.withColumn("__full", F.when(F.col("__shared"), F.col("__sha")))
     else:
-        met = rows.join(shared, ["__len", "__pre"], "left")
         met = met.withColumn("__full", F.when(F.col("__shared"), full)).withColumn("__sha", F.col("__full")).drop("__text")
     # level 3: the full hash, for survivors only
     groups = (

@@ -4,7 +4,8 @@ Every source is given a target number of words; a document joins the mix when it
 its source's threshold.  The threshold is found without sorting documents: words are summed by
 (source, hash bucket), the bucket in which the budget runs out is located, and only that bucket is
 summed again at a finer level.  Whole repeats come first, so a document is taken at most
-``max_repeat`` times.
+``max_repeat`` times.  Where copies of one row share the last bucket, which no hash can split, they are
+counted off by their places in the written rows.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from .shared import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
-LEVELS, DIGITS = 3, 3
+LEVELS, DIGITS = 3, 4
 
 
 def source_targets(sizes: DataFrame, weights=(5, 2, 1), max_repeat: int = 3) -> DataFrame:
@@ -25,7 +26,8 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), max_repeat: int = 3) ->
 
     Sources in code-point order get the weights in turn.  Targets are min(cap, level * weight) with
     the level at which they sum to all words (water filling): the limit of resharing the excess of
-    capped sources by weight.  The table has a row per source, so its global windows stay small.
+    capped sources by weight.  The table has a row per source, and its global windows one task: made for
+    up to some millions of sources.
     """
     by = sizes.groupBy("__source").agg(F.sum("size").alias("source_size"))
     order = Window.orderBy(F.col("__source").asc_nulls_last())
@@ -58,23 +60,26 @@ def mix_sources(
     weights=(5, 2, 1),
     max_repeat: int = 3,
 ) -> DataFrame:
-    """One row per input row: ``doc_id, source, size, source_size, target, repeats, taken``.
+    """One row per input row: ``doc_id, source, size, source_size, target, repeats, taken, text_hash``.
 
     ``size`` counts the words of the text (null: 0), ``repeats`` how often the mix takes the row and
     ``taken = size * repeats`` at most ``max_repeat`` sizes.  A source's taken words differ from its
     target by half of one finest bucket at most, that is about one document.
 
-    Null sources form one source, the last.  The hash is that of the id (null: empty string), so
-    reruns agree and rows that repeat an id are taken together.  Empty texts have size 0, change no
-    sum and follow their hash.  A source without words has target 0 and repeats 0.  Other columns
-    are ignored, whatever their names; an empty table gives an empty result.
+    Null sources form one source, the last.  The hash is that of id and text (null: empty strings), so
+    reruns agree.  Rows that repeat both are alike: where the words run out among them, so many of
+    them are taken as come nearest, whichever.  Empty texts have size 0, change no sum and follow
+    their hash.  A source without words has target 0 and repeats 0.  Other columns are ignored,
+    whatever their names; an empty table gives an empty result.
     """
-    h = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    h = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text_col), F.lit(""))).cast("binary"))
     rows = materialise(
         df.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("__source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            F.xxhash64(text_col).alias("text_hash"),
+            F.monotonically_increasing_id().alias("__at"),
             *[F.substring(h, 1 + DIGITS * k, DIGITS).alias(f"__h{k}") for k in range(LEVELS)],
         ),
         "mix-sizes",
@@ -90,30 +95,38 @@ def mix_sources(
             reduce(lambda a, j: a & (F.col(f"__h{j}") == F.col(f"__b{j}")), range(k), F.col("__source").eqNullSafe(F.col("__s"))),
             "left_semi",
         ) if k else rows
-        hist = inside.groupBy("__source", f"__h{k}").agg(F.sum("size").alias("__n"))
+        hist = inside.groupBy("__source", f"__h{k}").agg(F.sum("size").alias("__n"), F.count(F.lit(1)).alias("__m"))
         run = Window.partitionBy("__source").orderBy(f"__h{k}")
-        hist = hist.select(F.col("__source").alias("__s"), f"__h{k}", "__n", F.sum("__n").over(run).alias("__cum"))
+        hist = hist.select(F.col("__source").alias("__s"), f"__h{k}", "__n", "__m", F.sum("__n").over(run).alias("__cum"))
         at = (
             bound.select("__source", "__left")
             .join(hist, F.col("__source").eqNullSafe(F.col("__s")))
             .where(F.col("__cum") > F.col("__left"))
             .groupBy("__source")
-            .agg(F.min(F.struct(f"__h{k}", F.col("__cum") - F.col("__n"), "__n")).alias("__m"))
-            .select(F.col("__source").alias("__s"), F.col(f"__m.__h{k}").alias(f"__b{k}"), F.col("__m.col2").alias("__before"), F.col("__m.__n").alias("__n"))
+            .agg(F.min(F.struct(f"__h{k}", (F.col("__cum") - F.col("__n")).alias("before"), "__n", "__m")).alias("__e"))
+            .select(F.col("__source").alias("__s"), F.col(f"__e.__h{k}").alias(f"__b{k}"), F.col("__e.before").alias("__before"), F.col("__e.__n").alias("__n"), F.col("__e.__m").alias("__m"))
         )
         bound = bound.join(at, F.col("__source").eqNullSafe(F.col("__s")), "left").withColumn(
             "__left", F.col("__left") - F.coalesce("__before", F.lit(0))
         )
         if k == LEVELS - 1:
-            bound = bound.withColumn("__edge", F.coalesce(F.col("__left") * 2 >= F.col("__n"), F.lit(False)))
+            # rows of the last bucket to take: those whose words come nearest to the words left
+            bound = bound.withColumn("__take", F.floor(F.col("__left") * F.col("__m") / F.col("__n") + 0.5))
+            bound = bound.withColumn("__all", F.coalesce(F.col("__take") >= F.col("__m"), F.lit(False)))
+        else:
+            bound = bound.drop("__m")
         bound = bound.drop("__s", "__before", "__n")
         bound = materialise(bound, f"mix-level{k}")
     bound = bound.withColumnRenamed("__source", "__s")
     h_all = F.concat(*[F.col(f"__h{k}") for k in range(LEVELS)])
     b_all = F.concat(*[F.col(f"__b{k}") for k in range(LEVELS)])
     # a source whose words never run out has no bucket; it then wants less than nothing more
-    extra = F.when(h_all < b_all, 1).when((h_all == b_all) & F.col("__edge"), 1).otherwise(0)
     out = rows.join(bound, F.col("__source").eqNullSafe(F.col("__s")), "left")
+    chosen = F.lit(False)
+    if bound.where("__take > 0 and __take < __m").limit(1).count():
+        out = out.join(_first_copies(rows, bound, b_all, h_all), "__at", "left")
+        chosen = F.coalesce("__chosen", F.lit(False))
+    extra = F.when(h_all < b_all, 1).when((h_all == b_all) & (F.col("__all") | chosen), 1).otherwise(0)
     repeats = F.least(F.col("__base") + extra, F.lit(max_repeat)).cast("long")
     return out.select(
         "doc_id",
@@ -123,4 +136,18 @@ def mix_sources(
         "target",
         repeats.alias("repeats"),
         (F.col("size") * repeats).alias("taken"),
+        "text_hash",
     )
+
+
+def _first_copies(rows: DataFrame, bound: DataFrame, b_all, h_all) -> DataFrame:
+    """``__at, __chosen``: the first ``__take`` rows of each source's last bucket, counted off by partition, so that
+    no task sees all of them."""
+    part = F.shiftright("__at", 33)
+    inside = rows.join(bound.where("__take > 0 and __take < __m"), F.col("__source").eqNullSafe(F.col("__s"))).where(h_all == b_all)
+    inside = inside.select("__s", part.alias("__part"), "__at", "__take")
+    before = Window.partitionBy("__s").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = inside.groupBy("__s", "__part").agg(F.count(F.lit(1)).alias("n")).select(F.col("__s").alias("__t"), F.col("__part").alias("__p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    ranked = inside.withColumn("__rank", F.row_number().over(Window.partitionBy("__s", "__part").orderBy("__at")))
+    met = ranked.join(counts, F.col("__s").eqNullSafe(F.col("__t")) & (F.col("__part") == F.col("__p")))
+    return met.where("__before + __rank <= __take").select("__at", F.lit(True).alias("__chosen"))

@@ -3,7 +3,7 @@
 OP2 = r"""
 with sized as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-         substr(md5(coalesce(doc_id::varchar, '')), 1, 9) as h
+         substr(md5(coalesce(doc_id::varchar, '') || ':' || coalesce(text, '')), 1, 12) as h
   from documents),
 src as (select source, sum(size)::bigint as source_size from sized group by source),
 w as (select *, [5, 2, 1][(((row_number() over (order by source nulls last)) - 1) % 3 + 1)::int] as wt, 3 * source_size as cap from src),
@@ -16,15 +16,16 @@ top as (select max(lam) as lam from lv where lam * wt <= cap),
 t as (select source, source_size, least(cap::double, top.lam * wt) as target from lv, top),
 b as (select *, case when source_size > 0 then least(floor(target / source_size), 3) else 0 end::bigint as base from t),
 lft as (select *, target - base * source_size as want from b),
-g as (select source, h, sum(size)::bigint as n from sized group by all),
+g as (select source, h, sum(size)::bigint as n, count(*) as m from sized group by all),
+r as (select *, row_number() over (partition by source, h) as rk from sized),
 c as (select *, sum(n) over (partition by source order by h) as cum from g),
 edge as (select l.source, min(c.h) as h from lft l join c on l.source is not distinct from c.source where c.cum > l.want group by l.source),
-e as (select edge.source, edge.h, (l.want - (c.cum - c.n)) * 2 >= c.n as take
+e as (select edge.source, edge.h, floor((l.want - (c.cum - c.n)) * c.m / c.n + 0.5) as take
       from edge join c on edge.source is not distinct from c.source and edge.h = c.h
       join lft l on l.source is not distinct from edge.source)
 select s.doc_id, s.size, l.source_size, l.target,
-       (s.size * least(l.base + case when s.h < e.h or (s.h = e.h and e.take) then 1 else 0 end, 3))::bigint as taken
-from sized s join lft l on s.source is not distinct from l.source
+       (s.size * least(l.base + case when s.h < e.h or (s.h = e.h and s.rk <= e.take) then 1 else 0 end, 3))::bigint as taken
+from r s join lft l on s.source is not distinct from l.source
 left join e on s.source is not distinct from e.source
 """
 

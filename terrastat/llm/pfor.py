@@ -26,11 +26,13 @@ _HEAD, _FOOT = struct.Struct("<IBBHH"), struct.Struct("<QQQQII")
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system and path of a uri; plain paths and file: are local."""
-    if "://" in uri and not uri.startswith("file:"):
+    """The file system and path of a uri; file: is local, s3a: and s3n: are Hadoop's names of s3:."""
+    scheme, _, rest = uri.partition(":")
+    if scheme in ("s3a", "s3n"):
+        uri = "s3:" + rest
+    if "://" in uri and scheme != "file":
         return pafs.FileSystem.from_uri(uri)
-    path = uri.removeprefix("file:")
-    return pafs.LocalFileSystem(), "/" + path.lstrip("/")
+    return pafs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
 
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
@@ -109,15 +111,8 @@ def read_documents(uri: str, most_blocks: int = 1024):
     """(doc ids, token counts, ids of all of them) for consecutive runs of a file's documents."""
     fs, path = file_system(uri)
     with fs.open_input_file(path) as f:
-        size = f.size()
-        foot = f.read_at(_FOOT.size + len(MAGIC), size - _FOOT.size - len(MAGIC))
-        at, n_docs, n_blocks, n_ids, block, crc = _FOOT.unpack_from(foot)
-        index = f.read_at(size - _FOOT.size - len(MAGIC) - at, at)
-        if foot[-len(MAGIC):] != MAGIC or zlib.crc32(index) != crc:
-            raise ValueError(f"{uri}: damaged token file")
-        has, ids = np.frombuffer(index, "u1", n_docs), np.frombuffer(index, "<i8", n_docs, n_docs)
-        counts = np.frombuffer(index, "<u4", n_docs, 9 * n_docs).astype(np.int64)
-        starts = np.frombuffer(index, "<u8", n_blocks + 1, 13 * n_docs).astype(np.int64)
+        has, ids, counts, starts, _ = _index(f, uri)
+        n_blocks = len(starts) - 1
         doc, rest = 0, np.zeros(0, np.uint32)
         for a in range(0, max(n_blocks, 1), most_blocks):
             b = min(a + most_blocks, n_blocks)
@@ -132,11 +127,38 @@ def read_documents(uri: str, most_blocks: int = 1024):
                 doc, rest = doc + n, rest[used:]
 
 
+def read_slice(uri: str, first: int, last: int):
+    """(doc ids, token counts, ids) of documents ``first`` to ``last`` - 1 of a file: the block index tells where
+    they begin, and only their blocks are read."""
+    fs, path = file_system(uri)
+    with fs.open_input_file(path) as f:
+        has, ids, counts, starts, block = _index(f, uri)
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        first, last = max(0, first), min(last, len(counts))
+        if first >= last:
+            return [], counts[:0], np.zeros(0, np.uint32)
+        a, b = int(ends[first]) // block, -(-int(ends[last]) // block)
+        raw = memoryview(f.read_at(int(starts[b] - starts[a]), int(starts[a])))
+        got = np.concatenate([np.zeros(0, np.uint32), *[decode_block(raw[starts[i] - starts[a] : starts[i + 1] - starts[a]]) for i in range(a, b)]])
+        skip = int(ends[first]) - a * block
+        return [int(x) if h else None for x, h in zip(ids[first:last], has[first:last], strict=True)], counts[first:last], got[skip : skip + int(ends[last] - ends[first])]
+
+
+def _index(f, uri: str):
+    """(has id, ids, token counts, block starts, block size) from a file's footer."""
+    size = f.size()
+    foot = f.read_at(_FOOT.size + len(MAGIC), size - _FOOT.size - len(MAGIC))
+    at, n_docs, n_blocks, _, block, crc = _FOOT.unpack_from(foot)
+    index = f.read_at(size - _FOOT.size - len(MAGIC) - at, at)
+    if foot[-len(MAGIC):] != MAGIC or zlib.crc32(index) != crc:
+        raise ValueError(f"{uri}: damaged token file")
+    counts = np.frombuffer(index, "<u4", n_docs, 9 * n_docs).astype(np.int64)
+    starts = np.frombuffer(index, "<u8", n_blocks + 1, 13 * n_docs).astype(np.int64)
+    return np.frombuffer(index, "u1", n_docs), np.frombuffer(index, "<i8", n_docs, n_docs), counts, starts, block
+
+
 def count_ids(uri: str) -> int:
     """Ids in a file, from its footer."""
     fs, path = file_system(uri)
     with fs.open_input_file(path) as f:
         return _FOOT.unpack_from(f.read_at(_FOOT.size, f.size() - _FOOT.size - len(MAGIC)))[3]
-
-
-

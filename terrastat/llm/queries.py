@@ -57,7 +57,7 @@ def op5_decontaminate(spark, sf_dir):
 def op6_warc(spark, sf_dir):
     captures = archive_pages(table(spark, sf_dir, "pages"), with_payload=False)
     rec = F.col("response")
-    key = lambda name: rec["headers"][name].cast("long")
+    key = lambda name: F.element_at(rec["headers"], name).try_cast("long")
     return captures.select(
         key("X-Capture-Key").alias("page_id"),
         rec["payload_bytes"].alias("payload_bytes"),

@@ -16,13 +16,15 @@ _scratch: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share, with its scheme: spark.checkpoint.dir; where that is unset the
+    warehouse, or in a local session, which has one machine only, a temporary folder."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="terrastat-")
-        spark.sparkContext.setCheckpointDir(root)
-        root = spark.sparkContext.getCheckpointDir()
-    return root.rstrip("/")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="terrastat-") if sc.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir"))
+        root = sc.getCheckpointDir()
+    path = sc._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -47,8 +49,8 @@ def _remove_scratch() -> None:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may be gone, and with it the cluster's folder
-            return
+        except Exception:  # noqa: S112  the session may be gone, and with it the cluster's folder
+            continue
 
 
 def lower_ascii(text: Column) -> Column:

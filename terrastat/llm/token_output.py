@@ -159,7 +159,7 @@ def write_token_files(df: DataFrame, folder: str, tokenizer_path: str, id_col="d
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "n_docs": [n_docs], "n_ids": [writer.n_ids]})
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    dealt = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     files = materialise(dealt.mapInArrow(run, "part long, path string, n_docs long, n_ids long"), "token-manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return files.select("part", "path", "n_docs", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"))
@@ -196,8 +196,8 @@ def token_output(df: DataFrame, tokenizer_path: str, folder: str | None = None,
     ``end_id``; ``start`` counts the ids of all rows before in ascending id order.
 
     Null texts count as empty and give the end id alone.  Null ids come first.  Rows that repeat an
-    id stand side by side, ordered by a hash of their texts, each with its own start.  Other columns
-    are ignored, whatever their names; an empty table writes no file and gives no rows.
+    id stand side by side, ordered by a hash of their texts, each with its own start; an id with many
+    texts may spread over several files.  Other columns are ignored, whatever their names; an empty table writes no file and gives no rows.
     """
     folder = folder or scratch_path(df.sparkSession, "tokens")
     return read_token_files(write_token_files(df, folder, tokenizer_path, id_col, text_col, end_id))

@@ -51,24 +51,25 @@ def _write(folder):
         part = TaskContext.get().partitionId()
         path, out, n = f"{folder}/part-{part:06d}.warc.gz", None, 0
         for batch in batches:
-            for key, uri, payload, digest, first in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
+            for key, uri, payload, digest, first, single in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True):
                 if out is None:
                     fs, local = file_system(path)
                     fs.create_dir(local.rpartition("/")[0], recursive=True)
                     tmp = f"{local}.{uuid.uuid4().hex}.tmp"
                     out = fs.open_output_stream(tmp)
                     out.write(_record("warcinfo", record_id("warcinfo", path), b"format: WARC File Format 1.1\r\n", {"Content-Type": "application/warc-fields"}))
-                me, uri = f"{key}", _one_line(uri)
-                main = record_id("main", me)
+                uri, here = _one_line(uri), f"{path}#{n}"
+                # what others refer to is named by its content, all else by its place: ids that repeat or are null name no record twice
+                main = record_id("main", f"{key}:{digest}" if single and first is None else here)
                 host = (uri or "").split("://")[-1].split("/")[0]
                 http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-                shared = {"WARC-Target-URI": uri, "WARC-Payload-Digest": f"sha1:{digest}", "Content-Type": "application/http; msgtype=response", "X-Capture-Key": me}
+                shared = {"WARC-Target-URI": uri, "WARC-Payload-Digest": f"sha1:{digest}", "Content-Type": "application/http; msgtype=response", "X-Capture-Key": None if key is None else str(key)}
                 if first is None:
                     out.write(_record("response", main, http + payload, shared))
                 else:
-                    out.write(_record("revisit", main, http, shared | {"WARC-Profile": PROFILE, "WARC-Refers-To": f"<{record_id('main', str(first))}>", "X-Refers-To-Key": str(first)}))
-                out.write(_record("request", record_id("request", me), f"GET {uri or '/'} HTTP/1.1\r\nHost: {host}\r\n\r\n".encode(), {"WARC-Target-URI": uri, "WARC-Concurrent-To": f"<{main}>", "Content-Type": "application/http; msgtype=request"}))
-                out.write(_record("metadata", record_id("metadata", me), f"captureKey: {me}\r\n".encode(), {"WARC-Target-URI": uri, "WARC-Concurrent-To": f"<{main}>", "Content-Type": "application/warc-fields"}))
+                    out.write(_record("revisit", main, http, shared | {"WARC-Profile": PROFILE, "WARC-Refers-To": f"<{record_id('main', f'{first}:{digest}')}>" if single else None, "X-Refers-To-Key": str(first)}))
+                out.write(_record("request", record_id("request", here), f"GET {uri or '/'} HTTP/1.1\r\nHost: {host}\r\n\r\n".encode(), {"WARC-Target-URI": uri, "WARC-Concurrent-To": f"<{main}>", "Content-Type": "application/http; msgtype=request"}))
+                out.write(_record("metadata", record_id("metadata", here), (b"" if key is None else f"captureKey: {key}\r\n".encode()), {"WARC-Target-URI": uri, "WARC-Concurrent-To": f"<{main}>", "Content-Type": "application/warc-fields"}))
                 n += 1
         if out is not None:
             out.close()
@@ -82,19 +83,22 @@ def write_archives(df: DataFrame, folder: str, id_col="page_id", url_col="url",
     """Write a capture per row; the manifest (``path, captures``).
 
     Of rows with equal payloads of at least ``least_bytes`` bytes, the one with the least id becomes
-    a response and the others revisit it.  Null payloads are empty; null urls leave the target out;
-    a null id is never a response others refer to unless all equal payloads' ids are null, and then
-    each is its own response.
+    a response and the others revisit it.  Ids are integers.  Null payloads are empty; null urls leave
+    the target out; a null id leaves the capture's key out, and is never a response others refer to
+    unless all equal payloads' ids are null, and then each is its own response.  Rows that repeat the
+    least id of their payload are responses each; revisits of them name the key, not a record.  Every
+    capture has record ids of its own.  Other columns are ignored; an empty table writes no archive.
     """
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = df.select(F.col(id_col).cast("long").alias("key"), F.col(url_col).alias("uri"), payload.alias("payload"), F.sha1(payload).alias("sha"))
-    groups = rows.where(F.octet_length("payload") >= least_bytes).groupBy("sha").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    groups = materialise(groups.select("sha", "first"), "warc-groups")
+    by_key = rows.where(F.octet_length("payload") >= least_bytes).groupBy("sha", "key").agg(F.count(F.lit(1)).alias("m"))
+    groups = by_key.groupBy("sha").agg(F.min("key").alias("first"), F.min_by("m", "key").alias("heads"), F.sum("m").alias("n")).where("n > 1")
+    groups = materialise(groups.select("sha", "first", (F.col("heads") == 1).alias("single")), "warc-groups")
     hexed = F.col("sha")
     digest = F.concat(*[_base32_of(hexed, k) for k in range(32)])
     met = rows.join(groups, "sha", "left")
     first = F.when(~F.col("key").eqNullSafe(F.col("first")), F.col("first"))
-    out = met.select("key", "uri", "payload", digest.alias("digest"), first.alias("first"))
+    out = met.select("key", "uri", "payload", digest.alias("digest"), first.alias("first"), F.coalesce("single", F.lit(False)).alias("single"))
     return materialise(out.mapInArrow(_write(folder), "path string, captures long"), "warc-manifest")
 
 
@@ -107,20 +111,16 @@ def _base32_of(hexed, k):
 
 def parse_records(raw):
     """(headers, block) of each record of a gzip archive given as a stream of bytes."""
-    data, held, machine = b"", b"", zlib.decompressobj(31)
-    done = False
-    while not done:
-        piece = raw.read(1 << 20)
-        done = not piece
-        data += piece
+    held, machine = bytearray(), None  # machine: of the member that has begun
+    while data := raw.read(1 << 20):
         while data:
+            machine = machine or zlib.decompressobj(31)
             held += machine.decompress(data)
             data = machine.unused_data
-            if not machine.eof:
-                break
-            yield _split(held)
-            held, machine = b"", zlib.decompressobj(31)
-    if held or not machine.eof and machine.unconsumed_tail:
+            if machine.eof:
+                yield _split(bytes(held))
+                held, machine = bytearray(), None
+    if machine is not None:
         raise ValueError("archive ends inside a record")
 
 

@@ -73,6 +73,21 @@ def test_mixing(spark):
     assert mix_sources(docs(spark, [])).count() == 0
 
 
+def test_mixing_meets_its_targets_among_copies_of_one_row(spark):
+    """Hashes can't split rows that repeat id and text; as many are taken as come nearest."""
+    for key, texts in ((5, ["a b c d e"]), (None, ["a b c d e"]), (5, [f"a b c d{i % 20}" for i in range(20)])):
+        rows = [(key, texts[i % len(texts)]) for i in range(400)]
+        d = docs(spark, rows, ["A" if i < 200 else "B" for i in range(400)])
+        got = mix_sources(d.repartition(4)).collect()
+        assert len(got) == 400
+        for s in "AB":
+            mine = [r for r in got if r.source == s]
+            assert abs(sum(r.taken for r in mine) - mine[0].target) <= 5 and max(r.repeats for r in mine) <= 3
+        assert sorted(map(str, got)) == sorted(map(str, mix_sources(d.repartition(3)).collect()))
+    long = mix_sources(docs(spark, [(1, LONG), (2, "x")])).collect()
+    assert sorted((r.doc_id, r.size) for r in long) == [(1, 30_000), (2, 1)]
+
+
 def brute_hits(text, items, window=10):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     w, hit, found = word.findall(low(text)), set(), set()
@@ -92,7 +107,7 @@ def test_decontamination(spark):
     items = [(1, item), (2, "the the the"), (10, "Só"), (11, None), (12, "--"), (3, item)]
     rows = [(1, f"pre {item.upper()} post"), (2, "the the the the cat the"), (3, item[:60]), (4, None), (5, ""), (6, LONG + " " + item + " " + LONG), (7, "só x SÓ"), (8, "beta gamma delta epsilon zeta eta theta iota kappa lambda"), (8, "other"), (1, f"pre {item.upper()} post")]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("word", F.lit("c"))
-    for most in (64 << 20, 0):
+    for most in (64 << 20, 2000, 0):
         got = sorted((r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids)) for r in decontaminate(docs(spark, rows), bench, broadcast_bytes=most).collect())
         want = []
         for i, t in rows:
@@ -103,6 +118,22 @@ def test_decontamination(spark):
     assert decontaminate(docs(spark, []), bench).count() == 0
 
 
+def test_probes_stay_linear_in_long_items(spark):
+    """An item of 20,000 words: each probe holds less than two windows, equal windows are one probe."""
+    from terrastat.llm.decontam import window_probes
+
+    words = [f"q{x}" for x in RNG.integers(0, 3000, 20_000)]
+    for text in (words, ["the"] * 20_000):
+        items = spark.createDataFrame([("1", text, 1)], "item_id string, words array<string>, __item long")
+        probes = window_probes(items, spark.createDataFrame([], "word string, n long"), 10)
+        total, widest, kinds = probes.agg(F.sum(F.size("part")), F.max(F.size("part")), F.count_distinct("part", "at", "hi")).first()
+        assert widest < 20 and total <= 10 * 20_000 and (kinds == 1 or text is words)
+    doc = " ".join(words[5000:5100])
+    d = docs(spark, [(1, "x " + doc + " y"), (2, "the " * 50), (3, "the " * 9)])
+    got = decontaminate(d, spark.createDataFrame([(1, " ".join(words)), (2, "the " * 20_000)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_hit, r.item_ids) for r in got) == [(1, 100, ["1"]), (2, 50, ["2"]), (3, 0, [])]
+
+
 def brute_components(rows, size, percent=80):
     sets = []
     for _, t in rows:
@@ -181,6 +212,13 @@ def test_token_files_round_trip(spark, tmp_path):
     m = write_token_files(docs(spark, rows), str(tmp_path / "f"), tokenizer_file())
     assert read_token_files(m, with_ids=True).where("doc_id = 2").first()["ids"] == [0]
     assert token_output(docs(spark, []), tokenizer_file()).count() == 0
+    for path, n in m.select("path", "n_docs").collect():
+        whole = list(pfor.read_documents(path))
+        ids, counts = sum((x[0] for x in whole), []), np.concatenate([x[1] for x in whole])
+        flat, ends = np.concatenate([x[2] for x in whole]), np.concatenate([[0], np.cumsum(counts)])
+        for a, b in ((0, n), (n // 2, n), (n - 1, n + 5), (0, 1), (n, n)):
+            part = pfor.read_slice(path, a, b)
+            assert part[0] == ids[a:b] and np.array_equal(part[1], counts[a:b]) and np.array_equal(part[2], flat[ends[a] : ends[min(b, n)]])
 
 
 def test_pieces_equal_whole_texts():
@@ -277,18 +315,41 @@ def test_warc_round_trip(spark, tmp_path):
     d = pages(spark, PAGES)
     got = archive_pages(d).collect()
     assert len(got) == len(PAGES)
-    by = {r.response["headers"]["X-Capture-Key"]: r for r in got}
+    by = {r.response["headers"].get("X-Capture-Key"): r for r in got}
     assert by["1"].response["type"] == "response" and by["4"].response["type"] == "revisit" and by["3"].response["type"] == "revisit"
     assert by["4"].response["refers_to"] == by["1"].capture_id and by["4"].response["payload_bytes"] == 4
     assert bytes(by["5"].response["payload"]).decode() == "é" * 5000
     assert by["5"].response["payload_digest"] == base32_digest(("é" * 5000).encode()) and len(by["5"].metadata) == 1
-    assert by["1"].request["concurrent_to"] == [by["1"].capture_id] and by["None"].response["type"] == "revisit"
+    assert by["1"].request["concurrent_to"] == [by["1"].capture_id] and by[None].response["type"] == "revisit"
     assert archive_pages(d, least_bytes=5).where("response.type = 'revisit'").count() == 0
     files = write_archives(d, str(tmp_path / "w"))
     assert read_archives(files).groupBy("type").count().where("type = 'metadata'").first()["count"] == len(PAGES)
     assert archive_pages(pages(spark, [])).count() == 0
 
 
+def test_warc_ids_that_repeat_or_are_null(spark):
+    rows = [(7, "u", "<p>x")] * 3 + [(9, "u", "<p>x"), (None, "v", "<p>x"), (None, "v", None), (None, None, ""), (7, "u", "other"), (8, "u", "w " * 400_000)]
+    got = archive_pages(pages(spark, rows)).collect()
+    assert len(got) == len(rows) == len({r.capture_id for r in got})
+    assert all(r.request["concurrent_to"] == [r.capture_id] and len(r.metadata) == 1 for r in got)
+    kinds = sorted((r.response["headers"].get("X-Capture-Key") or "", r.response["type"], r.response["payload_bytes"], r.response["headers"].get("X-Refers-To-Key")) for r in got)
+    assert kinds == sorted([("7", "response", 4, None)] * 3 + [("9", "revisit", 4, "7"), ("", "revisit", 4, "7"), ("", "response", 0, None), ("", "response", 0, None), ("7", "response", 5, None), ("8", "response", 800_000, None)])
+
+
+def test_warc_cut_off_archives_are_errors(tmp_path):
+    import gzip
+    import io
+
+    from terrastat.llm.warc import parse_records
+
+    one = gzip.compress(b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n", mtime=0)
+    assert [b for _, b in parse_records(io.BytesIO(one + one))] == [b"abc", b"abc"]
+    assert list(parse_records(io.BytesIO(b""))) == []
+    for keep in (1, 11, 20, len(one) - 1):
+        with pytest.raises(ValueError, match="inside a record"):
+            list(parse_records(io.BytesIO(one + one[:keep])))
+
+
 def test_transactions_by_either_end(spark):
     from terrastat.llm.warc import RECORD
 
