@@ -6,6 +6,9 @@ greatest, which halves the hash evaluations; bands of the signature are bucketed
 class is first compared with few leaders, the classes of least hash, so a group of near copies
 becomes one component without its pairs being made; only what is still unconnected in a bucket is
 then compared with the rest of it.  Links are confirmed on the full shingle sets.
+
+What is shuffled per class and bucket is a pair of numbers; signatures meet candidate pairs only, and
+texts are read again for candidates only, past a broadcast of their ids where those are few.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from .shared import materialise
 from .wordhash import mix, words_by_chunk
 
 BANDS, ROWS = 40, 5
+FEW_IDS = 4_000_000  # ids that are broadcast at most: 64 MB
 LEADERS = (1, 8)  # members of a bucket that all others meet, round by round, before the last sweep
 SKETCH_LONGS, ODD_LONGS = (BANDS * ROWS + 15) // 16, 16
 _RNG = np.random.default_rng(77)
@@ -125,7 +129,7 @@ def _sign(size):
             sigs = np.stack(sigs)
             bands, bits = band_keys(sigs), np.hstack([sketches(sigs), np.stack(odd)])
             lists = pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), bands.ravel())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(keys, pa.int64()), lists, *[pa.array(bits[:, k]) for k in range(SKETCH_LONGS + ODD_LONGS)]], ["doc_id", "n_shingles", "node", "bands", *_SKETCH])
+            yield pa.RecordBatch.from_arrays([ids, batch.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), lists, *[pa.array(bits[:, k]) for k in range(SKETCH_LONGS + ODD_LONGS)]], ["doc_id", "text_hash", "n_shingles", "node", "bands", *_SKETCH])
 
     return run
 
@@ -163,34 +167,62 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return labels
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """Ids, broadcast if there are few of them."""
+    return F.broadcast(ids) if ids.count() <= FEW_IDS else ids
+
+
+def _members(pairs: DataFrame) -> DataFrame:
+    return materialise(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "members")
+
+
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The ``u, v`` pairs whose full sets are similar enough; sets are made again from the candidates' texts only."""
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes.select("node", "rep"), "node")
-    texts = docs.join(wanted.select("rep").distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets(size), "node long, shingles array<long>").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    wanted = materialise(_few(_members(pairs)).join(nodes.select("node", "rep"), "node"), "wanted")
+    texts = docs.join(_few(wanted.select("rep").distinct()), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
+    # ids may repeat, also in other classes
+    sets = texts.mapInArrow(_sets(size), "node long, shingles array<long>").join(_few(wanted.select("node")), "node", "left_semi").dropDuplicates(["node"])
     sets = materialise(sets, "near-sets")
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
     same = F.size(F.array_intersect("a", "b"))
     return both.where(100 * same >= percent * (F.size("a") + F.size("b") - same)).select("u", "v")
 
 
-def _candidates(live: DataFrame, some: DataFrame, percent: int, once: bool) -> DataFrame:
-    """``u, v``: pairs of ``some`` and ``live`` that share a bucket, are not connected yet and may be similar.
-
-    Bounds settle most pairs inside the join: those of set sizes and odd sketches are exact, that of the
-    signature sketches errs far less often than the bands miss a pair at the limit.  With ``once`` a pair comes from
-    the first bucket that it shares alone.  What leaves the join is compared in full.
-    """
-    names = ["node", "label", "n_shingles", "bands", *_SKETCH]
-    right = some.select("bucket", *[F.col(c).alias(f"__{c}") for c in names])
+def _near(percent: int):
+    """Whether two classes, the second's columns named with ``__``, may be similar.  The bounds of set sizes and odd
+    sketches are exact, that of the signature sketches errs far less often than the bands miss a pair at the limit."""
     differ = reduce(lambda a, b: a + b, [_differences(x, f"__{x}") for x in _SIMILAR])
     sizes = F.col("n_shingles") + F.col("__n_shingles")
     apart = reduce(lambda a, b: a + b, [F.bit_count(F.col(x).bitwiseXOR(F.col(f"__{x}"))) for x in _ODD])
     sized = 100 * F.least("n_shingles", "__n_shingles") >= percent * F.greatest("n_shingles", "__n_shingles")
-    near = (F.col("label") != F.col("__label")) & sized & ((100 + percent) * apart <= (100 - percent) * sizes) & (differ <= most_differences(percent))
-    if once:
-        near = near & (F.element_at(F.filter(F.zip_with("bands", "__bands", lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull()), 1) == F.col("bucket"))
-    met = live.join(right, "bucket").where(near)
+    return sized & ((100 + percent) * apart <= (100 - percent) * sizes) & (differ <= most_differences(percent))
+
+
+def _led(live: DataFrame, leaders: int, first: DataFrame, percent: int) -> DataFrame:
+    """``u, v``: pairs of a bucket's members and its leaders that are not connected yet and may be similar: the least
+    member of each of ``leaders`` parts of a bucket meets all members."""
+    part = F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(leaders))
+    chosen = live.groupBy("bucket", part.alias("__part")).agg(F.min(F.struct("node", "label")).alias("m"))
+    met = live.join(chosen.select("bucket", F.col("m.node").alias("__node"), F.col("m.label").alias("__label")), "bucket").where("label <> __label")
+    pairs = materialise(met.select(F.least("node", "__node").alias("u"), F.greatest("node", "__node").alias("v")).distinct(), "led-pairs")
+    # their signatures: pairs are narrow, and the classes that are in none stay where they are
+    names = ["n_shingles", *_SKETCH]
+    some = materialise(first.select("node", *names).join(_few(_members(pairs)), "node", "left_semi"), "led-signatures")
+    at = pairs.join(some.withColumnRenamed("node", "u"), "u").join(some.select(F.col("node").alias("v"), *[F.col(c).alias(f"__{c}") for c in names]), "v")
+    return at.where(_near(percent)).select("u", "v")
+
+
+def _swept(live: DataFrame, first: DataFrame, percent: int) -> DataFrame:
+    """``u, v``: the last pairs.  Whatever is not of the component of its bucket's least member meets all members of
+    the bucket: of two members of different components one at least is such.  Bounds settle most pairs inside the
+    join, and a pair comes from the first bucket that it shares alone."""
+    names = ["n_shingles", "bands", *_SKETCH]
+    wide = materialise(live.join(first.select("node", *names), "node"), "open-signatures")
+    chosen = live.groupBy("bucket").agg(F.min(F.struct("node", "label")).alias("m")).select("bucket", F.col("m.label").alias("__top"))
+    some = wide.join(chosen, "bucket").where(F.col("label") != F.col("__top")).drop("__top")
+    right = some.select("bucket", *[F.col(c).alias(f"__{c}") for c in ["node", "label", *names]])
+    shared = F.element_at(F.filter(F.zip_with("bands", "__bands", lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull()), 1)
+    met = wide.join(right, "bucket").where((F.col("label") != F.col("__label")) & _near(percent) & (shared == F.col("bucket")))
     return met.select(F.least("node", "__node").alias("u"), F.greatest("node", "__node").alias("v")).distinct()
 
 
@@ -212,7 +244,7 @@ def near_duplicates(
     shingle_words: int = 5,
     percent: int = 80,
 ) -> DataFrame:
-    """One row per input row: ``doc_id, n_shingles, component_id, kept``.
+    """One row per input row: ``doc_id, n_shingles, component_id, kept, text_hash``.
 
     Texts are linked when ``100 * |A and B| >= percent * |A or B|`` of their sets of word shingles
     (A-Z lower-cased, words split at ASCII white space); ``component_id`` is the least id reachable.
@@ -225,29 +257,18 @@ def near_duplicates(
     """
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = materialise(docs.select("doc_id", "text").mapInArrow(_sign(shingle_words), f"doc_id {kind}, n_shingles long, node long, bands array<long>, " + ", ".join(f"{x} long" for x in _SKETCH)), "signatures")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    signed = materialise(keyed.mapInArrow(_sign(shingle_words), f"doc_id {kind}, text_hash long, n_shingles long, node long, bands array<long>, " + ", ".join(f"{x} long" for x in _SKETCH)), "signatures")
     full = signed.where("n_shingles > 0")
     nodes = materialise(full.groupBy("node").agg(F.min("doc_id").alias("rep")), "classes")
-    # one row of a class stands for its copies
-    first = full.join(nodes.select("node", "rep"), "node").where(F.col("doc_id").eqNullSafe(F.col("rep"))).dropDuplicates(["node"])
-    first = materialise(first.select("node", full["n_shingles"], "bands", *_SKETCH), "first-rows")
+    # one row of a class stands for its copies: equal sets have equal signatures
+    first = materialise(full.select("node", "n_shingles", "bands", *_SKETCH).dropDuplicates(["node"]), "first-rows")
     seats = first.select("node", F.explode("bands").alias("bucket"))
     met = seats.groupBy("bucket").count().where("count > 1").select("bucket")
-    live = seats.join(met, "bucket", "left_semi").join(first.select("node", "n_shingles", "bands", *_SKETCH), "node").withColumn("label", F.col("node"))
-    live = materialise(live, "shared-buckets")
+    live = materialise(seats.join(met, "bucket", "left_semi").withColumn("label", F.col("node")), "shared-buckets")
     labels = None
     for leaders in (*LEADERS, None):
-        if leaders:
-            # the least member of each part of a bucket meets all members
-            part = F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(leaders))
-            chosen = live.groupBy("bucket", part.alias("__part")).agg(F.min("node").alias("node")).drop("__part")
-            some = live.join(chosen, ["bucket", "node"], "left_semi")
-        else:
-            # last, whatever is not of the component of its bucket's least member meets all members:
-            # of two members of different components one at least is such
-            chosen = live.groupBy("bucket").agg(F.min("node").alias("node")).join(live.select("bucket", "node", F.col("label").alias("__top")), ["bucket", "node"])
-            some = live.join(chosen.select("bucket", "__top"), "bucket").where(F.col("label") != F.col("__top")).drop("__top")
-        pairs = materialise(_candidates(live, some, percent, leaders is None), "pairs")
+        pairs = materialise(_led(live, leaders, first, percent) if leaders else _swept(live, first, percent), "pairs")
         if pairs.limit(1).count():
             found = materialise(_confirmed(pairs, nodes, docs, shingle_words, percent), "links")
             if found.limit(1).count():
@@ -263,6 +284,6 @@ def near_duplicates(
         at = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
         least = at.groupBy("label").agg(F.min("rep").alias("component_id"))
         named = at.join(least, "label").select("node", "component_id")
-    out = signed.select("doc_id", "n_shingles", "node").join(named.withColumnRenamed("node", "__node"), (F.col("node") == F.col("__node")) & (F.col("n_shingles") > 0), "left")
+    out = signed.select("doc_id", "n_shingles", "text_hash", "node").join(named.withColumnRenamed("node", "__node"), (F.col("node") == F.col("__node")) & (F.col("n_shingles") > 0), "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")

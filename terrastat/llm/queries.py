@@ -68,7 +68,7 @@ def op6_warc(spark, sf_dir):
 
 
 def op7_near_duplicates(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4)
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4).drop("text_hash")
 
 
 def op8_url_filter(spark, sf_dir):
