@@ -2,12 +2,15 @@
 
 An existing subword vocabulary spans a lattice over every word: all ways to cut it into pieces.  A
 log-space forward recursion sums their probabilities, so a text gets its marginal probability and
-not that of one segmentation.  The vocabulary's own scores rank its pieces and so start their
-probabilities (Zipf); EM rounds over the word counts of all training texts re-estimate them, and no
-piece is added.  Single bytes are pieces, so every text has a probability.
+not that of one segmentation.  The vocabulary's own scores weight the segmentations first.  Scores of
+a byte-pair vocabulary are no log-probabilities but negative ranks of its pieces (-1, -2, ...), so they
+are read as such and a piece starts with the probability that Zipf's law gives its rank: a departure
+from taking scores as they are.  EM rounds over the word counts of all training texts then re-estimate
+them until a round gains less than ``TOLERANCE`` of the log-likelihood; no piece is added.  Single bytes
+are pieces, so every text has a probability.
 
 The add-half word model beside it needs the training count of every token.  Counts of the most
-frequent words (``FREQUENT`` at most) are broadcast; all other words meet their counts in a join on
+frequent words (``frequent`` at most) are broadcast; all other words meet their counts in a join on
 64-bit word hashes, which are spread evenly and hold no hot key.
 """
 
@@ -18,14 +21,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialise
 from .wordhash import Words, hash_spans, mix, running, text_bytes, words_by_chunk
 
-FREQUENT, EM_ROUNDS, UNSEEN = 1 << 19, 2, 0.05
+FREQUENT, UNSEEN = 1 << 19, 0.05
+TOLERANCE, MOST_ROUNDS = 2e-3, 40  # of the log-likelihood, gained by a round; the rounds are a guard, not a setting
 CACHE_WORDS = 1 << 20
 GROUP_BYTES = 1 << 18  # words of one length are handled in groups of about this size
 MARK = 0x20  # stands before each word, where the vocabulary writes U+2581
@@ -100,8 +103,8 @@ class Lattice:
                     keep.append((a, b, piece))
         return alpha
 
-    def expected(self, words: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece over the words, each counted ``weights`` times."""
+    def expected(self, words: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, float]:
+        """(expected uses of each piece, log-likelihood) over the words, each counted ``weights`` times."""
         arcs: list = []
         alpha = self.forward(words, arcs)
         beta = np.full_like(alpha, -np.inf)
@@ -112,7 +115,7 @@ class Lattice:
             with np.errstate(invalid="ignore"):
                 out += np.bincount(piece, np.exp(alpha[a] + step - alpha[-1]) * weights, len(out))
                 beta[a] = np.logaddexp(beta[a], step)
-        return out[:-1]
+        return out[:-1], float(alpha[-1] @ weights)
 
 
 def by_length(data: np.ndarray, start: np.ndarray, end: np.ndarray):
@@ -166,15 +169,16 @@ def _count(batches):
 def _expected(sent):
     def run(batches):
         pieces, logp = sent.value
-        lattice, total = Lattice(pieces, logp), np.zeros(len(pieces))
+        lattice, total, like = Lattice(pieces, logp), np.zeros(len(pieces)), 0.0
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
             start, end = offsets[:-1], offsets[1:]
             count = batch.column(1).to_numpy()
             for at, words in by_length(data, start, end):
-                total += lattice.expected(words, count[at])
+                uses, part = lattice.expected(words, count[at].astype(float))
+                total, like = total + uses, like + part
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(total[used])], ["piece", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1).astype(np.int64)), pa.array(np.append(total[used], like))], ["piece", "n"])
 
     return run
 
@@ -206,14 +210,15 @@ class Known:
         return self.values[at]
 
 
-_OUT = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, hash long, k long"
+#: a row per document, and for its rare words rows of their own; ``key`` is a hash of id and text, so the two
+#: parts of a document meet whatever order a repeated task reads its rows in
+_OUT = "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, hash long, k long"
 
 
 def _score(sent):
     def run(batches):
         pieces, logp, log_end, keys, logs, log_base_end, known_end = sent.value
         lattice, known = Lattice(pieces, logp), Known()
-        row = TaskContext.get().partitionId() << 36
         for batch in batches:
             for a, b, w in words_by_chunk(batch.column(2)):
                 n = b - a
@@ -231,16 +236,16 @@ def _score(sent):
                 base = np.where(common, logs[at], 0.0) if len(keys) else np.zeros(len(uniq))
                 text = np.repeat(np.arange(n), np.diff(w.first))
                 per = [np.bincount(text, x, n) for x in (value[which], base[which], common[which].astype(float))]
-                rows = row + np.arange(n)
+                rows, ids = batch.column(3)[a:b].to_numpy(), batch.column(0)[a:b]
                 docs = [rows, batch.column(0)[a:b], batch.column(1)[a:b], np.diff(w.first) + 1, per[2].astype(np.int64) + known_end, per[1] + log_base_end, (per[0] + log_end) / math.log(10), rows, np.zeros(n, np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in docs], _names)
                 rare = ~common[which]
                 if rare.any():
                     pair, k = np.unique(text[rare].astype(np.int64) * len(uniq) + which[rare], return_counts=True)
                     m = len(pair)
-                    arrays = [pa.array(rows[pair // len(uniq)]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), *[pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())], pa.array(uniq[pair % len(uniq)].astype(np.int64)), pa.array(k.astype(np.int64))]
+                    of = pair // len(uniq)
+                    arrays = [pa.array(rows[of]), ids.take(pa.array(of)), pa.nulls(m, pa.bool_()), *[pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())], pa.array(uniq[pair % len(uniq)].astype(np.int64)), pa.array(k.astype(np.int64))]
                     yield pa.RecordBatch.from_arrays(arrays, _names)
-                row += n
 
     return run
 
@@ -248,12 +253,14 @@ def _score(sent):
 _names = [x.split()[0] for x in _OUT.split(", ")]
 
 
-def lattice_scores(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1) -> DataFrame:
+def lattice_scores(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, frequent: int = FREQUENT, tolerance: float = TOLERANCE) -> DataFrame:
     """One row per input row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     Training rows are those whose crc32 of the id as text (null: empty text) leaves another remainder
     than ``held`` modulo ``folds``.  ``score`` is the lattice model's log10 probability of the text,
-    its end included; ``base_score`` that of the add-half word model.
+    its end included; ``base_score`` that of the add-half word model.  On text of few frequent words, all
+    of them known, the word model is the better one: the lattice spends probability on every way to
+    spell a word and on words that never occur.
 
     Null and empty texts consist of the end alone.  Rows that repeat are scored each and count each
     in training.  Without training rows all counts are 0 and the pieces keep their first
@@ -261,7 +268,7 @@ def lattice_scores(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     """
     sc = df.sparkSession.sparkContext
     fold = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == held
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), fold.alias("held_out"), F.col(text_col).alias("text"))
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), fold.alias("held_out"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("key"))
     train = rows.where(~F.col("held_out"))
     counts = materialise(train.select("text").mapInArrow(_count, "hash long, word string, c long").groupBy("hash", "word").agg(F.sum("c").alias("c")), "word-counts")
     n_docs = train.count()
@@ -270,7 +277,7 @@ def lattice_scores(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     # the least count that at most FREQUENT words reach: a histogram of counts, not a sort of words
     least, reach = None, 0
     for c, words in counts.groupBy(F.least("c", F.lit(10_000)).alias("c")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.col("c").desc()).collect():
-        if reach + words > FREQUENT:
+        if reach + words > frequent:
             break
         least, reach = c, reach + words
     common = counts.where(F.col("c") >= least).select("hash", "c").toArrow() if least is not None else pa.table({"hash": pa.array([], pa.int64()), "c": pa.array([], pa.int64())})
@@ -281,11 +288,20 @@ def lattice_scores(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
 
     pieces, logp = vocabulary(vocabulary_path)
     log_end = math.log(0.01)
-    for _ in range(EM_ROUNDS if tokens else 0):
+    before, like = -math.inf, 0.0
+    for _ in range(MOST_ROUNDS if tokens else 0):
         sent = sc.broadcast((pieces, logp))
         total = np.full(len(pieces), UNSEEN)
+        # a row per piece comes to the driver, and the log-likelihood under piece -1
         for piece, x in counts.select("word", "c").mapInArrow(_expected(sent), "piece long, n double").groupBy("piece").agg(F.sum("n")).collect():
-            total[piece] += x
+            if piece < 0:
+                like = x
+            else:
+                total[piece] += x
+        sent.unpersist()
+        if like - before < tolerance * abs(like):
+            break
+        before = like
         logp = np.log(total / (total.sum() + n_docs))
         log_end = math.log(n_docs / (total.sum() + n_docs))
 
@@ -293,14 +309,25 @@ def lattice_scores(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     found = rows.mapInArrow(_score(sent), _OUT)
     rare = counts.where(F.col("c") < least) if least is not None else counts
     met = found.join(rare.select("hash", "c"), "hash", "left")
+    word = F.col("n_tokens").isNull()
     more = F.col("k") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(floor))
     known = F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)
-    return met.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
+    by = met.groupBy("key", "doc_id").agg(
         F.max("held_out").alias("held_out"),
         F.max("n_tokens").alias("n_tokens"),
-        F.sum(F.coalesce("n_known", F.lit(0)) + known).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        F.sum(F.coalesce("base", F.lit(0.0)) + more).alias("base_score"),
+        F.max("n_known").alias("n_known"),
+        F.max("base").alias("base"),
         F.max("score").alias("score"),
-    ).drop("row")
+        F.count("n_tokens").alias("rows"),
+        F.sum(F.when(word, known).otherwise(0)).alias("known"),
+        F.sum(F.when(word, more).otherwise(0.0)).alias("more"),
+    )
+    # rows that repeat id and text sent their rare words each
+    return by.select(
+        "doc_id", "held_out", "n_tokens",
+        (F.col("n_known") + (F.col("known") / F.col("rows")).cast("long")).alias("n_known"),
+        F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("base") + F.col("more") / F.col("rows")).alias("base_score"),
+        "score",
+        F.explode(F.array_repeat(F.lit(1), F.col("rows").cast("int"))).alias("__one"),
+    ).drop("__one")

@@ -1,8 +1,9 @@
 """Toxicity scores: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are words, adjacent pairs and pairs one word apart, each hashed to one of 2**bits
-coordinates and counted once a document.  Training runs over a bounded sample of labelled rows as
-one ordered stream, with a learning rate per coordinate; L1 leaves few weights, which are broadcast
+coordinates and counted once a document.  Training runs over a bounded sample of labelled rows (at most
+``MAX_TRAIN_ROWS`` rows and ``MAX_TRAIN_BYTES`` of text) as one ordered stream, with a learning rate per
+coordinate; L1 leaves few weights, which are broadcast
 (at most 2**bits of them, whatever the corpus).  Scoring is a map over documents without a shuffle.
 """
 
@@ -10,13 +11,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .wordhash import WORDLESS, Words, mix, words_by_chunk
 
 BITS = 20
-MAX_TRAIN_ROWS = 16_000  # bound of the labelled sample
+MAX_TRAIN_ROWS, MAX_TRAIN_BYTES = 16_000, 256 << 20  # bounds of the labelled sample, which is trained on in one task
 EPOCHS, ALPHA, BETA, L1, L2 = 6, 2.0, 1.0, 4.0, 0.1
 _PAIR, _SKIP = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
@@ -68,23 +69,32 @@ def ftrl(stream, bits: int = BITS, alpha=ALPHA, beta=BETA, l1=L1, l2=L2):
     return at.astype(np.int32), w[at].astype(np.float32), float(-bias_z / ((beta + np.sqrt(bias_n)) / alpha))
 
 
-def _train(batches):
-    def stream():
-        for batch in batches:
-            lists = batch.column("features")
-            flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-            for label, a, b in zip(batch.column("label").to_pylist(), ends[:-1], ends[1:], strict=True):
-                yield label, flat[a:b]
+def epochs(rows: list, turns: int = EPOCHS):
+    """The rows of each epoch in turn, in another order every time that depends on the rows' number alone."""
+    for e in range(turns):
+        for i in np.random.default_rng([9, e]).permutation(len(rows)):
+            yield rows[i]
 
-    at, w, bias = ftrl(stream())
+
+def _train(batches):
+    rows = []
+    for batch in batches:
+        lists = batch.column("features")
+        flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+        rows += [(label, flat[a:b]) for label, a, b in zip(batch.column("label").to_pylist(), ends[:-1], ends[1:], strict=True)]
+    if not rows:
+        return
+    at, w, bias = ftrl(epochs(rows))
     yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([w]), pa.array([bias])], ["at", "w", "bias"])
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, id_col="doc_id", text_col="text", label_col="toxic"):
-    """(coordinates, weights, bias) from the labelled rows; at most ``max_rows`` of them, chosen by hash of the id.
+def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, max_bytes: int = MAX_TRAIN_BYTES, id_col="doc_id", text_col="text", label_col="toxic"):
+    """(coordinates, weights, bias) from the labelled rows: of at most ``max_rows`` labels, chosen by hash of the id,
+    the documents up to ``max_bytes`` of text, those of ids that do not repeat first.
 
     Null labels and ids are left out; a document labelled more than once is toxic if any label says
-    so.  Null texts have no features.  Without labelled rows the model is empty: every score is 0.5.
+    so.  Null texts have no features.  Rows that repeat an id are trained on each.  Without labelled
+    rows the model is empty: every score is 0.5.
     """
     chosen = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
@@ -94,11 +104,14 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN
         .orderBy("at", "__id")
         .limit(max_rows)
     )
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "__id").select("at", "label", "text")
-    rows = texts.mapInArrow(_featurise, "at long, label double, features array<int>")
-    rows = rows.withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in range(EPOCHS)])))
-    rows = rows.withColumn("turn", F.xxhash64("at", "epoch"))
-    ordered = rows.repartition(1).sortWithinPartitions("epoch", "turn", F.xxhash64("features"))
+    chosen = F.broadcast(chosen)  # at most max_rows labels
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(chosen, "__id").select("at", "label", "text")
+    # ids that repeat could bring any number of rows, long texts any number of bytes: rows of single ids come first
+    sizes = texts.select("at", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n")).groupBy("at").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("m"))
+    run = Window.orderBy("m", "at")
+    kept = sizes.select("at", F.sum("n").over(run).alias("n"), F.sum("m").over(run).alias("m")).where((F.col("n") <= max_bytes) & (F.col("m") <= 2 * max_rows)).select("at")
+    rows = texts.join(F.broadcast(kept), "at").mapInArrow(_featurise, "at long, label double, features array<int>")
+    ordered = rows.repartition(1).sortWithinPartitions("at", F.xxhash64("features"))
     model = ordered.select("label", "features").mapInArrow(_train, "at array<int>, w array<float>, bias double").first()
     if model is None:
         return np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0
@@ -118,7 +131,11 @@ def score_texts(texts: pa.Array, dense: np.ndarray, bias: float) -> np.ndarray:
 
 def with_toxicity(df: DataFrame, model, text_col: str = "text", keep_below: float | None = None) -> DataFrame:
     """``df`` with ``score`` added as its last column; or, with ``keep_below``, its rows of lesser score
-    and no new column.  Columns keep their names and types, one called ``score`` included."""
+    and no new column.  Columns keep their names and types, one called ``score`` included.
+
+    Null and empty texts have no features and get the model's bias alone, 0.5 under an empty model.
+    Rows that repeat are scored each; a score equal to ``keep_below`` goes; no rows give no rows.
+    """
     at, w, bias = model
     sent = df.sparkSession.sparkContext.broadcast((at, w, bias))
     text_at = df.columns.index(text_col)

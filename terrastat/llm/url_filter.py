@@ -25,6 +25,7 @@ RULES = (
     ("net", "/fr/", "block"),
 )
 ALPHABET = 256  # size of the uniform distribution below order 0
+URLS_PER_TASK = 5_000
 STEP, REACH = 1000, 20  # score bins: a thousandth each, from -REACH to REACH
 
 
@@ -48,9 +49,13 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colu
 
 
 def _grams(df: DataFrame, order: int, *keep: str) -> DataFrame:
-    """A row per character of ``__text``: the character with the ``order`` characters before it (gram)."""
-    padded = F.concat(F.lit("\x02" * order), F.col("__text"))
-    return df.where(F.length("__text") > 0).select(*keep, F.posexplode(F.transform(F.sequence(F.lit(1), F.length("__text")), lambda i: padded.substr(i, F.lit(order + 1)))).alias("__pos", "gram")).drop("__pos")
+    """A row per character of ``__text``: the character with the ``order`` characters before it (gram).  Texts are cut
+    first, since the k-th character of a string is found by counting: long ones would take quadratic time."""
+    pieces = F.regexp_extract_all("__text", F.lit("(?s).{1,256}"), 0)
+    before = lambda i: F.coalesce(F.right(F.get("__pieces", i - 1), F.lit(order)), F.lit("\x02" * order))
+    cut = df.where(F.length("__text") > 0).withColumn("__pieces", pieces)
+    cut = cut.select(*keep, F.explode(F.transform("__pieces", lambda c, i: F.concat(before(i), c))).alias("__piece"))
+    return cut.select(*keep, F.explode(F.transform(F.sequence(F.lit(1), F.length("__piece") - order), lambda i: F.col("__piece").substr(i, F.lit(order + 1)))).alias("gram"))
 
 
 def ratio_table(train: DataFrame, wanted: DataFrame, order: int) -> DataFrame:
@@ -100,18 +105,20 @@ def judge_urls(
     rule, decision = matching_rule(F.col("host"), F.col("path"), rules)
     rows = df.select(F.col(id_col).alias("page_id"), url.alias("__text"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("rule", rule).withColumn("label", decision)
-    # URLs that repeat are scored once
-    urls = materialise(rows.groupBy("__text").agg(F.first("label").alias("label"), F.count(F.lit(1)).alias("m")), "urls")
-    labelled = urls.where(F.col("label").isNotNull())
+    # URLs that repeat are scored once; each of their characters becomes a row, so they are dealt out to tasks first
+    urls = rows.groupBy("__text").agg(F.first("label").alias("label"), F.count(F.lit(1)).alias("m")).withColumn("__key", F.monotonically_increasing_id())
+    urls = materialise(urls, "urls")
+    dealt = urls.repartition(min(urls.count() // URLS_PER_TASK + 1, 10_000), "__key")
+    labelled = dealt.where(F.col("label").isNotNull())
     grams = _grams(labelled, order, "label")
-    n_kinds = labelled.select("label").distinct().count()
-    spots = _grams(urls, order, "__text")
+    n_kinds = urls.where(F.col("label").isNotNull()).select("label").distinct().count()
+    spots = _grams(dealt, order, "__key")
     if n_kinds == 2:
         delta = materialise(ratio_table(grams, spots.select("gram").distinct(), order), "url-grams")
-        sums = spots.groupBy("__text", "gram").agg(F.count(F.lit(1)).alias("k")).join(delta, "gram").groupBy("__text").agg(F.sum(F.col("k") * F.col("delta")).alias("s"))
+        sums = spots.groupBy("__key", "gram").agg(F.count(F.lit(1)).alias("k")).join(delta, "gram").groupBy("__key").agg(F.sum(F.col("k") * F.col("delta")).alias("s"))
     else:
-        sums = urls.select("__text", F.lit(0.0).alias("s"))
-    scored = urls.join(sums, "__text", "left").select(
+        sums = urls.select("__key", F.lit(0.0).alias("s"))
+    scored = urls.join(sums, "__key", "left").select(
         "__text", "label", "m", F.coalesce(F.round(F.col("s") / F.greatest(F.length("__text"), F.lit(1)), 6), F.lit(0.0)).alias("score")
     )
     scored = materialise(scored, "url-scores")

@@ -188,6 +188,60 @@ def test_toxicity(spark):
     assert with_toxicity(docs(spark, []), model).count() == 0
 
 
+def slow_features(text, bits):
+    """Coordinates of a text's words, adjacent pairs and pairs one word apart, with plain integers."""
+    from terrastat.llm import toxicity, wordhash
+
+    top = 2**64
+
+    def mixed(h):
+        h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) % top
+        h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) % top
+        return h ^ (h >> 31)
+
+    words = [w.encode() for w in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", low(text))]
+    h = [mixed(sum(int(wordhash._BYTE[c]) * pow(0x9E3779B97F4A7C15, k, top) for k, c in enumerate(w)) % top) for w in words]
+    both = lambda gap, salt: [mixed((a * int(salt) + b) % top) for a, b in zip(h, h[gap:])]  # noqa: B905, E731
+    return sorted({x >> (64 - bits) for x in h + both(1, toxicity._PAIR) + both(2, toxicity._SKIP)})
+
+
+def test_toxicity_features_and_ftrl_against_plain_python():
+    from terrastat.llm import toxicity
+
+    texts = ["", "one", "One two", "A b-c d,e f", "é\u00a0É x1 _y_", "w " * 50, None, "  ", "last one two"]
+    batch = pa.RecordBatch.from_pydict({"at": list(range(len(texts))), "label": [1.0] * len(texts), "text": pa.array(texts)})
+    found = [x for b in toxicity._featurise([batch]) for x in b.column("features").to_pylist()]
+    assert [sorted(x) for x in found] == [slow_features(t, toxicity.BITS) for t in texts]
+
+    rows = [(float(RNG.random() < 0.3), np.unique(RNG.integers(0, 40, RNG.integers(0, 12))).astype(np.int32)) for _ in range(300)]
+    rows = [(max(y, float(3 in x)), x) for y, x in rows]
+    alpha, beta, l1, l2 = 0.7, 1.0, 0.4, 0.1
+    at, w, bias = toxicity.ftrl(iter(rows), 6, alpha, beta, l1, l2)
+    z, n, bz, bn = dict.fromkeys(range(64), 0.0), dict.fromkeys(range(64), 0.0), 0.0, 0.0
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+    for y, x in rows:
+        ws, b = {i: weight(i) for i in x.tolist()}, -bz / ((beta + math.sqrt(bn)) / alpha)
+        g = 1 / (1 + math.exp(-(sum(ws.values()) + b))) - y
+        for i in ws:
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * ws[i]
+            n[i] += g * g
+        bz += g - (math.sqrt(bn + g * g) - math.sqrt(bn)) / alpha * b
+        bn += g * g
+    assert dict(zip(at.tolist(), w.tolist(), strict=True)) == pytest.approx({i: weight(i) for i in z if weight(i)}, rel=1e-5)
+    assert bias == pytest.approx(-bz / ((beta + math.sqrt(bn)) / alpha)) and 3 in at
+    order = [x for _, x in toxicity.epochs([(0, i) for i in range(50)], 3)]
+    assert sorted(order) == sorted(list(range(50)) * 3) and order[:50] != order[50:100]
+
+
+def test_toxicity_samples_are_bounded(spark):
+    rows = [(i, f"good w{i}") for i in range(60)] + [(7, "bad thing " * 20)] * 40 + [(61, "huge " * 50_000)]
+    y = spark.createDataFrame([(i, int(i == 7)) for i in range(62)], "doc_id long, toxic int")
+    d = docs(spark, rows).drop("score")
+    small = train_toxicity(d, y, max_rows=62, max_bytes=2000)
+    assert with_toxicity(d.where("doc_id = 3"), small).first()["score"] < 0.5
+    assert all(np.array_equal(a, b) for a, b in zip(small, train_toxicity(d.repartition(5), y, max_rows=62, max_bytes=2000), strict=True))
+
+
 def test_pfor_blocks():
     for ids in ([], [0], [7] * 3000, RNG.integers(0, 50_257, 5000).tolist(), [2**32 - 1, 0] * 700, [5] * 1000 + [2**31] * 30):
         a = np.array(ids, np.uint32)
@@ -257,6 +311,12 @@ def test_url_filter(spark):
     for i in (11, 6):
         assert by[i].score == pytest.approx(brute_delta(train, 2, urls[i]) / len(urls[i]), abs=1e-6)
         assert by[i].verdict == ("allow" if by[i].score >= by[i].threshold else "block")
+    long = "http://b.org/" + "xyz/" * 40_000
+    more = d.select("page_id", "url").union(spark.createDataFrame([(50, long), (51, long)], "page_id long, url string"))
+    far = [r for r in judge_urls(more, order=2).collect() if r.page_id in (50, 51)]
+    assert len(far) == 2 and far[0].verdict == far[1].verdict and far[0].path == long[12:]
+    tie = [r for r in judge_urls(more, order=2).collect() if r.rule is None and r.score == r.threshold]
+    assert all(r.verdict == "allow" for r in tie)
     none = judge_urls(d.where("page_id > 5 and page_id < 12")).collect()
     assert {r.verdict for r in none} == {"allow"} and {r.score for r in none} == {0.0}
     assert judge_urls(d.limit(0)).count() == 0
@@ -278,16 +338,53 @@ def test_lattice_sums_all_segmentations():
     for at, m in by_length(data, ends - [len(w) for w in words], ends):
         for i, v in zip(at, lattice.forward(m)[-1], strict=True):
             assert v == pytest.approx(np.logaddexp.reduce(all_cuts(b" " + words[i], table)))
-        n = lattice.expected(m, np.ones(len(at)))
+        n, like = lattice.expected(m, np.ones(len(at)))
         assert (n * [len(p) for p in pieces]).sum() == pytest.approx(m.size)
+        assert like == pytest.approx(lattice.forward(m)[-1].sum())
 
 
-def test_lattice_scores(spark):
+def brute_lattice(path, train, tolerance):
+    """(log-probability of a word, of the end) after EM over all segmentations, each listed and weighed by itself."""
+    pieces, logp = vocabulary(path)
+    place = {p: i for i, p in enumerate(pieces)}
+
+    def cuts(rest):
+        if not rest:
+            yield []
+        for k in range(1, len(rest) + 1):
+            if rest[:k] in place:
+                for more in cuts(rest[k:]):
+                    yield [place[rest[:k]], *more]
+
+    counts: dict = {}
+    for words in train:
+        for w in words:
+            counts[w] = counts.get(w, 0) + 1
+    ways = {w: list(cuts(b" " + w.encode())) for w in counts}
+    logp, end, before = logp.copy(), math.log(0.01), -math.inf
+    while True:
+        total, like = np.full(len(pieces), 0.05), 0.0
+        for w, c in counts.items():
+            p = [math.exp(sum(logp[i] for i in x)) for x in ways[w]]
+            like += c * math.log(sum(p))
+            for q, x in zip(p, ways[w], strict=True):
+                for i in x:
+                    total[i] += c * q / sum(p)
+        if like - before < tolerance * abs(like):
+            break
+        before = like
+        logp, end = np.log(total / (total.sum() + len(train))), math.log(len(train) / (total.sum() + len(train)))
+    return lambda w: math.log(sum(math.exp(sum(logp[i] for i in x)) for x in cuts(b" " + w.encode()))), end
+
+
+@pytest.mark.parametrize("frequent", [1 << 19, 3, 0])
+def test_lattice_scores(spark, frequent):
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    rows = [(i, f"The cat{i % 3} sat ON mat {i % 5}") for i in range(40)] + [(i, t) for i, t in ODD]
-    got = lattice_scores(docs(spark, rows), path).collect()
+    short = [(i, t if t not in (LONG, LONG.upper()) else " ".join(LONG.split()[:400])) for i, t in ODD]
+    rows = [(i, f"The cat{i % 3} sat ON mat {i % 5}") for i in range(40)] + short + [(11, "zebra"), (11, "zebra"), (11, "gnu")]
+    got = lattice_scores(docs(spark, rows).repartition(3), path, frequent=frequent).collect()
     assert len(got) == len(rows)
     tok = [(i, re.findall(r"[^\x20\x09-\x0D]+", low(t)) + [None]) for i, t in rows]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
@@ -296,14 +393,43 @@ def test_lattice_scores(spark):
         for w in x if not held(i) else ():
             c[w] = c.get(w, 0) + 1
     n, v = sum(c.values()), len(c)
-    want = sorted((str(i), held(i), len(x), sum(w in c for w in x), round(sum(math.log10((c.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))) for w in x), 5)) for i, x in tok)
-    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, round(r.base_score, 5)) for r in got) == want
-    assert {r.train_tokens for r in got} == {n} and all(r.score < 0 for r in got)
+    word, end = brute_lattice(path, [x[:-1] for i, x in tok if not held(i)], 2e-3)
+    known = {w: word(w) for w in {w for _, x in tok for w in x[:-1]}}
+    want = sorted((str(i), held(i), len(x), sum(w in c for w in x), sum(math.log10((c.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))) for w in x), (sum(known[w] for w in x[:-1]) + end) / math.log(10)) for i, x in tok)
+    have = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.base_score, r.score) for r in got)
+    assert [x[:4] for x in have] == [x[:4] for x in want]
+    assert np.allclose([x[4:] for x in have], [x[4:] for x in want], rtol=1e-9, atol=1e-6)
+    assert {r.train_tokens for r in got} == {n}
     assert lattice_scores(docs(spark, []), path).count() == 0
     pieces, logp = vocabulary(path)
     assert np.exp(logp).sum() == pytest.approx(1) and len(set(pieces)) == len(pieces)
 
 
+def test_caches_forget_and_stay_right(monkeypatch):
+    from terrastat.llm import lattice_lm, token_output
+
+    monkeypatch.setattr(lattice_lm, "CACHE_WORDS", 50)
+    known, asked = lattice_lm.Known(), 0
+    for _ in range(40):
+        keys = np.unique(RNG.integers(0, 200, 30).astype(np.uint64))
+
+        def make(new, keys=keys):
+            nonlocal asked
+            asked += new.sum()
+            return keys[new] * 0.5
+
+        assert np.array_equal(known.get(keys, make), keys * 0.5)
+        assert len(known.keys) < 120
+    assert asked > 200
+    monkeypatch.setattr(token_output, "CACHE_PIECES", 40)
+    e = PieceEncoder(tokenizer_file())
+    for k in range(20):
+        texts = [" ".join(f"w{x}" for x in RNG.integers(0, 300, 30)) + f"\n {k}" for _ in range(3)]
+        ids = np.concatenate([x[3] for x in e.encode(pa.array(texts))]).tolist()
+        assert ids == [i for x in texts for i in e.tokenizer.encode(x, add_special_tokens=False).ids]
+    assert len(e.keys) < 200
+
+
 PAGES = [(1, "http://a/x", "<p>x"), (2, None, None), (3, "http://b", ""), (4, "http://c\r\nEvil: 1", "<p>x"), (5, "u", "é" * 5000), (None, "http://n", "<p>x")]
 
 
