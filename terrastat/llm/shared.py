@@ -42,6 +42,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+FEW = 4_000_000  # rows of two numbers that are broadcast at most: 64 MB
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id and text hash are not among ``gone``'s (``doc_id, text_hash``); nulls match nulls.
+    Where few rows go, no text is shuffled."""
+    gone = materialise(gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "gone")
+    if gone.count() <= FEW:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash")), "left_anti")
+
+
 @atexit.register
 def _remove_scratch() -> None:
     for spark, path in _scratch:

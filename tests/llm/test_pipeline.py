@@ -4,6 +4,7 @@ import struct
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as C
@@ -56,6 +57,28 @@ def test_pipeline(spark, tmp_path):
     assert got == want
 
 
+def test_stages_judge_rows_by_id_and_text(spark, tmp_path):
+    """Rows that share an id, or lack one, are judged by their own texts; extra columns with clashing names are left out."""
+    sf = str(tmp_path)
+    item = " ".join(f"b{i}" for i in range(20))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    clean, near = " ".join(f"c{i}" for i in range(50)), " ".join(f"c{i}" for i in range(49)) + " end"
+    rows = [(3, clean), (3, item + " tail"), (4, near), (4, "short and other text here"), (None, item), (None, "fine words all of them"), (5, None), (5, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "x", 2, 3) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int, word string, n_hit int, text_hash int")
+    stage = dict(C.STAGES)
+    assert stage["toxicity"](spark, docs, sf).count() == len(rows)
+    left = stage["near_dedup"](spark, docs, sf)
+    assert left.columns == C.COLUMNS and left.count() == len(rows) - 2 and left.where(F.col("text") == near).count() == 0
+    clear = stage["decontamination"](spark, docs, sf)
+    assert sorted((r.doc_id or 0, r.text or "") for r in clear.collect()) == sorted((i or 0, t or "") for i, t in rows if not (t or "").startswith("b0"))
+    mixed = stage["mixing"](spark, docs, sf)
+    assert mixed.columns == C.COLUMNS and sum(r.repeats for r in mix_sources(docs).collect()) == mixed.count()
+    alike = spark.createDataFrame([(1, "a b c d e", "en", "A" if i < 40 else "B", 9) for i in range(80)], docs.select(*C.COLUMNS).schema)
+    assert stage["mixing"](spark, alike, sf).count() == sum(r.repeats for r in mix_sources(alike).collect()) == 80
+    assert stage["tokens"](spark, docs, sf).count() == len(rows)
+
+
 def test_every_stage_takes_an_empty_table(spark, tmp_path):
     sf = str(tmp_path)
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf}/documents.parquet")
