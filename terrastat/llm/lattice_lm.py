@@ -28,7 +28,8 @@ from .shared import materialise
 from .wordhash import Words, hash_spans, mix, running, text_bytes, words_by_chunk
 
 FREQUENT, UNSEEN = 1 << 19, 0.05
-TOLERANCE, MOST_ROUNDS = 2e-3, 40  # of the log-likelihood, gained by a round; the rounds are a guard, not a setting
+TOLERANCE, MOST_ROUNDS = 1e-2, 40  # of the log-likelihood, gained by a round; the rounds are a guard, not a setting
+SHORT, SCALE = 64, 6.0  # longest words, in bytes, whose uses are counted by plain products
 CACHE_WORDS = 1 << 20
 GROUP_BYTES = 1 << 18  # words of one length are handled in groups of about this size
 MARK = 0x20  # stands before each word, where the vocabulary writes U+2581
@@ -57,26 +58,28 @@ class Lattice:
     def __init__(self, pieces: list[bytes], logp: np.ndarray):
         self.logp = np.append(logp, -np.inf)
         self.lengths = sorted({len(p) for p in pieces})
+        # probabilities times e^SCALE a byte: a word's cuts all have its bytes, so their proportions stay, away from underflow
+        self.scaled = np.append(np.exp(logp + SCALE * np.array([len(p) for p in pieces])), 0.0)
         data = np.frombuffer(b"".join(pieces), np.uint8)
         ends = np.cumsum([len(p) for p in pieces])
         keys = hash_spans(data, ends - [len(p) for p in pieces], ends)
-        self.tables = []
-        left = np.arange(len(pieces))
-        shift = 44
-        while len(left):  # pieces that share a place in one table go to the next, placed by other bits
-            place = (keys[left] >> np.uint64(shift)) & np.uint64(0xFFFFF)
-            table = np.full(1 << 20, len(pieces), np.int32)
-            table[place] = left
-            self.tables.append((np.uint64(shift), table))
-            left, shift = left[table[place] != left], shift - 7
-        self.keys = np.append(keys, np.uint64(0))
+        self.none, self.tables = len(pieces), []
+        left, shift = np.arange(len(pieces)), 44
+        while len(left):  # pieces that share a place in one table go to the next, smaller one, placed by other bits
+            mask = np.uint64((1 << max(10, int(len(left)).bit_length() + 5)) - 1)
+            place = ((keys[left] >> np.uint64(shift)) & mask).view(np.int64)
+            held, number = np.zeros(int(mask) + 1, np.uint64), np.full(int(mask) + 1, self.none, np.int32)
+            number[place] = left
+            held[place] = keys[number[place]]
+            self.tables.append((np.uint64(shift), mask, held, number))
+            left, shift = left[number[place] != left], shift - 7
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Piece numbers of span hashes; the number after the last piece where there is none."""
-        out = np.full(len(h), len(self.keys) - 1, np.int32)
-        for shift, table in self.tables:
-            at = table[(h >> shift) & np.uint64(0xFFFFF)]
-            np.copyto(out, at, where=self.keys[at] == h)
+        out = np.full(len(h), self.none, np.int32)
+        for shift, mask, held, number in self.tables:
+            at = ((h >> shift) & mask).view(np.int64)
+            np.copyto(out, number.take(at, mode="clip"), where=held.take(at, mode="clip") == h)
         return out
 
     def arcs(self, words: np.ndarray):
@@ -96,26 +99,54 @@ class Lattice:
         alpha[0] = 0
         self.run, self.down = running(np.ascontiguousarray(words).ravel())
         for a, b, piece in self.arcs(words):
-            if (piece != len(self.keys) - 1).any():
+            at = np.flatnonzero(piece != self.none)  # most spans of most words are no pieces
+            if len(at):
+                piece = piece[at]
                 with np.errstate(invalid="ignore"):
-                    alpha[b] = np.logaddexp(alpha[b], alpha[a] + self.logp[piece])
+                    alpha[b, at] = np.logaddexp(alpha[b, at], alpha[a, at] + self.logp[piece])
                 if keep is not None:
-                    keep.append((a, b, piece))
+                    keep.append((a, b, at, piece))
         return alpha
 
     def expected(self, words: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, float]:
         """(expected uses of each piece, log-likelihood) over the words, each counted ``weights`` times."""
+        return self._expected_of_short(words, weights) if words.shape[1] <= SHORT else self._expected_in_logs(words, weights)
+
+    def _expected_in_logs(self, words: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, float]:
         arcs: list = []
         alpha = self.forward(words, arcs)
         beta = np.full_like(alpha, -np.inf)
         beta[-1] = 0
-        out = np.zeros(len(self.keys))
-        for a, b, piece in reversed(arcs):
-            step = self.logp[piece] + beta[b]
+        uses = []
+        for a, b, at, piece in reversed(arcs):
+            step = self.logp[piece] + beta[b, at]
             with np.errstate(invalid="ignore"):
-                out += np.bincount(piece, np.exp(alpha[a] + step - alpha[-1]) * weights, len(out))
-                beta[a] = np.logaddexp(beta[a], step)
-        return out[:-1], float(alpha[-1] @ weights)
+                uses.append(np.exp(alpha[a, at] + step - alpha[-1, at]) * weights[at])
+                beta[a, at] = np.logaddexp(beta[a, at], step)
+        pieces = np.concatenate([x[3] for x in reversed(arcs)])
+        return np.bincount(pieces, np.concatenate(uses), self.none), float(alpha[-1] @ weights)
+
+    def _expected_of_short(self, words: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, float]:
+        """The same by products of probabilities: no logarithms but for words whose products come near underflow."""
+        n, size = words.shape
+        self.run, self.down = running(np.ascontiguousarray(words).ravel())
+        alpha, beta, arcs = np.zeros((size + 1, n)), np.zeros((size + 1, n)), []
+        alpha[0], beta[-1] = 1, 1
+        for a, b, piece in self.arcs(words):
+            p = self.scaled.take(piece, mode="clip")
+            alpha[b] += alpha[a] * p
+            arcs.append((a, b, piece, p))
+        low = alpha[-1] < 1e-200
+        share, out = np.where(low, 0.0, weights / np.where(low, 1.0, alpha[-1])), np.zeros(self.none + 1)
+        for a, b, piece, p in reversed(arcs):
+            p *= beta[b]
+            beta[a] += p
+            out += np.bincount(piece, p * alpha[a] * share, self.none + 1)
+        out, like = out[:-1], float((np.log(alpha[-1, ~low]) - SCALE * size) @ weights[~low])
+        if low.any():
+            rest, more = self._expected_in_logs(words[low], weights[low])
+            out, like = out + rest, like + more
+        return out, like
 
 
 def by_length(data: np.ndarray, start: np.ndarray, end: np.ndarray):
@@ -299,11 +330,11 @@ def lattice_scores(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
             else:
                 total[piece] += x
         sent.unpersist()
+        logp = np.log(total / (total.sum() + n_docs))
+        log_end = math.log(n_docs / (total.sum() + n_docs))
         if like - before < tolerance * abs(like):
             break
         before = like
-        logp = np.log(total / (total.sum() + n_docs))
-        log_end = math.log(n_docs / (total.sum() + n_docs))
 
     sent = sc.broadcast((pieces, logp, log_end, keys[order], logs, math.log10((n_docs + 0.5) / floor), int(n_docs > 0)))
     found = rows.mapInArrow(_score(sent), _OUT)

@@ -328,7 +328,9 @@ def all_cuts(word, logp):
     return [logp[word[:k]] + x for k in range(1, len(word) + 1) if word[:k] in logp for x in all_cuts(word[k:], logp)]
 
 
-def test_lattice_sums_all_segmentations():
+def test_lattice_sums_all_segmentations(monkeypatch):
+    from terrastat.llm import lattice_lm
+
     pieces = [b" a", b" ab", b"a", b"b", b"ba", b"abb", b" "]
     logp = np.log(np.array([0.2, 0.1, 0.2, 0.2, 0.1, 0.1, 0.1]))
     table = dict(zip(pieces, logp, strict=True))
@@ -341,6 +343,22 @@ def test_lattice_sums_all_segmentations():
         n, like = lattice.expected(m, np.ones(len(at)))
         assert (n * [len(p) for p in pieces]).sum() == pytest.approx(m.size)
         assert like == pytest.approx(lattice.forward(m)[-1].sum())
+    import public_tokenizers
+
+    big_pieces, big_logp = vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    big = Lattice(big_pieces, big_logp)
+    for size in (3, 20, 63, 64, 90):
+        m = np.full((40, size), 0x20, np.uint8)
+        m[:, 1:] = RNG.integers(97, 123, (40, size - 1))
+        m[0, 1:] = RNG.integers(0, 256, size - 1)
+        for weights in (np.ones(40), RNG.integers(1, 9, 40).astype(float)):
+            uses, like = big.expected(m, weights)
+            assert like == pytest.approx(big.forward(m)[-1] @ weights) and (uses * [len(p) for p in big_pieces]).sum() == pytest.approx(size * weights.sum())
+            faint = Lattice(big_pieces, big_logp - 30)  # products underflow
+            assert np.isfinite(faint.expected(m, weights)[0]).all() and faint.expected(m, weights)[1] == pytest.approx(faint.forward(m)[-1] @ weights)
+            monkeypatch.setattr(lattice_lm, "SHORT", 0)
+            assert np.allclose(big.expected(m, weights)[0], uses, rtol=1e-9, atol=1e-12)
+            monkeypatch.setattr(lattice_lm, "SHORT", 64)
 
 
 def brute_lattice(path, train, tolerance):
@@ -370,10 +388,10 @@ def brute_lattice(path, train, tolerance):
             for q, x in zip(p, ways[w], strict=True):
                 for i in x:
                     total[i] += c * q / sum(p)
+        logp, end = np.log(total / (total.sum() + len(train))), math.log(len(train) / (total.sum() + len(train)))
         if like - before < tolerance * abs(like):
             break
         before = like
-        logp, end = np.log(total / (total.sum() + len(train))), math.log(len(train) / (total.sum() + len(train)))
     return lambda w: math.log(sum(math.exp(sum(logp[i] for i in x)) for x in cuts(b" " + w.encode()))), end
 
 
@@ -393,7 +411,7 @@ def test_lattice_scores(spark, frequent):
         for w in x if not held(i) else ():
             c[w] = c.get(w, 0) + 1
     n, v = sum(c.values()), len(c)
-    word, end = brute_lattice(path, [x[:-1] for i, x in tok if not held(i)], 2e-3)
+    word, end = brute_lattice(path, [x[:-1] for i, x in tok if not held(i)], 1e-2)
     known = {w: word(w) for w in {w for _, x in tok for w in x[:-1]}}
     want = sorted((str(i), held(i), len(x), sum(w in c for w in x), sum(math.log10((c.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))) for w in x), (sum(known[w] for w in x[:-1]) + end) / math.log(10)) for i, x in tok)
     have = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.base_score, r.score) for r in got)
