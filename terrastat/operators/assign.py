@@ -89,14 +89,14 @@ def intraclass_correlation(points: DataFrame, columns: list[str], id_col="cell_i
     groups = long.groupBy(id_col).agg(F.count("z").alias("n"), F.avg("z").alias("m"), F.var_pop("z").alias("v"))
     total = groups.agg(F.sum("n").alias("N"), F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * F.col("n")).alias("q"), F.sum(F.col("n") * F.col("m")).alias("nm"), F.sum(F.col("n") * F.col("v")).alias("ssw")).first()
     n, k = total["N"] or 0, total["k"]
-    if k < 2 or n < 4 or n <= k:
+    if k < 2 or n < 4:
         return 0.0
     mean = total["nm"] / n
     ssb = groups.agg(F.sum(F.col("n") * (F.col("m") - mean) * (F.col("m") - mean))).first()[0]
     n0 = (n - total["q"] / n) / (k - 1)
     if n0 < 1:
         return 0.0
-    msb, msw = ssb / (k - 1), total["ssw"] / (n - k)
+    msb, msw = ssb / (k - 1), total["ssw"] / (n - k) if n > k else 0.0  # cells of one row each leave nothing within
     bottom = msb + (n0 - 1) * msw
     return min(1.0, max(0.0, (msb - msw) / bottom)) if bottom else 0.0
 

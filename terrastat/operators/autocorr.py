@@ -26,10 +26,13 @@ def knn_weights(points: DataFrame, k: int = 8) -> DataFrame:
 def morans_i(values: DataFrame, weights: DataFrame) -> DataFrame:
     """One row ``n, I, expected, variance, z`` of Moran's I of ``row_id, e`` under randomisation.
 
-    Non-finite values drop out with their edges.  Everything is sums over edges: no matrix.
+    Non-finite values drop out with their edges.  Everything is sums over edges: no matrix.  Fewer
+    than four values, equal values or no edges leave the statistics they can't give null, with a warning.
     """
     v = values.where(is_finite("e")).select("row_id", F.col("e").cast("double").alias("e"))
-    mean, n = v.agg(F.avg("e"), F.count(F.lit(1))).first()
+    mean, n, low, high = v.agg(F.avg("e"), F.count(F.lit(1)), F.min("e"), F.max("e")).first()
+    if n < 4 or low == high:
+        log.warning("Moran's I needs four values that differ")
     v = v.select("row_id", (F.col("e") - F.lit(mean)).alias("e")).persist()
     w = weights.join(v.select(F.col("row_id").alias("i"), F.col("e").alias("ei")), "i").join(v.select(F.col("row_id").alias("j"), F.col("e").alias("ej")), "j")
     back = w.select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("w").alias("wt"))
@@ -39,11 +42,14 @@ def morans_i(values: DataFrame, weights: DataFrame) -> DataFrame:
     m = v.agg(F.sum(F.col("e") * F.col("e")).alias("q2"), F.sum(F.pow("e", F.lit(4.0))).alias("q4"), F.count(F.lit(1)).cast("double").alias("n"))
     one = m.crossJoin(F.broadcast(sums)).crossJoin(F.broadcast(s2))  # single rows
     N, s0, s1, s2c = F.col("n"), F.col("s0"), F.col("s1"), F.col("s2")
-    b2 = (F.col("q4") / N) / ((F.col("q2") / N) * (F.col("q2") / N))
+    q2 = F.nullif("q2", F.lit(0.0)) if low != high else F.lit(None).cast("double")  # rounding leaves equal values a trace of variance
+    s0 = F.nullif("s0", F.lit(0.0))
+    b2 = (F.col("q4") / N) / ((q2 / N) * (q2 / N))
     a = N * ((N * N - 3 * N + 3) * s1 - N * s2c + 3 * s0 * s0)
     c = (N * N - N) * s1 - 2 * N * s2c + 6 * s0 * s0
-    d = (N - 1) * (N - 2) * (N - 3) * s0 * s0
-    out = one.select(F.col("n").cast("long").alias("n"), (N / s0 * F.col("cross") / F.col("q2")).alias("I"), (-1 / (N - 1)).alias("expected"), ((a - b2 * c) / d - 1 / ((N - 1) * (N - 1))).alias("variance"))
+    d = F.nullif((N - 1) * (N - 2) * (N - 3) * s0 * s0, F.lit(0.0))
+    free = F.nullif(N - 1, F.lit(0.0))
+    out = one.select(F.col("n").cast("long").alias("n"), (N / s0 * F.col("cross") / q2).alias("I"), (-1 / free).alias("expected"), ((a - b2 * c) / d - 1 / (free * free)).alias("variance"))
     return out.withColumn("z", F.when(F.col("variance") > 0, (F.col("I") - F.col("expected")) / F.sqrt(F.greatest(F.col("variance"), F.lit(0.0)))))
 
 

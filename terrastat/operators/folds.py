@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hash_order, quantile7, squared_distance
-from .joins import distance_join, knn_join
+from .joins import distance_join, global_rank, knn_join
 
 log = logging.getLogger("terrastat")
 
@@ -40,10 +40,11 @@ def random_folds(points: DataFrame, k: int, seed: int = 123, order=None) -> Fold
     n = points.count()
     if not 2 <= k <= n:
         raise ValueError("k must be at least 2 and at most the number of rows")
-    rank = F.row_number().over(Window.orderBy(order if order is not None else hash_order("row_id", seed), "row_id")) - 1
+    keyed = points.select("row_id", (order if order is not None else hash_order("row_id", seed)).alias("__key"))
+    ranked, rank = global_rank(keyed, "__key", "row_id", name="__rank"), F.col("__rank")
     small, more = divmod(n, k)
     fold = F.when(rank < more * (small + 1), F.floor(rank / (small + 1))).otherwise(more + F.floor((rank - more * (small + 1)) / small)) + 1
-    return Folds("random_kfold", k, points.select("row_id", fold.cast("int").alias("fold")))
+    return Folds("random_kfold", k, ranked.select("row_id", fold.cast("int").alias("fold")))
 
 
 def block_dims(width: float, height: float, k: int, nx=None, ny=None, multiplier: float = 3, size: float | None = None) -> tuple[int, int]:
@@ -111,34 +112,47 @@ def location_folds(points: DataFrame, group: str, k: int | None = None, seed: in
     return Folds("leave_location_out", k, points.select("row_id", g.alias("__g")).join(chosen, "__g").select("row_id", "fold"))
 
 
-def buffered_loo(points: DataFrame, buffer: float, max_n: int = 20_000) -> Folds:
-    """A fold a row; rows no further than the buffer stay out of its train set."""
+def buffered_loo(points: DataFrame, buffer: float) -> Folds:
+    """A fold a row; rows no further than the buffer stay out of its train set.  The exclusions are a join inside the
+    buffer, so the size of the layer is not limited."""
     n = points.count()
-    if n > max_n:
-        raise ValueError(f"{n} rows: buffered leave-one-out is quadratic beyond {max_n}")
     near = distance_join(points, points, buffer).where("i <> j")
     one = points.select("row_id", F.col("row_id").alias("fold"))
     return Folds("buffered_loo", n, one, near.select(F.col("i").alias("fold"), F.col("j").alias("row_id")), {"buffer": buffer})
 
 
-def nndm_folds(points: DataFrame, prediction: DataFrame, seed: int = 123, draw=None, max_n: int = 5_000) -> Folds:
+def nndm_folds(points: DataFrame, prediction: DataFrame, seed: int = 123, draw=None) -> Folds:
     """A fold a row whose nearest train distance follows the prediction points' distance to the data.
 
     Each row draws a target radius from those distances (type-7 quantile at ``draw``, uniform in 0..1);
-    neighbours nearer than the one closest to the radius are excluded, at least two rows stay.
+    neighbours nearer than the one closest to the radius are excluded, at least two rows stay.  If any
+    neighbour lies within twice the radius, the closest to the radius does: only those are joined, in
+    bins for each size of radius; a row without such neighbours takes its nearest.
     """
     n = points.count()
-    if n < 3 or n > max_n:
-        raise ValueError(f"distance matching takes 3 to {max_n} rows")
+    if n < 3:
+        raise ValueError("distance matching takes at least three rows")
     target = knn_join(prediction, points, 1)
     dists = target.agg(F.array_sort(F.collect_list("d")).alias("__g"))  # bounded by the prediction grid
     u = draw if draw is not None else (F.pmod(hash_order("row_id", seed), F.lit(1_000_003)) + 0.5) / 1_000_003
     radius = points.select(F.col("row_id").alias("i"), u.alias("__u")).crossJoin(F.broadcast(dists)).select("i", quantile7("__g", F.col("__u")).alias("radius"))
-    a = points.select(F.col("row_id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"))
-    b = points.select(F.col("row_id").alias("j"), "x", "y")
+    radius = radius.persist()
+    # the size of a radius is a power of two above its double; bins are as wide
+    size = F.greatest(F.ceil(F.log2(F.greatest(2 * F.col("radius"), F.lit(1e-12)))), F.lit(-40)).cast("int")
+    sizes = [r[0] for r in radius.select(size.alias("s")).distinct().collect()]  # at most some hundred powers of two
+    place = lambda c, s: F.floor(F.col(c) / F.pow(F.lit(2.0), s)).cast("long")
+    a = points.select(F.col("row_id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi")).join(radius, "i").withColumn("__s", size)
+    steps = F.array(*[F.lit(k) for k in (-1, 0, 1)])
+    a = a.withColumn("__dx", F.explode(steps)).withColumn("__dy", F.explode(steps))
+    a = a.withColumns({"__bx": place("xi", F.col("__s")) + F.col("__dx"), "__by": place("yi", F.col("__s")) + F.col("__dy")}).drop("__dx", "__dy")
+    b = points.select(F.col("row_id").alias("j"), "x", "y", F.explode(F.array(*[F.lit(s) for s in sizes]).cast("array<int>")).alias("__s"))
+    b = b.withColumns({"__bx": place("x", F.col("__s")), "__by": place("y", F.col("__s"))})
     order = Window.partitionBy("i").orderBy("d", "j")
-    pairs = a.join(b, F.col("i") != F.col("j")).withColumn("d", F.sqrt(squared_distance("xi", "yi", "x", "y"))).withColumn("rank", F.row_number().over(order))
-    pairs = pairs.join(radius, "i")
+    near = a.join(b, ["__s", "__bx", "__by"]).where("i <> j").withColumn("d", F.sqrt(squared_distance("xi", "yi", "x", "y"))).where("d <= 2 * radius")
+    near = near.select("i", "j", "d", "radius")
+    alone = points.join(near.select(F.col("i").alias("row_id")), "row_id", "left_anti")
+    first = knn_join(alone, points, 1, exclude_self=True).select("i", "j", "d").join(radius, "i")
+    pairs = near.unionByName(first).withColumn("rank", F.row_number().over(order)).persist()
     cut = pairs.groupBy("i").agg(F.min(F.struct(F.abs(F.col("d") - F.col("radius")).alias("gap"), "rank")).alias("m"), F.first("radius").alias("radius"))
     cut = cut.select("i", "radius", F.when(F.col("m.rank") > n - 2, F.greatest(F.lit(1), F.lit(n - 2))).otherwise(F.col("m.rank")).alias("cut"))
     out = pairs.drop("radius").join(cut, "i")

@@ -33,21 +33,46 @@ def _extent(df: DataFrame):
     return df.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))).first()
 
 
-def polygon_matches(points: DataFrame, cells: DataFrame, bin_width: float | None = None, predicate: str = "intersects") -> DataFrame:
+def global_rank(df: DataFrame, *order, name: str = "rank") -> DataFrame:
+    """``df`` with the rank (from 0) of each row in a total order, without sorting all rows in one task: rows are dealt
+    out by ranges, numbered inside them, and the ranges' counts are summed."""
+    dealt = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).persist()
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select(F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inner = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    ranked = dealt.withColumn("__inner", inner).join(F.broadcast(counts), F.col("__part") == F.col("__p"))  # a row per partition
+    return ranked.withColumn(name, F.col("__before") + F.col("__inner")).drop("__part", "__p", "__before", "__inner")
+
+
+def edge_distance2(x, y, edge) -> Column:
+    """Squared distance of a point to an edge (``ax, ay, bx, by``)."""
+    dx, dy = edge["bx"] - edge["ax"], edge["by"] - edge["ay"]
+    length2 = dx * dx + dy * dy
+    t = F.when(length2 > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - edge["ax"]) * dx + (y - edge["ay"]) * dy) / length2))).otherwise(0.0)
+    return squared_distance(x, y, edge["ax"] + t * dx, edge["ay"] + t * dy)
+
+
+def polygon_matches(points: DataFrame, cells: DataFrame, bin_width: float | None = None, predicate: str = "intersects", distance: float = 0.0) -> DataFrame:
     """Pairs of points (``row_id, x, y``) and cells (``cell_id, rings, xmin, ymin, xmax, ymax``) that meet.
 
-    Closed cells for ``intersects``; ``within`` leaves out points on a cell's edge.  The bin width
-    defaults to the mean cell side, so a cell spans a few bins whatever the extent.
+    Closed cells for ``intersects``; ``within`` leaves out points on a cell's edge; ``within_distance``
+    adds the points no further from a cell than ``distance``.  The bin width defaults to the mean cell
+    side, so a cell spans a few bins whatever the extent.
     """
+    reach = float(distance) if predicate == "within_distance" else 0.0
     if bin_width is None:
         side = cells.agg(F.avg(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")))).first()[0]
-        bin_width = side or 1.0
+        bin_width = max(side or 1.0, reach)
     spread = cells.select("cell_id", "xmin", "ymin", "xmax", "ymax", edges_of("rings").alias("__edges"), *[c for c in cells.columns if c.startswith("__") and c != "__edges"])
-    spread = spread.withColumn("__bx", F.explode(F.sequence(_bin(F.col("xmin"), bin_width), _bin(F.col("xmax"), bin_width))))
-    spread = spread.withColumn("__by", F.explode(F.sequence(_bin(F.col("ymin"), bin_width), _bin(F.col("ymax"), bin_width))))
+    spread = spread.withColumn("__bx", F.explode(F.sequence(_bin(F.col("xmin") - reach, bin_width), _bin(F.col("xmax") + reach, bin_width))))
+    spread = spread.withColumn("__by", F.explode(F.sequence(_bin(F.col("ymin") - reach, bin_width), _bin(F.col("ymax") + reach, bin_width))))
     met = _binned(points, bin_width).join(spread, ["__bx", "__by"])
-    met = met.where(F.col("x").between(F.col("xmin"), F.col("xmax")) & F.col("y").between(F.col("ymin"), F.col("ymax")))
-    met = met.where(point_in_edges("x", "y", "__edges"))
+    met = met.where(F.col("x").between(F.col("xmin") - reach, F.col("xmax") + reach) & F.col("y").between(F.col("ymin") - reach, F.col("ymax") + reach))
+    inside = point_in_edges("x", "y", "__edges")
+    if predicate == "within_distance":
+        met = met.where(inside | F.exists("__edges", lambda e: edge_distance2(F.col("x"), F.col("y"), e) <= reach * reach))
+        return met.drop("__bx", "__by", "__edges")
+    met = met.where(inside)
     if predicate == "within":
         strict = ~F.exists("__edges", lambda e: ((e["bx"] - e["ax"]) * (F.col("y") - e["ay"]) == (e["by"] - e["ay"]) * (F.col("x") - e["ax"])) & F.col("x").between(F.least(e["ax"], e["bx"]), F.greatest(e["ax"], e["bx"])) & F.col("y").between(F.least(e["ay"], e["by"]), F.greatest(e["ay"], e["by"])))
         met = met.where(strict)
@@ -113,12 +138,54 @@ def nearest_join(left: DataFrame, right: DataFrame) -> DataFrame:
 def nearest_polygon(points: DataFrame, cells: DataFrame) -> DataFrame:
     """``row_id, cell_id``: for each point the cell nearest to it by distance to its edges; ties by the lower id.
 
-    Meant for the few points that no cell holds, against cells of a tessellation.
+    Meant for the few points that no cell holds, against cells of a tessellation.  Edges lie in the
+    bins of their boxes, and points look around them in growing bins.
     """
-    e = edges_of("rings")
-    flat = cells.select("cell_id", F.explode(e).alias("e")).select("cell_id", "e.*")
-    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-    length2 = dx * dx + dy * dy
-    t = F.when(length2 > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy) / length2))).otherwise(0.0)
-    d2 = squared_distance("x", "y", F.col("ax") + t * dx, F.col("ay") + t * dy)
-    return points.join(flat, F.lit(True)).groupBy("row_id").agg(F.min(F.struct(d2.alias("d2"), "cell_id")).alias("m")).select("row_id", F.col("m.cell_id").alias("cell_id"))
+    flat = cells.select("cell_id", F.explode(edges_of("rings")).alias("e"))
+    side = F.greatest(F.abs(F.col("e.bx") - F.col("e.ax")), F.abs(F.col("e.by") - F.col("e.ay")))
+    width, x0, x1, y0, y1 = flat.agg(F.avg(side), F.min("e.ax"), F.max("e.ax"), F.min("e.ay"), F.max("e.ay")).first()
+    if width is None:
+        return points.select("row_id", F.lit(None).cast("long").alias("cell_id")).limit(0)
+
+    def spread(w):
+        bins = flat
+        for axis in "xy":
+            a, b = F.col(f"e.a{axis}"), F.col(f"e.b{axis}")
+            bins = bins.withColumn(f"__b{axis}", F.explode(F.sequence(_bin(F.least(a, b), w), _bin(F.greatest(a, b), w))))
+        return bins
+
+    found = grow_nearest(points.select(F.col("row_id").alias("i"), "x", "y"), spread, F.struct(F.sqrt(edge_distance2(F.col("x"), F.col("y"), F.col("e"))).alias("d"), "cell_id"), max(width, 1e-9), (x0, x1, y0, y1))
+    return found.select(F.col("i").alias("row_id"), F.col("m.cell_id").alias("cell_id"))
+
+
+def grow_nearest(left: DataFrame, spread, value: Column, width: float, box, where: Column | None = None) -> DataFrame:
+    """``i, m``: for each left point (``i, x, y``, payload) the least ``value``, a struct whose ``d`` is a distance not below
+    that in the plane.  ``spread(width)`` gives the right side in bins (``__bx, __by``).  Points meet in 3 x 3
+    bins; those whose least distance those bins are not sure to cover are tried again with bins four times as wide."""
+    x0, x1, y0, y1 = box
+    ext = left.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    span = max(x1 - x0, y1 - y0, 1e-9)
+    if ext[0] is not None:
+        span = max(span, abs(ext[0] - x1), abs(ext[1] - x0), abs(ext[2] - y1), abs(ext[3] - y0))
+    todo, done = left, None
+    while True:
+        met = _around(todo, width).join(spread(width), ["__bx", "__by"])
+        if where is not None:
+            met = met.where(where)
+        best = met.groupBy("i").agg(F.min(value).alias("m"))
+        if width > span:
+            return best if done is None else done.unionByName(best)
+        best = best.where(F.col("m.d") <= width).persist()
+        done = best if done is None else done.unionByName(best)
+        todo = todo.join(best.select("i"), "i", "left_anti")
+        if not todo.limit(1).count():
+            return done
+        width *= 4
+
+
+def all_pairs(left: DataFrame, right: DataFrame, parts: int | None = None) -> DataFrame:
+    """Every left row with every right row, for work that is over all pairs by its nature: the right side is dealt into
+    parts that each left row meets in turn, so the pairs are spread over tasks by an equi-join."""
+    parts = parts or left.sparkSession.sparkContext.defaultParallelism * 4
+    dealt = right.withColumn("__part", F.pmod(F.xxhash64("row_id"), F.lit(parts)))
+    return left.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(dealt, "__part").drop("__part")

@@ -34,9 +34,9 @@ def regression_metrics(df: DataFrame, y="y", yhat="yhat", p: int | None = None,
 
 
 def crps_energy(draws, y):
-    """CRPS of an array of draws against an observation: mean |x - y| less half the mean draw spread."""
+    """CRPS of an array of draws against an observation: mean |x - y| less half the mean draw spread; null without draws."""
     draws, y = F.col(draws) if isinstance(draws, str) else draws, F.col(y) if isinstance(y, str) else y
-    m = F.size(draws)
+    m = F.nullif(F.size(draws), F.lit(0))
     ordered = F.array_sort(draws)
     first = F.aggregate(ordered, F.lit(0.0), lambda s, x: s + F.abs(x - y)) / m
     ranked = F.zip_with(ordered, F.sequence(F.lit(1), m), lambda x, i: x * (2 * i - m - 1))

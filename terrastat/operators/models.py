@@ -13,10 +13,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import all_finite, squared_distance
+from .joins import all_pairs, distance_join, knn_join
 from .metrics import linear, ols, regression_metrics
 
 log = logging.getLogger("terrastat")
@@ -119,18 +120,23 @@ def gwr_one_predictor(data: DataFrame, response: str, predictor: str, bandwidth:
     """``row_id, intercept, slope, fitted, hat`` of a one-predictor local regression, in closed form and in the JVM.
 
     Weighted sums over pairs give each location's line; ``hat`` is the diagonal of the hat matrix.
-    ``adaptive`` takes the distance to the bandwidth-th neighbour (itself the first) instead.
+    ``adaptive`` takes the distance to the bandwidth-th neighbour (itself the first) instead.  Kernels that end
+    at the bandwidth meet the neighbours inside it only; the others weigh all pairs, by definition.
     """
     p = data.select("row_id", "x", "y", F.col(predictor).cast("double").alias("u"), F.col(response).cast("double").alias("v"))
     a = p.select(F.col("row_id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), F.col("u").alias("ui"))
-    pairs = a.join(p, F.lit(True)).withColumn("d", F.sqrt(squared_distance("xi", "yi", "x", "y")))
+    ends = kernel in ("bisquare", "tricube", "boxcar") or kernel not in KERNELS
     if adaptive:
-        order = Window.partitionBy("i").orderBy("d", "row_id")
-        pairs = pairs.withColumn("__r", F.row_number().over(order)).withColumn("b", F.max(F.when(F.col("__r") <= int(bandwidth), F.col("d"))).over(Window.partitionBy("i")))
+        near = knn_join(data.select("row_id", "x", "y"), data.select("row_id", "x", "y"), int(bandwidth))
+        reach = near.groupBy("i").agg(F.max("d").alias("b"))
+    if not ends or (adaptive and kernel == "boxcar"):  # boxcar counts every neighbour at its edge, however many
+        pairs = all_pairs(a, p).withColumn("d", F.sqrt(squared_distance("xi", "yi", "x", "y")))
     else:
-        pairs = pairs.withColumn("b", F.lit(float(bandwidth)))
-        if kernel in ("bisquare", "tricube", "boxcar"):
-            pairs = pairs.where(F.col("d") <= F.col("b"))
+        near = near if adaptive else distance_join(data.select("row_id", "x", "y"), data.select("row_id", "x", "y"), float(bandwidth))
+        pairs = near.select("i", F.col("j").alias("row_id"), "d").join(a.select("i", "ui"), "i").join(p.select("row_id", "u", "v"), "row_id")
+    pairs = pairs.join(reach, "i") if adaptive else pairs.withColumn("b", F.lit(float(bandwidth)))
+    if ends:
+        pairs = pairs.where(F.col("d") <= F.col("b"))
     w = kernel_weight(F.col("d"), F.col("b"), kernel)
     s = pairs.withColumn("w", w).groupBy("i").agg(
         F.sum("w").alias("s0"), F.sum(F.col("w") * F.col("u")).alias("s1"), F.sum(F.col("w") * F.col("u") * F.col("u")).alias("s2"),
@@ -180,7 +186,8 @@ class GWRFit(SpatialFit):
                     yield pd.DataFrame({"row_id": g["row_id"].to_numpy(), "pred": (beta * bx).sum(1), "hat": hat, "beta": list(beta)})
 
         clean = d.where(all_finite(["x", "y", *names])).select("row_id", "x", "y", *names)
-        return clean.repartition(8).mapInPandas(run, "row_id long, pred double, hat double, beta array<double>")
+        tasks = max(1, min(d.sparkSession.sparkContext.defaultParallelism * 4, len(self.info["sent"].value[0]) // 64))
+        return clean.repartition(tasks).mapInPandas(run, "row_id long, pred double, hat double, beta array<double>")
 
     def predict(self, new=None):
         d = self.data if new is None else new
