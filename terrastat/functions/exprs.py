@@ -77,6 +77,20 @@ def shoelace(rings) -> Column:
     return F.aggregate(edges_of(rings), F.lit(0.0), lambda s, e: s + (e["ax"] * e["by"] - e["bx"] * e["ay"]) / 2)
 
 
+def perimeter(rings) -> Column:
+    """The length of all edges of an array of closed rings."""
+    return F.aggregate(edges_of(rings), F.lit(0.0), lambda s, e: s + F.hypot(e["bx"] - e["ax"], e["by"] - e["ay"]))
+
+
+def path_length(paths) -> Column:
+    """The length of an array of open paths."""
+    def one(p):
+        steps = F.zip_with(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda a, b: F.hypot(b["x"] - a["x"], b["y"] - a["y"]))
+        return F.aggregate(steps, F.lit(0.0), lambda s, d: s + d)
+
+    return F.aggregate(F.transform(col(paths), one), F.lit(0.0), lambda s, d: s + d)
+
+
 def point_in_edges(x, y, edges) -> Column:
     """Even-odd containment; points on an edge are inside."""
     x, y, edges = col(x), col(y), col(edges)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import inspect
 import logging
 import math
+import zlib
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -11,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import all_finite
 from .folds import Folds, make_folds
-from .metrics import moments, regression_metrics, solve_moments
+from .metrics import covered, crps_energy, moments, regression_metrics, solve_moments
 from .models import SpatialFit, fit_forest, fit_gp, fit_gwr
 
 log = logging.getLogger("terrastat")
@@ -59,27 +63,49 @@ def cv_ols(data: DataFrame, response: str, predictors: list[str], folds: Folds)
     return held.withColumn("fold", F.col("fold").cast("int")).join(coef, "fold").select("row_id", "fold", (y + mean[response]).alias("y"), (yhat + mean[response]).alias("yhat"), (F.col("m") + mean[response]).alias("y_train_mean"))
 
 
-def cv_spatial(data: DataFrame, response: str, folds: Folds, fit_fn, info_fn=None) -> tuple[DataFrame, DataFrame, list[dict]]:
-    """(overall, predictions, extras) of any ``fit_fn(train) -> SpatialFit``; folds that fail are left out with a warning."""
-    preds, extras = None, []
-    for (fold,) in folds.assignment.select("fold").distinct().orderBy("fold").collect():
+def filter_args(fun, args: dict) -> dict:
+    """Those of ``args`` that a function takes by name."""
+    takes = inspect.signature(fun).parameters
+    if any(p.kind is p.VAR_KEYWORD for p in takes.values()):
+        return dict(args)
+    return {k: v for k, v in args.items() if k in takes}
+
+
+def fold_seed(seed: int, fold: int) -> int:
+    """The seed of a fold: it depends on (seed, fold) alone, so order and parallel runs change nothing."""
+    return zlib.crc32(f"{seed}:{fold}".encode())
+
+
+def cv_spatial(data: DataFrame, response: str, folds: Folds, fit_fn, info_fn=None, predict_args: dict | None = None, parallel: int = 1) -> tuple[DataFrame, DataFrame, list[dict]]:
+    """(overall, predictions, extras) of any ``fit_fn(train) -> SpatialFit``; folds that fail are left out with a warning.
+
+    ``fit_fn`` may also take ``fold``; ``info_fn(fit)``, which gives a fold's extras, may also take ``test``, ``y`` and
+    ``yhat`` (column names of ``preds``) and ``preds``.  ``predict_args`` go to ``predict``.  ``parallel`` folds are
+    run at once, each as Spark jobs of its own; results are the same.
+    """
+    def one(fold):
         train, test = folds.train(fold, data), folds.test(fold, data)
         n_train, mean = train.agg(F.count(F.lit(1)), F.avg(response)).first()
         if n_train < 2 or not test.limit(1).count():
-            continue
+            return None
         try:
-            fit = fit_fn(train)
+            fit = fit_fn(train, **filter_args(fit_fn, {"fold": fold})) if "fold" in inspect.signature(fit_fn).parameters else fit_fn(train)
             if not isinstance(fit, SpatialFit):
                 raise TypeError("fit_fn must return a SpatialFit")
-            p = test.join(fit.predict(test), "row_id").select("row_id", F.lit(fold).alias("fold"), F.col(response).cast("double").alias("y"), F.col("pred").alias("yhat"), F.lit(mean).alias("y_train_mean"))
+            p = test.join(fit.predict(test, **(predict_args or {})), "row_id").select("row_id", F.lit(fold).alias("fold"), F.col(response).cast("double").alias("y"), F.col("pred").alias("yhat"), F.lit(mean).alias("y_train_mean"))
+            more = info_fn(fit, **filter_args(info_fn, {"test": test, "preds": p, "y": "y", "yhat": "yhat"})) if info_fn else {}
         except Exception as e:
             log.warning("fold %s failed: %s", fold, e)
-            continue
-        extras.append({"fold": fold, "n_train": n_train} | (info_fn(fit) if info_fn else {}))
-        preds = p if preds is None else preds.unionByName(p)
-    if preds is None:
+            return None
+        return p, {"fold": fold, "n_train": n_train} | more
+
+    ids = [f for (f,) in folds.assignment.select("fold").distinct().orderBy("fold").collect()]
+    with ThreadPoolExecutor(max(1, parallel)) as pool:
+        done = [x for x in pool.map(one, ids) if x]
+    if not done:
         raise ValueError("no fold could be fitted")
-    return overall_metrics(preds), preds, extras
+    preds = reduce(DataFrame.unionByName, [p for p, _ in done])
+    return overall_metrics(preds), preds, [x for _, x in done]
 
 
 def cv_gwr(data, response, predictors, folds: Folds | None = None, k: int = 5, **options):
@@ -89,21 +115,33 @@ def cv_gwr(data, response, predictors, folds: Folds | None = None, k: int = 5, *
 
 def cv_forest(data, response, predictors, folds: Folds | None = None, k: int = 5, seed: int = 123, **options):
     folds = folds or make_folds(data, k)
-    return cv_spatial(data, response, folds, lambda t: fit_forest(t, response, predictors, seed=seed, **options))
+    return cv_spatial(data, response, folds, lambda t, fold: fit_forest(t, response, predictors, seed=fold_seed(seed, fold), **options))
 
 
-def cv_gp(data, response, predictors, folds: Folds | None = None, k: int = 5, **options):
+def cv_gp(data, response, predictors, folds: Folds | None = None, k: int = 5, levels=(0.5, 0.8, 0.95), **options):
+    """Extras of a fold: basis, draws, mean CRPS and the share of observations inside the central intervals of ``levels``."""
     folds = folds or make_folds(data, k)
-    return cv_spatial(data, response, folds, lambda t: fit_gp(t, response, predictors, **options), lambda f: {"gp_k": f.info["k"], "gp_n_basis": f.info["k"] ** 2})
+
+    def scores(fit, test):
+        d = test.where(F.col(response).isNotNull()).join(fit.predict(test, draws=True).where("pred is not null"), "row_id")
+        names = [f"coverage_{round(100 * level)}" for level in levels]
+        row = d.agg(F.avg(crps_energy("draws", response)), *[F.avg(covered("draws", response, level)) for level in levels]).first()
+        return {"gp_k": fit.info["k"], "gp_n_basis": fit.info["k"] ** 2, "n_draws": len(fit.info["draws"]), "CRPS": row[0]} | dict(zip(names, row[1:], strict=True))
+
+    return cv_spatial(data, response, folds, lambda t: fit_gp(t, response, predictors, **options), scores)
 
 
-def compare_models(fits: dict[str, SpatialFit], new: DataFrame | None = None) -> list[dict]:
-    """In-sample (or new-data) metrics by model, with AICc and fallback flags of local regressions."""
+def compare_models(fits: dict[str, SpatialFit], new: DataFrame | None = None, moran_k: int | None = None) -> list[dict]:
+    """In-sample (or new-data) metrics by model, with AICc and fallback flags of local regressions; with ``moran_k`` also
+    Moran's I of the residuals, its z and p, over so many neighbours."""
+    moran = {} if moran_k is None else {r["model"]: r for r in residual_morans(fits, moran_k)}
     out = []
     for name, fit in fits.items():
         row = fit.metrics(new).first().asDict() | {"model": name, "engine": fit.engine}
         if fit.engine == "GWR":
             row |= {"AICc": fit.aicc(), "bandwidth_is_fallback": fit.info["fallback"]}
+        if name in moran:
+            row |= {"moran_I": moran[name]["I"], "moran_z": moran[name]["z"], "moran_p": moran[name]["p"]}
         out.append(row)
     return out
 

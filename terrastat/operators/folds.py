@@ -81,13 +81,36 @@ def lightest_first(sizes: list[tuple[int, int]], k: int) -> dict[int, int]:
     return out
 
 
-def block_folds(points: DataFrame, k: int, nx=None, ny=None, multiplier: float = 3, size: float | None = None) -> Folds:
-    """Whole blocks of an even grid over the extent; empty blocks drop out.  Block counts are small, rows stay distributed."""
-    box = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+def block_folds(
+    points: DataFrame, k: int, nx=None, ny=None, multiplier: float = 3, size: float | None = None, box=None,
+    auto_range: bool = False, range_frac: float = 1.0, response: str | None = None, predictors=(), drop_empty: bool = True, seed: int = 123,
+) -> Folds:
+    """Whole blocks of an even grid over the extent (or over ``box``, widened where points lie outside).  Block counts are
+    small, rows stay distributed.
+
+    With ``auto_range`` the range of autocorrelation of ``response`` is the block size, unless one is given.
+    Empty blocks drop out unless ``drop_empty`` is false, when they count among the blocks that folds need.
+    """
+    ext = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    box = ext if box is None else (min(box[0], ext[0]), max(box[1], ext[1]), min(box[2], ext[2]), max(box[3], ext[3]))
+    if auto_range and response is None:
+        log.warning("auto_range needs a response: blocks by geometry")
+    elif auto_range:
+        from .autocorr import sac_range
+
+        found = sac_range(points, response, predictors, range_frac=range_frac, seed=seed).value
+        if found is None:
+            log.warning("no range could be estimated: blocks by geometry")
+        elif size is not None and size < found:
+            log.warning("blocks of %.1f are smaller than the range of autocorrelation, %.1f", size, found)
+        size = found if size is None else size
     nx, ny = block_dims(box[1] - box[0], box[3] - box[2], k, nx, ny, multiplier, size)
     blocks = lattice_block(points, nx, ny, box)
     sizes = [(r["block"], r["n"]) for r in blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()]
-    if len(sizes) < 2:
+    if not drop_empty:
+        seen = {b for b, _ in sizes}
+        sizes += [(b, 0) for b in range(nx * ny) if b not in seen]
+    if sum(n > 0 for _, n in sizes) < 2:
         raise ValueError("a single block holds all points")
     k = min(k, len(sizes))
     at = lightest_first(sizes, k)
@@ -149,10 +172,11 @@ def nndm_folds(points: DataFrame, prediction: DataFrame, seed: int = 123, draw=N
     b = b.withColumns({"__bx": place("x", F.col("__s")), "__by": place("y", F.col("__s"))})
     order = Window.partitionBy("i").orderBy("d", "j")
     near = a.join(b, ["__s", "__bx", "__by"]).where("i <> j").withColumn("d", F.sqrt(squared_distance("xi", "yi", "x", "y"))).where("d <= 2 * radius")
-    near = near.select("i", "j", "d", "radius")
-    alone = points.join(near.select(F.col("i").alias("row_id")), "row_id", "left_anti")
-    first = knn_join(alone, points, 1, exclude_self=True).select("i", "j", "d").join(radius, "i")
-    pairs = near.unionByName(first).withColumn("rank", F.row_number().over(order)).persist()
+    near = near.select("i", "j", "d", "radius").persist()
+    alone = points.join(near.select(F.col("i").alias("row_id")).distinct(), "row_id", "left_anti").persist()
+    if alone.limit(1).count():
+        near = near.unionByName(knn_join(alone, points, 1, exclude_self=True).select("i", "j", "d").join(radius, "i"))
+    pairs = near.withColumn("rank", F.row_number().over(order)).persist()
     cut = pairs.groupBy("i").agg(F.min(F.struct(F.abs(F.col("d") - F.col("radius")).alias("gap"), "rank")).alias("m"), F.first("radius").alias("radius"))
     cut = cut.select("i", "radius", F.when(F.col("m.rank") > n - 2, F.greatest(F.lit(1), F.lit(n - 2))).otherwise(F.col("m.rank")).alias("cut"))
     out = pairs.drop("radius").join(cut, "i")
@@ -166,7 +190,7 @@ def make_folds(points: DataFrame, k: int | None = None, method: str = "block_kfo
     if method == "random_kfold":
         return random_folds(points, k, seed, **options)
     if method == "block_kfold":
-        return block_folds(points, k, **options)
+        return block_folds(points, k, seed=seed, **options)
     if method == "buffered_loo":
         return buffered_loo(points, **options)
     if method == "leave_location_out":
@@ -176,8 +200,12 @@ def make_folds(points: DataFrame, k: int | None = None, method: str = "block_kfo
     raise ValueError(f"unknown fold method: {method}")
 
 
-def remap_folds(folds: Folds, kept: DataFrame) -> Folds:
-    """Folds restricted to surviving rows; a fold without test rows drops out of the assignment."""
+def remap_folds(folds: Folds | None, kept: DataFrame, k: int = 5, seed: int = 123) -> Folds:
+    """Folds restricted to surviving rows; a fold without test rows drops out of the assignment.  Without folds, random
+    ones of the surviving rows are made, with a warning."""
+    if folds is None:
+        log.warning("no folds to restrict: random folds are used")
+        return random_folds(kept, k, seed)
     ids = kept.select("row_id")
     rest = folds.assignment.join(ids, "row_id", "left_semi")
     gone = None if folds.excluded is None else folds.excluded.join(ids, "row_id", "left_semi").join(rest.select("fold").distinct(), "fold", "left_semi")

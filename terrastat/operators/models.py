@@ -401,6 +401,17 @@ def lengthscale_bounds(d: np.ndarray, q_small: float = 0.25) -> tuple[float, flo
     return lo, max(hi, 1.2 * lo)
 
 
+def lengthscale_bounds_of(points: DataFrame, q_small: float = 0.25) -> tuple[float, float]:
+    """The same of a layer's pairwise distances, by an aggregate over its pairs (callers bound the layer)."""
+    left = points.select(F.col("row_id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"))
+    d = all_pairs(left, points.select("row_id", "x", "y")).where("i < row_id").select(F.sqrt(squared_distance("xi", "yi", "x", "y")).alias("d")).where("d > 0")
+    small, most = d.agg(F.percentile("d", q_small), F.max("d")).first()
+    if small is None:
+        return 0.001, 1.0
+    lo, hi = small / math.sqrt(2 * math.log(20)), most / math.sqrt(2 * math.log(20))
+    return lo, max(hi, 1.2 * lo)
+
+
 def basis_spec(half_range: float, bounds: tuple[float, float], k_min: int = 10, max_basis: int = 2500) -> tuple[int, float, bool]:
     """(basis functions per axis, boundary factor, capped) from the length scales to be resolved."""
     s = half_range if half_range > 0 else 1.0

@@ -283,7 +283,6 @@ def optimal_levels(points: DataFrame, max_levels: int = 12, top_n: int = 3, samp
     if response is None:
         return near[:top_n], out
     tried = [k for k in range(max(2, knee - max(4, top_n)), min(k_max, knee + max(4, top_n)) + 1)]
-    top, span = max(wss), (max(wss) - min(wss)) or 1.0
     for k in tried:
         cells = fits[k].transform(v).groupBy("prediction").agg(*[F.avg(c).alias(c) for c in ("x", "y", response, *predictors)]).withColumnRenamed("prediction", "row_id").persist()
         beta = ols(cells, response, list(predictors)) if k >= 4 else None
@@ -291,14 +290,21 @@ def optimal_levels(points: DataFrame, max_levels: int = 12, top_n: int = 3, samp
         if beta is not None:
             r = morans_i(cells.select("row_id", (F.col(response) - linear(beta, list(predictors))).alias("e")), knn_weights(cells, 8)).first()
             i = abs(r["I"]) if r["I"] is not None else None
-        gap = 1 - (wss[k - 1] - min(wss)) / span - (k - 1) / max(1, k_max - 1) if top else 0.0
-        out[k - 1] |= {"moran": i, "gap": gap}
+        out[k - 1] |= {"moran": i}
+    # distance to the chord of the curve over the numbers tried; a missing Moran ranks last
+    x = (np.array(tried) - tried[0]) / max(1, tried[-1] - tried[0])
+    w = np.array([wss[k - 1] for k in tried])
+    w = (w - w.min()) / max(np.ptp(w), 2.220446049250313e-16)
+    chord = math.hypot(x[-1] - x[0], w[-1] - w[0])
+    gaps = np.abs((w[-1] - w[0]) * x - (x[-1] - x[0]) * w + x[-1] * w[0] - w[-1] * x[0]) / chord if chord > 2.220446049250313e-16 else np.zeros(len(x))
+    known = [out[k - 1]["moran"] for k in tried if out[k - 1]["moran"] is not None]
+    for k, gap in zip(tried, gaps.tolist(), strict=True):
+        out[k - 1]["gap"] = gap
 
     def ranks(values):
         order = sorted(values)
         return [order.index(x) + (order.count(x) - 1) / 2 for x in values]
 
-    usable = [k for k in tried if out[k - 1].get("moran") is not None] or tried
-    a = ranks([-out[k - 1]["gap"] for k in usable])
-    b = ranks([out[k - 1].get("moran") or 0.0 for k in usable])
-    return [k for _, k in sorted(zip([(x + y) / 2 for x, y in zip(a, b, strict=True)], usable, strict=True))][:top_n], out
+    a = ranks([-out[k - 1]["gap"] for k in tried])
+    b = ranks([max([*known, 1]) + 1 if out[k - 1]["moran"] is None else out[k - 1]["moran"] for k in tried])
+    return [k for _, k in sorted(zip([(p + q) / 2 for p, q in zip(a, b, strict=True)], tried, strict=True))][:top_n], out

@@ -81,6 +81,67 @@ nd as (select a.row_id, sqrt(min({d2})) / (select m from nrm) as di from nz a, t
 select row_id, round(di, 6) as "DI", di <= t as "AOA" from nd, th"""
 
 
+_BX = """bx as (select row_id, x as x0, y as y0, x + 10 + row_id % 90 as x1, y + 20 + row_id % 70 as y1 from pts),
+ov as (select row_id, cell_id, (least(x1, xmax) - greatest(x0, xmin)) * (least(y1, ymax) - greatest(y0, ymin)) as a, (xmax - xmin) * (ymax - ymin) as s
+  from bx, boxes where x0 <= xmax and xmin <= x1 and y0 <= ymax and ymin <= y1)"""
+_EDGE2 = "greatest(xmin - x, 0, x - xmax) * greatest(xmin - x, 0, x - xmax) + greatest(ymin - y, 0, y - ymax) * greatest(ymin - y, 0, y - ymax)"
+_TRI = "d as (select row_id, x, y, (3 + row_id % 40)::double as a, (5 + row_id % 30)::double as b from pts)"
+_MORAN = """m as (select avg(z) as m from v), e as (select row_id, z - m as e from v, m),
+q as (select sum(e*e) q2, sum(e*e*e*e) q4, count(*)::double as n from e),
+s as (select sum(w.w) s0, sum(w.w * a.e * b.e) as cr, sum(w.w*w.w + w.w*coalesce(t.w, 0)) as s1 from w join e a on a.row_id = w.i join e b on b.row_id = w.j left join w t on t.i = w.j and t.j = w.i),
+p as (select sum(t*t) as s2 from (select p, sum(w) as t from (select i as p, w from w union all select j, w from w) group by p)),
+mo as (select n, s0, n/s0*cr/q2 as mi, -1/(n-1) as ex, (n*((n*n-3*n+3)*s1-n*s2+3*s0*s0) - (q4/n)/((q2/n)*(q2/n))*((n*n-n)*s1-2*n*s2+6*s0*s0)) / ((n-1)*(n-2)*(n-3)*s0*s0) - 1/((n-1)*(n-1)) as va from q, s, p)"""
+_METRICS = """a as (select count(*) as n, sqrt(avg((y-f)*(y-f))) as r, avg(abs(y-f)) as ma, 100 * avg(case when abs(y) > 2.220446049250313e-14 then abs(y-f)/abs(y) end) as mp, 100 * avg(case when abs(y)+abs(f) > 2.220446049250313e-14 then 2*abs(y-f)/(abs(y)+abs(f)) end) as sm, 1 - sum((y-f)*(y-f))/sum((y-b)*(y-b)) as r2 from d)
+select n, round(r, 6) as "RMSE", round(ma, 6) as "MAE", round(mp, 6) as "MAPE", round(sm, 6) as "SMAPE", round(r2, 6) as "R2", null::double as "Adj_R2" from a"""
+
+
+def _three(sums, tail):
+    """Weighted least squares on two predictors and an intercept by Cramer's rule, from sums s00 .. s22, t0 .. t2."""
+    det = lambda a, b, c: f"({a[0]}*({b[1]}*{c[2]}-{b[2]}*{c[1]}) - {a[1]}*({b[0]}*{c[2]}-{b[2]}*{c[0]}) + {a[2]}*({b[0]}*{c[1]}-{b[1]}*{c[0]}))"
+    rows = [["s00", "s01", "s02"], ["s01", "s11", "s12"], ["s02", "s12", "s22"]]
+    put = lambda k: [[f"t{i}" if j == k else rows[i][j] for j in range(3)] for i in range(3)]
+    return f"sm as ({sums}), be as (select *, {det(*rows)} as det from sm), co as (select *, {', '.join(f'{det(*put(k))}/det as b{k}' for k in range(3))} from be) {tail}"
+
+
+def _more():
+    blocks = "(greatest(0, least(ceil((y - y0) * (NY / (y1 - y0))) - 1, NY - 1)) * NX + greatest(0, least(ceil((x - x0) * (NX / (x1 - x0))) - 1, NX - 1)))::int"
+    l_area = "(greatest(0, least(cx + 120, 1000) - cx) * greatest(0, least(cy + 120, 330) - cy) + greatest(0, least(cx + 120, 410) - cx) * greatest(0, least(cy + 120, 900) - greatest(cy, 330)))::double"
+    w2 = "sum(w) s00, sum(w*u1) s01, sum(w*u2) s02, sum(w*u1*u1) s11, sum(w*u1*u2) s12, sum(w*u2*u2) s22, sum(w*v) t0, sum(w*u1*v) t1, sum(w*u2*v) t2"
+    q = math.sqrt(2 * math.log(20))
+    return {
+        "layer_from_table": "select row_number() over (order by s_acctbal desc, s_suppkey) as row_id, s_acctbal as x, s_nationkey::double as y, s_suppkey from supplier",
+        "prepared_rows": f"with {EMB} select row_id, round(x, 6) as x, round(y, 6) as y, round(z, 6) as z from pts where row_id % 13 <> 0 and row_id % 11 <> 0 and row_id % 7 <> 0",
+        "polygon_measures": f"with {CUST}, {_TRI} select row_id, a * b / 2 as area, round(a + b + sqrt(a*a + b*b), 6) as perimeter, round(x + a / 3, 6) as cx, round(y + b / 3, 6) as cy, x + a / 2 as mx, y + b / 2 as my, round(x + a / 4, 6) as sx, y + b / 2 as sy from d",
+        "coerced_lines": f"with {CUST}, {_TRI} select row_id, a + b as length, case when (a + b) / 2 <= a then x + (a + b) / 2 else x + a end as x, case when (a + b) / 2 <= a then y else y + (a + b) / 2 - a end as y from d",
+        "assign_polygons_largest": f"with {CUST}, {BOXES}, {_BX}, r as (select *, row_number() over (partition by row_id order by round(a, 9) desc, cell_id) as k from ov) select bx.row_id, r.cell_id from bx left join r on r.row_id = bx.row_id and k = 1",
+        "assign_polygons_smallest": f"with {CUST}, {BOXES}, {_BX}, r as (select *, row_number() over (partition by row_id order by s, cell_id) as k from ov) select row_id, cell_id from r where k = 1",
+        "polygon_overlaps": f"with {CUST}, {BOXES}, {_BX} select row_id as feature_id, cell_id, round(a, 6)::double as overlap from ov",
+        "cells_within_distance": f"with {CUST}, {BOXES} select row_id, cell_id from pts, boxes where {_EDGE2} <= 625",
+        "points_within_cells": f"with {CUST}, {BOXES} select row_id, cell_id from pts, boxes where x > xmin and x < xmax and y > ymin and y < ymax",
+        "grid_clipped": f"with c as (select iy * 9 + ix as i, ix * 120.0::double as cx, iy * 120.0::double as cy from range(9) a(ix), range(8) b(iy)), m as (select *, {l_area} as area from c) select row_number() over (order by i) as cell_id, round(area, 6) as area, cx as xmin, cy as ymin from m where area > 1e-8",
+        "grid_by_target": "select (iy * 6 + ix + 1)::bigint as cell_id, ix * 100.0::double as xmin, iy * 100.0::double as ymin, 10000.0::double as area from range(6) a(ix), range(4) b(iy)",
+        "clip_extent": f"with {CUST}, e as (select min(x) a, max(x) b, min(y) c, max(y) d from pts), p as (select *, 0.1::double * greatest(b - a, d - c) as p from e) select round(a - p, 6) as x0, round(b + p, 6) as x1, round(c - p, 6) as y0, round(d + p, 6) as y1 from p",
+        "reprojected": f"with {LL} select row_id, s as system, round(lon::double, 6) as x, round(lat::double, 6) as y from pts, (values ('utm'), ('webmerc'), ('albers'), ('laea')) t(s)",
+        "nearest_distance": f"with {EMB}, g as (select (iy * 20 + ix + 1)::bigint as row_id, -475 + ix * 50.0 as x, -475 + iy * 50.0 as y from range(20) a(ix), range(20) b(iy)) select g.row_id, round(sqrt(min((g.x-p.x)*(g.x-p.x)+(g.y-p.y)*(g.y-p.y))), 6) as d from g, pts p group by g.row_id",
+        "ranks_with_ties": f"with {CUST}, v as (select *, floor(z / 500) as v from pts) select row_id, rank() over (partition by grp order by v) + (count(*) over (partition by grp, v) - 1) / 2.0::double as rank from v",
+        "cell_summary_all_cells": f"with {CUST}, {BOXES}, every as (select * from boxes union all select 9, xmin + 5000, ymin, xmax + 5000, ymax from boxes where cell_id = 2), h as (select pts.row_id, z, e.cell_id, row_number() over (partition by pts.row_id order by (xmax-xmin)*(ymax-ymin), e.cell_id) as r from pts join every e on x between xmin and xmax and y between ymin and ymax where x < 700), s as (select cell_id, count(*) as n, avg(z) as m, stddev_samp(z) as sd from h where r = 1 group by cell_id) select e.cell_id, n, round(m, 6) as resp_mean_z, round(sd, 6) as sd_resp_z, round(sd / sqrt(n), 6) as se_resp_z, n::double as cell_weight from every e left join s using (cell_id)",
+        "cell_summary_variogram": f"with {CUST}, g as (select grp, count(*) as n, avg(z) as m, stddev_samp(z) as sd from pts group by grp), s as (select a.grp, sum(least(1, 0.8 * exp(-sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) / 60))) as s from pts a join pts b on a.grp = b.grp and a.row_id < b.row_id group by a.grp), f as (select g.*, greatest(1, least(1 + 2 * coalesce(s, 0) / n, n)) as d from g left join s using (grp)) select grp, n, round(m, 6) as resp_mean_z, round(sd, 6) as sd_resp_z, round(sd / sqrt(n / d), 6) as se_resp_z, round(n / d, 6)::double as cell_weight from f",
+        "cv_ols_overall": _CV + ", d as (select y, yhat as f, y_train_mean as b from o), " + _METRICS,
+        "folds_remapped": f"with {CUST}, {_folds(7)} select fold, count(*) as n, sum(row_id)::bigint as ids from f where z > 0 group by fold",
+        "folds_without_rows": f"with {EMB}, s as (select * from pts where row_id < 100) select a.row_id as fold, count(*) filter (where a.row_id <> b.row_id and (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) > 6400) as n_train from s a, s b group by a.row_id",
+        "ols_predictions": f"with {EMB}, " + _three("select " + w2.replace("sum(w)", "count(*)::double").replace("sum(w*", "sum(") + " from (select w1 as u1, w2 as u2, z as v from pts where row_id % 3 <> 0)", "select row_id, case when row_id % 17 <> 0 then round(b0 + b1 * w1 + b2 * w2, 6) end as pred from pts, co"),
+        "ols_metrics": f"with {EMB}, k as (select regr_slope(z, w1) as s, regr_intercept(z, w1) as c, avg(z) as m from pts), d as (select z as y, c + s * w1 as f, m as b from pts, k), " + _METRICS,
+        "residual_moran": f"with {EMB}, {_KNN}, w as (select i, j, 0.125 as w from knn where r <= 8), k as (select regr_slope(z, w1) as s, regr_intercept(z, w1) as c from pts), v as (select row_id, z - c - s * w1 as z from pts, k), " + _MORAN + " select 'linear' as model, n::bigint as n, round(mi, 6)::double as moran, round((mi-ex)/sqrt(va), 6)::double as z from mo",
+        "gp_basis": f"with {EMB}, d as (select sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) as d from pts a, pts b where a.row_id < b.row_id), b as (select quantile_cont(d, 0.25) / {q!r} as lo, max(d) / {q!r} as h from d where d > 0), c as (select lo, greatest(h, 1.2::double * lo) as hi from b), e as (select *, greatest(3.2::double * hi / 500, 1.2::double) as c from c), f as (select *, greatest(10, ceil(1.75::double * c / (lo / 500))) as want from e) select round(lo, 6) as low, round(hi, 6) as high, least(want, 50)::int as k, round(c, 6) as c, want > 50 as capped from f",
+        "gwr_fit_local": f"with {EMB}, pr as (select a.row_id as i, b.w1 as u1, b.w2 as u2, b.z as v, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) as d, row_number() over (partition by a.row_id order by sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)), b.row_id) as rk from pts a, pts b), bw as (select *, max(case when rk <= 80 then d end) over (partition by i) as b from pr), w as (select *, case when d < b then (1 - d/b*d/b) * (1 - d/b*d/b) else 0 end as w from bw), " + _three(f"select i, {w2} from w group by i", "select i as row_id, round(b0, 4) as intercept, round(b1, 4) as w1, round(b2, 4) as w2 from co"),
+        "folds_block": f"""with recursive {CUST}, ext as (select min(x) x0, max(x) x1, min(y) y0, max(y) y1 from pts), dim as (select *, greatest(1, round_even(sqrt(15 * (x1 - x0) / (y1 - y0)), 0)) as nx from ext), dims as (select *, greatest(1, round_even(15 / nx, 0)) as ny from dim),
+b as (select row_id, {blocks.replace("NX", "nx").replace("NY", "ny")} as block from pts, dims), z as (select block, count(*) as n from b group by block), r as (select *, row_number() over (order by n desc, block) as k from z), c as (select least(5, count(*)) as k from z),
+s(k, loads, fold, block) as (select 0::bigint, list_transform(range(c.k), lambda i: 0::bigint), 0::bigint, -1 from c
+  union all select r.k, list_transform(range(1, len(loads) + 1), lambda i: loads[i] + case when i = list_position(loads, list_min(loads)) then r.n else 0 end), list_position(loads, list_min(loads))::bigint, r.block from s join r on r.k = s.k + 1)
+select b.row_id, s.fold::int as fold from b join s using (block)""",
+    }
+
+
 def oracle_sql():
     hexstep, hexnx = 250 * math.sqrt(3) / 2, 9
     hexd = lambda r: f"greatest(0, least(round((x - 0 - (({r}) % 2) * 125) / 250), {hexnx - 1}))"
@@ -88,7 +149,7 @@ def oracle_sql():
     near = lambda t: f"select pts.row_id, b.cell_id, row_number() over (partition by pts.row_id order by {t}) as r from pts join boxes b on x between xmin and xmax and y between ymin and ymax"
     edge = "sqrt(greatest(xmin - x, 0, x - xmax) * greatest(xmin - x, 0, x - xmax) + greatest(ymin - y, 0, y - ymax) * greatest(ymin - y, 0, y - ymax))"
     grid = lambda s: f"select (iy * {1000 // s} + ix + 1)::bigint as row_id, -500 + {s} / 2.0 + ix * {s} as x, -500 + {s} / 2.0 + iy * {s} as y from range({1000 // s}) a(ix), range({1000 // s}) b(iy)"
-    return {
+    return _more() | {
         "cell_summary_square": _GRID + " select cell_id, count(*) as n, round(avg(v), 6) as resp_mean_v, round(stddev_samp(v), 6) as sd_resp_v, round(stddev_samp(v) / sqrt(count(v)), 6) as se_resp_v, round(avg(q), 6) as pred_mean_q, round(stddev_samp(q), 6) as sd_pred_q, round(stddev_samp(q) / sqrt(count(q)), 6) as se_pred_q, count(*)::double as cell_weight from g group by cell_id",
         "cell_summary_fixed_deff": _GRID + " select cell_id, count(*) as n, round(avg(v), 6) as resp_mean_v, round(max(v), 6) as resp_max_v, round(stddev_samp(v), 6) as sd_resp_v, round(stddev_samp(v) / sqrt(count(v) / 2.0), 6) as se_resp_v, round(count(*) / 2.0, 6) as cell_weight from g group by cell_id",
         "cell_summary_kish": _GRID + """, s as (select avg(v) m, stddev_samp(v) s from g), z as (select cell_id, (v - m) / s as z from g, s),

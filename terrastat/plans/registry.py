@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import lattice_order, shoelace
+from ..functions.exprs import average_rank, lattice_order, path_length, perimeter, shoelace
 from ..operators import aoa as A
 from ..operators import assign as S
 from ..operators import autocorr as C
 from ..operators import cv as V
 from ..operators import folds as D
+from ..operators import joins as J
 from ..operators import metrics as M
 from ..operators import models as G
+from ..operators import points as Q
+from ..operators import polygons as Y
 from ..operators import surface as P
 from ..operators import tessellate as T
 from ..operators.joins import distance_join, knn_join, nearest_join
-from ..sources.crs import CRS, WEBMERC, forward, utm
-from ..sources.layer import dedup_points, prediction_grid
+from ..sources.crs import CRS, LONGLAT, WEBMERC, forward, harmonize_layers, reproject, utm
+from ..sources.layer import Layer, dedup_points, prediction_grid, prep_model_data
 from .layers import customer_lonlat, customer_points, embedding_points, lineitem_points, literal_cells
 
 BOX = (-500.0, 500.0, -500.0, 500.0)
@@ -216,11 +220,165 @@ def surface_ols(spark, sf_dir):
     return _r(P.predict_surface(G.fit_ols(p, "z", ["w1"]), grid, covariates=p).select("row_id", "w1", "pred"), 6)
 
 
-# no SQL: iterative or random kernels
+def layer_from_table(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_nationkey", "s_acctbal")
+    return Layer.from_xy(d, "s_acctbal", "s_nationkey", order=[F.col("s_acctbal").desc(), F.col("s_suppkey")]).df.select("row_id", "x", "y", "s_suppkey")
+
+
+def prepared_rows(spark, sf_dir):
+    p = embedding_points(spark, sf_dir).withColumn("w1", F.when(F.col("row_id") % 13 != 0, F.col("w1"))).withColumn("z", F.when(F.col("row_id") % 11 == 0, F.lit(float("inf"))).when(F.col("row_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("z")))
+    return _r(prep_model_data(Layer(p, WEBMERC), "z", ["w1", "w2"]).df.select("row_id", "x", "y", "z"), 6)
+
+
+def _boxes(spark, sf_dir):
+    """A box for each customer: corner at its point, sides by its number."""
+    d = customer_points(spark, sf_dir).select("row_id", F.col("x").alias("xmin"), F.col("y").alias("ymin"), (F.col("x") + 10 + F.col("row_id") % 90).alias("xmax"), (F.col("y") + 20 + F.col("row_id") % 70).alias("ymax"))
+    ring = F.array(*[F.struct(F.col(a).alias("x"), F.col(b).alias("y")) for a, b in (("xmin", "ymin"), ("xmax", "ymin"), ("xmax", "ymax"), ("xmin", "ymax"))])
+    return d.withColumn("rings", F.array(ring))
+
+
+def polygon_measures(spark, sf_dir):
+    """Right triangles at the customers' points."""
+    d = customer_points(spark, sf_dir).withColumns({"a": F.lit(3.0) + F.col("row_id") % 40, "b": F.lit(5.0) + F.col("row_id") % 30})
+    corner = lambda dx, dy: F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
+    d = d.withColumn("rings", F.array(F.array(corner(F.lit(0.0), F.lit(0.0)), corner(F.col("a"), F.lit(0.0)), corner(F.lit(0.0), F.col("b")))))
+    c, m, s = Q.polygon_centroid("rings"), Q.bbox_center("rings"), Q.surface_point("rings")
+    return _r(d.select("row_id", shoelace("rings").alias("area"), perimeter("rings").alias("perimeter"), c["x"].alias("cx"), c["y"].alias("cy"), m["x"].alias("mx"), m["y"].alias("my"), s["x"].alias("sx"), s["y"].alias("sy")), 6)
+
+
+def coerced_lines(spark, sf_dir):
+    """Lines of two legs from the customers' points, by their midpoints."""
+    d = customer_points(spark, sf_dir).withColumns({"a": F.lit(3.0) + F.col("row_id") % 40, "b": F.lit(5.0) + F.col("row_id") % 30})
+    corner = lambda dx, dy: F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
+    d = d.withColumn("paths", F.array(F.array(corner(F.lit(0.0), F.lit(0.0)), corner(F.col("a"), F.lit(0.0)), corner(F.col("a"), F.col("b"))))).withColumn("length", path_length("paths"))
+    return _r(Q.coerce_to_points(d.select("row_id", "length", "paths"), "line", "paths"), 6)
+
+
+def assign_polygons_largest(spark, sf_dir):
+    return Y.assign_polygons(_boxes(spark, sf_dir), literal_cells(spark), keep_unassigned=True).select("row_id", "cell_id")
+
+
+def assign_polygons_smallest(spark, sf_dir):
+    return Y.assign_polygons(_boxes(spark, sf_dir), literal_cells(spark), largest=False).select("row_id", "cell_id")
+
+
+def polygon_overlaps(spark, sf_dir):
+    return _r(Y.polygon_overlaps(_boxes(spark, sf_dir), literal_cells(spark)).select("feature_id", "cell_id", "overlap"), 6)
+
+
+def cells_within_distance(spark, sf_dir):
+    return J.polygon_matches(customer_points(spark, sf_dir).select("row_id", "x", "y"), literal_cells(spark), predicate="within_distance", distance=25.0).select("row_id", "cell_id")
+
+
+def points_within_cells(spark, sf_dir):
+    return J.polygon_matches(customer_points(spark, sf_dir).select("row_id", "x", "y"), literal_cells(spark), predicate="within").select("row_id", "cell_id")
+
+
+def grid_clipped(spark, sf_dir):
+    """A grid over an L, cut to it and numbered after that."""
+    edge = [np.array([[0.0, 0.0], [1000.0, 0.0], [1000.0, 330.0], [410.0, 330.0], [410.0, 900.0], [0.0, 900.0]])]
+    return Y.grid_polygons(spark, edge, cellsize=120.0).select("cell_id", F.round(F.abs(shoelace("rings")), 6).alias("area"), F.round("xmin", 6).alias("xmin"), F.round("ymin", 6).alias("ymin"))
+
+
+def grid_by_target(spark, sf_dir):
+    edge = [np.array([[0.0, 0.0], [600.0, 0.0], [600.0, 400.0], [0.0, 400.0]])]
+    return Y.grid_polygons(spark, edge, target=24, clip=False).select("cell_id", F.round("xmin", 6).alias("xmin"), F.round("ymin", 6).alias("ymin"), F.round(F.abs(shoelace("rings")), 4).alias("area"))
+
+
+def clip_extent(spark, sf_dir):
+    x0, x1, y0, y1 = T.clip_box(customer_points(spark, sf_dir), 0.1)
+    return spark.createDataFrame([(x0, x1, y0, y1)], "x0 double, x1 double, y0 double, y1 double").select(*[F.round(c, 6).alias(c) for c in ("x0", "x1", "y0", "y1")])
+
+
+def reprojected(spark, sf_dir):
+    """From degrees to each system and back, by way of another."""
+    p, out = customer_lonlat(spark, sf_dir), None
+    for name, crs in (("utm", utm(17)), ("webmerc", WEBMERC), ("albers", CRS("albers", (29.5, 45.5, 37.5, -96.0))), ("laea", CRS("laea", (35.0, -78.0)))):
+        d = reproject(reproject(reproject(p, LONGLAT, crs), crs, utm(17)), utm(17), LONGLAT)
+        d = d.select("row_id", F.lit(name).alias("system"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+def harmonized(spark, sf_dir):
+    """Two layers in the system of the second."""
+    p = customer_lonlat(spark, sf_dir)
+    a, b, crs = harmonize_layers(p.where("row_id % 2 = 0"), LONGLAT, reproject(p.where("row_id % 2 = 1"), LONGLAT, utm(17)), utm(17), prefer="b")
+    return _r(a.withColumn("layer", F.lit("a")).unionByName(b.withColumn("layer", F.lit("b"))).withColumn("system", F.lit(crs.kind)), 3)
+
+
+def nearest_distance(spark, sf_dir):
+    return _r(nearest_join(prediction_grid(spark, BOX, cell_size=50.0), embedding_points(spark, sf_dir)).select(F.col("i").alias("row_id"), "d"), 6)
+
+
+def ranks_with_ties(spark, sf_dir):
+    d = customer_points(spark, sf_dir).withColumn("v", F.floor(F.col("z") / 500))
+    rank, ties = average_rank(Window.partitionBy("grp").orderBy("v"), Window.partitionBy("grp", "v"))
+    return d.select("row_id", (rank + (ties - 1) / 2).alias("rank"))
+
+
+def cell_summary_all_cells(spark, sf_dir):
+    """Every cell has a row, those without points too."""
+    p = customer_points(spark, sf_dir).where("x < 700")
+    cells = literal_cells(spark).unionByName(literal_cells(spark).where("cell_id = 2").withColumn("cell_id", F.lit(9).cast("long")).withColumn("xmin", F.col("xmin") + 5000).withColumn("xmax", F.col("xmax") + 5000).withColumn("rings", F.transform("rings", lambda r: F.transform(r, lambda v: F.struct((v["x"] + 5000).alias("x"), v["y"].alias("y"))))))
+    s = S.summarize_by_cell(S.assign_to_cells(p, cells), "z", cells=cells)
+    return _r(s.select("cell_id", "n", "resp_mean_z", "sd_resp_z", "se_resp_z", "cell_weight"), 6)
+
+
+def cell_summary_variogram(spark, sf_dir):
+    return _r(S.summarize_by_cell(customer_points(spark, sf_dir), "z", [], "grp", deff="variogram", structures=MODEL), 6)
+
+
+def cv_ols_overall(spark, sf_dir):
+    p = embedding_points(spark, sf_dir)
+    return _r(V.overall_metrics(V.cv_ols(p, "z", ["w1"], D.random_folds(p, 5, order=lattice_order("row_id", 42)))), 6)
+
+
+def folds_remapped(spark, sf_dir):
+    p = customer_points(spark, sf_dir)
+    f = D.remap_folds(D.random_folds(p, 7, order=lattice_order("row_id", 42)), p.where("z > 0"))
+    return f.assignment.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("row_id").alias("ids"))
+
+
+def folds_without_rows(spark, sf_dir):
+    """Train sizes of buffered folds: all rows but the test row and its excluded ones."""
+    p = embedding_points(spark, sf_dir).where("row_id < 100")
+    f = D.buffered_loo(p, 80.0)
+    out = f.assignment.select("fold").crossJoin(F.broadcast(p.agg(F.count(F.lit(1)).alias("n"))))
+    gone = f.excluded.groupBy("fold").agg(F.count(F.lit(1)).alias("m"))
+    return out.join(gone, "fold", "left").select("fold", (F.col("n") - 1 - F.coalesce("m", F.lit(0))).alias("n_train"))
+
+
+def ols_predictions(spark, sf_dir):
+    """Rows without a predictor stay, without a prediction."""
+    p = embedding_points(spark, sf_dir)
+    fit = G.fit_ols(p.where("row_id % 3 <> 0"), "z", ["w1", "w2"])
+    return _r(fit.predict(p.withColumn("w1", F.when(F.col("row_id") % 17 != 0, F.col("w1")))), 6)
+
+
+def ols_metrics(spark, sf_dir):
+    p = embedding_points(spark, sf_dir)
+    return _r(G.fit_ols(p, "z", ["w1"]).metrics(), 6)
+
+
+def residual_moran(spark, sf_dir):
+    r = V.residual_morans({"linear": G.fit_ols(embedding_points(spark, sf_dir), "z", ["w1"])}, 8)
+    return _r(spark.createDataFrame([(x["model"], x["n"], x["I"], x["z"]) for x in r], "model string, n long, moran double, z double"), 6)
+
+
+def gp_basis(spark, sf_dir):
+    """Bounds of the length scales of a layer, and the basis that they ask for."""
+    p = embedding_points(spark, sf_dir).select("row_id", "x", "y").orderBy(F.xxhash64("row_id", F.lit(123)), "row_id").limit(1000)
+    lo, hi = G.lengthscale_bounds_of(p)
+    k, c, capped = G.basis_spec(500.0, (lo, hi))
+    return _r(spark.createDataFrame([(lo, hi, k, c, capped)], "low double, high double, k int, c double, capped boolean"), 6)
 
 
 def gwr_fit_local(spark, sf_dir):
-    return G.fit_gwr(embedding_points(spark, sf_dir), "z", ["w1", "w2"], 80).coef()
+    return _r(G.fit_gwr(embedding_points(spark, sf_dir), "z", ["w1", "w2"], 80).coef())
+
+
+# no SQL: iterative or random kernels
 
 
 def forest_oob(spark, sf_dir):

@@ -22,7 +22,9 @@ class Layer:
         if row_id is None:
             if order is None:
                 raise ValueError("rows need an id column, or an order to be numbered by")
-            df, row_id = df.withColumn("__row_id", F.row_number().over(Window.orderBy(*order)).cast("long")), "__row_id"
+            from ..operators.joins import global_rank
+
+            df, row_id = global_rank(df, *order, name="__rank").withColumn("__row_id", F.col("__rank") + 1).drop("__rank"), "__row_id"
         rest = [c for c in df.columns if c not in (x, y, row_id, "row_id", "x", "y")]
         return Layer(df.select(F.col(row_id).alias("row_id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), *rest), crs)
 
