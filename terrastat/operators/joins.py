@@ -120,8 +120,8 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, exclude_self: bool = Fal
         if last:
             out = met.select("i", "j", F.sqrt("d2").alias("d"), "rank")
             return out if done is None else done.unionByName(out)
+        met = met.select("i", "j", "d2", "rank").persist()  # k rows a point: both uses below read it, and so does the result
         sure = met.groupBy("i").agg(F.count(F.lit(1)).alias("__n"), F.max("d2").alias("__far")).where((F.col("__n") == k) & (F.col("__far") <= width * width)).select("i")
-        sure = sure.persist()
         out = met.join(sure, "i", "left_semi").select("i", "j", F.sqrt("d2").alias("d"), "rank")
         done = out if done is None else done.unionByName(out)
         todo = todo.join(sure, "i", "left_anti")

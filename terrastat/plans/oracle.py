@@ -122,6 +122,10 @@ def _more():
         "grid_by_target": "select (iy * 6 + ix + 1)::bigint as cell_id, ix * 100.0::double as xmin, iy * 100.0::double as ymin, 10000.0::double as area from range(6) a(ix), range(4) b(iy)",
         "clip_extent": f"with {CUST}, e as (select min(x) a, max(x) b, min(y) c, max(y) d from pts), p as (select *, 0.1::double * greatest(b - a, d - c) as p from e) select round(a - p, 6) as x0, round(b + p, 6) as x1, round(c - p, 6) as y0, round(d + p, 6) as y1 from p",
         "reprojected": f"with {LL} select row_id, s as system, round(lon::double, 6) as x, round(lat::double, 6) as y from pts, (values ('utm'), ('webmerc'), ('albers'), ('laea')) t(s)",
+        "harmonized": f"""with {LL}, t as (select row_id, sinh(atanh(sin(radians(lat))) - {_S!r} * atanh({_S!r} * sin(radians(lat)))) as t, radians(lon + 81) as l from pts),
+u as (select row_id, atan2(t, cos(l)) as xi, atanh(sin(l) / sqrt(1 + t*t)) as et from t)
+select row_id, round(500000 + {0.9996 * _RAD!r} * (et + {' + '.join(f'{a!r} * cos({2 * j} * xi) * sinh({2 * j} * et)' for j, a in enumerate(_AL, 1))}), 3) as x, round({0.9996 * _RAD!r} * (xi + {' + '.join(f'{a!r} * sin({2 * j} * xi) * cosh({2 * j} * et)' for j, a in enumerate(_AL, 1))}), 3) as y,
+case when row_id % 2 = 0 then 'a' else 'b' end as layer, 'utm' as system from u""",
         "nearest_distance": f"with {EMB}, g as (select (iy * 20 + ix + 1)::bigint as row_id, -475 + ix * 50.0 as x, -475 + iy * 50.0 as y from range(20) a(ix), range(20) b(iy)) select g.row_id, round(sqrt(min((g.x-p.x)*(g.x-p.x)+(g.y-p.y)*(g.y-p.y))), 6) as d from g, pts p group by g.row_id",
         "ranks_with_ties": f"with {CUST}, v as (select *, floor(z / 500) as v from pts) select row_id, rank() over (partition by grp order by v) + (count(*) over (partition by grp, v) - 1) / 2.0::double as rank from v",
         "cell_summary_all_cells": f"with {CUST}, {BOXES}, every as (select * from boxes union all select 9, xmin + 5000, ymin, xmax + 5000, ymax from boxes where cell_id = 2), h as (select pts.row_id, z, e.cell_id, row_number() over (partition by pts.row_id order by (xmax-xmin)*(ymax-ymin), e.cell_id) as r from pts join every e on x between xmin and xmax and y between ymin and ymax where x < 700), s as (select cell_id, count(*) as n, avg(z) as m, stddev_samp(z) as sd from h where r = 1 group by cell_id) select e.cell_id, n, round(m, 6) as resp_mean_z, round(sd, 6) as sd_resp_z, round(sd / sqrt(n), 6) as se_resp_z, n::double as cell_weight from every e left join s using (cell_id)",
