@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialise
-from .wordhash import Words, hash_spans, mix, running, text_bytes, words_by_chunk
+from .wordhash import WIDE_BYTES, Words, hash_spans, mix, running, text_bytes, words_by_chunk
 
 FREQUENT, UNSEEN = 1 << 19, 0.05
 TOLERANCE, MOST_ROUNDS = 1e-2, 40  # of the log-likelihood, gained by a round; the rounds are a guard, not a setting
@@ -185,7 +185,7 @@ def _count(batches):
         return pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), words, pa.array(k)], ["hash", "word", "c"])
 
     for batch in batches:
-        for _, _, w in words_by_chunk(batch.column(0)):
+        for _, _, w in words_by_chunk(batch.column(0), most=WIDE_BYTES):
             if len(w):
                 h, first, k = np.unique(w.hash, return_index=True, return_counts=True)
                 held.append((h, k, _word_array(w, first)))
@@ -251,7 +251,7 @@ def _score(sent):
         pieces, logp, log_end, keys, logs, log_base_end, known_end = sent.value
         lattice, known = Lattice(pieces, logp), Known()
         for batch in batches:
-            for a, b, w in words_by_chunk(batch.column(2)):
+            for a, b, w in words_by_chunk(batch.column(2), most=WIDE_BYTES):
                 n = b - a
                 uniq, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
 

@@ -26,6 +26,7 @@ from .shared import materialise
 from .wordhash import mix, words_by_chunk
 
 BANDS, ROWS = 40, 5
+ROWS_AT_ONCE = 1000
 FEW_IDS = 4_000_000  # ids that are broadcast at most: 64 MB
 LEADERS = (1, 8)  # members of a bucket that all others meet, round by round, before the last sweep
 SKETCH_LONGS, ODD_LONGS = (BANDS * ROWS + 15) // 16, 16
@@ -114,12 +115,17 @@ def _differences(a, b):
     return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
 
 
+def _slices(batches):
+    """Batches of at most ROWS_AT_ONCE rows, none of them empty: a worker holds few sets and signatures."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
 def _sign(size):
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             ids, texts = batch.column(0), batch.column(1)
-            if not len(texts):
-                continue
             n, keys, sigs, odd = [], [], [], []
             for found in shingle_sets(texts, size):
                 n.append(len(found))
@@ -136,9 +142,7 @@ def _sign(size):
 
 def _sets(size):
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches):
             found = list(shingle_sets(batch.column(0), size))
             ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             flat = np.concatenate(found).astype(np.int64)

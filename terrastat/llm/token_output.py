@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import pfor
 from .shared import materialise, scratch_path
-from .wordhash import SPACE, chunks, hash_spans, text_bytes
+from .wordhash import SPACE, WIDE_BYTES, chunks, hash_spans, text_bytes
 
 CACHE_PIECES = 1_000_000  # pieces whose ids a worker keeps
 PART_BYTES = 32768  # unknown pieces are encoded in strings of about this size
@@ -104,7 +104,7 @@ class PieceEncoder:
         for special in self.special:  # they may hold or take white space: such texts are encoded whole
             odd |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
         data, offsets = text_bytes(texts)
-        for a, b in chunks(offsets):
+        for a, b in chunks(offsets, WIDE_BYTES):
             part = offsets[a : b + 1] - offsets[a]
             raw = data[offsets[a] : offsets[b]]
             if odd[a:b].any() or not len(raw):
