@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import EPS, all_finite
@@ -34,21 +34,18 @@ def mean_pairwise(z: DataFrame, n: int, max_n: int = 5000, seed: int = 123) -> f
     return d
 
 
-def nearest_in_features(query: DataFrame, data: DataFrame, n: int, other: str | None = None) -> DataFrame:
-    """``row_id, d``: distance of each query row to its nearest data row, of those that differ in column ``other`` where one
-    is named.  Rows meet in growing bins of their first two features, in whose plane no distance is larger."""
-    names = [f"z{k}" for k in range(n)]
+def nearest_in_features(query: DataFrame, data: DataFrame, n: int, condition: Column | None = None) -> DataFrame:
+    """``row_id, d``: distance of each query row (alias a) to its nearest data row (alias b) that meets the condition.
+    Rows meet in growing bins of their first two features, in whose plane no distance is larger."""
     y = F.col("z1") if n > 1 else F.lit(0.0)
-    kept = ["row_id", *([other] if other and other != "row_id" else []), *names]
-    a = query.select(F.col("row_id").alias("i"), F.col("z0").alias("x"), y.alias("y"), *[F.col(c).alias(f"q_{c}") for c in kept])
-    b = data.select(F.col("z0").alias("x"), y.alias("y"), *kept)
+    a = query.select(F.col("row_id").alias("i"), F.col("z0").alias("x"), y.alias("y"), *query.columns)
+    b = data.select(F.col("z0").alias("x"), y.alias("y"), *data.columns)
     x0, x1, y0, y1, m = b.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))).first()
     if not m:
         return query.select("row_id", F.lit(None).cast("double").alias("d")).limit(0)
     width = max(math.sqrt((x1 - x0) * (y1 - y0) * 8 / m), max(x1 - x0, y1 - y0) * 8 / m, 1e-9)
-    d2 = sum((F.pow(F.col(f"q_{c}") - F.col(c), F.lit(2.0)) for c in names), F.lit(0.0))
-    where = F.col(f"q_{other}") != F.col(other) if other else None
-    found = grow_nearest(a, lambda w: _binned(b, w).drop("x", "y"), F.struct(F.sqrt(d2).alias("d")), width, (x0, x1, y0, y1), where)
+    d2 = sum((F.pow(F.col(f"a.z{k}") - F.col(f"b.z{k}"), F.lit(2.0)) for k in range(n)), F.lit(0.0))
+    found = grow_nearest(a, lambda w: _binned(b, w).drop("x", "y"), F.struct(F.sqrt(d2).alias("d")), width, (x0, x1, y0, y1), condition)
     return found.select(F.col("i").alias("row_id"), F.col("m.d").alias("d"))
 
 
@@ -73,7 +70,8 @@ def area_of_applicability(new: DataFrame, train: DataFrame, predictors: list[str
     norm = mean_pairwise(tz, n, normalizer_max_n)
     if folds is not None:
         tz = tz.join(folds.select("row_id", "fold"), "row_id")
-    train_di = nearest_in_features(tz, tz, n, "fold" if folds is not None else "row_id").select("row_id", (F.col("d") / norm).alias("di"))
+    other = "fold" if folds is not None else "row_id"
+    train_di = nearest_in_features(tz, tz, n, F.col(f"a.{other}") != F.col(f"b.{other}")).select("row_id", (F.col("d") / norm).alias("di"))
     top = limit if limit is not None else threshold(train_di).first()[0]
     found = nearest_in_features(scaled(new.where(all_finite(predictors)), rules, "row_id"), tz, n).select("row_id", (F.col("d") / norm).alias("DI"))
     out = new.select("row_id").join(found, "row_id", "left").select("row_id", "DI", (F.col("DI") <= top).alias("AOA"))

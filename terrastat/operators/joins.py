@@ -160,7 +160,8 @@ def nearest_polygon(points: DataFrame, cells: DataFrame) -> DataFrame:
 
 def grow_nearest(left: DataFrame, spread, value: Column, width: float, box, where: Column | None = None) -> DataFrame:
     """``i, m``: for each left point (``i, x, y``, payload) the least ``value``, a struct whose ``d`` is a distance not below
-    that in the plane.  ``spread(width)`` gives the right side in bins (``__bx, __by``).  Points meet in 3 x 3
+    that in the plane.  ``spread(width)`` gives the right side in bins (``__bx, __by``); the sides are aliased a and
+    b for ``value`` and the condition ``where``.  Points meet in 3 x 3
     bins; those whose least distance those bins are not sure to cover are tried again with bins four times as wide."""
     x0, x1, y0, y1 = box
     ext = left.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
@@ -169,7 +170,7 @@ def grow_nearest(left: DataFrame, spread, value: Column, width: float, box, wher
         span = max(span, abs(ext[0] - x1), abs(ext[1] - x0), abs(ext[2] - y1), abs(ext[3] - y0))
     todo, done = left, None
     while True:
-        met = _around(todo, width).join(spread(width), ["__bx", "__by"])
+        met = _around(todo, width).alias("a").join(spread(width).alias("b"), ["__bx", "__by"])
         if where is not None:
             met = met.where(where)
         best = met.groupBy("i").agg(F.min(value).alias("m"))
