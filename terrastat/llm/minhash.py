@@ -186,7 +186,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, p
     texts = docs.join(_few(wanted.select("rep").distinct()), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
     # ids may repeat, also in other classes
     sets = texts.mapInArrow(_sets(size), "node long, shingles array<long>").join(_few(wanted.select("node")), "node", "left_semi").dropDuplicates(["node"])
-    sets = materialise(sets, "near-sets")
+    sets = materialise(sets, "near-sets", ROWS_AT_ONCE)
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
     same = F.size(F.array_intersect("a", "b"))
     return both.where(100 * same >= percent * (F.size("a") + F.size("b") - same)).select("u", "v")
@@ -262,7 +262,7 @@ def near_duplicates(
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    signed = materialise(keyed.mapInArrow(_sign(shingle_words), f"doc_id {kind}, text_hash long, n_shingles long, node long, bands array<long>, " + ", ".join(f"{x} long" for x in _SKETCH)), "signatures")
+    signed = materialise(keyed.mapInArrow(_sign(shingle_words), f"doc_id {kind}, text_hash long, n_shingles long, node long, bands array<long>, " + ", ".join(f"{x} long" for x in _SKETCH)), "signatures", ROWS_AT_ONCE)
     full = signed.where("n_shingles > 0")
     nodes = materialise(full.groupBy("node").agg(F.min("doc_id").alias("rep")), "classes")
     # one row of a class stands for its copies: equal sets have equal signatures

@@ -144,7 +144,7 @@ def with_toxicity(df: DataFrame, model, text_col: str = "text", keep_below: floa
         at, w, bias = sent.value
         dense = np.zeros(1 << BITS, np.float32)
         dense[at] = w
-        for batch in batches:
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             score = score_texts(batch.column(text_at), dense, bias)
             if keep_below is not None:
                 yield batch.filter(pa.array(score < keep_below))
