@@ -28,7 +28,7 @@ from .wordhash import mix, words_by_chunk
 BANDS, ROWS = 40, 5
 ROWS_AT_ONCE = 1000
 FEW_IDS = 4_000_000  # ids that are broadcast at most: 64 MB
-LEADERS = (1, 8)  # members of a bucket that all others meet, round by round, before the last sweep
+LEADERS = (1, 4)  # members of a bucket that all others meet, round by round, before the last sweep
 SKETCH_LONGS, ODD_LONGS = (BANDS * ROWS + 15) // 16, 16
 _RNG = np.random.default_rng(77)
 _PERMS = BANDS * ROWS // 2
