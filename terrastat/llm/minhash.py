@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import materialise
-from .wordhash import mix, words_by_chunk
+from .wordhash import frugal, mix, words_by_chunk
 
 BANDS, ROWS = 40, 5
 ROWS_AT_ONCE = 1000
@@ -137,7 +137,7 @@ def _sign(size):
             lists = pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), bands.ravel())
             yield pa.RecordBatch.from_arrays([ids, batch.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), lists, *[pa.array(bits[:, k]) for k in range(SKETCH_LONGS + ODD_LONGS)]], ["doc_id", "text_hash", "n_shingles", "node", "bands", *_SKETCH])
 
-    return run
+    return frugal(run)
 
 
 def _sets(size):
@@ -148,7 +148,7 @@ def _sets(size):
             flat = np.concatenate(found).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in found], pa.int64()), pa.ListArray.from_arrays(ends, flat)], ["node", "shingles"])
 
-    return run
+    return frugal(run)
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import pfor
 from .shared import materialise, scratch_path
-from .wordhash import SPACE, WIDE_BYTES, chunks, hash_spans, text_bytes
+from .wordhash import SPACE, WIDE_BYTES, chunks, frugal, hash_spans, text_bytes
 
 CACHE_PIECES = 1_000_000  # pieces whose ids a worker keeps
 PART_BYTES = 32768  # unknown pieces are encoded in strings of about this size
@@ -160,7 +160,7 @@ def write_token_files(df: DataFrame, folder: str, tokenizer_path: str, id_col="d
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     dealt = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    files = materialise(dealt.mapInArrow(run, "part long, path string, n_docs long, n_ids long"), "token-manifest")
+    files = materialise(dealt.mapInArrow(frugal(run), "part long, path string, n_docs long, n_ids long"), "token-manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return files.select("part", "path", "n_docs", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"))
 
@@ -186,7 +186,7 @@ def read_token_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                     at += int(ends[-1])
 
     n = max(1, manifest.count())
-    return manifest.select("path", "start").repartition(n).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return manifest.select("path", "start").repartition(n).mapInArrow(frugal(run), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def token_output(df: DataFrame, tokenizer_path: str, folder: str | None = None, id_col="doc_id", text_col="text", end_id: int = 0) -> DataFrame:

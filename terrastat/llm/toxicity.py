@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .wordhash import WORDLESS, Words, mix, words_by_chunk
+from .wordhash import WORDLESS, Words, frugal, mix, words_by_chunk
 
 BITS = 20
 MAX_TRAIN_ROWS, MAX_TRAIN_BYTES = 16_000, 256 << 20  # bounds of the labelled sample, which is trained on in one task
@@ -35,6 +35,7 @@ def features(w: Words, bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+@frugal
 def _featurise(batches):
     for batch in batches:
         for a, b, w in words_by_chunk(batch.column("text"), WORDLESS):
@@ -76,6 +77,7 @@ def epochs(rows: list, turns: int = EPOCHS):
             yield rows[i]
 
 
+@frugal
 def _train(batches):
     rows = []
     for batch in batches:
@@ -152,7 +154,7 @@ def with_toxicity(df: DataFrame, model, text_col: str = "text", keep_below: floa
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], schema=pa.schema([*batch.schema, pa.field("score", pa.float64())]))
 
     schema = df.schema if keep_below is not None else type(df.schema)([*df.schema.fields]).add("score", "double")
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(frugal(run), schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,23 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+def frugal(run: Callable) -> Callable:
+    """``run`` over Arrow batches, which hands back what it has freed when it ends: a worker lives on for other stages,
+    and Arrow's pool and the C library keep freed memory for it otherwise."""
+
+    @wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def _power(kind: str, n: int) -> np.ndarray:
     have = _powers[kind]
     if len(have) < n:
