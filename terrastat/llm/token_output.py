@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 
 from . import pfor
 from .shared import materialise, scratch_path
-from .wordhash import SPACE, WIDE_BYTES, chunks, frugal, hash_spans, text_bytes
+from .wordhash import SPACE, chunks, frugal, hash_spans, text_bytes
 
 CACHE_PIECES = 1_000_000  # pieces whose ids a worker keeps
+BATCH_ROWS = 1000  # texts that go to a worker at once
+CHUNK = 1 << 20  # bytes of text encoded at once
 PART_BYTES = 32768  # unknown pieces are encoded in strings of about this size
 #: white space that a cut must not meet, and control bytes that tokenisers class differently
 _ODD = r"[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -104,11 +106,12 @@ class PieceEncoder:
         for special in self.special:  # they may hold or take white space: such texts are encoded whole
             odd |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
         data, offsets = text_bytes(texts)
-        for a, b in chunks(offsets, WIDE_BYTES):
+        for a, b in chunks(offsets, CHUNK):
             part = offsets[a : b + 1] - offsets[a]
             raw = data[offsets[a] : offsets[b]]
             if odd[a:b].any() or not len(raw):
-                found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts[a:b].to_pylist(), add_special_tokens=False)]
+                # one by one: the tokenizer's records of a whole chunk take many times its text
+                found = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts[a:b].to_pylist()]
                 yield a, b, np.array([len(x) for x in found], np.int64), np.concatenate(found)
                 continue
             cut = np.zeros(len(raw), bool)
@@ -160,7 +163,7 @@ def write_token_files(df: DataFrame, folder: str, tokenizer_path: str, id_col="d
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     dealt = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    files = materialise(dealt.mapInArrow(frugal(run), "part long, path string, n_docs long, n_ids long"), "token-manifest")
+    files = materialise(dealt.mapInArrow(frugal(run), "part long, path string, n_docs long, n_ids long"), "token-manifest", BATCH_ROWS)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return files.select("part", "path", "n_docs", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"))
 
