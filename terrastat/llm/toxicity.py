@@ -14,10 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import materialise
 from .wordhash import WORDLESS, Words, frugal, mix, words_by_chunk
 
 BITS = 20
 MAX_TRAIN_ROWS, MAX_TRAIN_BYTES = 16_000, 256 << 20  # bounds of the labelled sample, which is trained on in one task
+BATCH_ROWS = 1000  # texts that go to a worker at once
 EPOCHS, ALPHA, BETA, L1, L2 = 6, 2.0, 1.0, 4.0, 0.1
 _PAIR, _SKIP = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
@@ -131,12 +133,19 @@ def score_texts(texts: pa.Array, dense: np.ndarray, bias: float) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
 
 
-def with_toxicity(df: DataFrame, model, text_col: str = "text", keep_below: float | None = None) -> DataFrame:
-    """``df`` with ``score`` added as its last column; or, with ``keep_below``, its rows of lesser score
-    and no new column.  Columns keep their names and types, one called ``score`` included.
+def toxic_rows(df: DataFrame, model, at_least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, text_hash`` of the rows that score ``at_least`` or more, as a written table: texts go to the workers in
+    small batches and do not come back.  Nulls, empty texts, ties and repeats as with ``with_toxicity``."""
+    rows = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return materialise(with_toxicity(rows, model, drop_text=True).where(F.col("score") >= at_least).drop("score"), "toxic-rows", BATCH_ROWS)
+
+
+def with_toxicity(df: DataFrame, model, text_col: str = "text", drop_text: bool = False) -> DataFrame:
+    """``df`` with ``score`` added as its last column, and without the text on ``drop_text``.  Columns keep their names
+    and types, one called ``score`` included.
 
     Null and empty texts have no features and get the model's bias alone, 0.5 under an empty model.
-    Rows that repeat are scored each; a score equal to ``keep_below`` goes; no rows give no rows.
+    Rows that repeat are scored each; no rows give no rows.
     """
     at, w, bias = model
     sent = df.sparkSession.sparkContext.broadcast((at, w, bias))
@@ -148,12 +157,11 @@ def with_toxicity(df: DataFrame, model, text_col: str = "text", keep_below: floa
         dense[at] = w
         for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             score = score_texts(batch.column(text_at), dense, bias)
-            if keep_below is not None:
-                yield batch.filter(pa.array(score < keep_below))
-            else:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], schema=pa.schema([*batch.schema, pa.field("score", pa.float64())]))
+            kept = [k for k in range(batch.num_columns) if not (drop_text and k == text_at)]
+            fields = [*[batch.schema.field(k) for k in kept], pa.field("score", pa.float64())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], pa.array(score)], schema=pa.schema(fields))
 
-    schema = df.schema if keep_below is not None else type(df.schema)([*df.schema.fields]).add("score", "double")
+    schema = type(df.schema)([f for k, f in enumerate(df.schema.fields) if not (drop_text and k == text_at)]).add("score", "double")
     return df.mapInArrow(frugal(run), schema)
 
 

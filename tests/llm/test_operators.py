@@ -21,7 +21,7 @@ from terrastat.llm.minhash import near_duplicates
 from terrastat.llm.mixing import mix_sources
 from terrastat.llm.queries import tokenizer_file
 from terrastat.llm.token_output import PieceEncoder, read_token_files, token_output, write_token_files
-from terrastat.llm.toxicity import held_out, train_toxicity, with_toxicity
+from terrastat.llm.toxicity import held_out, toxic_rows, train_toxicity, with_toxicity
 from terrastat.llm.url_filter import ALPHABET, judge_urls
 from terrastat.llm.warc import archive_pages, assemble_transactions, base32_digest, read_archives, write_archives
 
@@ -181,8 +181,10 @@ def test_toxicity(spark):
     assert len(model[0]) < 2000
     odd = with_toxicity(docs(spark, ODD).drop("score"), model)
     assert odd.count() == len(ODD) and odd.where("score between 0 and 1").count() == len(ODD)
-    kept = with_toxicity(docs(spark, ODD), model, keep_below=0.5)
-    assert kept.columns == docs(spark, ODD).columns and kept.count() == len(ODD)
+    gone = toxic_rows(plain, model)
+    assert gone.columns == ["doc_id", "text_hash"] and sorted(r[0] for r in gone.collect()) == sorted(i for i, x in got.items() if x >= 0.5)
+    assert toxic_rows(docs(spark, ODD), model).count() == odd.where("score >= 0.5").count()
+    assert toxic_rows(docs(spark, ODD), model, 0.0).count() == len(ODD)
     empty = train_toxicity(d, y.limit(0))
     assert [r[0] for r in with_toxicity(plain.limit(2), empty).select("score").collect()] == [0.5, 0.5]
     assert with_toxicity(docs(spark, []), model).count() == 0
