@@ -15,7 +15,7 @@ from terrastat.llm.mixing import mix_sources
 from terrastat.llm.queries import tokenizer_file
 from terrastat.llm.shared import materialise, table, without
 from terrastat.llm.token_output import token_output
-from terrastat.llm.toxicity import held_out, train_toxicity, with_toxicity
+from terrastat.llm.toxicity import held_out, toxic_rows, train_toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: no SQL: the first stage's scores come from a trained model
@@ -33,7 +33,7 @@ def toxicity(spark, docs, sf_dir):
     model = train_toxicity(docs, table(spark, sf_dir, "labels").where(~held_out()))
     if not len(model[0]) and not model[2]:  # every score would be 0.5
         return docs.select(*COLUMNS)
-    return with_toxicity(docs.select(*COLUMNS), model, keep_below=0.5)
+    return without(docs.select(*COLUMNS), toxic_rows(docs, model))
 
 
 def near_dedup(spark, docs, sf_dir):
