@@ -118,6 +118,88 @@ select page_id, host, path, rule, coalesce(lab.label, case when score >= t then
 from lab join sc on sc.url = lab.url, cut
 """
 
+#: unsigned crc32 of a list of bytes {bytes}, by the table t of `crc`
+_CRC_TABLE = "crc as (select list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, b)) as t)"
+_CRC = "xor(list_reduce({bytes}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+_BYTES = "flatten(list_transform(string_split({text}, ''), lambda c: case when unicode(c) < 128 then [unicode(c)::bigint] else [195::bigint, unicode(c)::bigint - 64] end))"  # up to U+00FF
+
+OP11 = rf"""
+with recursive {_CRC_TABLE},
+runs as (select doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as w, count(*) as m
+  from (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) as run from documents) where length(run) >= 7 group by all),
+h as (select w, m, {_CRC.format(bytes=_BYTES.format(text="coalesce(doc_id::varchar, '') || ':' || w"))} as h from runs, crc),
+cut as (select m, case when h % 31 = 0 then substr(w, 1, (h % length(w))::int) || substr(w, (h % length(w))::int + 2) else w end as word from h),
+words as (select word, sum(m)::bigint as n from cut where length(word) >= 7 group by word having sum(m) >= 2),
+del as (select word, n, i, substr(word, 1, (i - 1)::int) || substr(word, (i + 1)::int) as d from (select *, unnest(range(1, length(word) + 1)) as i from words)),
+shorter as (select del.word as a, w.word as b from del join words w on del.d = w.word),
+pairs as (select a.word as a, b.word as b from del a join del b on a.d = b.d and a.i = b.i and a.word <> b.word
+  union select a, b from shorter union select b, a from shorter),
+best as (select a, count(*) as n_near, arg_min(b, (-n, b)) as near, max(n) as near_n from pairs join words on words.word = b group by a),
+f as (select word, n, coalesce(n_near, 0)::bigint as n_near, case when near_n >= 10 * n then near end as form, case when near_n >= 10 * n then near_n end as form_n
+  from words left join best on best.a = words.word),
+way as (select word, form as root from f where form is not null union select way.word, f.form from way join f on f.word = way.root where f.form is not null),
+ends as (select way.word, way.root from way join f on f.word = way.root where f.form is null)
+select f.word, form, coalesce(root, f.word) as root, n, n_near, form_n from f left join ends on ends.word = f.word
+"""
+
+OP12 = r"""
+with d as (select doc_id, coalesce(text, '') as t, md5(coalesce(text, '')) as h, row_number() over () as r from documents),
+l as (select doc_id, h, r, line, pos, translate(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from (select doc_id, h, r, unnest(string_split(t, chr(10))) as line, unnest(range(len(string_split(t, chr(10))))) as pos from d)),
+gone as (select key from l where length(key) >= 1 group by key having count(distinct (doc_id, h)) >= 10),
+s as (select l.r, count(*) as n_lines, count(gone.key) as n_dropped, string_agg(case when gone.key is null then line end, chr(10) order by pos) as kept
+  from l left join gone on gone.key = l.key group by l.r)
+select doc_id, n_lines, n_dropped, sha256(coalesce(kept, '')) as kept_sha256 from s join d on d.r = s.r
+"""
+
+_PUT = "{{'c': {c} + {v}.c, 'a': '{a}' || {v}.a}}"
+
+
+def _best(*options):
+    return "list_sort([" + ", ".join(options) + "])[1]"
+
+
+def _op13():
+    shift = [{"s": 1, "u": 2}, {"u": 2}, {"a": 3}, {"u": 2}]
+    rerole = [2, 2, 3, 2]
+    void = "{'c': 1000000000, 'a': ''}"
+    read = []
+    for q in range(4):
+        options = [_PUT.format(c=2, v=f"v{q}", a="D")]
+        options += [f"case when fault < 2 and initial = '{r}' then {_PUT.format(c='5 * fault', v=f'v{to}', a='K')} else {void} end" for r, to in shift[q].items()]
+        options.append(f"case when fault < 2 then {_PUT.format(c='1 + 5 * fault', v=f'v{rerole[q]}', a='R')} else {void} end")
+        read.append(f"{_best(*options)} as g{q}")
+    put = lambda v: _PUT.format(c=5, v=v, a="I")
+    crc = _CRC.format(bytes="list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda c: unicode(c)::bigint)")
+    return rf"""
+with recursive {_CRC_TABLE},
+hashed as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {crc} % 20 as f from conversations, crc),
+rows_ as (select conv_id, turn, case when f = 4 then 'user' else role end as role, case when f = 1 then '' when f = 2 then translate(text, '.!?', '') else text end as text,
+  unnest(range(case when f = 3 then 2 else 1 end)) as copy from hashed where f <> 0),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, md5(text), copy) as i, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as ink from rows_),
+coded as (select *, substr(role, 1, 1) as initial, case when ink = '' then 2 when row_number() over (partition by conv_id, role, text order by i) > 1 then 3
+  when ink[-1] in ('.', '!', '?') then 0 else 1 end as fault from placed),
+ends as (select conv_id, count(*) as n from coded group by conv_id),
+dp as (select conv_id, (n + 1)::bigint as i, {{'c': 0::bigint, 'a': ''}} as v0, {{'c': 10::bigint, 'a': 'II'}} as v1, {{'c': 5::bigint, 'a': 'I'}} as v2, {{'c': 0::bigint, 'a': ''}} as v3 from ends
+  union all
+  select conv_id, i, {_best("g0", put("h2"))} as v0, {_best("g1", put("h2"))} as v1, h2 as v2, h3 as v3 from (
+    select *, {_best("g2", put("g3"))} as h2, {_best("g3", put("g2"))} as h3 from (
+      select c.conv_id, c.i, {", ".join(read)} from dp join coded c on c.conv_id is not distinct from dp.conv_id and c.i = dp.i - 1))),
+won as (select conv_id, v0.c as cost, v0.a as audit from dp where i = 1),
+edits as (select conv_id, k, letter, sum((letter <> 'I')::int) over w as i, sum((letter <> 'D')::int) over w as stay, sum((letter <> 'D')::int) over (partition by conv_id) as stays
+  from (select conv_id, unnest(string_split(audit, '')) as letter, unnest(range(length(audit))) as k from won where audit <> '') window w as (partition by conv_id order by k)),
+made as (select e.conv_id, e.k, case when letter = 'K' then role when (stay + stays % 2) % 2 = 1 then 'user' else 'assistant' end || ':' || case when letter = 'I' then '' else text end as line
+  from edits e left join coded c on c.conv_id is not distinct from e.conv_id and c.i = e.i and letter <> 'I' where letter <> 'D'),
+texts as (select conv_id, sha256(string_agg(line, chr(10) order by k)) as sha from made group by conv_id),
+facts as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 2) as blank, count(*) filter (fault = 3) as duplicate, count(*) filter (fault = 1) as truncated,
+  count(*) filter (before is not null and before || initial not in ('su', 'ua', 'au')) as illegal
+  from (select *, lag(initial) over (partition by conv_id order by i) as before from coded) group by conv_id)
+select o.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal,
+  coalesce(cost, 0)::bigint as cost, coalesce(audit, '') as audit, coalesce(sha, sha256('')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join won on won.conv_id is not distinct from o.conv_id left join facts on facts.conv_id is not distinct from o.conv_id
+left join texts on texts.conv_id is not distinct from o.conv_id
+"""
+
 
 def oracle_sql():
-    return {"op2_mix_sources": OP2, "op3_exact_dedup": OP3, "op5_decontaminate": OP5, "op6_warc": OP6, "op7_near_duplicates": OP7, "op8_url_filter": _op8()}
+    return {"op2_mix_sources": OP2, "op3_exact_dedup": OP3, "op5_decontaminate": OP5, "op6_warc": OP6, "op7_near_duplicates": OP7, "op8_url_filter": _op8(), "op11_spelling_variants": OP11, "op12_line_dedup": OP12, "op13_conversation_repair": _op13()}

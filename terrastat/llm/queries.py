@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and their DuckDB SQL where SQL can express them."""
+"""The registered queries of the operators."""
 
 from __future__ import annotations
 
@@ -8,11 +8,14 @@ from .decontam import decontaminate
 from .exact_dedup import exact_dedup
 from .html_render import extract_text
 from .lattice_lm import lattice_scores
+from .line_dedup import kept_lines, line_bitmaps
 from .minhash import near_duplicates
 from .mixing import mix_sources
-from .shared import table
+from .shared import materialise, table
+from .spelling import spelling_variants, words_of
 from .token_output import token_output
 from .toxicity import held_out, train_toxicity, with_toxicity
+from .turns import damaged, repair_conversations, repaired_digests
 from .url_filter import judge_urls
 from .warc import archive_pages
 
@@ -85,5 +88,36 @@ def op10_html_text(spark, sf_dir):
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op11_spelling_variants(spark, sf_dir):
+    """The contract's words: of every 31st run by hash one letter is missing; those of 7 letters that come twice count."""
+    runs = words_of(table(spark, sf_dir, "documents").select("doc_id", "text"), at_least=7)
+    word = F.col("word")
+    hashed = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), word).cast("binary"))
+    at = (F.col("hash") % F.char_length(word)).cast("int")
+    cut = F.concat(F.substring(word, F.lit(1), at), F.substring(word, at + 2, F.char_length(word)))
+    written = runs.select(word, hashed.alias("hash")).select(F.when(F.col("hash") % 31 == 0, cut).otherwise(word).alias("word"))
+    words = written.where(F.char_length("word") >= 7).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    return spelling_variants(words)
+
+
+def op12_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = kept_lines(docs, line_bitmaps(docs))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_conversation_repair(spark, sf_dir):
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = damaged(given)
+    repairs = materialise(repair_conversations(rows), "repairs")
+    digests = repaired_digests(rows, repairs).select(F.col("conv_id").alias("__digest_of"), "repaired_sha256")
+    repairs = repairs.withColumnRenamed("conv_id", "__repair_of")
+    met = given.select("conv_id").distinct().join(repairs, F.col("conv_id").eqNullSafe(F.col("__repair_of")), "left")
+    met = met.join(digests, F.col("conv_id").eqNullSafe(F.col("__digest_of")), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    digest = F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256")
+    return met.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), digest)
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
