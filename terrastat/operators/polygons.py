@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from ..functions.exprs import shoelace
 from .assign import with_cell_id
 from .joins import _bin
-from .tessellate import CELL, clip_convex, convex_hull, grid_size, hex_grid, square_grid
+from .overlay import clip_cells, overlay, packed, signed_area, structs, unpacked
+from .tessellate import clip_convex, convex_hull, grid_size, hex_grid, square_grid
 
 PAIR = "feature_id long, cell_id long, overlap double, meets boolean"
+PIECES = "feature_id long, cell_id long, rings array<array<struct<x:double,y:double>>>, area double"
 
 
 def ring_area(ring: np.ndarray) -> float:
@@ -23,10 +25,6 @@ def ring_area(ring: np.ndarray) -> float:
     return float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum() / 2)
 
 
-def _array(rings) -> list[np.ndarray]:
-    return [np.array([(p["x"], p["y"]) for p in ring], float) for ring in rings]
-
-
 def _inside(points: np.ndarray, rings: list[np.ndarray]) -> np.ndarray:
     """Whether points lie in an even-odd polygon or on its edges."""
     odd, on = np.zeros(len(points), bool), np.zeros(len(points), bool)
@@ -65,9 +63,9 @@ def overlap_area(p: list[np.ndarray], q: list[np.ndarray]) -> float:
     return max(0.0, float(total * (turn or 1)))
 
 
-def polygon_overlaps(features: DataFrame, cells: DataFrame, bin_width: float | None = None) -> DataFrame:
-    """``feature_id, cell_id, overlap, meets`` of polygon features (``row_id, rings, xmin, ymin, xmax, ymax``) and cells whose
-    closed polygons meet.  Boxes are binned; a pair comes from the one bin that holds the corner both boxes share."""
+def _box_pairs(features: DataFrame, cells: DataFrame, bin_width: float | None = None) -> DataFrame:
+    """``f_id, f_xy, f_sizes, c_id, c_xy, c_sizes`` of features and cells whose boxes meet.  Boxes are binned; a pair comes from the one bin
+    that holds the corner both boxes share."""
     if bin_width is None:
         side = cells.agg(F.avg(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")))).first()[0]
         bin_width = side or 1.0
@@ -82,18 +80,45 @@ def polygon_overlaps(features: DataFrame, cells: DataFrame, bin_width: float | N
     for axis in "xy":
         low = F.greatest(F.col(f"f_{axis}min"), F.col(f"c_{axis}min"))
         met = met.where((low <= F.least(F.col(f"f_{axis}max"), F.col(f"c_{axis}max"))) & (_bin(low, bin_width) == F.col(f"__b{axis}")))
+    return met.select("f_id", *packed(F.col("f_rings"), "f_"), "c_id", *packed(F.col("c_rings"), "c_"))
+
+
+def _pairs_of(f: pd.DataFrame):
+    for i, p, m, j, q, n in zip(f["f_id"], f["f_xy"], f["f_sizes"], f["c_id"], f["c_xy"], f["c_sizes"], strict=True):
+        yield i, unpacked(p, m), j, unpacked(q, n)
+
+
+def polygon_pieces(features: DataFrame, cells: DataFrame, how: str = "intersection", bin_width: float | None = None) -> DataFrame:
+    """``feature_id, cell_id, rings, area``: what polygon features (``row_id, rings, xmin, ymin, xmax, ymax``) and cells that
+    meet have in common, each part with rings of its own; pairs without common area drop out.  Other ``how`` of
+    ``overlay`` are formed for the pairs whose boxes meet."""
 
     def run(frames):
         for f in frames:
             out = []
-            for i, p, j, q in zip(f["f_id"], f["f_rings"], f["c_id"], f["c_rings"], strict=True):
-                p, q = _array(p), _array(q)
+            for i, p, j, q in _pairs_of(f):
+                rings = overlay(p, q, how)
+                if rings:
+                    out.append((i, j, structs(rings), signed_area(rings)))
+            yield pd.DataFrame(out, columns=["feature_id", "cell_id", "rings", "area"])
+
+    return _box_pairs(features, cells, bin_width).mapInPandas(run, PIECES)
+
+
+def polygon_overlaps(features: DataFrame, cells: DataFrame, bin_width: float | None = None) -> DataFrame:
+    """``feature_id, cell_id, overlap, meets`` of polygon features (``row_id, rings, xmin, ymin, xmax, ymax``) and cells whose
+    closed polygons meet."""
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for i, p, j, q in _pairs_of(f):
                 area = overlap_area(p, q)
                 meets = area > 0 or bool(_inside(np.vstack(p), q).any() or _inside(np.vstack(q), p).any()) or _edges_cross(p, q)
                 out.append((i, j, area, meets))
             yield pd.DataFrame(out, columns=["feature_id", "cell_id", "overlap", "meets"])
 
-    return met.select("f_id", "f_rings", "c_id", "c_rings").mapInPandas(run, PAIR).where("meets")
+    return _box_pairs(features, cells, bin_width).mapInPandas(run, PAIR).where("meets")
 
 
 def assign_polygons(features: DataFrame, cells: DataFrame, id_col=None, keep_unassigned: bool = False, largest: bool = True, tie_break: str = "smallest") -> DataFrame:
@@ -112,26 +137,6 @@ def assign_polygons(features: DataFrame, cells: DataFrame, id_col=None, keep_una
     return features.join(best, "row_id", "left" if keep_unassigned else "inner")
 
 
-def clip_cells(cells: DataFrame, boundary: list[np.ndarray]) -> DataFrame:
-    """The parts of convex cells inside a boundary, which may be concave, in parts or with holes (even-odd rings).  Each ring
-    is cut by the cell; cells without area inside drop out."""
-    boundary = [np.asarray(r, float) for r in boundary]
-
-    def run(frames):
-        for f in frames:
-            out = []
-            for i, rings in zip(f["cell_id"], f["rings"], strict=True):
-                cell = _array(rings)[0]
-                cell = cell if ring_area(cell) > 0 else cell[::-1]
-                parts = [c for r in boundary if len(c := clip_convex(r, cell)) > 2 and abs(ring_area(c)) > 1e-12 * ring_area(cell)]
-                if parts:
-                    flat = np.vstack(parts)
-                    out.append((i, [[{"x": float(x), "y": float(y)} for x, y in r] for r in parts], *flat.min(0), *flat.max(0)))
-            yield pd.DataFrame(out, columns=["cell_id", "rings", "xmin", "ymin", "xmax", "ymax"])
-
-    return cells.select("cell_id", "rings", "xmin", "ymin", "xmax", "ymax").mapInPandas(run, CELL)
-
-
 def grid_polygons(spark, boundary: list[np.ndarray], target: int | None = None, kind: str = "square", cellsize: float | tuple | None = None, n: int | tuple | None = None, clip: bool = True) -> DataFrame:
     """Square or hexagonal cells over a boundary: a given cell size wins over counts, counts over a target number.  Cells are
     clipped to the boundary unless ``clip`` is false, and numbered from 1 row by row after that."""

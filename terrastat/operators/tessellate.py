@@ -104,15 +104,22 @@ def _cell_row(cell_id, ring):
     return {"cell_id": int(cell_id), "rings": [[{"x": float(x), "y": float(y)} for x, y in ring]], "xmin": ring[:, 0].min(), "ymin": ring[:, 1].min(), "xmax": ring[:, 0].max(), "ymax": ring[:, 1].max()}
 
 
-def voronoi_cells(seeds: DataFrame, boundary: np.ndarray, max_seeds: int = 50_000) -> DataFrame:
-    """Cells of ``row_id, x, y`` seeds inside a convex boundary, ``cell_id`` = seed id.
+def _cut(ring: np.ndarray, me: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The part of a ring that is no farther from ``me`` than from ``other``."""
+    diff = other - me
+    return clip_ring(ring - me, diff[0], diff[1], (diff @ diff) / 2) + me
 
-    Seeds are broadcast (their number is checked); each cell is the boundary cut by bisectors of ever
-    farther seeds until none can reach it.
+
+def voronoi_cells(seeds: DataFrame, boundary: np.ndarray, max_sent: int = 50_000, first: int = 16) -> DataFrame:
+    """Cells of ``row_id, x, y`` seeds inside a convex boundary, ``cell_id`` = seed id; seeds are distinct places.
+
+    Up to ``max_sent`` seeds are broadcast, and each cell is the boundary cut by bisectors of ever farther seeds until
+    none can reach it.  More seeds stay distributed: cells are cut by their ``first`` nearest neighbours, then by
+    the seed nearest to any corner, as long as that is nearer than the cell's own.
     """
     n = seeds.count()
-    if n > max_seeds:
-        raise ValueError(f"{n} seeds: at most {max_seeds}")
+    if n > max_sent:
+        return _voronoi_by_corners(seeds.select("row_id", "x", "y"), boundary, first)
     rows = [(r["row_id"], r["x"], r["y"]) for r in seeds.select("row_id", "x", "y").collect()]
     sent = seeds.sparkSession.sparkContext.broadcast(np.array([[x, y] for _, x, y in rows], float).reshape(-1, 2))
 
@@ -128,8 +135,7 @@ def voronoi_cells(seeds: DataFrame, boundary: np.ndarray, max_seeds: int = 50_00
                         continue
                     if not len(ring) or d[k] > 4 * ((ring - me) ** 2).sum(1).max():
                         break
-                    diff = all_[k] - me
-                    ring = clip_ring(ring, diff[0], diff[1], (all_[k] @ all_[k] - me @ me) / 2)
+                    ring = _cut(ring, me, all_[k])
                 if len(ring) >= 3:
                     out.append(_cell_row(r.row_id, ring))
             yield pd.DataFrame(out, columns=["cell_id", "rings", "xmin", "ymin", "xmax", "ymax"])
@@ -137,6 +143,93 @@ def voronoi_cells(seeds: DataFrame, boundary: np.ndarray, max_seeds: int = 50_00
     return seeds.select("row_id", "x", "y").repartition(max(1, min(64, n // 200 + 1))).mapInPandas(run, CELL)
 
 
+_OPEN = "row_id long, x double, y double, ring array<double>"
+
+
+def _voronoi_by_corners(seeds: DataFrame, boundary: np.ndarray, first: int) -> DataFrame:
+    """A cell is right when no seed is nearer to one of its corners than its own: nearest-seed joins over the corners
+    of cells that changed, each round's cells written out."""
+    from .joins import knn_join, nearest_join
+    from .lineage import cut_lineage
+
+    places = seeds.select(F.col("row_id").alias("j"), F.col("x").alias("__x"), F.col("y").alias("__y"))
+
+    def shrunk(frames):
+        for f in frames:
+            out = []
+            for r in f.itertuples():
+                me = np.array([r.x, r.y])
+                ring = boundary if r.ring is None else np.array(r.ring).reshape(-1, 2)
+                for o in sorted(r.others, key=lambda o: math.hypot(o["x"] - r.x, o["y"] - r.y)):
+                    if len(ring):
+                        ring = _cut(ring, me, np.array([o["x"], o["y"]]))
+                out.append((r.row_id, r.x, r.y, ring.ravel().tolist()))
+            yield pd.DataFrame(out, columns=["row_id", "x", "y", "ring"])
+
+    def met(cells, pairs):
+        others = pairs.join(places, "j").groupBy("i").agg(F.collect_list(F.struct(F.col("__x").alias("x"), F.col("__y").alias("y"))).alias("others"))
+        return cells.join(others.withColumnRenamed("i", "row_id"), "row_id").mapInPandas(shrunk, _OPEN)
+
+    start = seeds.withColumn("ring", F.lit(None).cast("array<double>"))
+    todo = cut_lineage(met(start, knn_join(seeds, seeds, first, exclude_self=True).select("i", "j")))
+    done = None
+    while True:
+        corner = todo.select(F.col("row_id").alias("cell"), F.col("x").alias("sx"), F.col("y").alias("sy"), "ring").where(F.size("ring") > 0).withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.size("ring") / 2).cast("int") - 1)))
+        corner = corner.select("cell", "sx", "sy", F.get("ring", (2 * F.col("k")).cast("int")).alias("x"), F.get("ring", (2 * F.col("k") + 1).cast("int")).alias("y"))
+        corner = cut_lineage(corner.withColumn("row_id", F.monotonically_increasing_id()))
+        near = nearest_join(corner.select("row_id", "x", "y"), seeds).withColumnRenamed("i", "row_id").join(corner, "row_id")
+        own = F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"))
+        cutting = cut_lineage(near.where((F.col("j") != F.col("cell")) & (F.col("d") < own * (1 - 1e-9))).select(F.col("cell").alias("i"), "j").distinct())
+        right = todo.join(cutting.select(F.col("i").alias("row_id")).distinct(), "row_id", "left_anti")
+        done = right if done is None else done.unionByName(right)
+        if not cutting.limit(1).count():
+            break
+        todo = cut_lineage(met(todo, cutting))
+
+    def rows(frames):
+        for f in frames:
+            rings = [np.array(r).reshape(-1, 2) for r in f["ring"]]
+            yield pd.DataFrame([_cell_row(i, r) for i, r in zip(f["row_id"], rings, strict=True) if len(r) >= 3], columns=["cell_id", "rings", "xmin", "ymin", "xmax", "ymax"])
+
+    return done.select("row_id", "ring").mapInPandas(rows, CELL)
+
+
+def create_voronoi(points: DataFrame, boundary: list | None = None, expand: float = 0.0, clip: bool = True, keep_duplicates: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(cells, index) of a point layer inside a boundary of any shape (rings); ``index`` is ``row_id, cell_id``.
+
+    Without a boundary it is the points' hull grown by 2% of its box's diagonal (at least 0.02), so that outer cells are no
+    slivers.  ``expand`` grows the boundary by a distance.  Without ``clip`` cells fill the boundary's box.  Points in one
+    place make one cell; ``keep_duplicates`` keeps them in the graph, where they add nothing but work.
+    """
+    from ..sources.layer import dedup_points
+    from .assign import point_cell_index
+    from .overlay import buffer, clip_cells, make_valid
+    from .polygons import hull
+
+    if boundary is None:
+        ring = hull(points)
+        wide = 0.02 * max(math.hypot(*np.ptp(ring, axis=0)), 1.0)
+        # one or two places have no hull with an area: a square around them
+        boundary = buffer([ring], wide) if len(ring) > 2 else [_box_ring(*(ring.min(0) - wide), *(ring.max(0) + wide))]
+    boundary = make_valid(boundary)
+    if expand > 0:
+        boundary = buffer(boundary, expand)
+    flat = np.vstack(boundary)
+    seeds = points.dropDuplicates(["x", "y"]) if keep_duplicates else dedup_points(points)
+    seeds = seeds.select("row_id", "x", "y")
+    corners = seeds.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    low, high = np.minimum(flat.min(0), corners[:2]), np.maximum(flat.max(0), corners[2:])
+    cells = voronoi_cells(seeds, _box_ring(*low, *high))
+    if clip:
+        cells = clip_cells(cells, boundary)
+    cells = stable_ids(cells).persist()
+    return cells, point_cell_index(points, cells)
+
+
+def _box_ring(x0, y0, x1, y1) -> np.ndarray:
+    return np.array([[x0, y0], [x1, y0], [x1, y1], [x0, y1]], float)
+
+
 def delaunay(points: np.ndarray) -> np.ndarray:
     """Triangles (index triples, counter-clockwise) by incremental insertion; points must be distinct."""
     n = len(points)
@@ -236,26 +329,69 @@ def clip_box(points: DataFrame, expand: float = 0.0) -> tuple[float, float, floa
     return x0 - pad, x1 + pad, y0 - pad, y1 + pad
 
 
-def build_tessellation(points: DataFrame, method: str = "voronoi", target: int = 100, boundary: np.ndarray | None = None, expand: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    """(cells, index) of a point layer by method: voronoi, triangles, square or hex; ``index`` is ``row_id, cell_id``."""
+def clip_target(points: DataFrame, boundary: list | None = None, expand: float = 0.0) -> list[np.ndarray]:
+    """The area that a tessellation of points is clipped to, as valid rings.
+
+    A boundary, else the points' box; an extent without width or height becomes a band around the points instead.
+    ``expand`` between 0 and 1 is a share of the longer side of the box, else a distance; a negative one shrinks.
+    """
+    from .overlay import buffer, make_valid
+
+    def distance(box, share):
+        longest = max(box[1] - box[0], box[3] - box[2])
+        return share * longest if 0 < share < 1 else share
+
+    if boundary is not None:
+        flat = np.vstack(make_valid(boundary))
+        (x0, y0), (x1, y1) = flat.min(0), flat.max(0)
+        return buffer(boundary, distance((x0, x1, y0, y1), expand))
+    x0, x1, y0, y1 = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if x0 is None:
+        raise ValueError("a layer without points has no extent")
+    if math.isclose(x0, x1, rel_tol=1.5e-8) or math.isclose(y0, y1, rel_tol=1.5e-8):
+        wide = distance((x0, x1, y0, y1), expand or 0.05)
+        return _band(points, wide if wide > 0 else 1.0)
+    return buffer([_box_ring(x0, y0, x1, y1)], distance((x0, x1, y0, y1), expand))
+
+
+def _band(points: DataFrame, distance: float) -> list[np.ndarray]:
+    """The union of circles around points of a layer, united tile by tile in tasks."""
+    from .overlay import RINGS, arrays, dissolve
+
+    t = [k * math.pi / 60 for k in range(120)]
+    corner = [F.struct((F.col("x") + distance * math.cos(a)).alias("x"), (F.col("y") + distance * math.sin(a)).alias("y")) for a in t]
+    round_ = points.select("x", "y").distinct().select(F.array(F.array(*corner)).cast(RINGS).alias("rings"), *[(F.col(c) + s * distance).alias(f"{c}{n}") for n, s in (("min", -1), ("max", 1)) for c in "xy"])
+    return [r for row in dissolve(round_).select("rings").collect() for r in arrays(row["rings"])]
+
+
+def build_tessellation(points: DataFrame, method: str = "voronoi", target: int = 100, boundary: np.ndarray | list | None = None, expand: float = 0.0, clip: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(cells, index) of a point layer by method: voronoi, triangles, square or hex; ``index`` is ``row_id, cell_id``.
+
+    ``boundary`` is a ring or a list of rings of any shape; cells are cut to it, or to the points' clip target, unless
+    ``clip`` is false.
+    """
     from ..sources.layer import dedup_points
     from .assign import point_cell_index
+    from .overlay import clip_cells
+    from .polygons import grid_polygons
 
-    spark, box = points.sparkSession, clip_box(points, expand)
-    if boundary is None:
-        boundary = np.array([[box[0], box[2]], [box[1], box[2]], [box[1], box[3]], [box[0], box[3]]], float)
+    spark = points.sparkSession
+    if boundary is not None and not isinstance(boundary, list):
+        boundary = [np.asarray(boundary, float)]
+    if method not in ("voronoi", "triangles", "square", "hex"):
+        raise ValueError(f"unknown method: {method}")
+    area = clip_target(points, boundary, expand)
     if method == "voronoi":
-        cells = stable_ids(voronoi_cells(dedup_points(points), boundary).persist())
-    elif method == "triangles":
+        return create_voronoi(points, area, clip=clip)
+    if method == "triangles":
         rows = dedup_points(points).select("x", "y").limit(20_001).toPandas().to_numpy(float)
         if len(rows) > 20_000:
             raise ValueError("at most 20,000 points are triangulated")
         cells = spark.createDataFrame(pd.DataFrame([_cell_row(i + 1, rows[t]) for i, t in enumerate(delaunay(rows))]), CELL)
-    elif method in ("square", "hex"):
-        nx, ny = grid_size(box[1] - box[0], box[3] - box[2], target, method)
-        cells = square_grid(spark, box, nx, ny) if method == "square" else hex_grid(spark, box, (box[1] - box[0]) / nx)
+        if clip and boundary is not None:
+            cells = stable_ids(clip_cells(cells, area))
     else:
-        raise ValueError(f"unknown method: {method}")
+        cells = grid_polygons(spark, area, target=target, kind=method, clip=clip)
     cells = cells.persist()
     return cells, point_cell_index(points, cells)
 

@@ -11,6 +11,13 @@ g as (select v, q, (greatest(0, least(ceil((y - y0) * (10 / (y1 - y0))) - 1, 9))
 _KNN = "knn as (select a.row_id as i, b.row_id as j, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) as d2, row_number() over (partition by a.row_id order by (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y), b.row_id) as r from pts a, pts b where a.row_id <> b.row_id)"
 _LCG = "(row_id * 1103515245 + 42 * 12345) % 2147483648"
 _GLI = "(grp::bigint * 1103515245 + 42 * 12345) % 2147483648"
+_EXT = "ext as (select min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from pts)"
+_NOTCH = f"{_EXT}, u as (select *, x0 + 0.3::double * (x1 - x0) as a, x0 + 0.7::double * (x1 - x0) as b, y0 + 0.25::double * (y1 - y0) as c from ext)"
+_U_AREA = "(greatest(0, least(xmax, x1) - greatest(xmin, x0)) * greatest(0, least(ymax, y1) - greatest(ymin, y0)) - greatest(0, least(xmax, b) - greatest(xmin, a)) * greatest(0, least(ymax, y1) - greatest(ymin, c)))::double"
+_U_RINGS = "case when greatest(ymin, y0) >= c - 1e-9 and xmin < a and xmax > b then 2 else 1 end::int"
+_IN_U = "(x between x0 and x1 and y between y0 and y1 and not (x > a and x < b and y > c))"
+_BOXED = "bx as (select row_id, grp, x as xmin, y as ymin, x + 10 + row_id % 90 as xmax, y + 20 + row_id % 70 as ymax from pts)"
+_ARC = 60 * math.sin(math.pi / 60)  # area of a circle of 120 corners
 
 
 def _vario(extra=""):
@@ -105,7 +112,7 @@ def _three(sums, tail):
 
 def _more():
     blocks = "(greatest(0, least(ceil((y - y0) * (NY / (y1 - y0))) - 1, NY - 1)) * NX + greatest(0, least(ceil((x - x0) * (NX / (x1 - x0))) - 1, NX - 1)))::int"
-    l_area = "(greatest(0, least(cx + 120, 1000) - cx) * greatest(0, least(cy + 120, 330) - cy) + greatest(0, least(cx + 120, 410) - cx) * greatest(0, least(cy + 120, 900) - greatest(cy, 330)))::double"
+    l_area = "(greatest(0, least(cx + 120, x1) - cx) * greatest(0, least(cy + 120, ym) - cy) + greatest(0, least(cx + 120, xm) - cx) * greatest(0, least(cy + 120, y1) - greatest(cy, ym)))::double"
     w2 = "sum(w) s00, sum(w*u1) s01, sum(w*u2) s02, sum(w*u1*u1) s11, sum(w*u1*u2) s12, sum(w*u2*u2) s22, sum(w*v) t0, sum(w*u1*v) t1, sum(w*u2*v) t2"
     q = math.sqrt(2 * math.log(20))
     return {
@@ -118,8 +125,38 @@ def _more():
         "polygon_overlaps": f"with {CUST}, {BOXES}, {_BX} select row_id as feature_id, cell_id, round(a, 6)::double as overlap from ov",
         "cells_within_distance": f"with {CUST}, {BOXES} select row_id, cell_id from pts, boxes where {_EDGE2} <= 625",
         "points_within_cells": f"with {CUST}, {BOXES} select row_id, cell_id from pts, boxes where x > xmin and x < xmax and y > ymin and y < ymax",
-        "grid_clipped": f"with c as (select iy * 9 + ix as i, ix * 120.0::double as cx, iy * 120.0::double as cy from range(9) a(ix), range(8) b(iy)), m as (select *, {l_area} as area from c) select row_number() over (order by i) as cell_id, round(area, 6) as area, cx as xmin, cy as ymin from m where area > 1e-8",
-        "grid_by_target": "select (iy * 6 + ix + 1)::bigint as cell_id, ix * 100.0::double as xmin, iy * 100.0::double as ymin, 10000.0::double as area from range(6) a(ix), range(4) b(iy)",
+        "grid_clipped": f"""with {CUST}, {_EXT}, l as (select *, x0 + 0.41::double * (x1 - x0) as xm, y0 + 0.33::double * (y1 - y0) as ym, ceil((x1 - x0) / 120)::bigint as nx, ceil((y1 - y0) / 120)::bigint as ny from ext),
+c as (select *, iy * nx + ix as i, x0 + ix * 120.0::double as cx, y0 + iy * 120.0::double as cy from (select *, unnest(range(nx)) as ix from l), (select unnest(range(ny)) as iy from l)),
+m as (select *, {l_area} as area from c) select row_number() over (order by i) as cell_id, round(area, 6) as area, round(cx, 6) as xmin, round(cy, 6) as ymin from m where area > 1e-8""",
+        "grid_by_target": f"""with {CUST}, {_EXT}, d as (select *, greatest(1, round(sqrt(24 * (x1 - x0) / (y1 - y0)))::bigint) as nx from ext), n as (select *, greatest(1, ceil(24::double / nx))::bigint as ny from d)
+select (iy * nx + ix + 1)::bigint as cell_id, round(x0 + ix * ((x1 - x0) / nx), 6) as xmin, round(y0 + iy * ((y1 - y0) / ny), 6) as ymin, round((x1 - x0) / nx * ((y1 - y0) / ny), 4) as area from (select *, unnest(range(nx)) as ix from n), (select unnest(range(ny)) as iy from n)""",
+        "grid_pieces": f"""with {CUST}, {_NOTCH}, g as (select *, x0 + ix * ((x1 - x0) / 3) as xmin, x0 + (ix + 1) * ((x1 - x0) / 3) as xmax, y0 + iy * ((y1 - y0) / 5) as ymin, y0 + (iy + 1) * ((y1 - y0) / 5) as ymax from u, range(3) s(ix), range(5) t(iy)),
+m as (select *, {_U_AREA} as area, {_U_RINGS} as n_rings from g), k as (select *, row_number() over (order by iy * 3 + ix) as cell_id from m where area > 1e-8)
+select cell_id, any_value(n_rings) as n_rings, round(any_value(area), 6) as area, count(x) as inside from k left join pts on x > xmin and x < xmax and y > ymin and y < ymax and not (x >= a and x <= b and y >= c) group by cell_id""",
+        "polygon_pieces": f"with {CUST}, {_NOTCH}, {_BOXED}, m as (select row_id, {_U_AREA} as area, {_U_RINGS} as n_rings from bx, u) select row_id as feature_id, n_rings, round(area, 6) as area from m where area > 1e-9",
+        "polygons_repaired": f"with {CUST}, {_BOXED} select row_id, 2::int as n_rings, round((xmax - xmin) * (ymax - ymin) / 2, 5)::double as area, round(xmin, 6) as xmin, round(ymax, 6) as ymax from bx",
+        "polygons_buffered": f"""with {CUST}, {_BOXED}, r as (select *, xmax - xmin as w, ymax - ymin as h, reach from bx, (values (7.5::double), (-12.0::double)) t(reach))
+select row_id, reach, case when reach > 0 or (w > 24 and h > 24) then 1 else 0 end::int as n_rings, round(case when reach > 0 then w * h + 2 * (w + h) * reach + {_ARC!r}::double * reach * reach when w > 24 and h > 24 then (w - 24) * (h - 24) else 0 end, 4)::double as area,
+case when reach > 0 or (w > 24 and h > 24) then round(xmin - reach, 6) end as xmin, case when reach > 0 or (w > 24 and h > 24) then round(ymax + reach, 6) end as ymax from r""",
+        "polygons_dissolved": f"""with {CUST}, {_BOXED}, xs as (select distinct grp, unnest([xmin, xmax]) as x from bx), sx as (select grp, x, lead(x) over (partition by grp order by x) as x2 from xs),
+st as (select sx.grp, x, x2, ymin, ymax, max(ymax) over (partition by sx.grp, x order by ymin, ymax rows between unbounded preceding and 1 preceding) as before from sx join bx on bx.grp = sx.grp and bx.xmin <= x and bx.xmax >= x2 where x2 is not null),
+area as (select grp, sum((x2 - x) * greatest(0, ymax - greatest(ymin, coalesce(before, ymin)))) as area from st group by grp)
+select bx.grp, round(any_value(area), 4)::double as area, min(xmin) as xmin, min(ymin) as ymin, max(xmax) as xmax, max(ymax) as ymax from bx join area on area.grp = bx.grp group by bx.grp""",
+        "clip_target_area": f"""with {CUST}, {_NOTCH}, d as (select *, x1 - x0 as w, y1 - y0 as h, 0.1::double * greatest(x1 - x0, y1 - y0) as r from u)
+select t as target, 1::int as n_rings, round(case t when 'box' then w * h when 'grown' then w * h + 2 * (w + h) * r + {_ARC!r}::double * r * r
+  else w * h - (b - a) * (y1 - c) + 25 * (2 * w + 2 * h + 2 * (y1 - c)) + {1.5 * _ARC!r}::double * 625 - 2 * 625 end, 4)::double as area from d, (values ('box'), ('grown'), ('notched')) v(t)""",
+        "voronoi_cells": f"""with {CUST}, s as (select * from (select row_id, x, y, row_number() over (partition by x, y order by row_id) as r from pts) where r = 1),
+nb as (select * from (select a.row_id, b.x - a.x as a, b.y - a.y as b, row_number() over (partition by a.row_id order by (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y), b.row_id) as k from s a, s b where a.row_id <> b.row_id) where k <= 40),
+h as (select row_id, a, b, (a * a + b * b) / 2 as c, k from nb union all select row_id, -1, 0, x, 41 from s union all select row_id, 1, 0, 1000 - x, 42 from s union all select row_id, 0, -1, y, 43 from s union all select row_id, 0, 1, 1009 - y, 44 from s),
+l as (select row_id, list({{'a': a, 'b': b, 'c': c}}) as l from h group by row_id),
+v as (select p.row_id, (p.c * q.b - q.c * p.b) / (p.a * q.b - q.a * p.b) as x, (p.a * q.c - q.a * p.c) / (p.a * q.b - q.a * p.b) as y from h p join h q on p.row_id = q.row_id and p.k < q.k where p.a * q.b - q.a * p.b <> 0),
+w as (select v.row_id, x, y, row_number() over (partition by v.row_id order by atan2(y, x)) as i, count(*) over (partition by v.row_id) as n from v join l using (row_id) where list_bool_and(list_transform(l.l, lambda e: e.a * x + e.b * y <= e.c + 1e-7)))
+select p.row_id as cell_id, round(sum(p.x * q.y - q.x * p.y) / 2, 6) as area from w p join w q on p.row_id = q.row_id and q.i = p.i % p.n + 1 group by p.row_id""",
+        "voronoi_clipped": f"""with {CUST}, {_NOTCH}, n as (select *, floor((x1 - x0 - 0.137::double) / 23.17)::bigint as nx, floor((y1 - y0 - 0.211::double) / 23.17)::bigint as ny from u),
+g as (select (iy * nx + ix + 1)::bigint as gid, x0 + 0.137::double + 23.17::double / 2 + ix * 23.17::double as x, y0 + 0.211::double + 23.17::double / 2 + iy * 23.17::double as y, x0, x1, y0, y1, a, b, c from (select *, unnest(range(nx)) as ix from n), (select unnest(range(ny)) as iy from n)),
+k as (select * from g where {_IN_U}), s as (select * from (select row_id, x, y, row_number() over (partition by x, y order by row_id) as r from pts) where r = 1),
+near as (select gid, s.row_id as seed, s.x as x, s.y as y, x0, x1, y0, y1, a, b, c, row_number() over (partition by gid order by (k.x-s.x)*(k.x-s.x)+(k.y-s.y)*(k.y-s.y), s.row_id) as r from k, s)
+select gid as row_id, 1::bigint as n_cells, case when {_IN_U} then seed else -1 end::bigint as seed from near where r = 1""",
         "clip_extent": f"with {CUST}, e as (select min(x) a, max(x) b, min(y) c, max(y) d from pts), p as (select *, 0.1::double * greatest(b - a, d - c) as p from e) select round(a - p, 6) as x0, round(b + p, 6) as x1, round(c - p, 6) as y0, round(d + p, 6) as y1 from p",
         "reprojected": f"with {LL} select row_id, s as system, round(lon::double, 6) as x, round(lat::double, 6) as y from pts, (values ('utm'), ('webmerc'), ('albers'), ('laea')) t(s)",
         "harmonized": f"""with {LL}, t as (select row_id, sinh(atanh(sin(radians(lat))) - {_S!r} * atanh({_S!r} * sin(radians(lat)))) as t, radians(lon + 81) as l from pts),
@@ -128,11 +165,11 @@ select row_id, round(500000 + {0.9996 * _RAD!r} * (et + {' + '.join(f'{a!r} * co
 case when row_id % 2 = 0 then 'a' else 'b' end as layer, 'utm' as system from u""",
         "nearest_distance": f"with {EMB}, g as (select (iy * 20 + ix + 1)::bigint as row_id, -475 + ix * 50.0 as x, -475 + iy * 50.0 as y from range(20) a(ix), range(20) b(iy)) select g.row_id, round(sqrt(min((g.x-p.x)*(g.x-p.x)+(g.y-p.y)*(g.y-p.y))), 6) as d from g, pts p group by g.row_id",
         "ranks_with_ties": f"with {CUST}, v as (select *, floor(z / 500) as v from pts) select row_id, rank() over (partition by grp order by v) + (count(*) over (partition by grp, v) - 1) / 2.0::double as rank from v",
-        "cell_summary_all_cells": f"with {CUST}, {BOXES}, every as (select * from boxes union all select 9, xmin + 5000, ymin, xmax + 5000, ymax from boxes where cell_id = 2), h as (select pts.row_id, z, e.cell_id, row_number() over (partition by pts.row_id order by (xmax-xmin)*(ymax-ymin), e.cell_id) as r from pts join every e on x between xmin and xmax and y between ymin and ymax where x < 700), s as (select cell_id, count(*) as n, avg(z) as m, stddev_samp(z) as sd from h where r = 1 group by cell_id) select e.cell_id, n, round(m, 6) as resp_mean_z, round(sd, 6) as sd_resp_z, round(sd / sqrt(n), 6) as se_resp_z, n::double as cell_weight from every e left join s using (cell_id)",
+        "cell_summary_all_cells": f"with {CUST}, {BOXES}, every as (select * from boxes union all select 9, xmin + 5000, ymin, xmax + 5000, ymax from boxes where cell_id = 2), h as (select pts.row_id, z, e.cell_id, row_number() over (partition by pts.row_id order by (xmax-xmin)*(ymax-ymin), e.cell_id) as r from pts join every e on x between xmin and xmax and y between ymin and ymax ), s as (select cell_id, count(*) as n, avg(z) as m, stddev_samp(z) as sd from h where r = 1 group by cell_id) select e.cell_id, n, round(m, 6) as resp_mean_z, round(sd, 6) as sd_resp_z, round(sd / sqrt(n), 6) as se_resp_z, n::double as cell_weight from every e left join s using (cell_id)",
         "cell_summary_variogram": f"with {CUST}, g as (select grp, count(*) as n, avg(z) as m, stddev_samp(z) as sd from pts group by grp), s as (select a.grp, sum(least(1, 0.8 * exp(-sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) / 60))) as s from pts a join pts b on a.grp = b.grp and a.row_id < b.row_id group by a.grp), f as (select g.*, greatest(1, least(1 + 2 * coalesce(s, 0) / n, n)) as d from g left join s using (grp)) select grp, n, round(m, 6) as resp_mean_z, round(sd, 6) as sd_resp_z, round(sd / sqrt(n / d), 6) as se_resp_z, round(n / d, 6)::double as cell_weight from f",
         "cv_ols_overall": _CV + ", d as (select y, yhat as f, y_train_mean as b from o), " + _METRICS,
         "folds_remapped": f"with {CUST}, {_folds(7)} select fold, count(*) as n, sum(row_id)::bigint as ids from f where z > 0 group by fold",
-        "folds_without_rows": f"with {EMB}, s as (select * from pts where row_id < 100) select a.row_id as fold, count(*) filter (where a.row_id <> b.row_id and (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) > 6400) as n_train from s a, s b group by a.row_id",
+        "folds_without_rows": f"with {EMB}, s as (select * from pts) select a.row_id as fold, count(*) filter (where a.row_id <> b.row_id and (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) > 6400) as n_train from s a, s b group by a.row_id",
         "ols_predictions": f"with {EMB}, " + _three("select " + w2.replace("sum(w)", "count(*)::double").replace("sum(w*", "sum(") + " from (select w1 as u1, w2 as u2, z as v from pts where row_id % 3 <> 0)", "select row_id, case when row_id % 17 <> 0 then round(b0 + b1 * w1 + b2 * w2, 6) end as pred from pts, co"),
         "ols_metrics": f"with {EMB}, k as (select regr_slope(z, w1) as s, regr_intercept(z, w1) as c, avg(z) as m from pts), d as (select z as y, c + s * w1 as f, m as b from pts, k), " + _METRICS,
         "residual_moran": f"with {EMB}, {_KNN}, w as (select i, j, 0.125 as w from knn where r <= 8), k as (select regr_slope(z, w1) as s, regr_intercept(z, w1) as c from pts), v as (select row_id, z - c - s * w1 as z from pts, k), " + _MORAN + " select 'linear' as model, n::bigint as n, round(mi, 6)::double as moran, round((mi-ex)/sqrt(va), 6)::double as z from mo",
@@ -169,8 +206,8 @@ select case when d0 < d1 or (d0 = d1 and c0 < c1) then c0 else c1 end as cell_id
         "point_cell_index": f"with {CUST}, {BOXES}, d as (select pts.row_id, cell_id, row_number() over (partition by pts.row_id order by {edge}, cell_id) as r from pts, boxes) select row_id, cell_id from d where r = 1",
         "voronoi_assign": f"with {CUST}, d as (select a.row_id, b.row_id as cell_id, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) as d, row_number() over (partition by a.row_id order by (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y), b.row_id) as r from pts a, pts b where b.row_id % 50 = 0) select row_id, cell_id, round(d, 6) as d from d where r = 1",
         "points_dedup": f"with {CUST}, d as (select *, row_number() over (partition by round(x, -2), round(y, -2) order by row_id) as r from pts) select row_id, x, y from d where r = 1",
-        "stable_cell_ids": "with c as (select -500 + ix * (1000.0::double / 7) as xmin, -500 + iy * 200.0::double as ymin from range(7) a(ix), range(5) b(iy)) select row_number() over (order by round(xmin + 500.0::double / 7, 9), ymin) as cell_id, round(xmin, 6) as xmin, round(ymin, 6) as ymin, round(200 * 1000.0::double / 7, 4) as area from c",
-        "grid_prediction_points": "select (iy * 33 + ix + 1)::bigint as row_id, (-485 + ix * 30)::double as x, (-485 + iy * 30)::double as y from range(33) a(ix), range(33) b(iy)",
+        "stable_cell_ids": f"with {CUST}, {_EXT}, c as (select x0 + ix * ((x1 - x0) / 7) as xmin, y0 + iy * ((y1 - y0) / 5) as ymin, (x1 - x0) / 7 as w, (y1 - y0) / 5 as h, ix, iy from ext, range(7) a(ix), range(5) b(iy)) select row_number() over (order by ix, iy) as cell_id, round(xmin, 6) as xmin, round(ymin, 6) as ymin, round(w * h, 4) as area from c",
+        "grid_prediction_points": f"with {CUST}, {_EXT}, n as (select *, floor((x1 - x0) / 30)::bigint as nx, floor((y1 - y0) / 30)::bigint as ny from ext) select (iy * nx + ix + 1)::bigint as row_id, (x0 + 15 + ix * 30)::double as x, (y0 + 15 + iy * 30)::double as y from (select *, unnest(range(nx)) as ix from n), (select unnest(range(ny)) as iy from n)",
         "knn_weights": f"with {EMB}, {_KNN} select i, j, 0.125::double as w from knn where r <= 8",
         "distance_pairs": f"with {CUST} select a.row_id as i, b.row_id as j, round(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)), 6) as d from pts a, pts b where (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 400",
         "knn_five": f"with {CUST}, {_KNN} select i, j, round(sqrt(d2), 6) as d, r::int as rank from knn where r <= 5",

@@ -15,6 +15,7 @@ from ..operators import folds as D
 from ..operators import joins as J
 from ..operators import metrics as M
 from ..operators import models as G
+from ..operators import overlay as O
 from ..operators import points as Q
 from ..operators import polygons as Y
 from ..operators import surface as P
@@ -33,6 +34,24 @@ def _r(df, digits=4, skip=()):
     return df.select(*[F.round(c, digits).alias(c) if t == "double" and c not in skip else F.col(c) for c, t in df.dtypes])
 
 
+def _extent(points):
+    return points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+
+
+def _ell(spark, sf_dir):
+    """An L over the customers' extent."""
+    x0, x1, y0, y1 = _extent(customer_points(spark, sf_dir))
+    xm, ym = x0 + 0.41 * (x1 - x0), y0 + 0.33 * (y1 - y0)
+    return [np.array([[x0, y0], [x1, y0], [x1, ym], [xm, ym], [xm, y1], [x0, y1]])]
+
+
+def _notched(spark, sf_dir):
+    """A U over the customers' extent, open at the top."""
+    x0, x1, y0, y1 = _extent(customer_points(spark, sf_dir))
+    a, b, c = x0 + 0.3 * (x1 - x0), x0 + 0.7 * (x1 - x0), y0 + 0.25 * (y1 - y0)
+    return [np.array([[x0, y0], [x1, y0], [x1, y1], [b, y1], [b, c], [a, c], [a, y1], [x0, y1]])]
+
+
 def _gridded(spark, sf_dir, nx=10, ny=10):
     p = lineitem_points(spark, sf_dir)
     x0, x1, y0, y1 = p.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
@@ -86,12 +105,12 @@ def points_dedup(spark, sf_dir):
 
 
 def stable_cell_ids(spark, sf_dir):
-    g = T.stable_ids(T.square_grid(spark, BOX, 7, 5))
+    g = T.stable_ids(T.square_grid(spark, _extent(customer_points(spark, sf_dir)), 7, 5))
     return g.select("cell_id", F.round("xmin", 6).alias("xmin"), F.round("ymin", 6).alias("ymin"), F.round(F.abs(shoelace("rings")), 4).alias("area"))
 
 
 def grid_prediction_points(spark, sf_dir):
-    return _r(prediction_grid(spark, BOX, cell_size=30.0), 6)
+    return _r(prediction_grid(spark, _extent(customer_points(spark, sf_dir)), cell_size=30.0), 6)
 
 
 def knn_weights(spark, sf_dir):
@@ -276,15 +295,72 @@ def points_within_cells(spark, sf_dir):
 
 def grid_clipped(spark, sf_dir):
     """A grid over an L, cut to it and numbered after that."""
-    edge = [np.array([[0.0, 0.0], [1000.0, 0.0], [1000.0, 330.0], [410.0, 330.0], [410.0, 900.0], [0.0, 900.0]])]
-    return Y.grid_polygons(spark, edge, cellsize=120.0).select("cell_id", F.round(F.abs(shoelace("rings")), 6).alias("area"), F.round("xmin", 6).alias("xmin"), F.round("ymin", 6).alias("ymin"))
+    return Y.grid_polygons(spark, _ell(spark, sf_dir), cellsize=120.0).select("cell_id", F.round(F.abs(shoelace("rings")), 6).alias("area"), F.round("xmin", 6).alias("xmin"), F.round("ymin", 6).alias("ymin"))
 
 
 def grid_by_target(spark, sf_dir):
-    edge = [np.array([[0.0, 0.0], [600.0, 0.0], [600.0, 400.0], [0.0, 400.0]])]
+    x0, x1, y0, y1 = _extent(customer_points(spark, sf_dir))
+    edge = [np.array([[x0, y0], [x1, y0], [x1, y1], [x0, y1]])]
     return Y.grid_polygons(spark, edge, target=24, clip=False).select("cell_id", F.round("xmin", 6).alias("xmin"), F.round("ymin", 6).alias("ymin"), F.round(F.abs(shoelace("rings")), 4).alias("area"))
 
 
+def grid_pieces(spark, sf_dir):
+    """Cells of a grid over a U: those that span its notch come in two rings, and no point of the notch lies in them."""
+    cells = Y.grid_polygons(spark, _notched(spark, sf_dir), n=(3, 5))
+    held = J.polygon_matches(customer_points(spark, sf_dir).select("row_id", "x", "y"), cells, predicate="within").groupBy("cell_id").agg(F.count(F.lit(1)).alias("inside"))
+    out = cells.select("cell_id", F.size("rings").alias("n_rings"), F.round(F.abs(shoelace("rings")), 6).alias("area"))
+    return out.join(held, "cell_id", "left").select("cell_id", "n_rings", "area", F.coalesce("inside", F.lit(0)).cast("long").alias("inside"))
+
+
+def polygon_pieces(spark, sf_dir):
+    """What the customers' boxes have in common with a U, piece by piece."""
+    ring = [[(float(x), float(y)) for x, y in r] for r in _notched(spark, sf_dir)]
+    flat = np.array(ring[0])
+    cell = spark.createDataFrame([(1, ring, *flat.min(0).tolist(), *flat.max(0).tolist())], "cell_id long, rings array<array<struct<x:double,y:double>>>, xmin double, ymin double, xmax double, ymax double")
+    return Y.polygon_pieces(_boxes(spark, sf_dir), cell).select("feature_id", F.size("rings").alias("n_rings"), F.round("area", 6).alias("area"))
+
+
+def polygons_repaired(spark, sf_dir):
+    """Bow ties over the customers' boxes, with a vertex that comes twice and a spike."""
+    at = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    bow = F.array(at("xmin", "ymin"), at("xmax", "ymax"), at("xmax", "ymax"), at("xmax", "ymin"), at("xmin", "ymax"), at("xmin", "ymin"))
+    fixed = O.repaired(_boxes(spark, sf_dir).withColumn("rings", F.array(bow)))
+    return fixed.select("row_id", F.size("rings").alias("n_rings"), F.round(shoelace("rings"), 5).alias("area"), F.round("xmin", 6).alias("xmin"), F.round("ymax", 6).alias("ymax"))
+
+
+def polygons_buffered(spark, sf_dir):
+    """The customers' boxes grown by 7.5, and shrunk by 12 where something is left of them."""
+    boxes = _boxes(spark, sf_dir)
+    out = O.buffered(boxes, 7.5).withColumn("reach", F.lit(7.5)).unionByName(O.buffered(boxes, -12.0).withColumn("reach", F.lit(-12.0)))
+    return out.select("row_id", "reach", F.size("rings").alias("n_rings"), F.round(F.coalesce(shoelace("rings"), F.lit(0.0)), 4).alias("area"), F.round("xmin", 6).alias("xmin"), F.round("ymax", 6).alias("ymax"))
+
+
+def polygons_dissolved(spark, sf_dir):
+    """The union of the customers' boxes by nation."""
+    boxes = _boxes(spark, sf_dir).join(customer_points(spark, sf_dir).select("row_id", "grp"), "row_id")
+    return O.dissolve(boxes, "grp").select("grp", F.round(shoelace("rings"), 4).alias("area"), "xmin", "ymin", "xmax", "ymax")
+
+
+def clip_target_area(spark, sf_dir):
+    """Clip targets: the box, the box grown by 10%, a U grown by 25."""
+    p, rows = customer_points(spark, sf_dir), []
+    for name, rings in (("box", T.clip_target(p)), ("grown", T.clip_target(p, expand=0.1)), ("notched", T.clip_target(p, _notched(spark, sf_dir), 25.0))):
+        rows.append((name, len(rings), O.signed_area(rings)))
+    return _r(spark.createDataFrame(rows, "target string, n_rings int, area double"), 4)
+
+
+def voronoi_clipped(spark, sf_dir):
+    """Voronoi cells of all customers in a U, tried at the points of a lattice: its own cell holds each point of the U."""
+    cells, _ = T.create_voronoi(customer_points(spark, sf_dir), _notched(spark, sf_dir))
+    x0, x1, y0, y1 = _extent(customer_points(spark, sf_dir))
+    grid = prediction_grid(spark, (x0 + 0.137, x1, y0 + 0.211, y1), cell_size=23.17)
+    seeds = dedup_points(customer_points(spark, sf_dir)).select(F.col("row_id").alias("seed"), "x", "y")
+    owner = J.polygon_matches(seeds.select(F.col("seed").alias("row_id"), "x", "y"), cells).select(F.col("row_id").alias("seed"), "cell_id")
+    # seeds outside the U own cells too: those are told by the nearest seed of the point
+    met = J.polygon_matches(grid, cells).groupBy("row_id").agg(F.count(F.lit(1)).alias("n_cells"), F.min("cell_id").alias("cell_id"))
+    return met.join(owner, "cell_id", "left").select("row_id", "n_cells", F.coalesce("seed", F.lit(-1)).cast("long").alias("seed"))
+
+
 def clip_extent(spark, sf_dir):
     x0, x1, y0, y1 = T.clip_box(customer_points(spark, sf_dir), 0.1)
     return spark.createDataFrame([(x0, x1, y0, y1)], "x0 double, x1 double, y0 double, y1 double").select(*[F.round(c, 6).alias(c) for c in ("x0", "x1", "y0", "y1")])
@@ -319,7 +395,7 @@ def ranks_with_ties(spark, sf_dir):
 
 def cell_summary_all_cells(spark, sf_dir):
     """Every cell has a row, those without points too."""
-    p = customer_points(spark, sf_dir).where("x < 700")
+    p = customer_points(spark, sf_dir)
     cells = literal_cells(spark).unionByName(literal_cells(spark).where("cell_id = 2").withColumn("cell_id", F.lit(9).cast("long")).withColumn("xmin", F.col("xmin") + 5000).withColumn("xmax", F.col("xmax") + 5000).withColumn("rings", F.transform("rings", lambda r: F.transform(r, lambda v: F.struct((v["x"] + 5000).alias("x"), v["y"].alias("y"))))))
     s = S.summarize_by_cell(S.assign_to_cells(p, cells), "z", cells=cells)
     return _r(s.select("cell_id", "n", "resp_mean_z", "sd_resp_z", "se_resp_z", "cell_weight"), 6)
@@ -342,7 +418,7 @@ def folds_remapped(spark, sf_dir):
 
 def folds_without_rows(spark, sf_dir):
     """Train sizes of buffered folds: all rows but the test row and its excluded ones."""
-    p = embedding_points(spark, sf_dir).where("row_id < 100")
+    p = embedding_points(spark, sf_dir)
     f = D.buffered_loo(p, 80.0)
     out = f.assignment.select("fold").crossJoin(F.broadcast(p.agg(F.count(F.lit(1)).alias("n"))))
     gone = f.excluded.groupBy("fold").agg(F.count(F.lit(1)).alias("m"))
