@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
+ROW_GROUP_BYTES = 16 << 20  # a writer holds a row group: with the default of 128 MB each task's takes that of the heap
+
 _scratch: list[tuple[SparkSession, str]] = []
 
 
@@ -45,7 +47,7 @@ def materialise(df: DataFrame, name: str, batch_rows: int | None = None) -> Data
     try:
         if batch_rows:
             spark.conf.set(key, str(batch_rows))
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     finally:
         spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
