@@ -132,7 +132,7 @@ def cv_gp(data, response, predictors, folds: Folds | None = None, k: int = 5, le
 
 
 def compare_models(fits: dict[str, SpatialFit], new: DataFrame | None = None, moran_k: int | None = None) -> list[dict]:
-    """In-sample (or new-data) metrics by model, with AICc and fallback flags of local regressions; with ``moran_k`` also
+    """In-sample (or new-data) metrics by model, with AICc and fallback flags of local regressions and LOOIC of Gaussian processes; with ``moran_k`` also
     Moran's I of the residuals, its z and p, over so many neighbours."""
     moran = {} if moran_k is None else {r["model"]: r for r in residual_morans(fits, moran_k)}
     out = []
@@ -140,6 +140,8 @@ def compare_models(fits: dict[str, SpatialFit], new: DataFrame | None = None, mo
         row = fit.metrics(new).first().asDict() | {"model": name, "engine": fit.engine}
         if fit.engine == "GWR":
             row |= {"AICc": fit.aicc(), "bandwidth_is_fallback": fit.info["fallback"]}
+        if fit.engine == "GP":
+            row |= {"LOOIC": fit.looic()}
         if name in moran:
             row |= {"moran_I": moran[name]["I"], "moran_z": moran[name]["z"], "moran_p": moran[name]["p"]}
         out.append(row)

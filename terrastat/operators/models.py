@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import all_finite, squared_distance
+from .bayes import FAMILIES, lengthscale_prior, log_likelihood, loo_summary, mean_of, psis_loo, simulated, working
 from .joins import all_pairs, distance_join, knn_join
 from .metrics import linear, ols, regression_metrics
 
@@ -423,48 +424,98 @@ def basis_spec(half_range: float, bounds: tuple[float, float], k_min: int = 10,
 
 
 class GPFit(SpatialFit):
-    def _design(self, f: pd.DataFrame) -> np.ndarray:
-        return _gp_design(f, self.predictors, self.info)
+    @property
+    def family(self) -> str:
+        return self.info["family"]
 
-    def predict(self, new=None, draws: bool = False):
-        d = self.data if new is None else new
+    def _mapped(self, d: DataFrame, make, schema: str, *more: str) -> DataFrame:
+        """``make(frame, eta, sigma)`` over the complete rows of ``d``; ``eta`` is rows x draws."""
         me = (self.predictors, {k: v for k, v in self.info.items() if not k.startswith("__")})
 
         def run(frames):
             names, info = me
             for f in frames:  # slices: a design row has up to 2,500 basis functions
-                g = np.vstack([_gp_design(f[at : at + 1000], names, info) @ info["draws"].T for at in range(0, len(f), 1000)] or [np.zeros((0, len(info["draws"])))])
-                yield pd.DataFrame({"row_id": f["row_id"], "pred": g.mean(1), "draws": list(g)})
+                eta = np.vstack([_gp_design(f[at : at + 1000], names, info) @ info["draws"].T for at in range(0, len(f), 1000)] or [np.zeros((0, len(info["draws"])))])
+                yield make(f, eta, info["sigma"])
+
+        clean = d.where(all_finite(["x", "y", *self.predictors, *more])).select("row_id", "x", "y", *self.predictors, *more)
+        return clean.mapInPandas(run, schema)
+
+    def predict(self, new=None, draws: bool = False, summary: str = "mean", type: str = "epred", seed: int = 1):
+        """``row_id, pred`` (with ``draws`` also the array): the mean or median over draws of the expected response
+        (``epred``), or of new observations (``predict``), whose noise depends on seed, row and draw only."""
+        if summary not in ("mean", "median") or type not in ("epred", "predict"):
+            raise ValueError("summary is mean or median, type is epred or predict")
+        d, family = self.data if new is None else new, self.family
 
-        clean = d.where(all_finite(["x", "y", *self.predictors])).select("row_id", "x", "y", *self.predictors)
-        found = clean.mapInPandas(run, "row_id long, pred double, draws array<double>")
+        def make(f, eta, sigma):
+            out = mean_of(family, eta) if type == "epred" else simulated(family, f["row_id"].to_numpy(), eta, sigma, seed)
+            return pd.DataFrame({"row_id": f["row_id"], "pred": np.median(out, 1) if summary == "median" else out.mean(1), "draws": list(out)})
+
+        found = self._mapped(d, make, "row_id long, pred double, draws array<double>")
         return _scatter(d, self.predictors, found if draws else found.select("row_id", "pred"))
 
+    def log_lik(self, new=None) -> DataFrame:
+        """``row_id, log_lik``: an array by draw for each row with a response."""
+        family, response = self.family, self.response
+
+        def make(f, eta, sigma):
+            return pd.DataFrame({"row_id": f["row_id"], "log_lik": list(log_likelihood(family, f[response].to_numpy(float), eta, sigma))})
+
+        return self._mapped(self.data if new is None else new, make, "row_id long, log_lik array<double>", response)
+
+    def loo(self) -> DataFrame:
+        """``psis_loo`` of the training rows."""
+        if "__loo" not in self.info:
+            self.info["__loo"] = psis_loo(self.log_lik()).persist()
+        return self.info["__loo"]
+
+    def looic(self) -> float:
+        row = loo_summary(self.loo()).first()
+        if row["high_k"]:
+            log.warning("%d of %d rows have a k-hat above 0.7: their leave-one-out terms are not reliable", row["high_k"], row["n"])
+        return row["looic"]
+
     def coef(self):
         b = self.info["draws"][:, : 1 + len(self.predictors)]
         return {n: (float(b[:, k].mean()), float(b[:, k].std(ddof=1))) for k, n in enumerate(["intercept", *self.predictors])}
 
+    def summary(self) -> dict:
+        """Posterior mean, standard deviation and quantiles by coefficient and hyper-parameter, R-hat, basis."""
+        names = ["intercept", *self.predictors, *self.info["hyper"]]
+        rows = np.column_stack([self.info["draws"][:, : 1 + len(self.predictors)], np.exp(self.info["theta"])])
+        table = {n: {"mean": v.mean(), "sd": v.std(ddof=1), "q2.5": np.quantile(v, 0.025), "q97.5": np.quantile(v, 0.975)} for n, v in zip(names, rows.T, strict=True)}
+        return {"family": self.family, "basis": self.info["k"] ** 2, "rhat": dict(zip(self.info["hyper"], self.info["rhat"], strict=True)), "table": table}
+
 
 def _angles(f, info) -> list[np.ndarray]:
     z = (f[["x", "y"]].to_numpy(float) - info["mean"]) / info["sd"]
     return [math.pi / (2 * big) * (z[:, [axis]] + big) for axis, big in enumerate(info["L"])]
 
 
+def _standardised(f, names, info):
+    rules = info.get("scaling")
+    return f.assign(**{v: (f[v].to_numpy(float) - rules[v][0]) / rules[v][1] for v in names}) if rules else f
+
+
 def _gp_design(f, names, info):
+    f = _standardised(f, names, info)
     j = np.arange(1, info["k"] + 1)
     cols = [np.sin(j * t) / math.sqrt(big) for t, big in zip(_angles(f, info), info["L"], strict=True)]
     phi = (cols[0][:, :, None] * cols[1][:, None, :]).reshape(len(f), -1)
     return np.column_stack([np.ones(len(f)), f[names].to_numpy(float), phi])
 
 
-def _gp_sums(f, names, response, shift, info) -> np.ndarray:
-    """What ``_gp_cross`` needs of some rows, added up over rows.  Products of sines are differences of cosines, so
-    (2 k + 1)^2 sums of cosine products hold all k^2 x k^2 products of basis functions."""
+def _gp_sums(f, names, response, shift, info, weight=None) -> np.ndarray:
+    """What ``_gp_cross`` needs of some rows, added up over rows, which may be weighted.  Products of sines are differences
+    of cosines, so (2 k + 1)^2 sums of cosine products hold all k^2 x k^2 products of basis functions."""
     tx, ty = _angles(f, info)
+    w = np.ones((len(f), 1)) if weight is None else weight[:, None]
     j, a = np.arange(1, info["k"] + 1), np.arange(2 * info["k"] + 1)
-    flat = np.column_stack([np.ones(len(f)), f[names].to_numpy(float), f[response].to_numpy(float) - shift])
+    y = f[response].to_numpy(float) if isinstance(response, str) else response
+    flat = np.column_stack([np.ones(len(f)), f[names].to_numpy(float), y - shift])
     sx, sy = np.sin(j * tx), np.sin(j * ty)
-    return np.concatenate([(np.cos(a * tx).T @ np.cos(a * ty)).ravel(), *[((sx * c[:, None]).T @ sy).ravel() for c in flat.T], (flat.T @ flat).ravel()])
+    return np.concatenate([((w * np.cos(a * tx)).T @ np.cos(a * ty)).ravel(), *[((sx * (w[:, 0] * c)[:, None]).T @ sy).ravel() for c in flat.T], ((w * flat).T @ flat).ravel()])
 
 
 def _gp_cross(sums: np.ndarray, p: int, info) -> np.ndarray:
@@ -491,10 +542,12 @@ def _mode(f, start: np.ndarray, steps: int = 25) -> tuple[np.ndarray, np.ndarray
     def curve(t):
         base, eye = safe(t), np.eye(n) * h
         up, down = np.array([safe(t + e) for e in eye]), np.array([safe(t - e) for e in eye])
-        hess = np.diag((up - 2 * base + down) / h**2)
+        with np.errstate(invalid="ignore"):
+            hess = np.diag((up - 2 * base + down) / h**2)
         for i in range(n):
             for j in range(i):
-                hess[i, j] = hess[j, i] = (safe(t + eye[i] + eye[j]) - up[i] - up[j] + base) / h**2
+                corner = [safe(t + eye[i] + eye[j]), up[i], up[j], base]
+                hess[i, j] = hess[j, i] = (corner[0] - up[i] - up[j] + base) / h**2 if np.isfinite(corner).all() else np.nan
         if not (np.isfinite(base) and np.isfinite(hess).all()):  # at the edge of what can be factorised: the chain goes on from here
             return base, np.zeros(n), np.eye(n) * 0.01
         w, v = np.linalg.eigh(-(hess + hess.T) / 2)
@@ -512,17 +565,87 @@ def _mode(f, start: np.ndarray, steps: int = 25) -> tuple[np.ndarray, np.ndarray
     return t, curve(t)[2]
 
 
-def fit_gp(data: DataFrame, response: str, predictors: list[str], k: int | None = None, c: float | None = None, chains: int = 4, iterations: int = 2000, draws: int = 200, seed: int = 123, max_basis: int = 2500) -> GPFit:
-    """A Gaussian response with a 2-D Hilbert-space Gaussian process; coefficients are collapsed.
-
-    One aggregate pass over batches gives the cross-products of all basis functions; the four
+@dataclass
+class _Posterior:
+    """The hyper-parameters' posterior given cross-products of the design and the response, coefficients collapsed."""
+
+    bounds: tuple[float, float]
+    prior: object  # of length scales
+    w2: np.ndarray  # squared frequencies of the basis functions, by axis
+    p: int
+    n: int
+    vy: float
+    iso: bool
+    noise: bool  # whether the noise is sampled; else its variance is 1
+
+    @property
+    def names(self) -> list[str]:
+        return (["lscale"] if self.iso else ["lscale_x", "lscale_y"]) + ["sdgp"] + (["sigma"] if self.noise else [])
+
+    def start(self, rng) -> np.ndarray:
+        ls = 1 if self.iso else 2
+        return np.array([np.log(self.bounds).mean()] * ls + [0.5 * math.log(self.vy) - 0.5] * (len(self.names) - ls)) + rng.normal(0, 0.3, len(self.names))
+
+    def sigma(self, t: np.ndarray) -> float:
+        return math.sqrt(math.exp(2 * t[-1]) + 1e-8 * self.vy) if self.noise else 1.0
+
+    def at(self, t: np.ndarray, g: np.ndarray):
+        """(log density, factor, solution, prior variances, active coefficients).
+
+        Basis functions to which the prior leaves less than 1e-10 of the information in the data can move neither the
+        likelihood nor a prediction: they are left out of the factorisation, which grows with the cube of its size.
+        """
+        ls, sf = np.exp(t[: 1 if self.iso else 2]), math.exp(t[1 if self.iso else 2])
+        lx, ly = (ls[0], ls[0]) if self.iso else ls
+        s = self.sigma(t)
+        variance = np.concatenate([np.full(self.p, 100 * self.vy), sf**2 * 2 * math.pi * lx * ly * np.exp(-0.5 * (lx**2 * self.w2[:, 0] + ly**2 * self.w2[:, 1]))])
+        active = np.flatnonzero(variance * np.diag(g)[:-1] / s**2 > 1e-10)
+        at = np.append(active, len(g) - 1)
+        a = g[np.ix_(at, at)] / s**2
+        a[np.diag_indices(len(a))] += np.append(1 / variance[active], 1.0)
+        whole = np.linalg.cholesky(a)  # its last row solves for the response, so no other factorisation is needed
+        chol, b = whole[:-1, :-1], whole[-1, :-1]
+        like = -0.5 * (whole[-1, -1] ** 2 - 1) - np.log(np.diag(chol)).sum() - 0.5 * np.log(variance[active]).sum() - self.n * math.log(s)
+        wide = self.bounds[1] if self.bounds[1] > 1.5 * self.bounds[0] else 1.5 * self.bounds[0]
+        for v in ls:  # a half-normal where no inverse gamma fits the bounds; densities of logarithms
+            like += (self.prior.log_density(v) if self.prior.ok else -0.5 * (v / wide) ** 2) + math.log(v)
+        rest = t[1 if self.iso else 2 :] - 0.5 * math.log(self.vy)
+        return like - 0.5 * (rest / 1.5) @ (rest / 1.5), chol, b, variance, active
+
+    def coefficients(self, got, rng=None) -> np.ndarray:
+        """The coefficients' conditional mean, or with ``rng`` a draw."""
+        _, chol, b, variance, active = got
+        out = np.zeros(len(variance)) if rng is None else np.sqrt(variance) * rng.normal(size=len(variance))
+        out[active] = np.linalg.solve(chol.T, b if rng is None else b + rng.normal(size=len(active)))
+        return out
+
+
+def fit_gp(
+    data: DataFrame, response: str, predictors: list[str], k: int | None = None, c: float | None = None, chains: int = 4, iterations: int = 2000, draws: int = 200,
+    seed: int = 123, max_basis: int = 2500, family: str = "gaussian", iso: bool = False, standardize_predictors: bool = False,
+) -> GPFit:
+    """A response with a 2-D Hilbert-space Gaussian process; coefficients are collapsed.
+
+    One aggregate pass over batches gives the cross-products of all basis functions; the
     hyper-parameters are then sampled on the marginal likelihood, whose cost does not depend on n, a
     chain per task.  Random-walk chains: no divergence figure is reported.  A basis that needs more than
     ``max_basis`` functions is capped with a warning.  1e-8 of the response's variance is added to that of
     the noise: a response without noise has its mode where cross-products can't be factorised.
+
+    Length scales, one an axis or with ``iso`` one for both, have an inverse gamma prior with 1% of its mass below and above the
+    bounds of the layer.  ``binomial`` (0/1, logit) and ``poisson`` (counts, log) responses are linearised where their posterior
+    mode is: weighted cross-products over all rows, a pass a step, until the linear predictor moves by less than 1e-3.
+    ``standardize_predictors`` fits on centred predictors of unit deviation; new data are treated alike.
     """
+    if family not in FAMILIES:
+        raise ValueError(f"family must be one of {FAMILIES}")
     clean = data.where(all_finite(["x", "y", response, *predictors]))
-    st = clean.agg(*[f(v) for v in ("x", "y") for f in (F.avg, F.stddev_samp, F.min, F.max)], F.avg(response), F.stddev_samp(response), F.count(F.lit(1))).first()
+    st = clean.agg(*[f(v) for v in ("x", "y") for f in (F.avg, F.stddev_samp, F.min, F.max)], F.avg(response), F.stddev_samp(response), F.count(F.lit(1)), F.min(response), F.max(response)).first()
+    if not st[10]:
+        raise ValueError("no complete row")
+    whole = family == "gaussian" or not clean.where(F.col(response) != F.round(response)).limit(1).count()
+    if not whole or (family != "gaussian" and st[11] < 0) or (family == "binomial" and st[12] > 1):
+        raise ValueError(f"the response does not fit the family {family}")
     mean, sd = np.array([st[0], st[4]]), np.array([st[1] or 1.0, st[5] or 1.0])
     half = np.array([max(st[3] - st[0], st[0] - st[2]), max(st[7] - st[4], st[4] - st[6])]) / sd
     some = clean.select("row_id", "x", "y").orderBy(F.xxhash64("row_id", F.lit(seed)), "row_id").limit(1000).toPandas()
@@ -535,68 +658,93 @@ def fit_gp(data: DataFrame, response: str, predictors: list[str], k: int | None
     k, c = k or kk, c or cc
     if c <= 1 or k < 2:
         raise ValueError("the basis needs k >= 2 and c > 1")
-    info = {"mean": mean, "sd": sd, "L": c * np.maximum(half, 1e-9), "k": k, "c": c, "capped": capped, "bounds": bounds}
-    p, m = 1 + len(predictors), k * k
+    prior = lengthscale_prior(*bounds)
+    info = {"mean": mean, "sd": sd, "L": c * np.maximum(half, 1e-9), "k": k, "c": c, "capped": capped, "bounds": bounds, "family": family, "prior": prior}
+    if standardize_predictors and predictors:
+        row = clean.agg(*[f(v) for v in predictors for f in (F.avg, F.stddev_samp)]).first()
+        info["scaling"] = {v: (row[2 * q], max(row[2 * q + 1] or 0.0, 2.220446049250313e-16)) for q, v in enumerate(predictors)}
+    p, n = 1 + len(predictors), st[10]
+    shift = st[8] if family == "gaussian" else 0.0
+
+    def summed(beta):
+        def cross(frames):
+            total = None
+            for f in frames:
+                f = _standardised(f, predictors, info)
+                if family == "gaussian":
+                    part = _gp_sums(f, predictors, response, shift, info)
+                else:
+                    eta = np.concatenate([_gp_design(f[at : at + 1000], predictors, info | {"scaling": {}}) @ beta for at in range(0, len(f), 1000)])
+                    w, target = working(family, f[response].to_numpy(float), eta)
+                    part = _gp_sums(f, predictors, target, 0.0, info, w)
+                total = part if total is None else total + part
+            if total is not None:
+                yield pd.DataFrame({"g": [total.tolist()]})
+
+        parts = clean.select("x", "y", response, *predictors).mapInPandas(cross, "g array<double>")
+        return parts.select(F.posexplode("g")).groupBy("pos").agg(F.sum("col").alias("v")).toPandas().sort_values("pos")["v"].to_numpy()  # (2 k + 1)^2 + (p + 1) k^2 + (p + 1)^2 numbers
 
-    def cross(frames):
-        total = None
-        for f in frames:
-            part = _gp_sums(f, predictors, response, st[8], info)
-            total = part if total is None else total + part
-        if total is not None:
-            yield pd.DataFrame({"g": [total.tolist()]})
-
-    parts = clean.select("x", "y", response, *predictors).mapInPandas(cross, "g array<double>")
-    sums = parts.select(F.posexplode("g")).groupBy("pos").agg(F.sum("col").alias("v")).toPandas().sort_values("pos")["v"].to_numpy()  # (2 k + 1)^2 + (p + 1) k^2 + (p + 1)^2 numbers
-    n, vy = st[10], (st[9] or 1.0) ** 2
     root = [np.arange(1, k + 1) * math.pi / (2 * L) for L in info["L"]]
     w2 = np.stack(np.meshgrid(root[0] ** 2, root[1] ** 2, indexing="ij"), -1).reshape(-1, 2)
-
-    def parts_at(t, g):
-        lx, ly, sf, s = np.exp(t)
-        s = math.sqrt(s**2 + 1e-8 * vy)
-        prior = np.concatenate([np.full(p, 100 * vy), sf**2 * 2 * math.pi * lx * ly * np.exp(-0.5 * (lx**2 * w2[:, 0] + ly**2 * w2[:, 1])) + 1e-12 * vy])
-        a = g / s**2
-        a[np.diag_indices(len(a))] += np.append(1 / prior, 1.0)
-        whole = np.linalg.cholesky(a)  # its last row solves for the response, so no other factorisation is needed
-        chol, b = whole[:-1, :-1], whole[-1, :-1]
-        like = -0.5 * (whole[-1, -1] ** 2 - 1) - np.log(np.diag(chol)).sum() - 0.5 * np.log(prior).sum() - n * math.log(s)
-        lo, hi = np.log(bounds)
-        mid, wide = (lo + hi) / 2, (hi - lo) / 4 + 0.1
-        return like - 0.5 * (((t[:2] - mid) / wide) ** 2).sum() - 0.5 * ((t[2:] - 0.5 * math.log(vy)) / 1.5) @ ((t[2:] - 0.5 * math.log(vy)) / 1.5), chol, b
+    post = _Posterior(bounds, prior, w2, p, n, (st[9] or 1.0) ** 2 if family == "gaussian" else 1.0, iso, family == "gaussian")
+    if family == "gaussian":
+        sums = summed(None)
+    else:
+        beta = np.zeros(p + k * k)
+        base = min(max(st[8], 0.5 / n), 1 - 0.5 / n) if family == "binomial" else max(st[8], 0.5 / n)
+        beta[0] = math.log(base / (1 - base)) if family == "binomial" else math.log(base)
+        t = None
+        for _ in range(30):
+            sums = summed(beta)
+            g = _gp_cross(sums, p, info)
+            t, _ = _mode(lambda v, g=g: post.at(v, g)[0], post.start(np.random.default_rng(seed)) if t is None else t)
+            new = post.coefficients(post.at(t, g))
+            move = new - beta
+            beta = beta + move * min(1.0, 4.0 / max(np.abs(move[0]), 1e-9))
+            reach = math.sqrt(max(move @ g[:-1, :-1] @ move, 0.0) / max(g[0, 0], 1e-9))  # weighted root mean square over rows
+            if reach < 1e-3:
+                break
+        else:
+            log.warning("the posterior mode was not reached in 30 steps")
+        info["step"] = reach
+    chol_start = [post, sums]
 
     def chain(frames):
+        post, sums = chol_start
         g = _gp_cross(sums, p, info)
         for f in frames:
             for number in f["id"]:
                 rng = np.random.default_rng([seed, int(number)])
-                start = np.array([np.log(bounds).mean()] * 2 + [0.5 * math.log(vy) - 0.5] * 2) + rng.normal(0, 0.3, 4)
-                t, cov = _mode(lambda v: parts_at(v, g)[0], start)
+                t, cov = _mode(lambda v: post.at(v, g)[0], post.start(rng))
                 chol_cov = np.linalg.cholesky(cov)
-                now, step, kept = parts_at(t, g), 1.2, []
+                now, step, kept = post.at(t, g), 1.2, []
                 for it in range(iterations):
-                    new = t + step * (chol_cov @ rng.normal(size=4))
+                    new = t + step * (chol_cov @ rng.normal(size=len(t)))
                     try:
-                        got = parts_at(new, g)
+                        got = post.at(new, g)
                     except np.linalg.LinAlgError:
-                        got = (-np.inf, None, None)
+                        got = (-np.inf, None, None, None, None)
                     ok = math.log(rng.random()) < got[0] - now[0]
                     if ok:
                         t, now = new, got
                     if it < iterations // 2:
                         step *= math.exp((ok - 0.3) / math.sqrt(it + 1))
-                    elif (it - iterations // 2) % max(1, iterations // 2 * chains // draws) == 0:
-                        coef = np.linalg.solve(now[1].T, now[2] + rng.normal(size=p + m))
-                        coef[0] += st[8]
-                        kept.append((t.tolist(), coef.tolist()))
-                yield pd.DataFrame({"chain": [int(number)] * len(kept), "theta": [a for a, _ in kept], "coef": [b for _, b in kept]})
+                    else:
+                        coef = None
+                        if (it - iterations // 2) % max(1, iterations // 2 * chains // draws) == 0:
+                            coef = post.coefficients(now, rng)
+                            coef[0] += shift
+                        kept.append((t.tolist(), coef))  # all steps tell whether chains agree
+                yield pd.DataFrame({"chain": [int(number)] * len(kept), "theta": [a for a, _ in kept], "coef": [None if b is None else b.tolist() for _, b in kept]})
 
     got = data.sparkSession.range(chains).repartition(chains).mapInPandas(chain, "chain long, theta array<double>, coef array<double>").toPandas().sort_values("chain", kind="stable")
+    steps = np.array(got["theta"].tolist())
+    by = [steps[got["chain"].to_numpy() == q] for q in range(chains)]
+    got = got[got["coef"].notna()]
     theta = np.array(got["theta"].tolist())
-    by = [theta[got["chain"].to_numpy() == q] for q in range(chains)]
     short = min(map(len, by))
     within, between = np.mean([b[:short].var(0, ddof=1) for b in by], 0), short * np.var([b[:short].mean(0) for b in by], 0, ddof=1)
-    info |= {"draws": np.array(got["coef"].tolist()), "theta": theta, "rhat": np.sqrt(((short - 1) / short * within + between / short) / within).tolist()}
+    info |= {"draws": np.array(got["coef"].tolist()), "theta": theta, "hyper": post.names, "sigma": np.array([post.sigma(t) for t in theta]), "rhat": np.sqrt(((short - 1) / short * within + between / short) / within).tolist()}
     if max(info["rhat"]) > 1.05:
         log.warning("chains disagree: R-hat up to %.3f", max(info["rhat"]))
     return GPFit("GP", response, list(predictors), clean, info)

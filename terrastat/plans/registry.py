@@ -10,6 +10,7 @@ from ..functions.exprs import average_rank, lattice_order, path_length, perimete
 from ..operators import aoa as A
 from ..operators import assign as S
 from ..operators import autocorr as C
+from ..operators import bayes as B
 from ..operators import cv as V
 from ..operators import folds as D
 from ..operators import joins as J
@@ -465,6 +466,36 @@ def gp_fitted(spark, sf_dir):
     return G.fit_gp(embedding_points(spark, sf_dir), "z", ["w1", "w2"]).fitted()
 
 
+def gp_recovered(spark, sf_dir):
+    """What a Gaussian process finds of the plan that the embeddings' response follows: slopes, fit, agreement of chains."""
+    p = embedding_points(spark, sf_dir)
+    fit = G.fit_gp(p, "z", ["w1", "w2"])
+    slopes = fit.coef()
+    out = fit.metrics().select("n", F.round("R2", 3).alias("r2"))
+    return out.withColumns({"slope_w1": F.lit(round(slopes["w1"][0], 1)), "slope_w2": F.lit(round(slopes["w2"][0], 1)), "chains_agree": F.lit(bool(max(fit.info["rhat"]) < 1.05))})
+
+
+def gp_loo(spark, sf_dir):
+    """Leave-one-out terms of a Gaussian process for a coarser response: labels as counts."""
+    p = embedding_points(spark, sf_dir).withColumn("count", F.col("grp").cast("double"))
+    return G.fit_gp(p, "count", ["w1", "w2"], family="poisson", k=10, iterations=1000).loo()
+
+
+def _log_lik(spark, sf_dir):
+    lik = lambda k: -0.5 * F.pow(5 * F.col("w2") - ((k * 37) % 60 - 29.5) / 20 * (1 + F.col("w3") * F.col("w3")), F.lit(2.0)) - 0.9189385332046727
+    return embedding_points(spark, sf_dir).select("row_id", F.transform(F.sequence(F.lit(1), F.lit(60)), lik).alias("log_lik"))
+
+
+def psis_loo(spark, sf_dir):
+    """Leave-one-out terms from 60 draws of a normal model by row."""
+    return _r(B.psis_loo(_log_lik(spark, sf_dir)), 5)
+
+
+def loo_summary(spark, sf_dir):
+    """The same terms added up."""
+    return _r(B.loo_summary(B.psis_loo(_log_lik(spark, sf_dir)), 0.5), 3)
+
+
 def voronoi_cells(spark, sf_dir):
     p = dedup_points(customer_points(spark, sf_dir))
     edge = np.array([[0.0, 0.0], [1000.0, 0.0], [1000.0, 1009.0], [0.0, 1009.0]])
