@@ -13,8 +13,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import hash_order, quantile7, squared_distance
+from ..functions.exprs import hash_order, squared_distance
 from .joins import distance_join, global_rank, knn_join
+from .lineage import cut_lineage
 
 log = logging.getLogger("terrastat")
 
@@ -155,11 +156,19 @@ def nndm_folds(points: DataFrame, prediction: DataFrame, seed: int = 123, draw=N
     n = points.count()
     if n < 3:
         raise ValueError("distance matching takes at least three rows")
-    target = knn_join(prediction, points, 1)
-    dists = target.agg(F.array_sort(F.collect_list("d")).alias("__g"))  # bounded by the prediction grid
+    target = knn_join(prediction, points, 1).select("i", "d")
+    ranked = global_rank(target, "d", "i", name="rank").select("rank", "d").persist()  # counts and joins below both read it
+    m = ranked.count()
+    if not m:
+        raise ValueError("distance matching takes prediction points")
     u = draw if draw is not None else (F.pmod(hash_order("row_id", seed), F.lit(1_000_003)) + 0.5) / 1_000_003
-    radius = points.select(F.col("row_id").alias("i"), u.alias("__u")).crossJoin(F.broadcast(dists)).select("i", quantile7("__g", F.col("__u")).alias("radius"))
-    radius = radius.persist()
+    # a type-7 quantile: two of the ranked distances, by equi-joins on their ranks
+    drawn = points.select(F.col("row_id").alias("i"), ((m - 1) * u).alias("h")).withColumn("low", F.floor("h"))
+    low = ranked.select(F.col("rank").alias("low"), F.col("d").alias("__a"))
+    high = ranked.select((F.col("rank") - 1).alias("low"), F.col("d").alias("__b"))
+    a, b = F.col("__a"), F.coalesce("__b", "__a")
+    radius = cut_lineage(drawn.join(low, "low").join(high, "low", "left").select("i", (a + (F.col("h") - F.col("low")) * (b - a)).alias("radius")))
+    ranked.unpersist()
     # the size of a radius is a power of two above its double; bins are as wide
     size = F.greatest(F.ceil(F.log2(F.greatest(2 * F.col("radius"), F.lit(1e-12)))), F.lit(-40)).cast("int")
     sizes = [r[0] for r in radius.select(size.alias("s")).distinct().collect()]  # at most some hundred powers of two
@@ -172,11 +181,12 @@ def nndm_folds(points: DataFrame, prediction: DataFrame, seed: int = 123, draw=N
     b = b.withColumns({"__bx": place("x", F.col("__s")), "__by": place("y", F.col("__s"))})
     order = Window.partitionBy("i").orderBy("d", "j")
     near = a.join(b, ["__s", "__bx", "__by"]).where("i <> j").withColumn("d", F.sqrt(squared_distance("xi", "yi", "x", "y"))).where("d <= 2 * radius")
-    near = near.select("i", "j", "d", "radius").persist()
-    alone = points.join(near.select(F.col("i").alias("row_id")).distinct(), "row_id", "left_anti").persist()
+    near = cut_lineage(near.select("i", "j", "d", "radius"))
+    alone = cut_lineage(points.join(near.select(F.col("i").alias("row_id")).distinct(), "row_id", "left_anti").select("row_id", "x", "y"))
     if alone.limit(1).count():
         near = near.unionByName(knn_join(alone, points, 1, exclude_self=True).select("i", "j", "d").join(radius, "i"))
-    pairs = near.withColumn("rank", F.row_number().over(order)).persist()
+    pairs = near.withColumn("rank", F.row_number().over(order))
+    pairs = cut_lineage(pairs)
     cut = pairs.groupBy("i").agg(F.min(F.struct(F.abs(F.col("d") - F.col("radius")).alias("gap"), "rank")).alias("m"), F.first("radius").alias("radius"))
     cut = cut.select("i", "radius", F.when(F.col("m.rank") > n - 2, F.greatest(F.lit(1), F.lit(n - 2))).otherwise(F.col("m.rank")).alias("cut"))
     out = pairs.drop("radius").join(cut, "i")

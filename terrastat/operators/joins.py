@@ -6,12 +6,12 @@ keys, so it stays a hash or sort-merge join, and the geometry is a residual cond
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import edges_of, point_in_edges, squared_distance
+from .lineage import cut_lineage
+from .neighbours import knn_join
 
 
 def _bin(c, width: float) -> Column:
@@ -29,14 +29,10 @@ def _binned(df: DataFrame, width: float) -> DataFrame:
     return df.withColumns({"__bx": _bin(F.col("x"), width), "__by": _bin(F.col("y"), width)})
 
 
-def _extent(df: DataFrame):
-    return df.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))).first()
-
-
 def global_rank(df: DataFrame, *order, name: str = "rank") -> DataFrame:
     """``df`` with the rank (from 0) of each row in a total order, without sorting all rows in one task: rows are dealt
     out by ranges, numbered inside them, and the ranges' counts are summed."""
-    dealt = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).persist()
+    dealt = cut_lineage(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select(F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     inner = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
@@ -91,45 +87,6 @@ def distance_join(left: DataFrame, right: DataFrame, reach: float) -> DataFrame:
     return a.join(b, ["__bx", "__by"]).where(d2 <= F.lit(float(reach)) * F.lit(float(reach))).select("i", "j", F.sqrt(d2).alias("d"))
 
 
-def knn_join(left: DataFrame, right: DataFrame, k: int, exclude_self: bool = False, per_bin: float = 4.0) -> DataFrame:
-    """``i, j, d, rank``: the k nearest right points of each left point; ties by the lower id.
-
-    Points meet in 3 x 3 bins; a left point whose k-th neighbour lies beyond the ring those bins are
-    sure to cover is tried again with bins four times as wide, so sparse regions cost rounds, not pairs.
-    """
-    lo_x, hi_x, lo_y, hi_y, n = _extent(right)
-    if not n:
-        return left.select(F.col("row_id").alias("i"), F.lit(None).cast("long").alias("j"), F.lit(0.0).alias("d"), F.lit(0).alias("rank")).limit(0)
-    k = max(1, min(k, n - 1 if exclude_self else n))
-    share = max(k, per_bin) / n  # of the extent, so points on a line don't make bins vanish
-    width = max(math.sqrt((hi_x - lo_x) * (hi_y - lo_y) * share), max(hi_x - lo_x, hi_y - lo_y) * share, 1e-9)
-    span = max(hi_x - lo_x, hi_y - lo_y, 1e-9)
-    ext = left.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    if ext[0] is not None:
-        span = max(span, abs(ext[0] - hi_x), abs(ext[1] - lo_x), abs(ext[2] - hi_y), abs(ext[3] - lo_y))
-    todo, done = left.select(F.col("row_id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi")), None
-    order = Window.partitionBy("i").orderBy("d2", "j")
-    while True:
-        last = width > span
-        a = _around(todo.select("i", F.col("xi").alias("x"), F.col("yi").alias("y")), width).withColumnsRenamed({"x": "xi", "y": "yi"})
-        b = _binned(right.select(F.col("row_id").alias("j"), "x", "y"), width)
-        met = a.join(b, ["__bx", "__by"])
-        if exclude_self:
-            met = met.where("i <> j")
-        met = met.withColumn("d2", squared_distance("xi", "yi", "x", "y")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        if last:
-            out = met.select("i", "j", F.sqrt("d2").alias("d"), "rank")
-            return out if done is None else done.unionByName(out)
-        met = met.select("i", "j", "d2", "rank").persist()  # k rows a point: both uses below read it, and so does the result
-        sure = met.groupBy("i").agg(F.count(F.lit(1)).alias("__n"), F.max("d2").alias("__far")).where((F.col("__n") == k) & (F.col("__far") <= width * width)).select("i")
-        out = met.join(sure, "i", "left_semi").select("i", "j", F.sqrt("d2").alias("d"), "rank")
-        done = out if done is None else done.unionByName(out)
-        todo = todo.join(sure, "i", "left_anti")
-        if not todo.limit(1).count():
-            return done
-        width *= 4
-
-
 def nearest_join(left: DataFrame, right: DataFrame) -> DataFrame:
     """``i, j, d``: the nearest right point of each left point; ties by the lower id."""
     return knn_join(left, right, 1).drop("rank")
