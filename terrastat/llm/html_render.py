@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .page_styles import computed, rules_of
+
 MAX_DEPTH = 200  # levels with a layout of their own
 MAX_COLUMNS = 10_000  # columns of a table that spans may reach
 # attributes as in the states of HTML's tokeniser: a quote opens a string only directly after "=" and white space
@@ -29,6 +31,7 @@ _STEP, _ALL = re.compile(_PART), re.compile(rf"{_PART}*+>")
 _TAG = re.compile(r"<(/?)([a-zA-Z][^ \t\n\r\f/>]*+)")
 _COMMENT = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?/][^>]*+(?:>|\Z)", re.S)  # the second form: bogus ones
 _ATTR = re.compile(rf"({_NAME})(?:{_VALUE.format('(', ')')})?+")
+_SCRIPT = re.compile(r"<!--|-->|</?script(?=[ \t\n\r\f/>])", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -40,7 +43,7 @@ HTML_AGAIN = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtex
 BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 APART = frozenset("text foreignobject mtd".split())
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr".split())
-BLOCK = MARGIN | frozenset("html body div section article aside header footer nav main address form li dt dd tr caption thead tbody tfoot td th details summary figcaption legend hgroup center dir menu option optgroup dialog search".split())
+BLOCK = MARGIN | frozenset("html body div section article aside header footer nav main address form li dt dd tr caption thead tbody tfoot td th details summary figcaption legend hgroup center dir menu option optgroup dialog search listing plaintext".split())
 #: a start tag closes these open elements, looking no further out than the given ones
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -54,16 +57,19 @@ IMPLIED = {
     **{x: ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}) for x in ("thead", "tbody", "tfoot")},
 }
 CLOSES_P = (BLOCK - frozenset("html body option optgroup td th tr thead tbody tfoot caption".split())) | {"table"}
+#: white space by the property's value
+WHITE = {"pre": True, "pre-wrap": True, "break-spaces": True, "pre-line": "line", "normal": False, "nowrap": False, "initial": False}
 SCOPE = frozenset("table td th caption html template object".split())
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "within", "inner", "state", "flat", "fold")
+    __slots__ = ("tag", "attrs", "kids", "within", "inner", "state", "flat", "fold", "white")
 
     def __init__(self, tag: str, attrs: str = "", within: str = "", state: bool | None = True):
         self.tag, self.attrs, self.kids, self.within = tag, attrs, [], within  # within: svg or math for their elements
         self.state = state  # None where the element is not displayed, else whether its own text is visible
         self.inner, self.flat, self.fold = "", False, None
+        self.white = None  # white space where a style sets it: True kept, "line" lines kept, False collapsed
 
     def get(self, name: str) -> str | None:
         """An attribute's value, empty for one without; the first of the name counts."""
@@ -111,8 +117,8 @@ class _Ends:
 class _Tree:
     """The open elements, from the root inwards, and where each name stands among them."""
 
-    def __init__(self):
-        self.root = Node("#root")
+    def __init__(self, rules: list):
+        self.root, self.rules = Node("#root"), rules
         self.open, self.where = [self.root], {}
 
     def last(self, *tags: str) -> int:
@@ -144,7 +150,9 @@ class _Tree:
         """A new element in the innermost one; it stays open unless it can hold nothing."""
         top = self.open[-1]
         outer = top.fold if node.tag == "summary" and top.fold is not None else top.state
-        node.state = None if outer is None else _shown(node, outer)
+        said = computed(node, self.open[1:], self.rules) if outer is not None and (self.rules or "style" in node.attrs.lower()) else {}
+        node.state = None if outer is None else _shown(node, outer, said)
+        node.white = WHITE.get(said.get("white-space"))
         node.inner = node.tag if node.tag in FOREIGN else "" if node.within and node.tag in HTML_AGAIN else top.inner
         if not stays:
             top.kids.append(node)
@@ -186,8 +194,16 @@ class _Tree:
 
 
 def parse(html: str) -> Node:
-    """The tree of a page; unknown and unmatched tags, and tags that never end, lose no text."""
-    tree, ends = _Tree(), _Ends(html)
+    """The tree of a page; unknown and unmatched tags, and tags that never end, lose no text.  Where the page's style sheets
+    say anything of display, visibility or white space it is built again under their rules."""
+    root, sheets = _tree_of(html, [])
+    rules = rules_of(sheets)
+    return _tree_of(html, rules)[0] if rules else root
+
+
+def _tree_of(html: str, rules: list) -> tuple[Node, list[str]]:
+    """(tree, style sheets for screens)."""
+    tree, ends, sheets = _Tree(rules), _Ends(html), []
     at, n = 0, len(html)
     while at < n:
         if html[at] != "<":
@@ -233,49 +249,64 @@ def parse(html: str) -> Node:
         node = Node(tag, attrs, within or (tag if tag in FOREIGN else ""))
         if node.within and _self_closing(attrs):
             tree.add(node, False)
+        elif tag == "plaintext":
+            tree.add(node, False)
+            node.kids.append(html[at:])
+            break
         elif tag in RAW:
             tree.add(node, False)
-            shut = _raw_end(tag).search(html, at)
-            stop = shut.start() if shut else n
-            node.kids.append(unescape(html[at:stop]) if tag in ("textarea", "title") else html[at:stop])
-            at = html.find(">", stop) + 1 or n if shut else n
+            stop = _script_end(html, at) if tag == "script" else m.start() if (m := _raw_end(tag).search(html, at)) else n
+            text = html[at:stop]
+            if tag == "textarea":
+                text = text.removeprefix("\n")
+            elif tag == "style" and (node.get("media") or "all").strip().lower() in ("all", "screen") and (node.get("type") or "text/css").strip().lower() == "text/css":
+                sheets.append(text)
+            node.kids.append(unescape(text) if tag in ("textarea", "title") else text)
+            at = html.find(">", stop) + 1 or n if stop < n else n
         else:
             tree.add(node, tag not in VOID and not (attrs.endswith("/") and tag in ("path", "rect", "circle", "use")))
-    return tree.root
+            if tag in ("pre", "listing") and html.startswith("\n", at):
+                at += 1
+    return tree.root, sheets
+
+
+def _script_end(html: str, at: int) -> int:
+    """Where a script's end tag begins.  After ``<!--`` a script tag inside the comment has an end tag of its own."""
+    escaped = doubly = False
+    for m in _SCRIPT.finditer(html, at):
+        found = m[0].lower()
+        if found == "<!--":
+            escaped = escaped or not re.compile("-?>").match(html, m.end())
+        elif found == "-->":
+            escaped = doubly = False
+        elif found == "<script":
+            doubly = doubly or escaped
+        elif doubly:
+            doubly = False
+        else:
+            return m.start()
+    return len(html)
 
 
 def _raw_end(tag: str):
     return re.compile(rf"</{tag}(?=[ \t\n\r\f/>])", re.I)
 
 
-def _style(text: str) -> dict[str, str]:
-    """Declarations of a style attribute, the last of a name counts."""
-    out = {}
-    for part in text.lower().split(";"):
-        name, _, value = part.partition(":")
-        out[name.strip()] = value.replace("!important", "").replace("! important", "").strip()
-    return out
-
-
-def _shown(node: Node, visible: bool) -> bool | None:
-    """None where the element is not displayed at all, else whether its own text is visible."""
-    if node.tag in UNSEEN or (node.within and node.tag in FOREIGN[node.within]):
-        return None
-    if not node.attrs:
-        return None if node.tag == "dialog" else visible
-    low = node.attrs.lower()
-    if "hidden" in low and (node.get("hidden") is not None or (node.tag == "input" and node.get("type") == "hidden")):
-        return None
-    if node.within == "svg" and (node.get("display") or "").strip().lower() == "none":
+def _shown(node: Node, visible: bool, said: dict[str, str]) -> bool | None:
+    """None where the element is not displayed at all, else whether its own text is visible; ``said`` is what styles say."""
+    if node.tag in UNSEEN or (node.within and node.tag in FOREIGN[node.within]) or said.get("display") == "none":
         return None
     if node.tag == "dialog" and node.get("open") is None:
         return None
-    sight = (node.get("visibility") or "").strip().lower() if node.within == "svg" and "visibility" in low else ""
-    if "style" in low:
-        style = _style(node.get("style") or "")
-        if style.get("display") == "none":
+    low = node.attrs.lower()
+    if "hidden" in low and ((node.get("hidden") is not None and "display" not in said) or (node.tag == "input" and node.get("type") == "hidden")):
+        return None  # a style that displays it outdoes the attribute
+    sight = said.get("visibility")
+    if node.within == "svg":
+        if "display" not in said and "display" in low and (node.get("display") or "").strip().lower() == "none":
             return None
-        sight = style.get("visibility") or sight
+        if sight is None and "visibility" in low:
+            sight = (node.get("visibility") or "").strip().lower()
     return {"hidden": False, "collapse": False, "visible": True}.get(sight, visible)
 
 
@@ -330,7 +361,13 @@ def _walk(node: Node, page: Page, visible: bool, pre: bool, level: int) -> None:
     for kid in node.kids:
         if isinstance(kid, str):
             if visible:
-                if pre:  # kept as it is: no-break spaces survive the flow and become spaces at the end
+                if pre == "line":
+                    first, *more = kid.split("\n")
+                    page.text(first)
+                    for x in more:
+                        page.line_break()
+                        page.text(x)
+                elif pre:  # kept as it is: no-break spaces survive the flow and become spaces at the end
                     first, *more = kid.replace("\t", "    ").replace(" ", "\xa0").split("\n")
                     page.text(first)
                     for x in more:
@@ -340,7 +377,7 @@ def _walk(node: Node, page: Page, visible: bool, pre: bool, level: int) -> None:
                     page.text(kid)
             continue
         tag = kid.tag
-        shown = kid.state
+        shown, kept = kid.state, _kept(kid, pre)
         if shown is None:
             continue
         if tag == "br":
@@ -348,25 +385,49 @@ def _walk(node: Node, page: Page, visible: bool, pre: bool, level: int) -> None:
         elif tag == "hr":
             page.edge(True)
         elif tag in ("ul", "ol", "menu", "dir"):
-            page.block(_list(kid, shown, pre, level), level == 0)
+            page.block(_list(kid, shown, kept, level), level == 0)
         elif tag == "table":
-            page.block(_table(kid, shown, pre, level), True)
+            page.block(_table(kid, shown, kept, level), True)
         elif tag in ("dd", "blockquote"):
-            page.block([f"  {x}" if x else x for x in _lines(kid, shown, pre, level)], tag == "blockquote")
+            page.block([f"  {x}" if x else x for x in _lines(kid, shown, kept, level)], tag == "blockquote")
         elif tag == "details" and kid.get("open") is None:
             summary = Node("div")
             summary.kids = [x for x in kid.kids if isinstance(x, Node) and x.tag == "summary"][:1]
-            page.block(_lines(summary, shown, pre, level))
+            page.block(_lines(summary, shown, kept, level))
         elif kid.within and tag in APART:
             page.text(" ")
-            _walk(kid, page, shown, pre, level)
+            _walk(kid, page, shown, kept, level)
             page.text(" ")
         elif tag in BLOCK:
             page.edge(tag in MARGIN)
-            _walk(kid, page, shown, pre or tag == "pre", level)
+            _walk(kid, page, shown, kept, level)
             page.edge(tag in MARGIN)
         else:
-            _walk(kid, page, shown, pre or tag in ("textarea", "xmp"), level)
+            _walk(kid, page, shown, kept, level)
+
+
+def _kept(node: Node, outer: bool | str) -> bool | str:
+    """White space in an element: as its style says, else kept by some tags, else as around it."""
+    if node.white is not None:
+        return node.white
+    return node.tag in ("pre", "textarea", "xmp", "listing", "plaintext") or outer
+
+
+def _mark(kind: str | None, n: int) -> str:
+    """An ordered item's number in its type: 1, a, A, i or I."""
+    if kind in ("a", "A") and n > 0:
+        text = ""
+        while n:
+            n, letter = divmod(n - 1, 26)
+            text = chr(97 + letter) + text
+        return text.upper() if kind == "A" else text
+    if kind in ("i", "I") and 0 < n < 4000:
+        text = ""
+        for value, digits in zip((1000, 900, 500, 400, 100, 90, 50, 40, 10, 9, 5, 4, 1), ("m", "cm", "d", "cd", "c", "xc", "l", "xl", "x", "ix", "v", "iv", "i"), strict=True):
+            times, n = divmod(n, value)
+            text += digits * times
+        return text.upper() if kind == "I" else text
+    return str(n)
 
 
 def _whole(text: str | None) -> int | None:
@@ -389,9 +450,9 @@ def _list(node: Node, visible: bool, pre: bool, level: int) -> list[str]:
                 continue
             value = _whole(kid.get("value")) if ordered else None
             n = n if value is None else value
-            mark = f"{n}. " if ordered else "* "
+            mark = f"{_mark(kid.get('type') or node.get('type'), n)}. " if ordered else "* "
             n += step
-            lines = _lines(kid, kid.state, pre, level + 1)
+            lines = _lines(kid, kid.state, _kept(kid, pre), level + 1)
             if lines:
                 out += [mark + lines[0], *[" " * len(mark) + x if x else x for x in lines[1:]]]
         elif kid is not None:
@@ -436,7 +497,7 @@ def _table(node: Node, visible: bool, pre: bool, level: int) -> list[str]:
             elif cell.state is None:
                 continue
             elif cell.tag in ("td", "th", "caption"):
-                lines = _lines(cell, cell.state, pre, level)
+                lines = _lines(cell, cell.state, _kept(cell, pre), level)
                 wide, high = _whole(cell.get("colspan")) or 1, _whole(cell.get("rowspan"))
                 high = 1 if high is None else high or 1 << 16
             else:
