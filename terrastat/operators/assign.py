@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,17 +102,50 @@ def intraclass_correlation(points: DataFrame, columns: list[str], id_col="cell_i
     return min(1.0, max(0.0, (msb - msw) / bottom)) if bottom else 0.0
 
 
+class Vectorised:
+    """An aggregate of a user's own: ``function`` takes a pandas Series of a cell's non-missing values and returns a number.
+
+    A cell's values come to one task as one Series, so the largest cell must fit there; built-in aggregates have no such
+    bound.
+    """
+
+    def __init__(self, function):
+        self.function = function
+
+    def column(self, value):
+        from pyspark.sql.functions import pandas_udf
+
+        def one(v: pd.Series) -> float:
+            v = v[v.notna()]
+            out = self.function(v) if len(v) else None
+            return None if out is None else float(out)
+
+        return pandas_udf(one, "double")(value)
+
+
+def _agg_funs(given) -> dict:
+    """Named aggregates: a dict or a list of Column functions and ``Vectorised``; what is neither falls back to the mean."""
+    if not given:
+        return {"mean": F.avg}
+    named = dict(given) if isinstance(given, dict) else {f"agg{k + 1}": f for k, f in enumerate(given if isinstance(given, (list, tuple)) else [given])}
+    for name, f in named.items():
+        if not (callable(f) or isinstance(f, Vectorised)):
+            log.warning("%s is no aggregate: the mean is used", name)
+            named[name] = F.avg
+    return {n or f"agg{k + 1}": f for k, (n, f) in enumerate(named.items())}
+
+
 def summarize_by_cell(points: DataFrame, response, predictors=(), id_col="cell_id", agg_funs=None, cells: DataFrame | None = None, deff=1.0, structures=None, deff_max_n: int = 500) -> DataFrame:
     """One row per cell: ``n``, each function of each numeric column, standard deviations and errors, ``cell_weight``.
 
     ``deff`` is a number (below 1: 1), "kish" (from the intra-class correlation) or "variogram" (from
     ``structures``).  Errors use the non-missing count of their column, ``cell_weight`` the row count.
-    NaN counts as missing.  With ``cells`` every cell has a row; ids are compared as text.
+    ``agg_funs`` are Column functions or ``Vectorised`` ones, by name.  NaN counts as missing.  With ``cells`` every cell has a row; ids are compared as text.
     """
     response = [response] if isinstance(response, str) else list(response)
     numeric = {c for c, t in points.dtypes if t in ("double", "float", "int", "bigint", "smallint", "tinyint") or t.startswith("decimal")}
     roles = [("resp", c) for c in response if c in numeric] + [("pred", c) for c in predictors if c in numeric]
-    funs = agg_funs or {"mean": F.avg}
+    funs = _agg_funs(agg_funs)
     rho = {}
     if deff == "kish":
         rho = {"resp": intraclass_correlation(points, [c for r, c in roles if r == "resp"], id_col), "pred": intraclass_correlation(points, [c for r, c in roles if r == "pred"], id_col)}
@@ -125,9 +159,12 @@ def summarize_by_cell(points: DataFrame, response, predictors=(), id_col="cell_i
     aggs = [F.count(F.lit(1)).alias("n")]
     for role, c in roles:
         v = nan_to_null(c)
-        aggs += [f(v).alias(f"{role}_{name}_{c}") for name, f in funs.items()]
+        aggs += [f(v).alias(f"{role}_{name}_{c}") for name, f in funs.items() if not isinstance(f, Vectorised)]
         aggs += [F.stddev_samp(v).alias(f"__sd_{role}_{c}"), F.count(v).alias(f"__n_{role}_{c}")]
     out = points.groupBy(id_col).agg(*aggs)
+    own = [f.column(nan_to_null(c)).alias(f"{role}_{name}_{c}") for role, c in roles for name, f in funs.items() if isinstance(f, Vectorised)]
+    if own:  # built-in and user's aggregates can't share one pass
+        out = out.join(points.groupBy(F.col(id_col).alias("__own")).agg(*own), F.col(id_col).eqNullSafe(F.col("__own"))).drop("__own")
     if by_cell is not None:
         out = out.join(by_cell.select(id_col, F.col("deff").alias("__deff")), id_col, "left")
     keep = [F.col(id_col), F.col("n")]

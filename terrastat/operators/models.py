@@ -214,20 +214,79 @@ def _aicc(fit: GWRFit) -> float:
     return 2 * n * math.log(math.sqrt(r["rss"] / n)) + n * math.log(2 * math.pi) + n * (n + tr) / (n - 2 - tr)
 
 
+def _cv_score(fit: GWRFit) -> float:
+    """Sum of squared leave-one-out residuals, which the hat matrix's diagonal gives without refits."""
+    d = fit.data.where(all_finite([fit.response, *fit.predictors])).join(fit.local(), "row_id")
+    e = (F.col(fit.response) - F.col("pred")) / F.nullif(1 - F.col("hat"), F.lit(0.0))
+    n, known, score = d.agg(F.count(F.lit(1)), F.count(e), F.sum(e * e)).first()
+    return score if n and known == n else float("inf")
+
+
+def gwr_condition(data: DataFrame, predictors: list[str], bandwidth: float, adaptive: bool = True, at: DataFrame | None = None) -> DataFrame:
+    """``row_id, n, condition``: the condition number of the predictors among the rows that a local regression at each row uses.
+
+    Those are the ``bandwidth`` nearest rows (itself the first), or the rows no farther than it.  Cross-products are one
+    aggregate over the pairs; null where the local predictors are singular.  ``at`` restricts the locations (``row_id, x, y``).
+    """
+    clean = data.where(all_finite(["x", "y", *predictors]))
+    where, rows = (clean if at is None else at).select("row_id", "x", "y"), clean.select("row_id", "x", "y")
+    near = knn_join(where, rows, int(bandwidth)) if adaptive else distance_join(where, rows, float(bandwidth))
+    v = clean.select(F.col("row_id").alias("j"), *[F.col(c).cast("double").alias(f"v{k}") for k, c in enumerate(predictors)])
+    p = len(predictors)
+    cross = [F.sum(F.col(f"v{a}") * F.col(f"v{b}")) for a in range(p) for b in range(p)]
+    sums = near.select("i", "j").join(v, "j").groupBy(F.col("i").alias("row_id")).agg(F.count(F.lit(1)).alias("n"), F.array(*cross).alias("g"))
+
+    def run(frames):
+        for f in frames:
+            g = np.array(f["g"].tolist(), float).reshape(-1, p, p)
+            w = np.linalg.eigvalsh(g) if len(g) else np.zeros((0, p))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                c = np.sqrt(w[:, -1] / w[:, 0])
+            c[~(w[:, 0] > w[:, -1] * 1e-15)] = np.nan
+            yield pd.DataFrame({"row_id": f["row_id"], "n": f["n"], "condition": pd.array(np.where(np.isnan(c), None, c), dtype="Float64")})
+
+    return sums.mapInPandas(run, "row_id long, n long, condition double")
+
+
+def _gwr_checks(clean: DataFrame, response: str, predictors: list[str], n: int, values: int, whole: bool, bandwidth, adaptive: bool, seed: int = 1) -> None:
+    """Warnings of what makes local regressions unreliable."""
+    if whole and values <= 30:
+        log.warning("the response has %d whole values: local regressions take it as continuous", values)
+    if n < 3 * (len(predictors) + 1):
+        log.warning("%d rows are few for %d coefficients at each location", n, len(predictors) + 1)
+    row = clean.agg(*[F.stddev_samp(c) for c in predictors], *[F.sum(F.col(a) * F.col(b)) for a in predictors for b in predictors]).first()
+    for c, sd in zip(predictors, row, strict=False):
+        if (sd or 0.0) < 2.220446049250313e-14:
+            log.warning("predictor %s does not vary", c)
+    p = len(predictors)
+    if p < 2:
+        return
+    w = np.linalg.eigvalsh(np.array(row[p:], float).reshape(p, p))
+    if w[0] <= 0 or w[-1] / w[0] > 1e12:
+        log.warning("the predictors are nearly collinear: condition number %.3g", math.sqrt(w[-1] / w[0]) if w[0] > 0 else math.inf)
+    spots = clean.orderBy(F.xxhash64("row_id", F.lit(seed)), "row_id").limit(30)
+    bad, tried = gwr_condition(clean, predictors, bandwidth or min(50, n), True if bandwidth is None else adaptive, spots).agg(F.count(F.when(F.coalesce("condition", F.lit(math.inf)) > 1e6, 1)), F.count(F.lit(1))).first()
+    if bad:
+        log.warning("at %d of %d locations tried the local predictors are nearly collinear%s", bad, tried, "" if bad <= 0.25 * tried else ": local coefficients are not reliable")
+
+
 def fallback_bandwidth(n: int, adaptive: bool, box=None) -> float:
     if adaptive:
         return max(10, min(50, math.floor(0.9 * n)))
     return math.hypot(box[1] - box[0], box[3] - box[2]) / 3
 
 
-def fit_gwr(data: DataFrame, response: str, predictors: list[str], bandwidth: float | None = None, adaptive: bool = True, kernel: str = "bisquare", max_train: int = 20_000) -> GWRFit:
-    """Local regression; without a bandwidth a golden-section search minimises AICc.
+def fit_gwr(data: DataFrame, response: str, predictors: list[str], bandwidth: float | None = None, adaptive: bool = True, kernel: str = "bisquare", max_train: int = 20_000, criterion: str = "AICc", checks: bool = True) -> GWRFit:
+    """Local regression; without a bandwidth a golden-section search minimises AICc, or with ``criterion="CV"`` the squared
+    leave-one-out residuals.  ``checks`` warns of responses of few whole values and of collinear predictors.
 
     Refuses a two-valued whole-number response; adaptive bandwidths stay within [p + 2, n].
     """
     if kernel not in KERNELS:
         log.info("unknown kernel %s: bisquare is used", kernel)
         kernel = "bisquare"
+    if criterion not in ("AICc", "CV"):
+        raise ValueError("criterion is AICc or CV")
     clean = data.where(all_finite(["x", "y", response, *predictors]))
     pdf = clean.select("row_id", "x", "y", response, *predictors).orderBy("row_id").limit(max_train + 1).toPandas()
     if len(pdf) > max_train:
@@ -235,6 +294,8 @@ def fit_gwr(data: DataFrame, response: str, predictors: list[str], bandwidth: fl
     y = pdf[response].to_numpy(float)
     if len(np.unique(y)) <= 2 and np.all(y == np.round(y)):
         raise ValueError("the response has two values: local linear regression does not apply")
+    if checks:
+        _gwr_checks(clean, response, predictors, len(pdf), len(np.unique(y)), bool(np.all(y == np.round(y))), bandwidth, adaptive)
     x = np.column_stack([np.ones(len(pdf)), pdf[predictors].to_numpy(float)])
     xy = pdf[["x", "y"]].to_numpy(float)
     sent = data.sparkSession.sparkContext.broadcast((pdf["row_id"].to_numpy(), xy, x, y))
@@ -246,7 +307,7 @@ def fit_gwr(data: DataFrame, response: str, predictors: list[str], bandwidth: fl
 
         def score(b):
             info["bandwidth"] = b
-            return _aicc(fit)
+            return _aicc(fit) if criterion == "AICc" else _cv_score(fit)
 
         a, b = (float(max(low, 20) if n > 40 else low), float(n)) if adaptive else (span / 50, span)
         ratio = (math.sqrt(5) - 1) / 2
@@ -269,19 +330,20 @@ def fit_gwr(data: DataFrame, response: str, predictors: list[str], bandwidth: fl
     return fit
 
 
-def gwr_model_selection(data: DataFrame, response: str, candidates: list[str], bandwidth=None, adaptive=True, kernel="bisquare", max_models: int = 200) -> list[dict]:
-    """Forward search over p (p + 1) / 2 models at one bandwidth; ranked by AICc, ties to the smaller model."""
+def gwr_model_selection(data: DataFrame, response: str, candidates: list[str], bandwidth=None, adaptive=True, kernel="bisquare", max_models: int = 200, criterion: str = "AICc") -> list[dict]:
+    """Forward search over p (p + 1) / 2 models at one bandwidth, found by ``criterion`` where none is given; ranked by AICc,
+    ties to the smaller model."""
     p = len(candidates)
     if p < 2 or p * (p + 1) // 2 > max_models:
         raise ValueError(f"between 2 candidates and {max_models} models")
-    full = fit_gwr(data, response, candidates, bandwidth, adaptive, kernel)
+    full = fit_gwr(data, response, candidates, bandwidth, adaptive, kernel, criterion=criterion)
     b, chosen, out = full.info["bandwidth"], [], []
     while len(chosen) < p:
         step = []
         for c in candidates:
             if c not in chosen:
                 v = [*chosen, c]
-                step.append((_aicc(fit_gwr(data, response, v, b, adaptive, kernel)), len(step), v))
+                step.append((_aicc(fit_gwr(data, response, v, b, adaptive, kernel, checks=False)), len(step), v))
                 out.append({"vars": v, "AICc": step[-1][0], "seq": len(out)})
         chosen = min(step)[2]
     return sorted(out, key=lambda r: (not math.isfinite(r["AICc"]), r["AICc"], len(r["vars"]), r["seq"]))

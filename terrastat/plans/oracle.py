@@ -162,6 +162,16 @@ select bx.grp, round(any_value(area), 4)::double as area, min(xmin) as xmin, min
         "clip_target_area": f"""with {CUST}, {_NOTCH}, d as (select *, x1 - x0 as w, y1 - y0 as h, 0.1::double * greatest(x1 - x0, y1 - y0) as r from u)
 select t as target, 1::int as n_rings, round(case t when 'box' then w * h when 'grown' then w * h + 2 * (w + h) * r + {_ARC!r}::double * r * r
   else w * h - (b - a) * (y1 - c) + 25 * (2 * w + 2 * h + 2 * (y1 - c)) + {1.5 * _ARC!r}::double * 625 - 2 * 625 end, 4)::double as area from d, (values ('box'), ('grown'), ('notched')) v(t)""",
+        "gwr_condition": f"""with {EMB}, k as (select a.row_id as i, b.w1 as u, b.w2 as v, row_number() over (partition by a.row_id order by (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y), b.row_id) as r from pts a, pts b),
+g as (select i, count(*) as n, sum(u*u) as a, sum(u*v) as b, sum(v*v) as d from k where r <= 40 group by i), e as (select *, sqrt((a-d)*(a-d)/4 + b*b) as w from g)
+select i as row_id, n, round(sqrt(((a+d)/2 + w) / ((a+d)/2 - w)), 5) as condition from e""",
+        "coerced_mixed": f"""with {CUST}, s as (select row_id, x, y, 3.0::double + row_id % 40 as a, 5.0::double + row_id % 30 as b from pts)
+select row_id, case row_id % 3 when 0 then 'point' when 1 then 'line' else 'polygon' end as kind, round(case row_id % 3 when 0 then x when 1 then x + least(a, (a + b) / 2) else x + a / 4 end, 6) as x,
+round(case row_id % 3 when 0 then y when 1 then y + greatest(0, (b - a) / 2) else y + b / 2 end, 6) as y from s""",
+        "cell_summary_own": f"""with {CUST}, l as (select grp, count(*) as n, avg(z) as m, max(z) as t, list_sort(list(z)) as l from pts group by grp)
+select grp, n, round(m, 5) as resp_mean_z, round(t, 5) as resp_top_z, round(list_avg(list_slice(l, n // 10 + 1, n - n // 10)), 5) as resp_trimmed_z, round(m, 5) as resp_odd_z from l""",
+        "random_points_inside": "select 800::bigint as n, 0::bigint as outside, true as even from (select count(*) from customer)",
+        "seeds_kmeans_inside": f"with {CUST} select 'kmeans' as method, 12::bigint as n, 12::bigint as last, 12::bigint as within union all select 'provided', count(*), count(*), count(*) from pts",
         "gp_recovered": "select count(*) as n, 1.0::double as r2, 50.0::double as slope_w1, 5.0::double as slope_w2, true as chains_agree from embeddings",
         "psis_loo": f"{_LOO} select row_id, round(elpd, 5) as elpd, round(p_loo, 5) as p_loo, round(k_hat, 5) as k_hat from loo",
         "loo_summary": f"{_LOO} select count(*) as n, round(sum(elpd), 3) as elpd, round(sqrt(count(*) * var_samp(elpd)), 3) as se, round(sum(p_loo), 3) as p_loo, round(-2 * sum(elpd), 3) as looic, sum((k_hat > 0.5)::int)::bigint as high_k from loo",

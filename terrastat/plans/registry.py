@@ -18,6 +18,7 @@ from ..operators import metrics as M
 from ..operators import models as G
 from ..operators import overlay as O
 from ..operators import points as Q
+from ..operators import seeding as R
 from ..operators import polygons as Y
 from ..operators import surface as P
 from ..operators import tessellate as T
@@ -466,6 +467,55 @@ def gp_fitted(spark, sf_dir):
     return G.fit_gp(embedding_points(spark, sf_dir), "z", ["w1", "w2"]).fitted()
 
 
+def gwr_condition(spark, sf_dir):
+    """Condition numbers of two predictors among the 40 nearest rows."""
+    return _r(G.gwr_condition(embedding_points(spark, sf_dir), ["w1", "w2"], 40), 5)
+
+
+def coerced_mixed(spark, sf_dir):
+    """Points, lines of two legs and right triangles in one layer, by the customers' numbers."""
+    d = customer_points(spark, sf_dir).withColumns({"a": F.lit(3.0) + F.col("row_id") % 40, "b": F.lit(5.0) + F.col("row_id") % 30})
+    corner = lambda dx, dy: F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
+    zero = F.lit(0.0)
+    third = F.col("row_id") % 3
+    path = [corner(zero, zero), corner(F.col("a"), zero)]
+    rings = F.when(third == 0, F.array(F.array(path[0]))).when(third == 1, F.array(F.array(*path, corner(F.col("a"), F.col("b"))))).otherwise(F.array(F.array(*path, corner(zero, F.col("b")))))
+    d = d.select("row_id", F.when(third == 0, "point").when(third == 1, "line").otherwise("polygon").alias("kind"), rings.alias("rings"))
+    return _r(Q.coerce_mixed(d), 6)
+
+
+def cell_summary_own(spark, sf_dir):
+    """A trimmed mean of the user's own beside built-in aggregates."""
+    def trimmed(v):
+        cut = len(v) // 10
+        return v.sort_values().iloc[cut : len(v) - cut].mean()
+
+    funs = {"mean": F.avg, "top": F.max, "trimmed": S.Vectorised(trimmed), "odd": "no function"}
+    return _r(S.summarize_by_cell(customer_points(spark, sf_dir), "z", [], "grp", agg_funs=funs).select("grp", "n", "resp_mean_z", "resp_top_z", "resp_trimmed_z", "resp_odd_z"), 5)
+
+
+def random_points_inside(spark, sf_dir):
+    """800 random points of a U over the customers' extent: none outside, each arm has its share."""
+    ring = _notched(spark, sf_dir)[0]
+    p = R.random_points(spark, [ring], 800)
+    (x0, y0), (x1, y1), (a, c), (b, _) = ring[0], ring[2], ring[5], ring[4]
+    x, y = F.col("x"), F.col("y")
+    outside = ~(x.between(x0, x1) & y.between(y0, y1)) | ((x > a) & (x < b) & (y > c))
+    left = (a - x0) * (y1 - c) / ((x1 - x0) * (y1 - y0) - (b - a) * (y1 - c))
+    return p.agg(F.count_distinct("point_id").alias("n"), F.sum(outside.cast("long")).alias("outside"), (F.abs(F.avg(((x <= a) & (y > c)).cast("double")) - left) < 0.07).alias("even"))
+
+
+def seeds_kmeans_inside(spark, sf_dir):
+    """Twelve k-means seeds of a random cloud in an L lie in its box; provided ones are numbered."""
+    edge = _ell(spark, sf_dir)
+    s = R.voronoi_seeds(spark, edge, "kmeans", 12, starts=2)
+    given = R.voronoi_seeds(spark, None, "provided", seeds=customer_points(spark, sf_dir))
+    low, high = edge[0].min(0), edge[0].max(0)
+    within = F.col("x").between(float(low[0]), float(high[0])) & F.col("y").between(float(low[1]), float(high[1]))
+    both = s.unionByName(given)
+    return both.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.max("seed_id").alias("last"), F.sum(within.cast("long")).alias("within"))
+
+
 def gp_recovered(spark, sf_dir):
     """What a Gaussian process finds of the plan that the embeddings' response follows: slopes, fit, agreement of chains."""
     p = embedding_points(spark, sf_dir)
