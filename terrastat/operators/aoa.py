@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import EPS, all_finite
-from .joins import _binned, all_pairs, grow_nearest
+from .joins import _binned, all_pairs, grow_nearest, quantiles
 
 
 def scaling(train: DataFrame, predictors: list[str], weights: dict | None = None) -> dict[str, tuple[float, float, float]]:
@@ -51,14 +51,45 @@ def nearest_in_features(query: DataFrame, data: DataFrame, n: int, condition: Co
 
 def threshold(di: DataFrame, column="di") -> DataFrame:
     """One row: the largest value not above Q3 + 1.5 IQR; the maximum if there is none."""
-    q = di.agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select((F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("fence"))
-    return di.crossJoin(F.broadcast(q)).agg(F.coalesce(F.max(F.when(F.col(column) <= F.col("fence"), F.col(column))), F.max(column)).alias("threshold"))
+    low, high = quantiles(di, column, [0.25, 0.75])
+    fence = F.lit(None).cast("double") if low is None else F.lit(high + 1.5 * (high - low))
+    return di.agg(F.coalesce(F.max(F.when(F.col(column) <= fence, F.col(column))), F.max(column)).alias("threshold"))
 
 
-def area_of_applicability(new: DataFrame, train: DataFrame, predictors: list[str], weights: dict | None = None, folds: DataFrame | None = None, limit: float | None = None, normalizer_max_n: int = 5000):
+def checked_folds(folds, train: DataFrame) -> DataFrame:
+    """``row_id, fold`` of fold labels, if each training row has one label, of at least two; else a ValueError.
+
+    ``folds`` is a relation or ``Folds`` without exclusions: rows near a test row would count as its training rows.
+    """
+    if getattr(folds, "excluded", None) is not None:
+        raise ValueError("folds with excluded rows have no plain labels")
+    labels = (folds if isinstance(folds, DataFrame) else folds.assignment).select("row_id", "fold")
+    if labels.where("fold is null").limit(1).count():
+        raise ValueError("folds contain missing labels")
+    if labels.select("fold").distinct().limit(2).count() < 2:
+        raise ValueError("folds must define at least two non-empty folds")
+    if labels.groupBy("row_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        raise ValueError("a row is in more than one fold")
+    if labels.join(train.select("row_id"), "row_id", "left_anti").limit(1).count():
+        raise ValueError("folds refer to rows that the training data do not have")
+    missing = train.select("row_id").join(labels, "row_id", "left_anti").count()
+    if missing:
+        raise ValueError(f"{missing} training rows are in no fold")
+    return labels
+
+
+def describe(new: DataFrame, train_di: DataFrame, limit: float) -> str:
+    """A few lines on an area of applicability."""
+    n, known, inside, most = new.agg(F.count(F.lit(1)), F.count("DI"), F.sum(F.col("AOA").cast("long")), F.max("DI")).first()
+    share = f"{100 * (inside or 0) / known:.1f}%" if known else "none"
+    top = "none" if most is None else f"{most:.4g}"
+    return f"<area of applicability>\nnew rows: {n} ({n - known} without an index)\ninside: {inside or 0} ({share})\nthreshold: {limit:.4g}, largest index: {top}\ntraining rows: {train_di.count()}"
+
+
+def area_of_applicability(new: DataFrame, train: DataFrame, predictors: list[str], weights: dict | None = None, folds=None, limit: float | None = None, normalizer_max_n: int = 5000):
     """(``row_id, DI, AOA`` of new rows, train ``row_id, di``, threshold).
 
-    Training rows are compared with rows of other folds (``row_id, fold``), or with all others.  Rows
+    Training rows are compared with rows of other folds (``checked_folds``), or with all others.  Rows
     with a missing predictor get null DI and AOA.
     """
     ok = train.where(all_finite(predictors))
@@ -69,7 +100,7 @@ def area_of_applicability(new: DataFrame, train: DataFrame, predictors: list[str
     tz = scaled(ok, rules, "row_id")
     norm = mean_pairwise(tz, n, normalizer_max_n)
     if folds is not None:
-        tz = tz.join(folds.select("row_id", "fold"), "row_id")
+        tz = tz.join(checked_folds(folds, train), "row_id")
     other = "fold" if folds is not None else "row_id"
     train_di = nearest_in_features(tz, tz, n, F.col(f"a.{other}") != F.col(f"b.{other}")).select("row_id", (F.col("d") / norm).alias("di"))
     top = limit if limit is not None else threshold(train_di).first()[0]

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import nan_to_null, shoelace
-from .joins import nearest_polygon, polygon_matches
+from .joins import nearest_join, nearest_polygon, polygon_matches
+from .points import polygon_centroid
 
 log = logging.getLogger("terrastat")
 ID_NAMES = ("poly_id", "polygon_id", "id", "cell_id", "grid_id")
@@ -23,17 +24,24 @@ def with_cell_id(cells: DataFrame, id_col: str | None = None) -> DataFrame:
     return cells.withColumn("cell_id", F.row_number().over(Window.orderBy("xmin", "ymin", "xmax", "ymax")).cast("long"))
 
 
-def assign_to_cells(points: DataFrame, cells: DataFrame, id_col=None, keep_unassigned=False, predicate="intersects", tie_break="smallest") -> DataFrame:
+def assign_to_cells(points: DataFrame, cells: DataFrame, id_col=None, keep_unassigned=False, predicate="intersects", tie_break="smallest", fallback: str | None = None) -> DataFrame:
     """``points`` with ``cell_id``; among several cells the smallest area wins, then the earlier (lower) id.
 
     ``tie_break="first"`` takes the lowest id whatever the area.  Points in no cell are dropped, or
-    kept with a null id.
+    kept with a null id; ``fallback="centroid"`` gives them the cell of the nearest centroid (ties: the lower id).
     """
+    if fallback not in (None, "centroid"):
+        raise ValueError(f"unknown fallback: {fallback}")
     cells = with_cell_id(cells, id_col)
     sized = cells.withColumn("__area", F.abs(shoelace("rings")))
     met = polygon_matches(points.select("row_id", "x", "y"), sized, predicate=predicate)
     key = F.struct("__area", "cell_id") if tie_break == "smallest" else F.struct("cell_id")
     best = met.groupBy("row_id").agg(F.min(key).alias("__m")).select("row_id", F.col("__m.cell_id").alias("cell_id"))
+    if fallback:
+        middle = polygon_centroid("rings")
+        centroids = cells.select(F.col("cell_id").alias("row_id"), middle["x"].alias("x"), middle["y"].alias("y"))
+        rest = points.select("row_id", "x", "y").join(best, "row_id", "left_anti")
+        best = best.unionByName(nearest_join(rest, centroids).select(F.col("i").alias("row_id"), F.col("j").alias("cell_id")))
     return points.join(best, "row_id", "left" if keep_unassigned else "inner")
 
 

@@ -6,6 +6,8 @@ keys, so it stays a hash or sort-merge join, and the geometry is a residual cond
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +42,19 @@ def global_rank(df: DataFrame, *order, name: str = "rank") -> DataFrame:
     return ranked.withColumn(name, F.col("__before") + F.col("__inner")).drop("__part", "__p", "__before", "__inner")
 
 
+def quantiles(df: DataFrame, column: str, at: list[float]) -> list[float | None]:
+    """Type-7 quantiles of a column's non-missing values.  Values are ranked over ranges, no task sees them all; nulls without
+    values."""
+    rows = global_rank(df.select(F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)"), "v", name="__rank")
+    n = rows.count()
+    if not n:
+        return [None] * len(at)
+    place = [p * (n - 1) for p in at]
+    need = sorted({int(k) for h in place for k in (math.floor(h), min(math.floor(h) + 1, n - 1))})
+    found = dict(rows.where(F.col("__rank").isin(need)).select("__rank", "v").collect())  # two rows a quantile
+    return [found[math.floor(h)] + (h - math.floor(h)) * (found[min(math.floor(h) + 1, n - 1)] - found[math.floor(h)]) for h in place]
+
+
 def edge_distance2(x, y, edge) -> Column:
     """Squared distance of a point to an edge (``ax, ay, bx, by``)."""
     dx, dy = edge["bx"] - edge["ax"], edge["by"] - edge["ay"]
@@ -48,14 +63,15 @@ def edge_distance2(x, y, edge) -> Column:
     return squared_distance(x, y, edge["ax"] + t * dx, edge["ay"] + t * dy)
 
 
-def polygon_matches(points: DataFrame, cells: DataFrame, bin_width: float | None = None, predicate: str = "intersects", distance: float = 0.0) -> DataFrame:
+def polygon_matches(points: DataFrame, cells: DataFrame, bin_width: float | None = None, predicate="intersects", distance: float = 0.0) -> DataFrame:
     """Pairs of points (``row_id, x, y``) and cells (``cell_id, rings, xmin, ymin, xmax, ymax``) that meet.
 
     Closed cells for ``intersects``; ``within`` leaves out points on a cell's edge; ``within_distance``
-    adds the points no further from a cell than ``distance``.  The bin width defaults to the mean cell
+    adds the points no further from a cell than ``distance``.  A predicate of the user's own is a function of the columns x, y
+    and edges (``ax, ay, bx, by``) that gives a condition; points no further than ``distance`` from a cell's box are tried.  The bin width defaults to the mean cell
     side, so a cell spans a few bins whatever the extent.
     """
-    reach = float(distance) if predicate == "within_distance" else 0.0
+    reach = float(distance) if predicate == "within_distance" or callable(predicate) else 0.0
     if bin_width is None:
         side = cells.agg(F.avg(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")))).first()[0]
         bin_width = max(side or 1.0, reach)
@@ -64,6 +80,8 @@ def polygon_matches(points: DataFrame, cells: DataFrame, bin_width: float | None
     spread = spread.withColumn("__by", F.explode(F.sequence(_bin(F.col("ymin") - reach, bin_width), _bin(F.col("ymax") + reach, bin_width))))
     met = _binned(points, bin_width).join(spread, ["__bx", "__by"])
     met = met.where(F.col("x").between(F.col("xmin") - reach, F.col("xmax") + reach) & F.col("y").between(F.col("ymin") - reach, F.col("ymax") + reach))
+    if callable(predicate):
+        return met.where(predicate(F.col("x"), F.col("y"), F.col("__edges"))).drop("__bx", "__by", "__edges")
     inside = point_in_edges("x", "y", "__edges")
     if predicate == "within_distance":
         met = met.where(inside | F.exists("__edges", lambda e: edge_distance2(F.col("x"), F.col("y"), e) <= reach * reach))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import all_finite, squared_distance
 from .bayes import FAMILIES, lengthscale_prior, log_likelihood, loo_summary, mean_of, psis_loo, simulated, working
-from .joins import all_pairs, distance_join, knn_join
+from .joins import all_pairs, distance_join, knn_join, quantiles
 from .metrics import linear, ols, regression_metrics
 
 log = logging.getLogger("terrastat")
@@ -65,6 +65,11 @@ class SpatialFit:
         return f"<{self.engine} fit: {self.response} ~ {' + '.join(self.predictors)}>"
 
 
+def model_available(name: str) -> bool:
+    """Whether a model of this name can be fitted here: OLS, GWR, GP or RF, in any case."""
+    return str(name).upper() in ("OLS", "GWR", "GP", "RF")
+
+
 def _scatter(new: DataFrame, predictors: list[str], found: DataFrame) -> DataFrame:
     return new.select("row_id").join(found, "row_id", "left")
 
@@ -395,6 +400,14 @@ def _walk(tree, x):
 class ForestFit(SpatialFit):
     """In-sample predictions are out-of-bag."""
 
+    def __str__(self) -> str:
+        lines = [super().__str__()]
+        score = self.metrics().first()
+        if score["R2"] is not None:
+            lines.append(f"out of bag: R2 {score['R2']:.3f}, RMSE {score['RMSE']:.4g} over {score['n']} rows")
+        order = sorted((self.info.get("importance") or {}).items(), key=lambda r: -r[1])
+        return "\n".join([*lines, *[f"  {name}: {value:.4g}" for name, value in order]])
+
     def fitted(self):
         return self.data.select("row_id").join(self.info["oob"], "row_id", "left").select("row_id", "pred")
 
@@ -468,7 +481,7 @@ def lengthscale_bounds_of(points: DataFrame, q_small: float = 0.25) -> tuple[flo
     """The same of a layer's pairwise distances, by an aggregate over its pairs (callers bound the layer)."""
     left = points.select(F.col("row_id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"))
     d = all_pairs(left, points.select("row_id", "x", "y")).where("i < row_id").select(F.sqrt(squared_distance("xi", "yi", "x", "y")).alias("d")).where("d > 0")
-    small, most = d.agg(F.percentile("d", q_small), F.max("d")).first()
+    small, most = quantiles(d, "d", [q_small, 1.0])
     if small is None:
         return 0.001, 1.0
     lo, hi = small / math.sqrt(2 * math.log(20)), most / math.sqrt(2 * math.log(20))

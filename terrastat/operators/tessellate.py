@@ -263,12 +263,19 @@ def stable_ids(cells: DataFrame) -> DataFrame:
     return cells.withColumn("cell_id", F.row_number().over(order).cast("long"))
 
 
-def cached_grid(spark: SparkSession, box, target: int, kind: str = "square") -> DataFrame:
-    """A grid kept by its parameters."""
-    key = hashlib.sha256(repr((box, target, kind)).encode()).hexdigest()
+def cached_grid(spark: SparkSession, box, target: int, kind: str = "square", boundary: list | None = None, crs=None) -> DataFrame:
+    """A grid kept by session, extent, boundary, coordinate system and parameters; with a boundary it is cut to it."""
+    from .polygons import grid_polygons
+
+    edge = None if boundary is None else [np.asarray(r, float).tolist() for r in boundary]
+    key = hashlib.sha256(repr((spark.sparkContext.applicationId, box, target, kind, edge, crs)).encode()).hexdigest()
     if key not in _grids:
-        nx, ny = grid_size(box[1] - box[0], box[3] - box[2], target, kind)
-        _grids[key] = (hex_grid(spark, box, (box[1] - box[0]) / nx) if kind == "hex" else square_grid(spark, box, nx, ny)).persist()
+        if boundary is not None:
+            made = grid_polygons(spark, boundary, target, kind)
+        else:
+            nx, ny = grid_size(box[1] - box[0], box[3] - box[2], target, kind)
+            made = hex_grid(spark, box, (box[1] - box[0]) / nx) if kind == "hex" else square_grid(spark, box, nx, ny)
+        _grids[key] = made.persist()
     return _grids[key]
 
 

@@ -162,6 +162,10 @@ select bx.grp, round(any_value(area), 4)::double as area, min(xmin) as xmin, min
         "clip_target_area": f"""with {CUST}, {_NOTCH}, d as (select *, x1 - x0 as w, y1 - y0 as h, 0.1::double * greatest(x1 - x0, y1 - y0) as r from u)
 select t as target, 1::int as n_rings, round(case t when 'box' then w * h when 'grown' then w * h + 2 * (w + h) * r + {_ARC!r}::double * r * r
   else w * h - (b - a) * (y1 - c) + 25 * (2 * w + 2 * h + 2 * (y1 - c)) + {1.5 * _ARC!r}::double * 625 - 2 * 625 end, 4)::double as area from d, (values ('box'), ('grown'), ('notched')) v(t)""",
+        "assign_nearest_centroid": f"""with {CUST}, {BOXES}, m as (select pts.row_id, b.cell_id, row_number() over (partition by pts.row_id order by (xmax-xmin)*(ymax-ymin), b.cell_id) as r from pts join boxes b on x between xmin and xmax and y between ymin and ymax), c as (select pts.row_id, cell_id, row_number() over (partition by pts.row_id order by (x-(xmin+xmax)/2)*(x-(xmin+xmax)/2)+(y-(ymin+ymax)/2)*(y-(ymin+ymax)/2), cell_id) as r from pts, boxes)
+select pts.row_id, coalesce(m.cell_id, c.cell_id) as cell_id from pts left join m on m.row_id = pts.row_id and m.r = 1 join c on c.row_id = pts.row_id and c.r = 1""",
+        "points_by_own_predicate": f"with {CUST}, {BOXES} select row_id, cell_id from pts, boxes where x >= xmin + 15 and x <= xmax - 15 and y >= ymin + 15 and y <= ymax - 15",
+        "layer_quantiles": f"with {CUST} select p, round(v, 6) as value from (select unnest([0.0::double, 0.1, 0.25, 0.5, 0.9, 1.0]) as p, unnest(quantile_cont(z, [0.0::double, 0.1, 0.25, 0.5, 0.9, 1.0])) as v from pts)",
         "gwr_condition": f"""with {EMB}, k as (select a.row_id as i, b.w1 as u, b.w2 as v, row_number() over (partition by a.row_id order by (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y), b.row_id) as r from pts a, pts b),
 g as (select i, count(*) as n, sum(u*u) as a, sum(u*v) as b, sum(v*v) as d from k where r <= 40 group by i), e as (select *, sqrt((a-d)*(a-d)/4 + b*b) as w from g)
 select i as row_id, n, round(sqrt(((a+d)/2 + w) / ((a+d)/2 - w)), 5) as condition from e""",

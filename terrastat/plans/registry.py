@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import average_rank, lattice_order, path_length, perimeter, shoelace
+from ..functions.exprs import average_rank, lattice_order, path_length, perimeter, point_in_edges, shoelace
 from ..operators import aoa as A
 from ..operators import assign as S
 from ..operators import autocorr as C
@@ -467,6 +467,24 @@ def gp_fitted(spark, sf_dir):
     return G.fit_gp(embedding_points(spark, sf_dir), "z", ["w1", "w2"]).fitted()
 
 
+def assign_nearest_centroid(spark, sf_dir):
+    """Every customer has a cell: of those that hold it the smallest, else that of the nearest centroid."""
+    return S.assign_to_cells(customer_points(spark, sf_dir), literal_cells(spark), fallback="centroid").select("row_id", "cell_id")
+
+
+def points_by_own_predicate(spark, sf_dir):
+    """Points inside a cell and at least 15 from its edges, a condition of the user's own."""
+    deep = lambda x, y, e: point_in_edges(x, y, e) & F.forall(e, lambda s: J.edge_distance2(x, y, s) >= 225)
+    return J.polygon_matches(customer_points(spark, sf_dir).select("row_id", "x", "y"), literal_cells(spark), predicate=deep).select("row_id", "cell_id")
+
+
+def layer_quantiles(spark, sf_dir):
+    """Type-7 quantiles of account balances by ranges, no task with all values."""
+    at = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    found = J.quantiles(customer_points(spark, sf_dir), "z", at)
+    return _r(spark.createDataFrame(list(zip(at, found)), "p double, value double"), 6)
+
+
 def gwr_condition(spark, sf_dir):
     """Condition numbers of two predictors among the 40 nearest rows."""
     return _r(G.gwr_condition(embedding_points(spark, sf_dir), ["w1", "w2"], 40), 5)
