@@ -150,8 +150,11 @@ def sac_range(points: DataFrame, response: str, predictors=(), n_max: float = 50
 
     def effective(azimuth):
         v = variogram(p, "__z", most, most / 15, azimuth)
-        fit = fit_variogram(v.collect())  # fifteen bins
-        return v, fit, None if not fit or not fit["psill"] else 3 * fit["range"]
+        rows = v.collect()  # fifteen bins
+        fit = fit_variogram(rows)
+        if not fit or not fit["psill"]:  # no exponential structure: a spherical one, whose range is its own
+            fit = fit_variogram(rows, "Sph") or fit
+        return v, fit, None if not fit or not fit["psill"] else fit["range"] * (3 if fit["model"] == "Exp" else 1)
 
     sides = [effective(a) for a in (0.0, 90.0)]
     lengths = [s[2] for s in sides if s[2]]

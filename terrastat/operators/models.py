@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import all_finite, squared_distance
 from .bayes import FAMILIES, lengthscale_prior, log_likelihood, loo_summary, mean_of, psis_loo, simulated, working
 from .joins import all_pairs, distance_join, knn_join, quantiles
+from .lineage import cut_lineage
 from .metrics import linear, ols, regression_metrics
 
 log = logging.getLogger("terrastat")
@@ -358,12 +359,13 @@ def gwr_model_selection(data: DataFrame, response: str, candidates: list[str], b
 
 
 def _tree(x, y, rng, mtry, min_node):
-    """(feature, threshold, left, right, value) arrays of a regression tree grown on bootstrap rows."""
+    """(feature, threshold, left, right, value, gain) arrays of a regression tree grown on bootstrap rows; the gain of a split
+    is the squared error it takes away."""
     nodes, stack = [], [(np.arange(len(y)), -1, 0)]
     while stack:
         at, parent, side = stack.pop()
         me = len(nodes)
-        nodes.append([-1, 0.0, -1, -1, y[at].mean()])
+        nodes.append([-1, 0.0, -1, -1, y[at].mean(), 0.0])
         if parent >= 0:
             nodes[parent][2 + side] = me
         if len(at) < 2 * min_node or np.ptp(y[at]) == 0:
@@ -380,14 +382,14 @@ def _tree(x, y, rng, mtry, min_node):
             if gain[i] > best[0]:
                 best = (gain[i], j, (v[i] + v[i + 1]) / 2)
         if best[1] >= 0:
-            nodes[me][0], nodes[me][1] = best[1], best[2]
+            nodes[me][0], nodes[me][1], nodes[me][5] = best[1], best[2], float(best[0])
             go = x[at, best[1]] <= best[2]
             stack += [(at[go], me, 0), (at[~go], me, 1)]
     return [np.array(c) for c in zip(*nodes, strict=True)]
 
 
 def _walk(tree, x):
-    f, t, left, right, value = tree
+    f, t, left, right, value = tree[:5]
     at = np.zeros(len(x), int)
     while True:
         live = f[at] >= 0
@@ -397,6 +399,9 @@ def _walk(tree, x):
         at[i] = np.where(x[i, f[at[i]].astype(int)] <= t[at[i]], left[at[i]], right[at[i]])
 
 
+FOREST_SENT, FOREST_GROUP = 256 << 20, 64 << 20  # bytes of trees that are broadcast, and of a group of trees beyond that
+
+
 class ForestFit(SpatialFit):
     """In-sample predictions are out-of-bag."""
 
@@ -414,26 +419,65 @@ class ForestFit(SpatialFit):
     def predict(self, new=None):
         if new is None:
             return self.fitted()
-        names, sent = self.predictors, self.info["sent"]
+        names, sent = self.info["columns"], self.info["sent"]
+        rows = new.where(all_finite(names)).select("row_id", *[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(names)])
+        if sent is None:
+            return _scatter(new, names, self._by_groups(rows, len(names)))
 
         def run(frames):
             for f in frames:
-                x = f[names].to_numpy(float)
+                x = f.iloc[:, 1:].to_numpy(float)
                 yield pd.DataFrame({"row_id": f["row_id"], "pred": np.mean([_walk(t, x) for t in sent.value], 0) if len(f) else []})
 
-        found = new.where(all_finite(names)).select("row_id", *names).mapInPandas(run, "row_id long, pred double")
-        return _scatter(new, names, found)
+        return _scatter(new, names, rows.mapInPandas(run, "row_id long, pred double"))
+
+    def _by_groups(self, rows: DataFrame, p: int) -> DataFrame:
+        """Predictions of a forest too large to broadcast: rows in chunks meet groups of trees, sums are added up."""
+        import pickle
+
+        grown, trees, total = self.info["grown"], self.info["trees"], self.info["bytes"]
+        groups = max(1, -(-total // FOREST_GROUP))
+        chunks = max(1, -(-rows.count() // 50_000))
+        numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(int(n) - 1)))
+        a = rows.withColumn("__c", F.pmod(F.xxhash64("row_id"), F.lit(chunks)).cast("int")).withColumn("__g", numbers(groups))
+        b = grown.select("body", F.pmod("tree", F.lit(groups)).cast("int").alias("__g")).withColumn("__c", numbers(chunks))
 
+        def run(f, g):
+            x = f[[f"x{k}" for k in range(p)]].to_numpy(float)
+            total = np.zeros(len(f))
+            for body in g["body"]:
+                total += _walk(pickle.loads(body), x)
+            return pd.DataFrame({"row_id": f["row_id"], "part": total})
 
-def fit_forest(data: DataFrame, response: str, predictors: list[str], trees: int = 500, mtry: int | None = None, min_node: int = 5, importance: bool = True, seed: int = 123, max_train: int = 200_000) -> ForestFit:
-    """A regression forest, a tree per row of a task grid; bootstrap and splits depend on (seed, tree) only."""
-    clean = data.where(all_finite([response, *predictors]))
-    pdf = clean.select("row_id", response, *predictors).orderBy("row_id").limit(max_train + 1).toPandas()
-    if not 0 < len(pdf) <= max_train:
-        raise ValueError(f"between 1 and {max_train} training rows")
+        sums = a.groupBy("__g", "__c").cogroup(b.groupBy("__g", "__c")).applyInPandas(run, "row_id long, part double")
+        return sums.groupBy("row_id").agg((F.sum("part") / trees).alias("pred"))
+
+
+def fit_forest(data: DataFrame, response: str, predictors: list[str], trees: int = 500, mtry: int | None = None, min_node: int = 5, importance: str | bool = "permutation", seed: int = 123, max_train: int = 200_000, include_coords: bool = False) -> ForestFit:
+    """A regression forest, a tree per row of a task grid; bootstrap and splits depend on (seed, tree) only.
+
+    ``importance`` is ``permutation`` (out-of-bag error gained by shuffling), ``impurity`` (squared error that splits take away, by
+    tree) or ``none``.  ``include_coords`` makes x and y predictors, with a warning: only blocked folds judge such a forest.  Trees
+    stay in a table; they are broadcast for predictions while they take no more than ``FOREST_SENT`` bytes.
+    """
+    importance = {True: "permutation", False: "none"}.get(importance, importance)
+    if importance not in ("permutation", "impurity", "none"):
+        raise ValueError("importance is permutation, impurity or none")
+    kind = dict(data.dtypes)[response]
+    if kind not in ("double", "float", "int", "bigint", "smallint", "tinyint") and not kind.startswith("decimal"):
+        raise ValueError(f"the response {response} is not numeric")
+    columns = [*predictors, *(["x", "y"] if include_coords else [])]
+    if include_coords:
+        log.warning("coordinates are predictors: out-of-bag scores don't tell how the forest does elsewhere")
+    clean = data.where(all_finite([response, *columns]))
+    pdf = clean.select("row_id", F.col(response).alias("__y"), *[F.col(c).alias(f"x{k}") for k, c in enumerate(columns)]).orderBy("row_id").limit(max_train + 1).toPandas()
+    if not 2 <= len(pdf) <= max_train:
+        raise ValueError(f"between 2 and {max_train} training rows")
+    if pdf["__y"].nunique() <= 2:
+        log.warning("the response has %d values: the forest estimates a share", pdf["__y"].nunique())
     spark = data.sparkSession
-    sent = spark.sparkContext.broadcast((pdf["row_id"].to_numpy(), pdf[predictors].to_numpy(float), pdf[response].to_numpy(float)))
-    m = mtry or max(1, int(math.sqrt(len(predictors))))
+    sent = spark.sparkContext.broadcast((pdf["row_id"].to_numpy(), pdf.iloc[:, 2:].to_numpy(float), pdf["__y"].to_numpy(float)))
+    m = mtry or max(1, int(math.sqrt(len(columns))))
 
     def grow(frames):
         import pickle
@@ -447,7 +491,9 @@ def fit_forest(data: DataFrame, response: str, predictors: list[str], trees: int
                 out = np.setdiff1d(np.arange(len(y)), bag)
                 pred = _walk(tree, x[out])
                 drop = []
-                if importance and len(out):
+                if importance == "impurity":
+                    drop = np.bincount(tree[0][tree[0] >= 0], tree[5][tree[0] >= 0], x.shape[1]).tolist()
+                elif importance == "permutation" and len(out):
                     base = ((y[out] - pred) ** 2).mean()
                     for j in range(x.shape[1]):
                         z = x[out].copy()
@@ -455,14 +501,19 @@ def fit_forest(data: DataFrame, response: str, predictors: list[str], trees: int
                         drop.append(float(((y[out] - _walk(tree, z)) ** 2).mean() - base))
                 yield pd.DataFrame({"tree": [int(k)], "body": [pickle.dumps(tree)], "rows": [ids[out].tolist()], "preds": [pred.tolist()], "drop": [drop]})
 
-    grown = spark.range(trees).repartition(max(1, min(trees, 32))).mapInPandas(grow, "tree long, body binary, rows array<long>, preds array<double>, drop array<double>").persist()
+    grown = spark.range(trees).repartition(max(1, min(trees, 32))).mapInPandas(grow, "tree long, body binary, rows array<long>, preds array<double>, drop array<double>")
+    grown = cut_lineage(grown)  # trees are grown once
     import pickle
 
-    bodies = [pickle.loads(r["body"]) for r in grown.orderBy("tree").select("body").collect()]  # bounded by trees and max_train
+    total = grown.agg(F.sum(F.octet_length("body"))).first()[0]
+    bodies = None
+    if total <= FOREST_SENT:
+        bodies = spark.sparkContext.broadcast([pickle.loads(r["body"]) for r in grown.orderBy("tree").select("body").collect()])
     oob = grown.select(F.explode(F.arrays_zip("rows", "preds")).alias("z")).groupBy(F.col("z.rows").alias("row_id")).agg(F.avg("z.preds").alias("pred"))
-    fit = ForestFit("RF", response, list(predictors), clean, {"oob": oob, "sent": spark.sparkContext.broadcast(bodies)})
-    if importance:
-        fit.info["importance"] = {c: grown.agg(F.avg(F.get("drop", F.lit(k)))).first()[0] for k, c in enumerate(predictors)}
+    fit = ForestFit("RF", response, list(predictors), clean, {"oob": oob, "sent": bodies, "grown": grown, "trees": trees, "bytes": total, "columns": columns, "importance_type": importance})
+    if importance != "none":
+        row = grown.agg(*[F.avg(F.get("drop", F.lit(k))) for k in range(len(columns))]).first()
+        fit.info["importance"] = dict(zip(columns, row, strict=True))
     return fit
 
 

@@ -94,3 +94,35 @@ def test_grids_are_kept_by_boundary(spark):
     whole, part = tessellate.cached_grid(spark, box, 16), tessellate.cached_grid(spark, box, 16, boundary=edge)
     assert whole is not part and part.count() < whole.count() and tessellate.cached_grid(spark, box, 16, boundary=edge) is part
     assert tessellate.cached_grid(spark, box, 16, crs="other") is not whole and tessellate.clear_grid_cache() == 3
+
+
+def test_spherical_fallback(spark, monkeypatch):
+    from terrastat.operators import autocorr
+
+    rng = np.random.default_rng(2)
+    p = points(spark, rng.random((60, 2)) * 100, z=rng.normal(size=60))
+    real = autocorr.fit_variogram
+    monkeypatch.setattr(autocorr, "fit_variogram", lambda rows, model="Exp": None if model == "Exp" else real(rows, model) and {"model": "Sph", "nugget": 0.0, "psill": 1.0, "range": 12.0, "sse": 0.0})
+    r = autocorr.sac_range(p, "z")
+    assert r.model["model"] == "Sph" and r.value == 12.0
+
+
+def test_forest_options(spark, layer, monkeypatch, caplog):
+    import logging
+
+    base = models.fit_forest(layer, "z", ["a"], trees=30, importance="impurity")
+    assert set(base.info["importance"]) == {"a"} and base.info["importance"]["a"] > 0
+    with caplog.at_level(logging.WARNING):
+        placed = models.fit_forest(layer, "z", ["a"], trees=30, importance="none", include_coords=True)
+        models.fit_forest(layer.withColumn("z", (F.col("z") > 0).cast("int")), "z", ["a"], trees=3)
+    assert "importance" not in placed.info and placed.info["columns"] == ["a", "x", "y"] and "coordinates are predictors" in caplog.text and "estimates a share" in caplog.text
+    sent = {r.row_id: r.pred for r in placed.predict(layer).collect()}
+    placed.info["sent"] = None
+    monkeypatch.setattr(models, "FOREST_GROUP", 5000)
+    grouped = {r.row_id: r.pred for r in placed.predict(layer).collect()}
+    assert grouped.keys() == sent.keys() and all(grouped[k] == pytest.approx(sent[k]) for k in sent)
+    for wrong in ({"importance": "gain"}, {"response": "name"}):
+        with pytest.raises(ValueError):
+            models.fit_forest(layer.withColumn("name", F.lit("s")), wrong.get("response", "z"), ["a"], trees=2, importance=wrong.get("importance", "none"))
+    with pytest.raises(ValueError):
+        models.fit_forest(layer.limit(1), "z", ["a"])
