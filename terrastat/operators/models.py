@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import all_finite, squared_distance
+from ..sources.crs import align
 from .bayes import FAMILIES, lengthscale_prior, log_likelihood, loo_summary, mean_of, psis_loo, simulated, working
 from .joins import all_pairs, distance_join, knn_join, quantiles
 from .lineage import cut_lineage
@@ -39,6 +40,13 @@ class SpatialFit:
     def predict(self, new: DataFrame | None = None) -> DataFrame:
         raise NotImplementedError
 
+    def predict_in(self, new: DataFrame, crs, **options) -> DataFrame:
+        """``predict`` for rows in another coordinate system: they are brought into the fit's own, ``info["crs"]``, first."""
+        own = self.info.get("crs")
+        if own is None:
+            raise ValueError("the fit has no coordinate system: set info['crs']")
+        return self.predict(align(new, crs, own), **options)
+
     def fitted(self) -> DataFrame:
         if "__fitted" not in self.info:
             self.info["__fitted"] = self.predict(self.data).persist()

@@ -126,3 +126,22 @@ def test_forest_options(spark, layer, monkeypatch, caplog):
             models.fit_forest(layer.withColumn("name", F.lit("s")), wrong.get("response", "z"), ["a"], trees=2, importance=wrong.get("importance", "none"))
     with pytest.raises(ValueError):
         models.fit_forest(layer.limit(1), "z", ["a"])
+
+
+def test_predictions_in_another_system(spark):
+    """Rows in degrees get what they get in the fit's own projection."""
+    from terrastat.sources.crs import LONGLAT, reproject, utm
+
+    rng = np.random.default_rng(6)
+    a = rng.normal(size=60)
+    degrees = points(spark, np.column_stack([-78.9 + rng.random(60) / 2, 35.5 + rng.random(60) / 2]), a=a)
+    own = reproject(degrees, LONGLAT, utm(17))
+    data = own.withColumn("z", F.col("a") * (F.col("x") - 3e5) / 1e5).persist()
+    fit = models.fit_gwr(data, "z", ["a"], 20)
+    with pytest.raises(ValueError):
+        fit.predict_in(degrees, LONGLAT)
+    fit.info["crs"] = utm(17)
+    want = {r.row_id: r.pred for r in fit.predict(own).collect()}
+    got = {r.row_id: r.pred for r in fit.predict_in(degrees, LONGLAT).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-6) for k in want)
+    assert all(abs(got[k] - want[k]) < 1e-6 for k in want) and {r.row_id: r.pred for r in fit.predict_in(own, utm(17)).collect()} == want
