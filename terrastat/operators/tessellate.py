@@ -403,9 +403,20 @@ def build_tessellation(points: DataFrame, method: str = "voronoi", target: int =
     return cells, point_cell_index(points, cells)
 
 
-def optimal_levels(points: DataFrame, max_levels: int = 12, top_n: int = 3, sample_n: int = 1500, seed: int = 123, response: str | None = None, predictors=()) -> tuple[list[int], list[dict]]:
-    """(best numbers of cells, diagnostics): the elbow of k-means within-sums, near it weighed with Moran's I of
-    residuals of cell means where a response is given.  Ranks are averages over ties."""
+def optimal_levels(points: DataFrame, max_levels: int = 12, top_n: int = 3, sample_n: int = 1500, seed: int = 123, response: str | None = None, predictors=(), criterion: str | None = None) -> tuple[list[int], list[dict]]:
+    """(best numbers of cells, diagnostics) by ``criterion``: ``geometric``, the elbow of k-means within-sums and its neighbours;
+    ``morans_i``, the numbers near the elbow whose cell means leave the least Moran's I in size; ``combined``, both by their mean
+    ranks, ties averaged.  The default is combined with a response, geometric without; the others fall back to it without a
+    response or where Moran's I can't be computed, with a warning."""
+    import logging
+
+    log = logging.getLogger("terrastat")
+    criterion = criterion or ("combined" if response is not None else "geometric")
+    if criterion not in ("geometric", "morans_i", "combined"):
+        raise ValueError(f"unknown criterion: {criterion}")
+    if criterion != "geometric" and response is None:
+        log.warning("%s needs a response: geometric is used", criterion)
+        criterion = "geometric"
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
@@ -423,7 +434,7 @@ def optimal_levels(points: DataFrame, max_levels: int = 12, top_n: int = 3, samp
     wss = [one] + [fits[k].summary.trainingCost for k in range(2, k_max + 1)]
     knee, near = elbow(wss)
     out = [{"k": k, "wss": w} for k, w in enumerate(wss, 1)]
-    if response is None:
+    if criterion == "geometric":
         return near[:top_n], out
     tried = [k for k in range(max(2, knee - max(4, top_n)), min(k_max, knee + max(4, top_n)) + 1)]
     for k in tried:
@@ -434,6 +445,11 @@ def optimal_levels(points: DataFrame, max_levels: int = 12, top_n: int = 3, samp
             r = morans_i(cells.select("row_id", (F.col(response) - linear(beta, list(predictors))).alias("e")), knn_weights(cells, 8)).first()
             i = abs(r["I"]) if r["I"] is not None else None
         out[k - 1] |= {"moran": i}
+    if all(out[k - 1]["moran"] is None for k in tried):
+        log.warning("Moran's I could not be computed: geometric is used")
+        return near[:top_n], out
+    if criterion == "morans_i":
+        return sorted((k for k in tried if out[k - 1]["moran"] is not None), key=lambda k: (out[k - 1]["moran"], k))[:top_n], out
     # distance to the chord of the curve over the numbers tried; a missing Moran ranks last
     x = (np.array(tried) - tried[0]) / max(1, tried[-1] - tried[0])
     w = np.array([wss[k - 1] for k in tried])

@@ -145,3 +145,18 @@ def test_predictions_in_another_system(spark):
     got = {r.row_id: r.pred for r in fit.predict_in(degrees, LONGLAT).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-6) for k in want)
     assert all(abs(got[k] - want[k]) < 1e-6 for k in want) and {r.row_id: r.pred for r in fit.predict_in(own, utm(17)).collect()} == want
+
+
+def test_criteria_of_levels(spark, layer, caplog):
+    import logging
+
+    some = layer.withColumn("z", F.col("x") / 10 + F.col("a"))
+    best, table = tessellate.optimal_levels(some, max_levels=9, response="z", criterion="morans_i")
+    known = {r["k"]: r["moran"] for r in table if r.get("moran") is not None}
+    assert best[0] == min(known, key=lambda k: (known[k], k)) and len(best) <= 3
+    assert tessellate.optimal_levels(some, max_levels=6, response="z", criterion="geometric")[0] == tessellate.optimal_levels(some, max_levels=6)[0]
+    with caplog.at_level(logging.WARNING):
+        tessellate.optimal_levels(some, max_levels=4, criterion="combined")
+    assert "needs a response" in caplog.text
+    with pytest.raises(ValueError):
+        tessellate.optimal_levels(some, criterion="other")
