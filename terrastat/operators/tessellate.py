@@ -231,7 +231,8 @@ def _box_ring(x0, y0, x1, y1) -> np.ndarray:
 
 
 def delaunay(points: np.ndarray) -> np.ndarray:
-    """Triangles (index triples, counter-clockwise) by incremental insertion; points must be distinct."""
+    """Triangles (index triples, counter-clockwise) of a few points in one task, by incremental insertion; points must be
+    distinct.  ``triangulate.delaunay_triangles`` is for layers."""
     n = len(points)
     if n < 3:
         raise ValueError("a triangulation needs three points")
@@ -259,8 +260,11 @@ def delaunay(points: np.ndarray) -> np.ndarray:
 
 def stable_ids(cells: DataFrame) -> DataFrame:
     """Ids 1..n by box centre, area and former id, so equal tessellations number their cells alike."""
-    order = Window.orderBy(F.round((F.col("xmin") + F.col("xmax")) / 2, 9), F.round((F.col("ymin") + F.col("ymax")) / 2, 9), F.abs(shoelace("rings")), "cell_id")
-    return cells.withColumn("cell_id", F.row_number().over(order).cast("long"))
+    from .joins import global_rank
+
+    centre = [F.round((F.col(f"{c}min") + F.col(f"{c}max")) / 2, 9).alias(f"__{c}") for c in "xy"]
+    ranked = global_rank(cells.select("*", *centre, F.abs(shoelace("rings")).alias("__area")), "__x", "__y", "__area", "cell_id", name="__rank")
+    return ranked.withColumn("cell_id", (F.col("__rank") + 1).cast("long")).select(cells.columns)
 
 
 def cached_grid(spark: SparkSession, box, target: int, kind: str = "square", boundary: list | None = None, crs=None) -> DataFrame:
@@ -381,6 +385,7 @@ def build_tessellation(points: DataFrame, method: str = "voronoi", target: int =
     from .assign import point_cell_index
     from .overlay import clip_cells
     from .polygons import grid_polygons
+    from .triangulate import delaunay_triangles
 
     spark = points.sparkSession
     if boundary is not None and not isinstance(boundary, list):
@@ -391,12 +396,11 @@ def build_tessellation(points: DataFrame, method: str = "voronoi", target: int =
     if method == "voronoi":
         return create_voronoi(points, area, clip=clip)
     if method == "triangles":
-        rows = dedup_points(points).select("x", "y").limit(20_001).toPandas().to_numpy(float)
-        if len(rows) > 20_000:
-            raise ValueError("at most 20,000 points are triangulated")
-        cells = spark.createDataFrame(pd.DataFrame([_cell_row(i + 1, rows[t]) for i, t in enumerate(delaunay(rows))]), CELL)
-        if clip and boundary is not None:
-            cells = stable_ids(clip_cells(cells, area))
+        places = dedup_points(points)
+        if places.limit(3).count() < 3:
+            raise ValueError("a triangulation needs three points")
+        cells = delaunay_triangles(places).select(F.xxhash64("a", "b", "c").alias("cell_id"), "rings", "xmin", "ymin", "xmax", "ymax")
+        cells = stable_ids(clip_cells(cells, area) if clip and boundary is not None else cells)
     else:
         cells = grid_polygons(spark, area, target=target, kind=method, clip=clip)
     cells = cells.persist()

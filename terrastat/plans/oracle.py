@@ -186,6 +186,14 @@ l as (select row_id, list({{'a': a, 'b': b, 'c': c}}) as l from h group by row_i
 v as (select p.row_id, (p.c * q.b - q.c * p.b) / (p.a * q.b - q.a * p.b) as x, (p.a * q.c - q.a * p.c) / (p.a * q.b - q.a * p.b) as y from h p join h q on p.row_id = q.row_id and p.k < q.k where p.a * q.b - q.a * p.b <> 0),
 w as (select v.row_id, x, y, row_number() over (partition by v.row_id order by atan2(y, x)) as i, count(*) over (partition by v.row_id) as n from v join l using (row_id) where list_bool_and(list_transform(l.l, lambda e: e.a * x + e.b * y <= e.c + 1e-7)))
 select p.row_id as cell_id, round(sum(p.x * q.y - q.x * p.y) / 2, 6) as area from w p join w q on p.row_id = q.row_id and q.i = p.i % p.n + 1 group by p.row_id""",
+        # a circle through two points has its centre on their bisector; each third point bounds the place from one side
+        "delaunay_triangles": f"""with {EMB}, s as (select row_id, x, y from (select *, row_number() over (partition by round(x, 10), round(y, 10) order by row_id) as r from pts) where r = 1),
+p as (select i.row_id as i, j.row_id as j, j.x - i.x as ax, j.y - i.y as ay, i.x, i.y from s i join s j on i.row_id < j.row_id),
+q as (select i, j, k, c > 0 as above, (dx * dx + dy * dy - ax * dx - ay * dy) / (2 * c) as t from (select i, j, k.row_id as k, ax, ay, k.x - p.x as dx, k.y - p.y as dy, ax * (k.y - p.y) - ay * (k.x - p.x) as c from p, s k where k.row_id <> i and k.row_id <> j) where c <> 0),
+e as (select i, j, min(t) filter (above) as hi, arg_min(k, t) filter (above) as u, max(t) filter (not above) as lo, arg_max(k, t) filter (not above) as v from q group by i, j),
+k as (select i, j, unnest([u, v]) as k from e where hi is null or lo is null or lo < hi),
+t as (select distinct list_sort([i, j, k]) as t from k where k is not null)
+select t[1] as a, t[2] as b, t[3] as c, round(abs((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x)) / 2, 6) as area from t join s p on p.row_id = t[1] join s q on q.row_id = t[2] join s r on r.row_id = t[3]""",
         "voronoi_clipped": f"""with {CUST}, {_NOTCH}, n as (select *, floor((x1 - x0 - 0.137::double) / 23.17)::bigint as nx, floor((y1 - y0 - 0.211::double) / 23.17)::bigint as ny from u),
 g as (select (iy * nx + ix + 1)::bigint as gid, x0 + 0.137::double + 23.17::double / 2 + ix * 23.17::double as x, y0 + 0.211::double + 23.17::double / 2 + iy * 23.17::double as y, x0, x1, y0, y1, a, b, c from (select *, unnest(range(nx)) as ix from n), (select unnest(range(ny)) as iy from n)),
 k as (select * from g where {_IN_U}), s as (select * from (select row_id, x, y, row_number() over (partition by x, y order by row_id) as r from pts) where r = 1),

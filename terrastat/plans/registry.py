@@ -570,6 +570,13 @@ def voronoi_cells(spark, sf_dir):
     return T.voronoi_cells(p, edge).select("cell_id", F.round(F.abs(shoelace("rings")), 6).alias("area"))
 
 
+def delaunay_triangles(spark, sf_dir):
+    """Triangles of the embeddings' points, which lie in no pattern."""
+    from ..operators.triangulate import delaunay_triangles as made
+
+    return made(dedup_points(embedding_points(spark, sf_dir))).select("a", "b", "c", F.round(F.abs(shoelace("rings")), 6).alias("area"))
+
+
 def kmeans_seeds(spark, sf_dir):
     return T.kmeans_seeds(customer_points(spark, sf_dir), 8)
 
