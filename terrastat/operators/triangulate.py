@@ -198,4 +198,4 @@ def delaunay_triangles(points: DataFrame, first: int = 20) -> DataFrame:
                         out.append((a, b, c, *[row[k] for k in ("rings", "xmin", "ymin", "xmax", "ymax")]))
             yield pd.DataFrame(out, columns=["a", "b", "c", "rings", "xmin", "ymin", "xmax", "ymax"])
 
-    return done.mapInPandas(rings, "a long, b long, c long, " + CELL.split(", ", 1)[1])
+    return cut_lineage(done.mapInPandas(rings, "a long, b long, c long, " + CELL.split(", ", 1)[1]))

@@ -66,12 +66,11 @@ def test_equals_the_version_of_one_task(spark, monkeypatch):
 
 def test_points_on_circles_and_lines(spark):
     grid = np.array([(x, y) for x in range(7) for y in range(6)], float)
-    rows = triangles(spark, grid)
-    assert len(rows) == 2 * 6 * 5 and area(rows) == pytest.approx(30)
     t = np.arange(24) * np.pi / 12
-    ring = np.column_stack([np.cos(t), np.sin(t)])
-    rows = triangles(spark, ring)
-    assert len(rows) == 22 and area(rows) == pytest.approx(hull_area(ring))
+    xy = np.vstack([grid, [3, 2.5] + 10 * np.column_stack([np.cos(t), np.sin(t)])])
+    rows = triangles(spark, xy)
+    assert len(rows) == 2 * len(xy) - 24 - 2 and area(rows) == pytest.approx(hull_area(xy))
+    assert sum(max(r.a, r.b, r.c) < len(grid) for r in rows) == 2 * 6 * 5
     assert triangles(spark, [(k, 2 * k) for k in range(9)]) == []
     assert triangles(spark, [(0, 0), (1, 1)]) == [] and triangles(spark, [(0, 0), (1, 1), (np.nan, 2)]) == []
     assert triangulate.delaunay_triangles(layer(spark, np.zeros((1, 2))).limit(0)).count() == 0
