@@ -8,6 +8,7 @@ that touch in a point as rings of their own.  It runs in tasks on one feature or
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .dealing import dealt
 from .tessellate import CELL
 
 BLOCK = 256  # edges that meet all others at once
@@ -226,8 +228,77 @@ def overlay(p: list, q: list, how: str = "intersection") -> list[np.ndarray]:
     return arrange([p, q], lambda w: rule(_odd(w[:, 0]), _odd(w[:, 1])))
 
 
+def common(p: list, q: list) -> list[np.ndarray]:
+    """``overlay(p, q)`` where ``q`` is valid and the larger: rings of ``p`` far from its rim are all in or all out."""
+    if not p or not q:
+        return []
+    flat = np.concatenate(p)
+    lo, hi = flat.min(0), flat.max(0)
+    for ring in q:
+        after = np.roll(ring, -1, 0)
+        if ((np.minimum(ring, after) <= hi) & (np.maximum(ring, after) >= lo)).all(1).any():
+            return overlay(p, q)
+    return make_valid(p) if holds(flat.mean(0)[None], q)[0] else []
+
+
+def convex(rings: list) -> list | None:
+    """The corners of a geometry of one convex ring, counter-clockwise; None for any other, also for one with a corner that
+    hardly turns."""
+    if len(rings) != 1 or len(rings[0]) < 3:
+        return None
+    ring = np.asarray(rings[0], float).tolist()
+    (ax, ay), (bx, by) = ring[-2], ring[-1]
+    dx, dy, left, turns = bx - ax, by - ay, None, 0.0
+    for x, y in ring:
+        ex, ey = x - bx, y - by
+        cross = dx * ey - dy * ex
+        if not cross * cross > 1e-22 * (dx * dx + dy * dy) * (ex * ex + ey * ey) or cross * cross == math.inf:  # nan too
+            return None
+        if left is None:
+            left = cross > 0
+        elif left != (cross > 0):
+            return None
+        if len(ring) > 4:  # fewer corners turn around once
+            turns += abs(math.atan2(cross, dx * ex + dy * ey))
+        bx, by, dx, dy = x, y, ex, ey
+    if turns > 3 * math.pi:
+        return None
+    return ring if left else ring[::-1]
+
+
+def half_plane(ring: list, a: float, b: float, c: float) -> list:
+    """The corners of the part of a ring where a x + b y <= c (exact for convex rings)."""
+    if not ring:
+        return ring
+    out = []
+    px, py = ring[-1]
+    s = a * px + b * py - c
+    for x, y in ring:
+        t = a * x + b * y - c
+        if s * t < 0:
+            k = s / (s - t)
+            out.append([px + (x - px) * k, py + (y - py) * k])
+        if t <= 0:
+            out.append([x, y])
+        px, py, s = x, y, t
+    return out
+
+
+def common_convex(p: list, q: list) -> list:
+    """The corners that two convex, counter-clockwise rings have in common."""
+    ax, ay = q[-1]
+    for bx, by in q:
+        dx, dy = bx - ax, by - ay
+        p = half_plane(p, dy, -dx, dy * ax - dx * ay)
+        ax, ay = bx, by
+    return p
+
+
 def make_valid(rings: list) -> list[np.ndarray]:
     """The same inside with rings that neither cross nor repeat themselves; outer rings counter-clockwise."""
+    ring = convex(rings)
+    if ring is not None:
+        return [np.array(ring)]
     return arrange([rings], lambda w: _odd(w[:, 0]))
 
 
@@ -244,6 +315,9 @@ def buffer(rings: list, distance: float, segments: int = 30) -> list[np.ndarray]
     rings = make_valid(rings)
     if distance == 0 or not rings:
         return rings
+    ring = convex(rings)
+    if ring is not None:
+        return _buffer_convex(ring, distance, segments)
     curves = []
     for ring in rings:
         d = np.roll(ring, -1, 0) - ring
@@ -266,6 +340,28 @@ def buffer(rings: list, distance: float, segments: int = 30) -> list[np.ndarray]
     return arrange([curves], lambda w: w[:, 0] > 0)
 
 
+def _buffer_convex(ring: list, distance: float, segments: int) -> list[np.ndarray]:
+    """Of one convex ring: its offset curve meets itself nowhere; inwards it is what the moved edges leave."""
+    p = np.array(ring)
+    d = np.roll(p, -1, 0) - p
+    d /= np.hypot(d[:, 0], d[:, 1])[:, None]
+    if distance < 0:
+        low = p[:, 0] * d[:, 1] - p[:, 1] * d[:, 0] + distance
+        for (dx, dy), c in zip(d.tolist(), low.tolist(), strict=True):
+            ring = half_plane(ring, dy, -dx, c)
+        left = _straightened(np.array(ring)[(np.array(ring) != np.roll(ring, 1, 0)).any(1)]) if len(ring) > 2 else []
+        return [left] if len(left) > 2 else []
+    before = np.roll(d, 1, 0)
+    bend = np.arctan2(before[:, 0] * d[:, 1] - before[:, 1] * d[:, 0], (before * d).sum(1))
+    steps = np.maximum(1, np.ceil(bend / (np.pi / 2) * segments - 1e-9).astype(int))
+    corner = np.repeat(np.arange(len(p)), steps + 1)
+    at = np.arange(len(corner)) - np.repeat(np.cumsum(steps + 1) - steps - 1, steps + 1)
+    t = at * (bend / steps)[corner]
+    c, s = np.cos(t), np.sin(t)
+    ox, oy = before[corner, 1] * distance, -before[corner, 0] * distance
+    return [p[corner] + np.column_stack([ox * c - oy * s, ox * s + oy * c])]
+
+
 def signed_area(rings: list) -> float:
     """Area of valid rings."""
     return float(sum((x * np.roll(y, -1) - np.roll(x, -1) * y).sum() / 2 for x, y in (r.T for r in rings)))
@@ -324,7 +420,7 @@ def _mapped(features: DataFrame, make: Callable, rings_col: str) -> DataFrame:
                 out[c] = pd.array([b[k] for b in boxes], dtype="Float64")
             yield out
 
-    return features.select(*kept, *packed(F.col(rings_col), "__")).mapInPandas(run, schema)
+    return dealt(features.select(*kept, *packed(F.col(rings_col), "__"))).mapInPandas(run, schema)
 
 
 def repaired(features: DataFrame, rings_col: str = "rings") -> DataFrame:
@@ -341,15 +437,9 @@ def clip_cells(cells: DataFrame, boundary: list) -> DataFrame:
     """The parts of cells inside a boundary, which may be concave, in parts or with holes; cells may be any polygons.  A
     part's rings are its own, so nothing outside the boundary belongs to a cell; cells without area inside drop out."""
     boundary = make_valid(boundary)
-    rim = edges(boundary)
-    low, high = (rim.min(1), rim.max(1)) if len(rim) else (np.zeros((0, 2)), np.zeros((0, 2)))
 
     def clipped(cell):
-        flat = np.vstack(cell)
-        near = (low <= flat.max(0)).all(1) & (high >= flat.min(0)).all(1)
-        if not near.any():  # all in or all out
-            return make_valid(cell) if len(rim) and holds(flat.mean(0)[None], boundary)[0] else []
-        return overlay(cell, boundary)
+        return common(cell, boundary)
 
     def run(frames):
         for f in frames:
@@ -362,7 +452,7 @@ def clip_cells(cells: DataFrame, boundary: list) -> DataFrame:
                     out.append((i, structs(parts), *flat.min(0), *flat.max(0)))
             yield pd.DataFrame(out, columns=["cell_id", "rings", "xmin", "ymin", "xmax", "ymax"])
 
-    return cells.select("cell_id", *packed(F.col("rings"))).mapInPandas(run, CELL)
+    return dealt(cells.select("cell_id", *packed(F.col("rings")))).mapInPandas(run, CELL)
 
 
 def dissolve(features: DataFrame, by: str | None = None, tile: float | None = None) -> DataFrame:
