@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import shoelace
 from .assign import with_cell_id
+from .dealing import dealt
 from .joins import _bin
-from .overlay import clip_cells, overlay, packed, signed_area, structs, unpacked
+from .overlay import clip_cells, common, common_convex, convex, make_valid, overlay, packed, signed_area, structs, unpacked
 from .tessellate import clip_convex, convex_hull, grid_size, hex_grid, square_grid
 
+SENT_CELLS = 1_000  # cells that go to every task
 PAIR = "feature_id long, cell_id long, overlap double, meets boolean"
 PIECES = "feature_id long, cell_id long, rings array<array<struct<x:double,y:double>>>, area double"
 
@@ -56,6 +58,10 @@ def overlap_area(p: list[np.ndarray], q: list[np.ndarray]) -> float:
                 if turn:
                     yield np.array([[0.0, 0.0], a, b] if turn > 0 else [[0.0, 0.0], b, a]), np.sign(turn)
 
+    a, b = convex(p), convex(q)
+    if a is not None and b is not None:
+        met = common_convex(a, b)
+        return max(0.0, ring_area(np.array(met) - met[0])) if len(met) > 2 else 0.0
     origin = q[0].mean(0)
     mine, theirs = list(fans(p, origin)), list(fans(q, origin))
     total = sum(s * t * ring_area(c) for a, s in mine for b, t in theirs if len(c := clip_convex(a, b)) > 2)
@@ -65,10 +71,12 @@ def overlap_area(p: list[np.ndarray], q: list[np.ndarray]) -> float:
 
 def _box_pairs(features: DataFrame, cells: DataFrame, bin_width: float | None = None) -> DataFrame:
     """``f_id, f_xy, f_sizes, c_id, c_xy, c_sizes`` of features and cells whose boxes meet.  Boxes are binned; a pair comes from the one bin
-    that holds the corner both boxes share."""
+    that holds the corner both boxes share.  Few cells go to all tasks, and features are dealt over them; more meet them by
+    bins."""
+    side, n = cells.agg(F.avg(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))), F.count(F.lit(1))).first()
     if bin_width is None:
-        side = cells.agg(F.avg(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")))).first()[0]
         bin_width = side or 1.0
+    few = n <= SENT_CELLS
 
     def binned(df, id_col, mark):
         out = df.select(F.col(id_col).alias(f"{mark}id"), F.col("rings").alias(f"{mark}rings"), *[F.col(c).alias(f"{mark}{c}") for c in ("xmin", "ymin", "xmax", "ymax")])
@@ -76,7 +84,10 @@ def _box_pairs(features: DataFrame, cells: DataFrame, bin_width: float | None =
             out = out.withColumn(f"__b{axis}", F.explode(F.sequence(_bin(F.col(f"{mark}{axis}min"), bin_width), _bin(F.col(f"{mark}{axis}max"), bin_width))))
         return out
 
-    met = binned(features, "row_id", "f_").join(binned(cells, "cell_id", "c_"), ["__bx", "__by"])
+    if few:
+        met = binned(dealt(features), "row_id", "f_").join(F.broadcast(binned(cells, "cell_id", "c_")), ["__bx", "__by"])
+    else:
+        met = dealt(binned(features, "row_id", "f_"), "__bx", "__by").join(dealt(binned(cells, "cell_id", "c_"), "__bx", "__by"), ["__bx", "__by"])
     for axis in "xy":
         low = F.greatest(F.col(f"f_{axis}min"), F.col(f"c_{axis}min"))
         met = met.where((low <= F.least(F.col(f"f_{axis}max"), F.col(f"c_{axis}max"))) & (_bin(low, bin_width) == F.col(f"__b{axis}")))
@@ -94,10 +105,19 @@ def polygon_pieces(features: DataFrame, cells: DataFrame, how: str = "intersecti
     ``overlay`` are formed for the pairs whose boxes meet."""
 
     def run(frames):
+        valid = {}  # few cells come again and again
         for f in frames:
             out = []
             for i, p, j, q in _pairs_of(f):
-                rings = overlay(p, q, how)
+                if how == "intersection":
+                    key = (j, len(q), q[0].tobytes() if q else b"")
+                    if key not in valid:
+                        if len(valid) > 1000:
+                            valid.clear()
+                        valid[key] = make_valid(q)
+                    rings = common(p, valid[key])
+                else:
+                    rings = overlay(p, q, how)
                 if rings:
                     out.append((i, j, structs(rings), signed_area(rings)))
             yield pd.DataFrame(out, columns=["feature_id", "cell_id", "rings", "area"])
