@@ -66,3 +66,79 @@ def test_features_of_one_partition_are_dealt(spark):
     for out in (O.repaired(boxes), O.buffered(boxes, 1.0), Y.polygon_pieces(boxes, cells), Y.polygon_overlaps(boxes, cells)):
         assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 1
     assert np.isclose(Y.polygon_pieces(boxes, cells).agg(F.sum("area")).first()[0], 40 * 2 * 2 - 0.0)
+
+
+def test_union_of_deep_boxes_by_tiles(spark):
+    """Whole tiles, covered features and seams: the area of the union, counted on a lattice."""
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 40, (300, 2)).astype(float)
+    b = a + rng.integers(1, 15, (300, 2))
+    lattice = np.zeros((60, 60), bool)
+    for (x0, y0), (x1, y1) in zip(a.astype(int), b.astype(int), strict=True):
+        lattice[x0:x1, y0:y1] = True
+    layer = _boxes(spark, [(*p, *q) for p, q in zip(a.tolist(), b.tolist(), strict=True)])
+    for tile in (None, 3.0, 50.0):
+        rows = O.dissolve(layer.withColumn("g", (F.col("row_id") * 0).cast("int")), "g", tile).collect()
+        assert len(rows) == 1 and np.isclose(O.signed_area(O.arrays(rows[0]["rings"])), lattice.sum())
+
+
+def test_union_drops_covered_shapes_only():
+    big, small, cross = [np.array([[0, 0], [9, 0], [9, 9], [0, 9.0]])], [np.array([[1, 1], [2, 1], [1, 2.0]])], [np.array([[5, 5], [12, 5], [5, 12.0]])]
+    dart = [np.array([[0, 0], [9, 0], [3, 3], [0, 9.0]])]
+    assert len(O._uncovered([small, big, cross])) == 2
+    assert len(O._uncovered([dart, [r + [4, 4] for r in small]])) == 2
+
+
+def test_local_fits_beyond_the_sent_rows(spark):
+    from terrastat.operators import models as G
+
+    rng = np.random.default_rng(8)
+    n = 120
+    v = rng.normal(size=(n, 5))
+    d = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(v)], "row_id long, x double, y double, w double, u double, z double")
+    for b, adaptive in ((30, True), (1.5, False)):
+        sent, joined = (G.fit_gwr(d, "z", ["w", "u"], b, adaptive, max_train=m).local().orderBy("row_id").toPandas() for m in (n, n - 1))
+        assert np.allclose(np.stack(sent["beta"]), np.stack(joined["beta"])) and np.allclose(sent["hat"], joined["hat"]) and len(joined) == n
+
+
+def test_local_lines_by_blocks_equal_those_of_pairs(spark):
+    from terrastat.operators import models as G
+
+    rng = np.random.default_rng(9)
+    v = np.column_stack([rng.random((150, 2)) * 3, rng.normal(size=(150, 2))])
+    d = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(v)], "row_id long, x double, y double, u double, z double")
+    d2 = ((v[:, None, :2] - v[None, :, :2]) ** 2).sum(2)
+    for kernel in ("bisquare", "exponential", "boxcar"):
+        out = G.gwr_one_predictor(d, "z", "u", 1.3, kernel)
+        assert not [n for n in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "sqrt" in n.lower()]  # no pairs as rows
+        w, x = G.kernel_values(np.sqrt(d2), 1.3, kernel), np.column_stack([np.ones(150), v[:, 2]])
+        for r in out.collect():
+            beta = np.linalg.solve(x.T @ (w[r.row_id][:, None] * x), x.T @ (w[r.row_id] * v[:, 3]))
+            assert np.allclose([r.intercept, r.slope], beta)
+
+
+def test_pairs_and_measures_are_dealt(spark):
+    from terrastat.operators.joins import distance_join
+    from terrastat.plans import registry
+
+    p = spark.range(400).select(F.col("id").alias("row_id"), (F.col("id") % 20).cast("double").alias("x"), F.floor(F.col("id") / 20).cast("double").alias("y")).coalesce(1)
+    near = distance_join(p, p, 1.0)
+    assert near.count() == 400 + 4 * 20 * 19 and near.rdd.getNumPartitions() > 4
+    assert registry.polygon_measures(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 4
+
+
+def test_subsets_of_large_cells_and_layers_as_in_their_sql(spark, tmp_path):
+    """More points than the subsets hold: 600 a cell, 1,500 in a layer."""
+    import duckdb
+
+    from terrastat.plans import oracle, registry
+
+    con = duckdb.connect()
+    con.execute(f"copy (select i as c_custkey, 'c' as c_name, (i % 2)::int as c_nationkey, (i * 37 % 1000)::double as c_acctbal from range(1, 1201) t(i)) to '{tmp_path}/customer.parquet'")
+    con.execute(f"copy (select i as vec_id, [(i * 7919 % 1009) / 2000, (i * 104729 % 997) / 2000, 0.1, 0.2, 0.3, 0.4]::float[] as embedding, 1 as label from range(1, 1501) t(i)) to '{tmp_path}/embeddings.parquet'")
+    for t in ("customer", "embeddings"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    for name in ("cell_variogram_deff", "cell_summary_variogram", "gp_basis"):
+        got = registry.queries()[name](spark, str(tmp_path))
+        want = con.execute(oracle.oracle_sql()[name]).fetchdf()[got.columns].sort_values(got.columns[0]).to_numpy(float)
+        assert np.allclose(got.toPandas().sort_values(got.columns[0]).to_numpy(float), want, rtol=0, atol=2e-6), name
