@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import edges_of, shoelace
 from .dealing import dealt
 from .tessellate import CELL
 
@@ -455,37 +456,98 @@ def clip_cells(cells: DataFrame, boundary: list) -> DataFrame:
     return dealt(cells.select("cell_id", *packed(F.col("rings")))).mapInPandas(run, CELL)
 
 
+def _uncovered(shapes: list) -> list:
+    """Shapes without those whose box lies in a larger convex one: their union is the same."""
+    shapes = [s for s in shapes if s]
+    box = np.array([[*np.vstack(s).min(0), *np.vstack(s).max(0)] for s in shapes]).reshape(-1, 4)
+    size = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
+    gone, out = np.zeros(len(shapes), bool), []
+    for k in np.argsort(-size, kind="stable"):
+        if gone[k]:
+            continue
+        out.append(shapes[k])
+        ring = convex(shapes[k])
+        if ring is None:
+            continue
+        inside = ~gone
+        inside[k] = False
+        ax, ay = ring[-1]
+        for bx, by in ring:
+            dx, dy = bx - ax, by - ay
+            least = np.minimum(dx * (box[:, 1] - ay), dx * (box[:, 3] - ay)) - np.maximum(dy * (box[:, 0] - ax), dy * (box[:, 2] - ax))
+            inside &= least >= 0
+            ax, ay = bx, by
+        gone |= inside
+    return out
+
+
 def dissolve(features: DataFrame, by: str | None = None, tile: float | None = None) -> DataFrame:
     """``by, rings`` and boxes: the union of the features (``rings`` and boxes) of each group, or of all.
 
     Features are dealt over square tiles that they touch, cut to them and united there, so that a group's unions run
-    in many tasks; the second union only dissolves the seams.  ``tile`` is by default four times the features' mean side.
+    in many tasks; tiles are joined by eights along both axes, and then dissolve the seams.  A tile that one feature covers is
+    whole, whatever else touches it.  ``tile`` is by default the side of about 16 features' share of a group's extent, between half
+    of and four times the features' mean side: the deeper features lie on each other, the more tiles are whole.
     A group's result is one row, as large as its outline.
     """
     key = by or "__all"
     rows = features if by else features.withColumn(key, F.lit(1))
     rows = rows.where("xmin is not null").select(key, "rings", "xmin", "ymin", "xmax", "ymax")
     if tile is None:
-        tile = 4 * (rows.agg(F.avg(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")))).first()[0] or 0.25)
+        side, n, groups, width, height = rows.agg(
+            F.avg(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))), F.count(F.lit(1)), F.count_distinct(F.coalesce(F.col(key).cast("string"), F.lit(""))),
+            F.max("xmax") - F.min("xmin"), F.max("ymax") - F.min("ymin"),
+        ).first()
+        side = side or 0.25
+        tile = min(4 * side, max(side / 2, math.sqrt(16 * max(groups, 1) * (width or 1.0) * (height or 1.0) / max(n, 1))))
     for axis in "xy":
         rows = rows.withColumn(f"__t{axis}", F.explode(F.sequence(F.floor(F.col(f"{axis}min") / tile), F.floor(F.col(f"{axis}max") / tile))))
     kind = features.schema[by].dataType.simpleString() if by else "int"
-    schema = f"`{key}` {kind}, rings {RINGS}, xmin double, ymin double, xmax double, ymax double"
+    at = [key, "__tx", "__ty"]
+    schema = f"`{key}` {kind}, __tx long, __ty long, rings {RINGS}, xmin double, ymin double, xmax double, ymax double"
 
     def united(frame, cut: bool):
+        tx, ty = (int(frame[c].iloc[0]) for c in ("__tx", "__ty"))
         shapes = [unpacked(xy, n) for xy, n in zip(frame["xy"], frame["sizes"], strict=True)]
         if cut:
-            x, y = frame["__tx"].iloc[0] * tile, frame["__ty"].iloc[0] * tile
-            square = [np.array([[x, y], [x + tile, y], [x + tile, y + tile], [x, y + tile]])]
-            shapes = [overlay(s, square) for s in shapes]
-        while len(shapes) > 1:  # pairs first: edges inside go before they meet all others
+            x0, y0, x1, y1 = tx * tile, ty * tile, (tx + 1) * tile, (ty + 1) * tile
+            square = [[x0, y0], [x1, y0], [x1, y1], [x0, y1]]
+            # what is cut off runs along the square's rim, which no inside depends on
+            shapes = _uncovered([[np.array(r) for r in (common_convex(r.tolist(), square) for r in s) if len(r) > 2] for s in shapes])
+        while len(shapes) > 1:  # few first: edges inside go before they meet all others
             shapes = [union_all(shapes[k : k + 8]) for k in range(0, len(shapes), 8)]
         rings = make_valid(shapes[0]) if shapes else []
+        row = {key: frame[key].iloc[0], "__tx": tx, "__ty": ty, "rings": structs(rings)}
         flat = np.vstack(rings) if rings else None
-        row = {key: frame[key].iloc[0], "rings": structs(rings)}
         row |= dict(zip(("xmin", "ymin", "xmax", "ymax"), [*flat.min(0), *flat.max(0)] if rings else [None] * 4))
         return pd.DataFrame([row]) if rings else pd.DataFrame(columns=list(row))
 
-    tiles = rows.select(key, "__tx", "__ty", *packed(F.col("rings"))).groupBy(key, "__tx", "__ty").applyInPandas(lambda f: united(f, True), schema)
-    out = tiles.select(key, *packed(F.col("rings"))).groupBy(key).applyInPandas(lambda f: united(f, False), schema)
+    edge = [F.col("__tx") * tile, F.col("__ty") * tile, (F.col("__tx") + 1) * tile, (F.col("__ty") + 1) * tile]
+    marked = rows.withColumn("__whole", _covers(F.col("rings"), *edge))
+    whole = dealt(marked.where("__whole").select(*at).distinct(), *at)
+    open_ = dealt(marked.where("not __whole").select(*at, *packed(F.col("rings"))), *at).alias("a")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in at]
+    tiles = open_.join(whole.alias("b"), same, "left_anti").groupBy(*at).applyInPandas(lambda f: united(f, True), schema)
+    corner = [F.struct(edge[i].alias("x"), edge[j].alias("y")) for i, j in ((0, 1), (2, 1), (2, 3), (0, 3))]
+    out = tiles.select(*at, *packed(F.col("rings"))).unionByName(whole.select(*at, *packed(F.array(F.array(*corner)))))
+    for eights in (True, False):
+        up = [(F.floor(F.col(c) / 8) if eights else F.lit(0)).cast("long").alias(c) for c in ("__tx", "__ty")]
+        out = dealt(out.select(key, *up, "xy", "sizes"), *at).groupBy(*at).applyInPandas(lambda f: united(f, False), schema)
+        if eights:
+            out = out.select(*at, *packed(F.col("rings")))
+    out = out.drop("__tx", "__ty")
     return out if by else out.drop(key)
+
+
+def _covers(rings: Column, x0, y0, x1, y1) -> Column:
+    """Whether a geometry of one ring of at most four corners holds a box: the box lies on one side of all its edges, around
+    which so few can wind only once."""
+    across = lambda e: (e["bx"] - e["ax"], e["by"] - e["ay"])
+
+    def least(e, sign):
+        dx, dy = across(e)
+        return F.least(sign * dx * (y0 - e["ay"]), sign * dx * (y1 - e["ay"])) - F.greatest(sign * dy * (x0 - e["ax"]), sign * dy * (x1 - e["ax"]))
+
+    e = edges_of(rings)
+    few = (F.size(rings) == 1) & (F.size(F.get(rings, F.lit(0))).between(3, 4)) & (x1 > x0)
+    return F.coalesce(few & (F.abs(shoelace(rings)) > 0) & (F.forall(e, lambda s: least(s, F.lit(1)) >= 0) | F.forall(e, lambda s: least(s, F.lit(-1)) >= 0)), F.lit(False))
