@@ -10,11 +10,14 @@ import logging
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hash_order, squared_distance
-from .joins import distance_join, global_rank, knn_join
+from .dealing import dealt, tasks_of
+from .joins import all_pairs, distance_join, global_rank, knn_join
 from .lineage import cut_lineage
 
 log = logging.getLogger("terrastat")
@@ -179,22 +182,71 @@ def nndm_folds(points: DataFrame, prediction: DataFrame, seed: int = 123, draw=N
     a = a.withColumns({"__bx": place("xi", F.col("__s")) + F.col("__dx"), "__by": place("yi", F.col("__s")) + F.col("__dy")}).drop("__dx", "__dy")
     b = points.select(F.col("row_id").alias("j"), "x", "y", F.explode(F.array(*[F.lit(s) for s in sizes]).cast("array<int>")).alias("__s"))
     b = b.withColumns({"__bx": place("x", F.col("__s")), "__by": place("y", F.col("__s"))})
-    order = Window.partitionBy("i").orderBy("d", "j")
     near = a.join(b, ["__s", "__bx", "__by"]).where("i <> j").withColumn("d", F.sqrt(squared_distance("xi", "yi", "x", "y"))).where("d <= 2 * radius")
-    near = cut_lineage(near.select("i", "j", "d", "radius"))
-    alone = cut_lineage(points.join(near.select(F.col("i").alias("row_id")).distinct(), "row_id", "left_anti").select("row_id", "x", "y"))
+    placed = points.select(F.col("row_id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi")).join(radius, "i")
+    best = cut_lineage(_closest_to_radius(placed, points))
+    alone = cut_lineage(points.join(best.select(F.col("i").alias("row_id")), "row_id", "left_anti").select("row_id", "x", "y"))
+    cut = best.select("i", "radius", F.col("m.d").alias("d"), F.col("m.j").alias("j"), ((F.col("n_near") == n - 1) & (F.col("m.d") == F.col("far"))).alias("__last"))
+    # the last of all others may not be it: two rows stay
+    last = cut.where("__last").select("i", "radius", F.struct("d", "j").alias("__m")).join(placed.select("i", "xi", "yi"), "i")
+    before = all_pairs(last, points.select("row_id", "x", "y")).where("i <> row_id").select("i", "radius", "__m", F.struct(F.sqrt(squared_distance("xi", "yi", "x", "y")).alias("d"), F.col("row_id").alias("j")).alias("o"))
+    before = before.groupBy("i").agg(F.first("radius").alias("radius"), F.first("__m").alias("__m"), F.max("o").alias("top"), F.max(F.when(F.col("o") < F.col("__m"), F.col("o"))).alias("lower"))
+    before = before.select("i", "radius", F.when((F.col("top") == F.col("__m")) & F.col("lower").isNotNull(), F.col("lower")).otherwise(F.col("__m")).alias("m"))
+    chosen = cut.where("not __last").select("i", "radius", "d", "j").unionByName(before.select("i", "radius", F.col("m.d").alias("d"), F.col("m.j").alias("j")))
     if alone.limit(1).count():
-        near = near.unionByName(knn_join(alone, points, 1, exclude_self=True).select("i", "j", "d").join(radius, "i"))
-    pairs = near.withColumn("rank", F.row_number().over(order))
-    pairs = cut_lineage(pairs)
-    cut = pairs.groupBy("i").agg(F.min(F.struct(F.abs(F.col("d") - F.col("radius")).alias("gap"), "rank")).alias("m"), F.first("radius").alias("radius"))
-    cut = cut.select("i", "radius", F.when(F.col("m.rank") > n - 2, F.greatest(F.lit(1), F.lit(n - 2))).otherwise(F.col("m.rank")).alias("cut"))
-    out = pairs.drop("radius").join(cut, "i")
-    realised = out.where("rank = cut").select("i", "radius", "cut", F.col("d").alias("realised"))
-    excluded = out.where("rank < cut").select(F.col("i").alias("fold"), F.col("j").alias("row_id"))
+        chosen = chosen.unionByName(knn_join(alone, points, 1, exclude_self=True).select("i", "j", "d").join(radius, "i").select("i", "radius", "d", "j"))
+    realised = chosen.select("i", "radius", F.col("d").alias("realised"))
+    end = chosen.select("i", F.struct("d", "j").alias("__end"))
+    excluded = near.select("i", "j", "d").join(end, "i").where(F.struct("d", "j") < F.col("__end")).select(F.col("i").alias("fold"), F.col("j").alias("row_id"))
     return Folds("nndm", n, points.select("row_id", F.col("row_id").alias("fold")), excluded, {"realised": realised})
 
 
+def _closest_to_radius(placed: DataFrame, points: DataFrame) -> DataFrame:
+    """``i, radius, m, n_near, far`` of rows (``i, xi, yi, radius``) with others within twice their radius: of those the one closest to the
+    radius (``gap, d, j``; ties by distance and id), how many they are and the farthest of them.  Rows are dealt into blocks that
+    meet each other in tasks; only a block's best leave it, not its pairs."""
+    blocks = math.ceil(math.sqrt(2 * tasks_of(points.sparkSession)))
+    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    left = placed.select("i", "xi", "yi", "radius", part("i").alias("__l"), each.alias("__r"))
+    right = points.select(F.col("row_id").alias("j"), "x", "y", part("row_id").alias("__r"), each.alias("__l"))
+
+    def run(a, b):
+        # rows of like radii and places together, so that their neighbours' x span little
+        a = a.assign(__s=np.ceil(np.log2(np.maximum(a["radius"], 1e-12)))).sort_values(["__s", "xi"], kind="stable")
+        b = b.sort_values("x", kind="stable")
+        i, ax, ay, r = a["i"].to_numpy(np.int64), a["xi"].to_numpy(float), a["yi"].to_numpy(float), a["radius"].to_numpy(float)
+        j, bx, by = b["j"].to_numpy(np.int64), b["x"].to_numpy(float), b["y"].to_numpy(float)
+        out = []
+        for at in range(0, len(a), 16):
+            part = slice(at, at + 16)
+            x, y, reach = ax[part, None], ay[part, None], r[part, None]
+            most = 2 * reach.max() * (1 + 1e-12)
+            low, high = np.searchsorted(bx, x.min() - most, "left"), np.searchsorted(bx, x.max() + most, "right")
+            for k in range(low, high, 4096):
+                to = min(k + 4096, high)
+                dx, dy = x - bx[k:to], y - by[k:to]
+                d = np.sqrt(dx * dx + dy * dy)
+                met = (d <= 2 * reach) & (i[part, None] != j[k:to])
+                gap = np.where(met, np.abs(d - reach), np.inf)
+                least = gap.min(1)
+                p, q = np.nonzero((gap == least[:, None]) & met)
+                if not len(p):
+                    continue
+                order = np.lexsort((j[k:to][q], d[p, q], p))
+                p, q = p[order], q[order]
+                first = np.r_[True, p[1:] != p[:-1]]
+                p, q = p[first], q[first]
+                out.append((i[part][p], r[part][p], least[p], d[p, q], j[k:to][q], met.sum(1)[p], np.where(met, d, -1.0).max(1)[p]))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0)] * 7
+        return pd.DataFrame(dict(zip(("i", "radius", "gap", "d", "j", "n", "far"), columns)))
+
+    keys = ("__l", "__r")
+    a, b = (dealt(side, *keys).groupBy(*keys) for side in (left, right))
+    found = a.cogroup(b).applyInPandas(run, "i long, radius double, gap double, d double, j long, n long, far double")
+    return found.groupBy("i").agg(F.first("radius").alias("radius"), F.min(F.struct("gap", "d", "j")).alias("m"), F.sum("n").alias("n_near"), F.max("far").alias("far"))
+
+
 def make_folds(points: DataFrame, k: int | None = None, method: str = "block_kfold", seed: int = 123, **options) -> Folds:
     """Dispatch by method: random_kfold, block_kfold, buffered_loo, leave_location_out, nndm."""
     if method == "random_kfold":

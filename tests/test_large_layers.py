@@ -142,3 +142,21 @@ def test_subsets_of_large_cells_and_layers_as_in_their_sql(spark, tmp_path):
         got = registry.queries()[name](spark, str(tmp_path))
         want = con.execute(oracle.oracle_sql()[name]).fetchdf()[got.columns].sort_values(got.columns[0]).to_numpy(float)
         assert np.allclose(got.toPandas().sort_values(got.columns[0]).to_numpy(float), want, rtol=0, atol=2e-6), name
+
+
+def test_matched_folds_rank_no_pairs(spark):
+    """The neighbour closest to each radius without its pairs leaving their tasks; where it is the last of all, the one before."""
+    from terrastat.operators.folds import nndm_folds
+
+    rng = np.random.default_rng(4)
+    xy = rng.random((40, 2)) * 10
+    p = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(xy)], "row_id long, x double, y double")
+    far = spark.createDataFrame([(0, 40.0, 40.0), (1, 5.0, 5.0)], "row_id long, x double, y double")
+    f = nndm_folds(p, far)
+    assert "Window" not in f.params["realised"]._jdf.queryExecution().optimizedPlan().toString()
+    gone = {r["fold"]: r["n"] for r in f.excluded.groupBy("fold").agg(F.count("row_id").alias("n")).collect()}
+    d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(2))
+    for r in f.params["realised"].collect():
+        others = np.sort(np.delete(d[r.i], r.i))
+        k = min(int(np.argmin(np.abs(others - r.radius))), 37)
+        assert np.isclose(r.realised, others[k]) and gone.get(r.i, 0) == k
