@@ -103,6 +103,25 @@ class _Boxes:
         """The block where each point's place on the curve falls."""
         return np.maximum(np.searchsorted(self.starts, z, "right") - 1, 0)
 
+    @staticmethod
+    def farthest2(x, y, box):
+        dx = np.maximum(np.abs(x - box[..., 0]), np.abs(x - box[..., 1]))
+        dy = np.maximum(np.abs(y - box[..., 2]), np.abs(y - box[..., 3]))
+        return dx * dx + dy * dy
+
+    def surest(self, x, y) -> np.ndarray:
+        """The block whose farthest corner is nearest to each point: something lies no farther than that."""
+        best = np.zeros(len(x), int)
+        for at in range(0, len(x), 256):
+            part = slice(at, at + 256)
+            r2 = self.farthest2(x[part, None], y[part, None], self.runs).min(1)
+            p, block = self.within(x[part], y[part], r2)
+            far = self.farthest2(x[part][p], y[part][p], self.boxes.reshape(-1, 4)[block])
+            order = np.lexsort((block, far, p))
+            first = order[np.r_[True, np.diff(p[order]) > 0]]
+            best[p[first] + at] = block[first]
+        return best
+
     def within(self, x, y, r2) -> tuple[np.ndarray, np.ndarray]:
         """(point, block) of all blocks no farther than the points' radii."""
         p, run = np.nonzero(self.distance2(x[:, None], y[:, None], self.runs) <= r2[:, None])
@@ -115,14 +134,36 @@ class _Boxes:
         return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int))
 
 
+def spread_crowds(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``__part`` beside their block: a block that many left rows visit is copied to as many tasks as they fill."""
+    crowds = left.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("__parts"))
+    crowds = cut_lineage(crowds.where("__parts > 1"))  # none, as a rule
+    dealt = left.join(F.broadcast(crowds), "block", "left").withColumn("__part", F.pmod(F.xxhash64(key), F.coalesce("__parts", F.lit(1)))).drop("__parts")
+    copies = right.join(F.broadcast(crowds), "block", "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__parts", F.lit(1)) - F.lit(1).cast("long")))).drop("__parts")
+    return dealt, copies
+
+
+def blocked(rows: DataFrame, xs: list[str], ys: list[str], *ids: str) -> tuple[DataFrame, _Boxes]:
+    """``rows`` with their ``block``, as many in each, along a Z-order of the means of ``xs`` and ``ys``; and the blocks' boxes
+    (at most ``MAX_BLOCKS``), which hold all these columns."""
+    from .joins import global_rank
+
+    low = [F.least(*c) if len(c) > 1 else F.col(c[0]) for c in (xs, ys)]
+    high = [F.greatest(*c) if len(c) > 1 else F.col(c[0]) for c in (xs, ys)]
+    *box, m = rows.agg(F.min(low[0]), F.max(high[0]), F.min(low[1]), F.max(high[1]), F.count(F.lit(1))).first()
+    size = max(BLOCK_ROWS, -(-m // MAX_BLOCKS))
+    place = z_order((low[0] + high[0]) / 2, (low[1] + high[1]) / 2, box)
+    ranked = global_rank(rows.withColumn("__z", place), "__z", *ids, name="__rank")
+    out = cut_lineage(ranked.withColumn("block", F.least(F.floor(F.col("__rank") / size), F.lit(max(0, m // size - 1))).cast("int")).drop("__rank"))
+    found = out.groupBy("block").agg(F.min(low[0]), F.max(high[0]), F.min(low[1]), F.max(high[1]), F.min("__z").alias("z")).toPandas().sort_values("block")
+    return out.drop("__z"), _Boxes(found.iloc[:, 1:5].to_numpy(float), found["z"].to_numpy(np.int64))
+
+
 def _visit(left: DataFrame, right: DataFrame, k: int, exclude_self: bool, tasks: int) -> DataFrame:
     """``FOUND`` of left rows (``i, xi, yi, home, block, r2``) in their blocks.  A block that many left rows visit is copied
     to as many tasks as they fill.  The number of tasks is given: rows are few bytes for the work they are, so by their size they
     would be joined into few tasks."""
-    crowds = left.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("__parts"))
-    crowds = cut_lineage(crowds.where("__parts > 1"))  # none, as a rule
-    dealt = left.join(F.broadcast(crowds), "block", "left").withColumn("__part", F.pmod(F.xxhash64("i"), F.coalesce("__parts", F.lit(1)))).drop("__parts")
-    copies = right.join(F.broadcast(crowds), "block", "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__parts", F.lit(1)) - F.lit(1).cast("long")))).drop("__parts")
+    dealt, copies = spread_crowds(left, right, "i")
 
     def run(a, b):
         i, xi, yi = a["i"].to_numpy(np.int64), a["xi"].to_numpy(float), a["yi"].to_numpy(float)

@@ -110,16 +110,16 @@ def _cut(ring: np.ndarray, me: np.ndarray, other: np.ndarray) -> np.ndarray:
     return clip_ring(ring - me, diff[0], diff[1], (diff @ diff) / 2) + me
 
 
-def voronoi_cells(seeds: DataFrame, boundary: np.ndarray, max_sent: int = 50_000, first: int = 16) -> DataFrame:
+def voronoi_cells(seeds: DataFrame, boundary: np.ndarray, max_sent: int = 50_000, first: int = 32) -> DataFrame:
     """Cells of ``row_id, x, y`` seeds inside a convex boundary, ``cell_id`` = seed id; seeds are distinct places.
 
     Up to ``max_sent`` seeds are broadcast, and each cell is the boundary cut by bisectors of ever farther seeds until
-    none can reach it.  More seeds stay distributed: cells are cut by their ``first`` nearest neighbours, then by
-    the seed nearest to any corner, as long as that is nearer than the cell's own.
+    none can reach it.  More seeds stay distributed, in blocks; cells are cut by their ``first`` nearest neighbours there,
+    then by seeds of the other blocks that may reach them.
     """
     n = seeds.count()
     if n > max_sent:
-        return _voronoi_by_corners(seeds.select("row_id", "x", "y"), boundary, first)
+        return _voronoi_by_blocks(seeds.select("row_id", "x", "y"), boundary, first)
     rows = [(r["row_id"], r["x"], r["y"]) for r in seeds.select("row_id", "x", "y").collect()]
     sent = seeds.sparkSession.sparkContext.broadcast(np.array([[x, y] for _, x, y in rows], float).reshape(-1, 2))
 
@@ -143,55 +143,203 @@ def voronoi_cells(seeds: DataFrame, boundary: np.ndarray, max_sent: int = 50_000
     return seeds.select("row_id", "x", "y").repartition(max(1, min(64, n // 200 + 1))).mapInPandas(run, CELL)
 
 
-_OPEN = "row_id long, x double, y double, ring array<double>"
+def _padded(rows) -> tuple[np.ndarray, np.ndarray]:
+    """((rows, most, 2), counts) of flat lists of coordinates."""
+    n = np.array([len(r) // 2 for r in rows], int)
+    out = np.zeros((len(n), max(1, n.max(initial=0)), 2))
+    if n.sum():
+        out[np.arange(out.shape[1]) < n[:, None]] = np.concatenate([np.asarray(r, float) for r in rows if len(r)]).reshape(-1, 2)
+    return out, n
+
+
+def _radius2(rings: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.where(np.arange(rings.shape[1]) < n[:, None], np.square(rings).sum(2), 0.0).max(1)
+
+
+def _cut_rings(rings: np.ndarray, n: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``clip_ring`` for many rings at once, each around its own seed: the parts no farther from it than from ``other``."""
+    at = np.arange(rings.shape[1])
+    live = at < n[:, None]
+    v = (rings * other[:, None]).sum(2) - (np.square(other).sum(1) / 2)[:, None]
+    after = np.where(at + 1 < n[:, None], at + 1, 0)
+    w, q = np.take_along_axis(v, after, 1), np.take_along_axis(rings, after[:, :, None], 1)
+    keep = np.zeros((len(n), len(at), 2), bool)
+    keep[:, :, 0], keep[:, :, 1] = live & (v <= 0), live & (v * w < 0)
+    cross = keep[:, :, 1]
+    both = np.zeros((len(n), len(at), 2, 2))
+    both[:, :, 0] = rings
+    both[:, :, 1][cross] = rings[cross] + (q[cross] - rings[cross]) * (v[cross] / (v[cross] - w[cross]))[:, None]
+    keep, size = keep.reshape(len(n), -1), keep.sum((1, 2))
+    out = np.zeros((len(n), max(1, size.max(initial=0)), 2))
+    out[np.arange(out.shape[1]) < size[:, None]] = both.reshape(len(n), -1, 2)[keep]
+    return out, size
+
+
+def _cut_nearest(rings: np.ndarray, n: np.ndarray, others: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rings, corners, which cut): rings around their seeds cut by ``many`` others each, sorted by distance, until none can reach."""
+    used = np.zeros(others.shape[:2], bool)
+    d2, r2 = np.square(others).sum(2), _radius2(rings, n)
+    for k in range(others.shape[1]):
+        rows = np.flatnonzero((k < many) & (d2[:, k] <= 4 * r2))
+        if not len(rows):
+            break
+        part = rings[rows]
+        reached = ((part * others[rows, k][:, None]).sum(2) > (d2[rows, k] / 2)[:, None]) & (np.arange(part.shape[1]) < n[rows][:, None])
+        rows = rows[reached.any(1)]
+        if not len(rows):
+            continue
+        cut, size = _cut_rings(rings[rows], n[rows], others[rows, k])
+        if cut.shape[1] > rings.shape[1]:
+            rings = np.pad(rings, ((0, 0), (0, cut.shape[1] - rings.shape[1]), (0, 0)))
+        rings[rows, : cut.shape[1]], n[rows], used[rows, k] = cut, size, True
+        r2[rows] = _radius2(cut, size)
+    return rings, n, used
 
 
-def _voronoi_by_corners(seeds: DataFrame, boundary: np.ndarray, first: int) -> DataFrame:
-    """A cell is right when no seed is nearer to one of its corners than its own: nearest-seed joins over the corners
-    of cells that changed, each round's cells written out."""
-    from .joins import knn_join, nearest_join
-    from .lineage import cut_lineage
+def _flat(rings: np.ndarray, n: np.ndarray) -> list:
+    return [r[:k].ravel() for r, k in zip(rings, n, strict=True)]
+
 
-    places = seeds.select(F.col("row_id").alias("j"), F.col("x").alias("__x"), F.col("y").alias("__y"))
+_STATE = "row_id long, x double, y double, home int, ring array<double>, q2 double, open boolean"
+_VISIT = "row_id long, x double, y double, ring array<double>, block int"
+
+
+def _voronoi_by_blocks(seeds: DataFrame, boundary: np.ndarray, first: int) -> DataFrame:
+    """Seeds are packed into blocks of equally many rows.  A cell is cut by its ``first`` nearest seeds of its own block, then
+    by those of other blocks that are no farther.  A seed that cuts a cell is nearer to one of its corners than the cell's
+    own: cells that wider seeds may reach meet the blocks about their corners twice, and last all blocks that hold a place
+    nearer to a corner than its seed.  Rings are kept relative to their seeds; the number of rounds is fixed."""
+    from .dealing import dealt, tasks_of
+    from .lineage import cut_lineage
+    from .neighbours import CELLS, blocked, spread_crowds
+
+    spark = seeds.sparkSession
+    places, boxes = blocked(seeds, ["x"], ["y"], "x", "y", "row_id")
+    sent, tasks = spark.sparkContext.broadcast(boxes), tasks_of(spark)
+
+    def near(me, home, rings, n, q2):
+        """(row, block) of the other blocks within the rows' reach that hold a place nearer to a corner than its seed."""
+        b = sent.value
+        p, block = b.within(me[:, 0], me[:, 1], q2)
+        keep = block != home[p]
+        p, block = p[keep], block[keep]
+        box = b.boxes.reshape(-1, 4)[block]
+        met = np.zeros(len(p), bool)
+        for k in range(rings.shape[1]):
+            c = rings[p, k]
+            met |= (k < n[p]) & (b.distance2(me[p, 0] + c[:, 0], me[p, 1] + c[:, 1], box) <= np.square(c).sum(1) * (1 + 1e-9))
+        return p[met], block[met]
+
+    def own(f):
+        x, y, m = f["x"].to_numpy(float), f["y"].to_numpy(float), len(f)
+        out, step = [], max(1, CELLS // m)
+        for at in range(0, m, step):
+            part = slice(at, at + step)
+            me = np.column_stack([x[part], y[part]])
+            rel = np.stack([x - x[part, None], y - y[part, None]], 2)
+            d2 = np.square(rel).sum(2)
+            d2[d2 == 0] = np.inf
+            k = min(first, m)
+            order = np.argpartition(d2, k - 1, axis=1)[:, :k]
+            order = np.take_along_axis(order, np.argsort(np.take_along_axis(d2, order, 1), axis=1), 1)
+            d2 = np.take_along_axis(d2, order, 1)
+            n = np.full(len(me), len(boundary))
+            rings, n, _ = _cut_nearest(boundary - me[:, None], n, np.take_along_axis(rel, order[:, :, None], 1), np.isfinite(d2).sum(1))
+            reach = 4 * _radius2(rings, n)
+            q2 = np.minimum(reach, d2[:, -1])
+            home = np.full(len(me), f["block"].iloc[0])
+            open_ = reach > q2
+            open_[near(me, home, rings, n, q2)[0]] = True
+            out.append(pd.DataFrame({"row_id": f["row_id"].iloc[part].to_numpy(), "x": x[part], "y": y[part], "home": home, "ring": _flat(rings, n), "q2": q2, "open": open_}))
+        return pd.concat(out)
+
+    def visits(select):
+        def run(frames):
+            for f in frames:
+                for at in range(0, len(f), 1024):
+                    g = f.iloc[at : at + 1024]
+                    rings, n = _padded(g["ring"])
+                    p, block = select(g[["x", "y"]].to_numpy(float), g["home"].to_numpy(), rings, n, g["q2"].to_numpy(float))
+                    yield g.iloc[p][["row_id", "x", "y", "ring"]].assign(block=block)
+
+        return run
+
+    def about_corners(me, home, rings, n, q2):
+        p, k = np.nonzero(np.arange(rings.shape[1]) < n[:, None])
+        c = rings[p, k]
+        at = me[p] + c
+        block = sent.value.surest(at[:, 0], at[:, 1])
+        keep = sent.value.distance2(at[:, 0], at[:, 1], sent.value.boxes.reshape(-1, 4)[block]) <= np.square(c).sum(1)
+        pair = np.unique(np.column_stack([p[keep], block[keep]]), axis=0)
+        return pair[:, 0], pair[:, 1]
+
+    def all_corners(me, home, rings, n, q2):
+        p, k = np.nonzero(np.arange(rings.shape[1]) < n[:, None])
+        c = rings[p, k]
+        at = me[p] + c
+        c, block = sent.value.within(at[:, 0], at[:, 1], np.square(c).sum(1) * (1 + 1e-9))
+        pair = np.unique(np.column_stack([p[c], block]), axis=0)
+        return pair[:, 0], pair[:, 1]
+
+    def cutting(a, b):
+        """The seeds of a block that cut the cells that visit it, relative to the cells' own."""
+        out = []
+        if len(a) and len(b):
+            xy, step = b[["x", "y"]].to_numpy(float), max(1, CELLS // len(b))
+            for at in range(0, len(a), step):
+                g = a.iloc[at : at + step]
+                rings, n = _padded(g["ring"])
+                rel = xy - g[["x", "y"]].to_numpy(float)[:, None]
+                d2 = np.square(rel).sum(2)
+                most = np.full(d2.shape, -np.inf)
+                for k in range(rings.shape[1]):
+                    np.maximum(most, (rel * rings[:, k, None]).sum(2), out=most, where=(k < n)[:, None])
+                d2[(most <= d2 / 2) | (d2 == 0)] = np.inf
+                many = np.isfinite(d2).sum(1)
+                order = np.argsort(d2, axis=1)[:, : max(1, many.max())]
+                rel = np.take_along_axis(rel, order[:, :, None], 1)
+                _, _, used = _cut_nearest(rings, n, rel, many)
+                hit = used.any(1)
+                if hit.any():
+                    out.append(pd.DataFrame({"row_id": g["row_id"].to_numpy()[hit], "others": [r[u].ravel() for r, u in zip(rel[hit], used[hit], strict=True)]}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["row_id", "others"], dtype=object)
 
     def shrunk(frames):
-        for f in frames:
-            out = []
-            for r in f.itertuples():
-                me = np.array([r.x, r.y])
-                ring = boundary if r.ring is None else np.array(r.ring).reshape(-1, 2)
-                for o in sorted(r.others, key=lambda o: math.hypot(o["x"] - r.x, o["y"] - r.y)):
-                    if len(ring):
-                        ring = _cut(ring, me, np.array([o["x"], o["y"]]))
-                out.append((r.row_id, r.x, r.y, ring.ravel().tolist()))
-            yield pd.DataFrame(out, columns=["row_id", "x", "y", "ring"])
-
-    def met(cells, pairs):
-        others = pairs.join(places, "j").groupBy("i").agg(F.collect_list(F.struct(F.col("__x").alias("x"), F.col("__y").alias("y"))).alias("others"))
-        return cells.join(others.withColumnRenamed("i", "row_id"), "row_id").mapInPandas(shrunk, _OPEN)
-
-    start = seeds.withColumn("ring", F.lit(None).cast("array<double>"))
-    todo = cut_lineage(met(start, knn_join(seeds, seeds, first, exclude_self=True).select("i", "j")))
-    done = None
-    while True:
-        corner = todo.select(F.col("row_id").alias("cell"), F.col("x").alias("sx"), F.col("y").alias("sy"), "ring").where(F.size("ring") > 0).withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.size("ring") / 2).cast("int") - 1)))
-        corner = corner.select("cell", "sx", "sy", F.get("ring", (2 * F.col("k")).cast("int")).alias("x"), F.get("ring", (2 * F.col("k") + 1).cast("int")).alias("y"))
-        corner = cut_lineage(corner.withColumn("row_id", F.monotonically_increasing_id()))
-        near = nearest_join(corner.select("row_id", "x", "y"), seeds).withColumnRenamed("i", "row_id").join(corner, "row_id")
-        own = F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"))
-        cutting = cut_lineage(near.where((F.col("j") != F.col("cell")) & (F.col("d") < own * (1 - 1e-9))).select(F.col("cell").alias("i"), "j").distinct())
-        right = todo.join(cutting.select(F.col("i").alias("row_id")).distinct(), "row_id", "left_anti")
-        done = right if done is None else done.unionByName(right)
-        if not cutting.limit(1).count():
-            break
-        todo = cut_lineage(met(todo, cutting))
+        for whole in frames:
+            for at in range(0, len(whole), 1024):
+                f = whole.iloc[at : at + 1024]
+                rings, n = _padded(f["ring"])
+                others, many = _padded([[] if o is None else o for o in f["others"]])
+                d2 = np.where(np.arange(others.shape[1]) < many[:, None], np.square(others).sum(2), np.inf)
+                rings, n, _ = _cut_nearest(rings, n, np.take_along_axis(others, np.argsort(d2, axis=1)[:, :, None], 1), many)
+                yield f[["row_id", "x", "y", "home"]].assign(ring=_flat(rings, n), q2=f["q2"], open=4 * _radius2(rings, n) > f["q2"])
+
+    def met(todo, select):
+        made = cut_lineage(dealt(todo, "row_id").mapInPandas(visits(select), _VISIT))
+        a, b = (side.repartition(tasks, "block", "__part").groupBy("block", "__part") for side in spread_crowds(made, places.select("x", "y", "block"), "row_id"))
+        found = dealt(a.cogroup(b).applyInPandas(cutting, "row_id long, others array<double>"), "row_id")
+        found = found.groupBy("row_id").agg(F.flatten(F.collect_list("others")).alias("others"))
+        return cut_lineage(dealt(todo, "row_id").join(found, "row_id", "left").mapInPandas(shrunk, _STATE))
+
+    state = cut_lineage(places.repartition(tasks, "block").groupBy("block").applyInPandas(own, _STATE))
+    done = [state.where("not open")]
+    state = met(state.where("open"), near)
+    done.append(state.where("not open"))
+    state = state.where("open")
+    if state.limit(1).count():
+        for select in (about_corners, about_corners, all_corners):
+            state = met(state, select)
+        done.append(state)
 
     def rows(frames):
         for f in frames:
-            rings = [np.array(r).reshape(-1, 2) for r in f["ring"]]
+            rings = [np.asarray(r).reshape(-1, 2) + (x, y) for r, x, y in zip(f["ring"], f["x"], f["y"], strict=True)]
             yield pd.DataFrame([_cell_row(i, r) for i, r in zip(f["row_id"], rings, strict=True) if len(r) >= 3], columns=["cell_id", "rings", "xmin", "ymin", "xmax", "ymax"])
 
-    return done.select("row_id", "ring").mapInPandas(rows, CELL)
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return dealt(out.select("row_id", "x", "y", "ring")).mapInPandas(rows, CELL)
 
 
 def create_voronoi(points: DataFrame, boundary: list | None = None, expand: float = 0.0, clip: bool = True, keep_duplicates: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -160,3 +160,42 @@ def test_matched_folds_rank_no_pairs(spark):
         others = np.sort(np.delete(d[r.i], r.i))
         k = min(int(np.argmin(np.abs(others - r.radius))), 37)
         assert np.isclose(r.realised, others[k]) and gone.get(r.i, 0) == k
+
+
+def test_voronoi_cells_by_blocks_equal_sent_ones(spark):
+    from terrastat.functions.exprs import shoelace
+    from terrastat.operators import tessellate as T
+
+    rng = np.random.default_rng(3)
+    # two far clusters, a ring of points, a lattice: blocks of one cluster reach cells of the other
+    turn = np.linspace(0, 2 * np.pi, 300, endpoint=False)
+    xy = np.vstack([rng.normal(0, 1, (700, 2)), rng.normal(900, 2, (700, 2)), 400 + 90 * np.column_stack([np.cos(turn), np.sin(turn)]), np.stack(np.meshgrid(np.arange(20.0), 500 + np.arange(20.0)), 2).reshape(-1, 2)])
+    p = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "row_id long, x double, y double")
+    edge = np.array([[-100.0, -100.0], [1000.0, -100.0], [1000.0, 1000.0], [-100.0, 1000.0]])
+
+    def areas(**options):
+        return {r.cell_id: r.a for r in T.voronoi_cells(p, edge, **options).select("cell_id", shoelace("rings").alias("a")).collect()}
+
+    sent, blocks = areas(), areas(max_sent=0)
+    assert sent.keys() == blocks.keys() and all(np.isclose(sent[k], blocks[k], rtol=1e-7, atol=1e-7) for k in sent)
+    assert np.isclose(sum(blocks.values()), 1100.0**2)
+
+
+def test_points_far_from_all_cells_meet_few_edges(spark):
+    from terrastat.operators import joins as J
+
+    rng = np.random.default_rng(4)
+    low = np.vstack([rng.random((900, 2)) * [100, 10], rng.random((900, 2)) * [100, 10] + [0, 5000]])
+    cells = _boxes(spark, np.hstack([low, low + 0.5]).tolist()).withColumnRenamed("row_id", "cell_id")
+    xy = rng.random((200, 2)) * [200, 4000] + [-50, 500]
+    p = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "row_id long, x double, y double")
+    found = dict(J.nearest_polygon(p, cells).select("row_id", "cell_id").collect())
+    gap = np.maximum(np.maximum(low[None] - xy[:, None], xy[:, None] - low[None] - 0.5), 0)
+    assert found == dict(enumerate(np.hypot(gap[..., 0], gap[..., 1]).argmin(1).tolist()))
+    # a bin that covers such a point would hold all edges of both bands
+    tried = []
+    kept, J.grow_nearest = J.grow_nearest, lambda *a, **k: tried.append(a)
+    try:
+        assert J.nearest_polygon(p, cells).count() == 200 and not tried
+    finally:
+        J.grow_nearest = kept
