@@ -63,6 +63,11 @@ class Lattice:
         data = np.frombuffer(b"".join(pieces), np.uint8)
         ends = np.cumsum([len(p) for p in pieces])
         keys = hash_spans(data, ends - [len(p) for p in pieces], ends)
+        # most spans are no pieces: a small table of bits of the hash before it is mixed tells so
+        sums, down = running(data)
+        start = ends - [len(p) for p in pieces]
+        self.may = np.zeros(1 << 20, bool)
+        self.may[(((sums[ends] - sums[start]) * down[start]) >> np.uint64(44)).view(np.int64)] = True
         self.none, self.tables = len(pieces), []
         left, shift = np.arange(len(pieces)), 44
         while len(left):  # pieces that share a place in one table go to the next, smaller one, placed by other bits
@@ -76,38 +81,59 @@ class Lattice:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Piece numbers of span hashes; the number after the last piece where there is none."""
-        out = np.full(len(h), self.none, np.int32)
-        for shift, mask, held, number in self.tables:
-            at = ((h >> shift) & mask).view(np.int64)
-            np.copyto(out, number.take(at, mode="clip"), where=held.take(at, mode="clip") == h)
+        out, left = np.full(len(h), self.none, np.int32), slice(None)
+        for k, (shift, mask, held, number) in enumerate(self.tables):
+            if k:  # few are in no earlier table
+                left = np.flatnonzero(out == self.none)
+            some = h[left]
+            at = ((some >> shift) & mask).view(np.int64)
+            out[left] = np.where(held.take(at, mode="clip") == some, number.take(at, mode="clip"), self.none)
         return out
 
     def arcs(self, words: np.ndarray):
-        """(from, to, piece numbers) of all spans that are pieces of some word of the matrix."""
+        """(from, to, rows, piece numbers) of all spans that are pieces, by places in the words of the matrix."""
         n, size = words.shape
-        row = np.arange(n) * size
+        sums, down = running(np.ascontiguousarray(words).ravel())
+        at = [(sums[k::size][:n], down[k::size][:n]) for k in range(size)] + [(sums[size::size], None)]
         for to in range(1, size + 1):
             for length in self.lengths:
                 if length > to:
                     break
-                start = row + to - length
-                yield to - length, to, self.find(mix((self.run[row + to] - self.run[start]) * self.down[start]))
+                h = (at[to][0] - at[to - length][0]) * at[to - length][1]
+                rows = np.flatnonzero(self.may.take((h >> np.uint64(44)).view(np.int64)))
+                if not len(rows):
+                    continue
+                piece = self.find(mix(h[rows]))
+                found = piece != self.none
+                if found.any():
+                    yield to - length, to, rows[found], piece[found]
 
     def forward(self, words: np.ndarray, keep: list | None = None) -> np.ndarray:
         """(words, size + 1) log-probabilities of the prefixes."""
         alpha = np.full((words.shape[1] + 1, len(words)), -np.inf)
         alpha[0] = 0
-        self.run, self.down = running(np.ascontiguousarray(words).ravel())
-        for a, b, piece in self.arcs(words):
-            at = np.flatnonzero(piece != self.none)  # most spans of most words are no pieces
-            if len(at):
-                piece = piece[at]
-                with np.errstate(invalid="ignore"):
-                    alpha[b, at] = np.logaddexp(alpha[b, at], alpha[a, at] + self.logp[piece])
-                if keep is not None:
-                    keep.append((a, b, at, piece))
+        for a, b, at, piece in self.arcs(words):
+            with np.errstate(invalid="ignore"):
+                alpha[b, at] = np.logaddexp(alpha[b, at], alpha[a, at] + self.logp[piece])
+            if keep is not None:
+                keep.append((a, b, at, piece))
         return alpha
 
+    def total(self, words: np.ndarray) -> np.ndarray:
+        """Log-probabilities of the words; short ones by products, without logarithms on the way."""
+        n, size = words.shape
+        if size > SHORT:
+            return self.forward(words)[-1]
+        alpha = np.zeros((size + 1, n))
+        alpha[0] = 1
+        for a, b, at, piece in self.arcs(words):
+            alpha[b][at] += alpha[a].take(at) * self.scaled.take(piece, mode="clip")
+        low = alpha[-1] < 1e-200
+        out = np.log(np.where(low, 1.0, alpha[-1])) - SCALE * size
+        if low.any():
+            out[low] = self.forward(words[low])[-1]
+        return out
+
     def expected(self, words: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, float]:
         """(expected uses of each piece, log-likelihood) over the words, each counted ``weights`` times."""
         return self._expected_of_short(words, weights) if words.shape[1] <= SHORT else self._expected_in_logs(words, weights)
@@ -129,20 +155,21 @@ class Lattice:
     def _expected_of_short(self, words: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, float]:
         """The same by products of probabilities: no logarithms but for words whose products come near underflow."""
         n, size = words.shape
-        self.run, self.down = running(np.ascontiguousarray(words).ravel())
         alpha, beta, arcs = np.zeros((size + 1, n)), np.zeros((size + 1, n)), []
-        alpha[0], beta[-1] = 1, 1
-        for a, b, piece in self.arcs(words):
+        alpha[0] = 1
+        for a, b, at, piece in self.arcs(words):
             p = self.scaled.take(piece, mode="clip")
-            alpha[b] += alpha[a] * p
-            arcs.append((a, b, piece, p))
+            before = alpha[a].take(at) * p
+            alpha[b][at] += before
+            arcs.append((a, b, at, piece, p, before))
         low = alpha[-1] < 1e-200
-        share, out = np.where(low, 0.0, weights / np.where(low, 1.0, alpha[-1])), np.zeros(self.none + 1)
-        for a, b, piece, p in reversed(arcs):
-            p *= beta[b]
-            beta[a] += p
-            out += np.bincount(piece, p * alpha[a] * share, self.none + 1)
-        out, like = out[:-1], float((np.log(alpha[-1, ~low]) - SCALE * size) @ weights[~low])
+        beta[-1], uses = np.where(low, 0.0, weights / np.where(low, 1.0, alpha[-1])), []
+        for a, b, at, _, p, before in reversed(arcs):
+            after = beta[b].take(at)
+            beta[a][at] += p * after
+            uses.append(before * after)
+        out = np.bincount(np.concatenate([x[3] for x in reversed(arcs)]), np.concatenate(uses), self.none) if arcs else np.zeros(self.none)
+        like = float((np.log(alpha[-1, ~low]) - SCALE * size) @ weights[~low])
         if low.any():
             rest, more = self._expected_in_logs(words[low], weights[low])
             out, like = out + rest, like + more
@@ -258,7 +285,7 @@ def _score(sent):
                 def marginal(new, w=w, first=first):
                     out = np.empty(int(new.sum()))
                     for at, words in by_length(w.bytes, w.start[first[new]], w.end[first[new]]):
-                        out[at] = lattice.forward(words)[-1]
+                        out[at] = lattice.total(words)
                     return out
 
                 value = known.get(uniq, marginal)

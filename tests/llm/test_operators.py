@@ -646,3 +646,19 @@ def test_html_query_keeps_odd_rows(spark):
     d = spark.createDataFrame([(*r, "c", 7) for r in rows], "page_id long, url string, html string, text string, n_chars int")
     got = sorted((r.page_id or 0, r.n_chars, len(r.text)) for r in extract_text(d).collect())
     assert got == [(0, 0, 0), (1, 999_999, 999_999), (1, 999_999, 999_999), (2, 0, 0)]
+
+
+def test_lattice_looks_up_only_spans_that_may_be_pieces():
+    from terrastat.llm.lattice_lm import Lattice
+
+    pieces = [bytes([b]) for b in range(256)] + [b" ab", b"abc", b"bc", b" abcab"]
+    lattice = Lattice(pieces, np.log(np.full(len(pieces), 1 / len(pieces))))
+    words = np.frombuffer(b" abcabc xyzxyz abxabc", np.uint8).reshape(3, 7)
+    looked, find = [], lattice.find
+    lattice.find = lambda h: looked.append(len(h)) or find(h)
+    got = {(row, a, b): pieces[k] for a, b, rows, found in lattice.arcs(words) for row, k in zip(rows.tolist(), found.tolist(), strict=True)}
+    want = {(r, a, b): words[r, a:b].tobytes() for r in range(3) for a in range(7) for b in range(a + 1, 8) if words[r, a:b].tobytes() in pieces}
+    assert got == want and sum(looked) < 2 * len(want)
+    uses, like = lattice.expected(words, np.array([2.0, 1.0, 3.0]))
+    again, same = lattice._expected_in_logs(words, np.array([2.0, 1.0, 3.0]))
+    assert np.allclose(uses, again) and np.isclose(like, same)
