@@ -199,3 +199,18 @@ def test_points_far_from_all_cells_meet_few_edges(spark):
         assert J.nearest_polygon(p, cells).count() == 200 and not tried
     finally:
         J.grow_nearest = kept
+
+
+def test_trees_are_the_same_whether_orders_are_kept_or_sorted_anew(monkeypatch):
+    from terrastat.operators import models as G
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 3)).round(1)
+    y = x[:, 0] + rng.normal(size=900)
+    trees = []
+    for rows in (10**9, 256, 1):
+        monkeypatch.setattr(G, "SORTED_ROWS", rows)
+        trees.append(G._tree(x, y, np.random.default_rng(1), 2, 5))
+    assert len(trees[0][0]) > 100
+    for other in trees[1:]:
+        assert all(np.array_equal(a, b) for a, b in zip(trees[0], other, strict=True))
