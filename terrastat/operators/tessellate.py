@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -440,13 +441,25 @@ def clear_grid_cache() -> int:
 
 
 def kmeans_seeds(points: DataFrame, k: int, seed: int = 456, starts: int = 10, iterations: int = 50) -> DataFrame:
-    """``seed_id, x, y``: centres of the best of several k-means runs."""
+    """``seed_id, x, y``: centres of the best of several k-means runs.
+
+    Points of one place are one row with their number as its weight, dealt over all cores by their place: the runs do not
+    depend on the files' partitions, and a small file is not one task.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    v = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(points.select("x", "y")).persist()
-    fits = [KMeans(k=k, seed=seed + i, maxIter=iterations).fit(v) for i in range(starts)]
+    from .dealing import dealt
+
+    places = dealt(points.select("x", "y"), "x", "y").groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    # four tasks a core shorten the grouping; a pass of k-means is short work, for which one a core is enough
+    places = places.coalesce(points.sparkSession.sparkContext.defaultParallelism).sortWithinPartitions("x", "y")
+    v = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(places).select("features", "weight").persist()
+    v.count()
+    with ThreadPoolExecutor(4) as pool:  # a pass is a short job: the driver's share of some starts passes while others work
+        fits = list(pool.map(lambda i: KMeans(k=k, seed=seed + i, maxIter=iterations, weightCol="weight").fit(v), range(starts)))
     best = min(fits, key=lambda m: m.summary.trainingCost)
+    v.unpersist()
     rows = sorted(tuple(map(float, c)) for c in best.clusterCenters())
     return points.sparkSession.createDataFrame([(i + 1, x, y) for i, (x, y) in enumerate(rows)], "seed_id long, x double, y double")
 

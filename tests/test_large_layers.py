@@ -214,3 +214,13 @@ def test_trees_are_the_same_whether_orders_are_kept_or_sorted_anew(monkeypatch):
     assert len(trees[0][0]) > 100
     for other in trees[1:]:
         assert all(np.array_equal(a, b) for a, b in zip(trees[0], other, strict=True))
+
+
+def test_kmeans_seeds_do_not_depend_on_the_files_partitions(spark):
+    from terrastat.operators import tessellate as T
+
+    rng = np.random.default_rng(7)
+    xy = rng.integers(0, 60, (800, 2)).astype(float).tolist()
+    p = spark.createDataFrame([(i, *v) for i, v in enumerate(xy)], "row_id long, x double, y double")
+    one, many = ([tuple(r) for r in T.kmeans_seeds(q, 6, starts=2, iterations=3).collect()] for q in (p.coalesce(1), p.orderBy("y").repartition(7)))
+    assert one == many and len(one) == 6
