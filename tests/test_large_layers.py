@@ -224,3 +224,17 @@ def test_kmeans_seeds_do_not_depend_on_the_files_partitions(spark):
     p = spark.createDataFrame([(i, *v) for i, v in enumerate(xy)], "row_id long, x double, y double")
     one, many = ([tuple(r) for r in T.kmeans_seeds(q, 6, starts=2, iterations=3).collect()] for q in (p.coalesce(1), p.orderBy("y").repartition(7)))
     assert one == many and len(one) == 6
+
+
+def test_neighbours_in_features_are_dealt_by_bins(spark, monkeypatch):
+    from terrastat.operators import aoa as A
+    from terrastat.operators import joins as J
+
+    rng = np.random.default_rng(8)
+    z = rng.normal(size=(300, 2)).tolist()
+    p = spark.createDataFrame([(i, *v) for i, v in enumerate(z)], "row_id long, z0 double, z1 double")
+    dealt, keys = J.dealt, []
+    monkeypatch.setattr(J, "dealt", lambda df, *k: keys.append(k) or dealt(df, *k))
+    found = dict(A.nearest_in_features(p, p, 2, F.col("a.row_id") != F.col("b.row_id")).collect())
+    d = np.hypot(*(np.array(z)[:, None] - np.array(z)).transpose(2, 0, 1)) + np.diag(np.full(300, np.inf))
+    assert np.allclose([found[i] for i in range(300)], d.min(1)) and len(keys) >= 2 and set(keys) == {("__bx", "__by")}
