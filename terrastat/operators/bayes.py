@@ -166,20 +166,22 @@ def psis_loo(log_lik: DataFrame, r_eff: float = 1.0) -> DataFrame:
     """
 
     def run(frames):
-        for f in frames:
-            lik = [np.asarray(v, float) if v is not None else np.array([math.nan]) for v in f["log_lik"]]
-            out = np.full((len(f), 3), math.nan)
-            good = np.array([bool(len(v)) and bool(np.isfinite(v).all()) for v in lik], bool)
-            sizes = {len(v) for v, g in zip(lik, good, strict=True) if g}
-            for n in sizes:
-                rows = np.flatnonzero([g and len(v) == n for v, g in zip(lik, good, strict=True)])
-                for b in range(0, len(rows), 512):
-                    r = rows[b : b + 512]
-                    ll = np.stack([lik[i] for i in r])
-                    lw, k = smoothed(-ll, r_eff)
-                    elpd = _log_sum(lw + ll) - _log_sum(lw)
-                    out[r] = np.column_stack([elpd, _log_sum(ll) - math.log(n) - elpd, k])
-            yield pd.DataFrame({"row_id": f["row_id"], "elpd": pd.array(out[:, 0]), "p_loo": pd.array(out[:, 1]), "k_hat": pd.array(out[:, 2])})
+        for whole in frames:
+            for at in range(0, len(whole), 1000):  # a row is as many numbers as draws
+                f = whole[at : at + 1000]
+                lik = [np.asarray(v, float) if v is not None else np.array([math.nan]) for v in f["log_lik"]]
+                out = np.full((len(f), 3), math.nan)
+                good = np.array([bool(len(v)) and bool(np.isfinite(v).all()) for v in lik], bool)
+                sizes = {len(v) for v, g in zip(lik, good, strict=True) if g}
+                for n in sizes:
+                    rows = np.flatnonzero([g and len(v) == n for v, g in zip(lik, good, strict=True)])
+                    for b in range(0, len(rows), 512):
+                        r = rows[b : b + 512]
+                        ll = np.stack([lik[i] for i in r])
+                        lw, k = smoothed(-ll, r_eff)
+                        elpd = _log_sum(lw + ll) - _log_sum(lw)
+                        out[r] = np.column_stack([elpd, _log_sum(ll) - math.log(n) - elpd, k])
+                yield pd.DataFrame({"row_id": f["row_id"], "elpd": pd.array(out[:, 0]), "p_loo": pd.array(out[:, 1]), "k_hat": pd.array(out[:, 2])})
 
     found = log_lik.select("row_id", "log_lik").mapInPandas(run, LOO)
     return found.select("row_id", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("elpd", "p_loo", "k_hat")])

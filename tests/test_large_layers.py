@@ -238,3 +238,15 @@ def test_neighbours_in_features_are_dealt_by_bins(spark, monkeypatch):
     found = dict(A.nearest_in_features(p, p, 2, F.col("a.row_id") != F.col("b.row_id")).collect())
     d = np.hypot(*(np.array(z)[:, None] - np.array(z)).transpose(2, 0, 1)) + np.diag(np.full(300, np.inf))
     assert np.allclose([found[i] for i in range(300)], d.min(1)) and len(keys) >= 2 and set(keys) == {("__bx", "__by")}
+
+
+def test_posterior_rows_come_in_slices(spark):
+    import pandas as pd
+
+    from terrastat.operators import models as G
+
+    info = {"mean": np.zeros(2), "sd": np.ones(2), "L": np.array([2.0, 2.0]), "k": 2, "draws": np.ones((3, 6)), "sigma": np.ones(3)}
+    fit = G.GPFit("GP", "z", ["w"], None, info)
+    d = spark.range(2500).coalesce(1).select(F.col("id").alias("row_id"), F.rand(1).alias("x"), F.rand(2).alias("y"), F.rand(3).alias("w"))
+    sizes = [r.n for r in fit._mapped(d, lambda f, eta, sigma: pd.DataFrame({"n": [len(f)]}), "n long").collect()]
+    assert sum(sizes) == 2500 and max(sizes) <= 1000
