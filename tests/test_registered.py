@@ -85,10 +85,13 @@ def test_gp_chains_agree_on_a_large_layer_without_noise(spark):
     assert fit.coef()["w1"][0] == pytest.approx(5, abs=1e-3) and fit.coef()["w2"][0] == pytest.approx(1, abs=1e-3)
 
 
-def test_triangle_does_not_depend_on_how_rows_are_dealt(spark):
-    rows = np.random.default_rng(8).normal(size=(500, 5))
+@pytest.mark.parametrize("n,least", [(500, 1), (500, 37), (9, 37)])
+def test_triangle_does_not_depend_on_how_rows_are_dealt(spark, monkeypatch, n, least):
+    rows = np.random.default_rng(8).normal(size=(n, 5))
     df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(rows)], "row_id long, a double, b double, c double, d double, e double")
-    found = models._gp_triangle(df, lambda f: f[list("abcde")].to_numpy(), 5, 500)
+    real = type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda d, parts, *keys: real(d, max(parts, least) if keys else parts, *keys))
+    found = models._gp_triangle(df, lambda f: f[list("abcde")].to_numpy(), 5, n)
     got = found.toPandas().sort_values("i")
     r = np.stack(got["row"])
     assert r.shape == (5, 5) and np.array_equal(r, np.triu(r)) and np.allclose(r.T @ r, rows.T @ rows)
