@@ -21,6 +21,8 @@ from .dealing import dealt
 from .tessellate import CELL
 
 BLOCK = 256  # edges that meet all others at once
+PAIRS = 1 << 18  # of edges that are compared at once
+ROUNDS = 6  # of noding
 GRID = 2.0**-40  # of the extent: nodes are rounded to this grid
 RULES = {
     "union": lambda p, q: p | q,
@@ -38,91 +40,121 @@ def edges(rings) -> np.ndarray:
     return out[(out[:, 0] != out[:, 1]).any(1)]
 
 
-def _cuts(segments: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(edge, place, point) of all points where an edge must be split, places along the edge strictly between 0 and 1."""
+def _cuts(segments: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """(edge, point) of all points where an edge must be split, strictly between its ends."""
     low, high = segments.min(1) - slack, segments.max(1) + slack
     order = np.argsort(low[:, 0], kind="stable")
-    out_e, out_t, out_p = [], [], []
+    out_e, out_p = [], []
     for at in range(0, len(order), BLOCK):
         mine = order[at : at + BLOCK]
         # later edges in order of their left ends, as far as they begin left of this block's right end
         last = np.searchsorted(low[order, 0], high[mine, 0].max(), "right")
         rest = order[at:last]
         meet = (low[mine][:, None, :] <= high[rest][None]).all(2) & (low[rest][None] <= high[mine][:, None, :]).all(2)
-        i, j = np.nonzero(meet)
-        keep = i < j  # ``rest`` begins with ``mine``
-        i, j = mine[i[keep]], rest[j[keep]]
-        a, d = segments[i, 0], segments[i, 1] - segments[i, 0]
-        c, e = segments[j, 0], segments[j, 1] - segments[j, 0]
-        cross = d[:, 0] * e[:, 1] - d[:, 1] * e[:, 0]
-        gap = c - a
-        with np.errstate(divide="ignore", invalid="ignore"):
-            t = (gap[:, 0] * e[:, 1] - gap[:, 1] * e[:, 0]) / cross
-            u = (gap[:, 0] * d[:, 1] - gap[:, 1] * d[:, 0]) / cross
-        size_d, size_e = np.hypot(*d.T), np.hypot(*e.T)
-        steep = np.abs(cross) > 1e-14 * size_d * size_e
-        hit = steep & (t > -slack / size_d) & (t < 1 + slack / size_d) & (u > -slack / size_e) & (u < 1 + slack / size_e)
-        point = a[hit] + t[hit, None] * d[hit]
-        for edge, place in ((i[hit], t[hit]), (j[hit], u[hit])):
-            inner = (place > 0) & (place < 1)
-            out_e.append(edge[inner])
-            out_t.append(place[inner])
-            out_p.append(point[inner])
-        # ends of one edge on the other, which collinear edges share
-        for edge, other in ((i, j), (j, i)):
-            for end in (0, 1):
-                p, q, v = segments[other, end], segments[edge, 0], segments[edge, 1] - segments[edge, 0]
-                place = ((p - q) * v).sum(1) / (v * v).sum(1)
-                near = (place > 0) & (place < 1) & (np.abs((p - q)[:, 0] * v[:, 1] - (p - q)[:, 1] * v[:, 0]) <= slack * np.hypot(*v.T))
-                out_e.append(edge[near])
-                out_t.append(place[near])
-                out_p.append(p[near])
+        first, second = np.nonzero(meet)
+        keep = first < second  # ``rest`` begins with ``mine``
+        first, second = mine[first[keep]], rest[second[keep]]
+        for b in range(0, len(first), PAIRS):
+            e, p = _cuts_of(segments, first[b : b + PAIRS], second[b : b + PAIRS], slack)
+            out_e.append(e)
+            out_p.append(p)
     if not out_e:
-        return np.zeros(0, int), np.zeros(0), np.zeros((0, 2))
-    return np.concatenate(out_e), np.concatenate(out_t), np.concatenate(out_p)
-
-
-def _noded(segments: np.ndarray, owner: np.ndarray, unit: float) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (and their owners) that meet in their ends only; ends lie on the grid of ``unit``."""
-    snap = lambda p: np.round(p / unit) * unit
-    segments = snap(segments)
-    for _ in range(6):  # rounding may make edges touch again
-        whole = (segments[:, 0] != segments[:, 1]).any(1)
-        segments, owner = segments[whole], owner[whole]
-        edge, place, point = _cuts(segments, unit)
+        return np.zeros(0, int), np.zeros((0, 2))
+    return np.concatenate(out_e), np.concatenate(out_p)
+
+
+def _cuts_of(segments: np.ndarray, i: np.ndarray, j: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """``_cuts`` of the pairs of edges ``i, j``."""
+    out_e, out_p = [], []
+    a, d = segments[i, 0], segments[i, 1] - segments[i, 0]
+    c, e = segments[j, 0], segments[j, 1] - segments[j, 0]
+    cross = d[:, 0] * e[:, 1] - d[:, 1] * e[:, 0]
+    gap = c - a
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = (gap[:, 0] * e[:, 1] - gap[:, 1] * e[:, 0]) / cross
+        u = (gap[:, 0] * d[:, 1] - gap[:, 1] * d[:, 0]) / cross
+    size_d, size_e = np.hypot(*d.T), np.hypot(*e.T)
+    steep = np.abs(cross) > 1e-14 * size_d * size_e
+    hit = steep & (t > -slack / size_d) & (t < 1 + slack / size_d) & (u > -slack / size_e) & (u < 1 + slack / size_e)
+    point = a[hit] + t[hit, None] * d[hit]
+    for edge, place in ((i[hit], t[hit]), (j[hit], u[hit])):
+        inner = (place > 0) & (place < 1)
+        out_e.append(edge[inner])
+        out_p.append(point[inner])
+    # ends of one edge on the other, which collinear edges share
+    for edge, other in ((i, j), (j, i)):
+        for end in (0, 1):
+            p, q, v = segments[other, end], segments[edge, 0], segments[edge, 1] - segments[edge, 0]
+            place = ((p - q) * v).sum(1) / (v * v).sum(1)
+            near = (place > 0) & (place < 1) & (np.abs((p - q)[:, 0] * v[:, 1] - (p - q)[:, 1] * v[:, 0]) <= slack * np.hypot(*v.T))
+            out_e.append(edge[near])
+            out_p.append(p[near])
+    return np.concatenate(out_e), np.concatenate(out_p)
+
+
+def _merged(segments: np.ndarray, owner: np.ndarray, net: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One edge a place and owner, from its lesser end: how often (``net``) it runs that way, less the other.  What runs both
+    ways as often is nothing that could be wound around."""
+    turned = (segments[:, 0, 0] > segments[:, 1, 0]) | ((segments[:, 0, 0] == segments[:, 1, 0]) & (segments[:, 0, 1] > segments[:, 1, 1]))
+    segments = np.where(turned[:, None, None], segments[:, ::-1], segments)
+    net = np.where(turned, -net, net)
+    order = np.lexsort([owner, *segments.reshape(-1, 4).T[::-1]])
+    segments, owner, net = segments[order], owner[order], net[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (segments[1:] != segments[:-1]).any((1, 2)) | (owner[1:] != owner[:-1])
+    start = np.flatnonzero(new)
+    net = np.add.reduceat(net, start) if len(start) else net
+    some = (net != 0) & (segments[start, 0] != segments[start, 1]).any(1)
+    return segments[start[some]], owner[start[some]], net[some]
+
+
+def _noded(segments: np.ndarray, owner: np.ndarray, unit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_merged`` edges that meet in their ends only; ends lie on the grid of ``unit``.
+
+    Edges of one place are merged in each round, and an edge is cut once at each point of the grid: edges that nearly
+    coincide would else cut each other into ever more copies."""
+    snap = lambda p: np.round(p / unit) * unit + 0.0  # noqa: E731  (no negative zeros)
+    segments, owner, net = _merged(snap(segments), owner, np.ones(len(segments), int))
+    for _ in range(ROUNDS):  # rounding may make edges touch again
+        edge, point = _cuts(segments, unit)
         point = snap(point)
         real = (point != segments[edge, 0]).any(1) & (point != segments[edge, 1]).any(1)
-        edge, place, point = edge[real], place[real], point[real]
+        edge, point = edge[real], point[real]
         if not len(edge):
             break
-        n = len(segments)
+        n, v = len(segments), segments[:, 1] - segments[:, 0]
+        place = ((point - segments[edge, 0]) * v[edge]).sum(1) / (v * v).sum(1)[edge]
         all_e = np.concatenate([np.arange(n), edge, np.arange(n)])
-        all_t = np.concatenate([np.zeros(n), place, np.ones(n)])
+        all_t = np.concatenate([np.full(n, -1.0), np.clip(place, 0.0, 1.0), np.full(n, 2.0)])
         all_p = np.concatenate([segments[:, 0], point, segments[:, 1]])
-        order = np.lexsort([all_t, all_e])
+        order = np.lexsort([all_p[:, 1], all_p[:, 0], all_t, all_e])
         all_e, all_p = all_e[order], all_p[order]
+        again = np.zeros(len(order), bool)
+        again[1:] = (all_e[1:] == all_e[:-1]) & (all_p[1:] == all_p[:-1]).all(1)
+        all_e, all_p = all_e[~again], all_p[~again]
         same = all_e[1:] == all_e[:-1]
-        segments = np.stack([all_p[:-1][same], all_p[1:][same]], 1)
-        owner = owner[all_e[:-1][same]]
-    return segments, owner
+        cut = all_e[:-1][same]
+        segments, owner, net = _merged(np.stack([all_p[:-1][same], all_p[1:][same]], 1), owner[cut], net[cut])
+    return segments, owner, net
 
 
-def _windings(segments: np.ndarray, counts: np.ndarray, at: np.ndarray, upright: np.ndarray) -> np.ndarray:
-    """How often each owner winds around the far side (right of upright edges, above others) of edges ``at``."""
-    out = np.zeros((len(at), counts.shape[1]), int)
-    mid = segments[at].mean(1)
+def _windings(segments: np.ndarray, counts: np.ndarray, upright: np.ndarray) -> np.ndarray:
+    """How often each owner winds around the far side (right of upright edges, above others) of each edge."""
+    out = np.zeros(counts.shape, int)
+    mid = segments.mean(1)
+    step = max(1, min(BLOCK, PAIRS // len(segments)))
     for tall in (True, False):
-        rows = np.flatnonzero(upright[at] == tall)
+        rows = np.flatnonzero(upright == tall)
         x, y = (0, 1) if tall else (1, 0)
         lo, hi = segments[:, 0, y], segments[:, 1, y]
-        for b in range(0, len(rows), BLOCK):
-            r = rows[b : b + BLOCK]
+        for b in range(0, len(rows), step):
+            r = rows[b : b + step]
             my, mx = mid[r, y][:, None], mid[r, x][:, None]
             across = (lo > my) != (hi > my)
             with np.errstate(divide="ignore", invalid="ignore"):
                 where = segments[:, 0, x] + (my - lo) / (hi - lo) * (segments[:, 1, x] - segments[:, 0, x])
             across &= where > mx
-            across[np.arange(len(r)), at[r]] = False
+            across[np.arange(len(r)), r] = False
             # edges that go up on the right wind once around, those that go down the other way; turned for the other axis
             sign = np.where(hi > lo, 1, -1) * (1 if tall else -1)
             out[r] = (across * sign) @ counts
@@ -137,31 +169,28 @@ def arrange(geometries: list, inside: Callable) -> list[np.ndarray]:
     if not len(segments) or not np.isfinite(segments).all():
         return []
     owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    origin = segments.reshape(-1, 2).min(0)
-    segments = segments - origin
-    unit = 2.0 ** np.ceil(np.log2(segments.max() * GRID))
-    segments, owner = _noded(segments, owner, unit)
+    low = segments.reshape(-1, 2).min(0)
+    unit = 2.0 ** np.ceil(np.log2((segments - low).max() * GRID))
+    origin = np.floor(low / unit) * unit  # of the grid, so that places that geometries share are rounded to the same point
+    segments, owner, net = _noded(segments - origin, owner, unit)
     if not len(segments):
         return []
-    # one edge a place, from its lesser end: how often each geometry runs along it, that way less the other
-    turned = (segments[:, 0, 0] > segments[:, 1, 0]) | ((segments[:, 0, 0] == segments[:, 1, 0]) & (segments[:, 0, 1] > segments[:, 1, 1]))
-    segments = np.where(turned[:, None, None], segments[:, ::-1], segments)
-    unique, index = np.unique(segments.reshape(-1, 4), axis=0, return_inverse=True)
-    counts = np.zeros((len(unique), len(parts)), int)
-    np.add.at(counts, (index.ravel(), owner), np.where(turned, -1, 1))
-    segments = unique.reshape(-1, 2, 2)
+    new = np.ones(len(segments), bool)
+    new[1:] = (segments[1:] != segments[:-1]).any((1, 2))
+    counts = np.zeros((np.count_nonzero(new), len(parts)), int)
+    counts[np.cumsum(new) - 1, owner] = net
+    segments = segments[new]
     span = np.abs(segments[:, 1] - segments[:, 0])
     upright = span[:, 1] > span[:, 0]
-    at = np.flatnonzero((counts != 0).any(1))
-    far = _windings(segments, counts, at, upright)
+    far = _windings(segments, counts, upright)
     # an edge's left side is wound around once more than its right one; the far side is right of edges that go up, left of
     # others (edges run from their lesser end, so those that are no taller than wide run right)
-    up = segments[at, 1, 1] > segments[at, 0, 1]
-    far_is_left = np.where(upright[at], ~up, True)[:, None]
-    near = far + np.where(far_is_left, -1, 1) * counts[at]
+    up = segments[:, 1, 1] > segments[:, 0, 1]
+    far_is_left = np.where(upright, ~up, True)[:, None]
+    near = far + np.where(far_is_left, -1, 1) * counts
     left, right = inside(np.where(far_is_left, far, near)), inside(np.where(far_is_left, near, far))
     edge = left != right
-    rim = segments[at][edge]
+    rim = segments[edge]
     rim = np.where(left[edge][:, None, None], rim, rim[:, ::-1])
     return [r + origin for r in _traced(rim)]
 
@@ -500,6 +529,8 @@ def dissolve(features: DataFrame, by: str | None = None, tile: float | None = No
         ).first()
         side = side or 0.25
         tile = min(4 * side, max(side / 2, math.sqrt(16 * max(groups, 1) * (width or 1.0) * (height or 1.0) / max(n, 1))))
+        step = 2.0 ** (math.floor(math.log2(tile)) - 7)
+        tile = math.ceil(tile / step) * step  # of eight bits, so that seams lie on the grid of any part
     for axis in "xy":
         rows = rows.withColumn(f"__t{axis}", F.explode(F.sequence(F.floor(F.col(f"{axis}min") / tile), F.floor(F.col(f"{axis}max") / tile))))
     kind = features.schema[by].dataType.simpleString() if by else "int"

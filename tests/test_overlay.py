@@ -165,3 +165,26 @@ def test_voronoi_without_sending_the_seeds(spark):
     sent = {r.cell_id: r.a for r in tessellate.voronoi_cells(points(spark, xy), box).select("cell_id", shoelace("rings").alias("a")).collect()}
     spread = {r.cell_id: r.a for r in tessellate.voronoi_cells(points(spark, xy), box, max_sent=0, first=4).select("cell_id", shoelace("rings").alias("a")).collect()}
     assert sent.keys() == spread.keys() and all(spread[k] == pytest.approx(sent[k], abs=1e-6) for k in sent)
+
+
+def test_edges_that_nearly_coincide_are_not_copied(monkeypatch):
+    """Three parts of a layer whose seams differ by less than the grid: each round of noding made up to 50 times as many edges."""
+    from terrastat.operators import overlay as O
+
+    seam, off = 178.18277321655125, 178.18277321662754
+    parts = [
+        [[65.0, seam], [off, seam], [off, 356.3655464331788]],
+        [[48.0, 943.0000000000842], [60.0, 943.0000000000842], [60.0, 1052.0000000000841]],
+        [[seam, off], [seam, 41.0], [189.99999999992372, 12.0], [219.99999999992372, off]],
+    ]
+    most, cuts = [], O._cuts
+
+    def counted(segments, slack):
+        most.append(len(segments))
+        assert len(segments) < 100
+        return cuts(segments, slack)
+
+    monkeypatch.setattr(O, "_cuts", counted)
+    parts = [[np.array(p)] for p in parts]
+    whole = O.union_all(parts)
+    assert most and np.isclose(O.signed_area(whole), sum(abs(O.signed_area(p)) for p in parts), rtol=0, atol=1e-6)
