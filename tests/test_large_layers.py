@@ -127,6 +127,27 @@ def test_pairs_and_measures_are_dealt(spark):
     assert registry.polygon_measures(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 4
 
 
+def test_bins_around_points_are_made_after_the_shuffle(spark):
+    """A row was nine on disk; now it is one on the left, and one a tile near it on the right."""
+    from terrastat.operators.joins import distance_join
+
+    rng = np.random.default_rng(6)
+    xy = np.round(np.vstack([rng.normal(0, 30, (150, 2)), rng.random((150, 2)) * 400 - 200]))
+    p = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(xy)], "row_id long, x double, y double")
+    near = distance_join(p.where("row_id % 3 > 0"), p, 5.0)
+    i, j = np.nonzero(((xy[:, None] - xy[None]) ** 2).sum(2) <= 25)
+    got = [(r.i, r.j) for r in near.select("i", "j").collect()]
+    assert sorted(got) == [(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if a % 3]
+    plan = near._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Exchange") == 2 and plan.index("explode([-1,0,1])") < plan.index("Exchange")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = distance_join(p, p, 5.0)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and plan.count("Exchange ") == 2
+
+
 def test_subsets_of_large_cells_and_layers_as_in_their_sql(spark, tmp_path):
     """More points than the subsets hold: 600 a cell, 1,500 in a layer."""
     import duckdb
