@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import EPS, all_finite
-from .joins import _binned, all_pairs, grow_nearest, quantiles
+from .dealing import tasks_of
+from .joins import _binned, grow_nearest, quantiles
+
+PART = 200_000  # rows of a part of all pairs
+CELLS = 1 << 16  # distances made at once
 
 
 def scaling(train: DataFrame, predictors: list[str], weights: dict | None = None) -> dict[str, tuple[float, float, float]]:
@@ -23,15 +29,48 @@ def scaled(df: DataFrame, rules: dict, *keep: str) -> DataFrame:
     return df.select(*keep, *[((F.col(c) - m) / s * w).alias(f"z{k}") for k, (c, (m, s, w)) in enumerate(rules.items())])
 
 
-def mean_pairwise(z: DataFrame, n: int, max_n: int = 5000, seed: int = 123) -> float:
-    """Mean distance over all pairs of (at most ``max_n``, seeded) training rows."""
-    part = z.orderBy(F.xxhash64("row_id", F.lit(seed)), "row_id").limit(max_n)
-    left = part.select(*[F.col(c).alias(f"q_{c}") for c in part.columns])
-    d2 = sum((F.pow(F.col(f"q_z{k}") - F.col(f"z{k}"), F.lit(2.0)) for k in range(n)), F.lit(0.0))
-    d = all_pairs(left, part).where("q_row_id < row_id").agg(F.avg(F.sqrt(d2))).first()[0]
-    if not d:
+def mean_pairwise(z: DataFrame, n: int) -> float:
+    """Mean distance over all pairs of training rows.
+
+    Quadratic work, dealt evenly: rows are dealt into parts, each two parts (and each part with itself) meet in a task of their own,
+    where distances are made in slices of ``CELLS``.  A part has at most ``PART`` rows.
+    """
+    rows = z.count()
+    parts = max(math.ceil(math.sqrt(4 * tasks_of(z.sparkSession))), math.ceil(rows / PART))
+    cols = [f"z{k}" for k in range(n)]
+
+    def summed(f):
+        alone = bool(f["__alone"].iloc[0])
+        low = (f["__p"] == f["__low"]).to_numpy()
+        a, b = (np.ascontiguousarray(f.loc[side, cols].to_numpy(float).T) for side in (low, low if alone else ~low))
+        return pd.DataFrame({"s": [_summed_distances(a, b) / (2 if alone else 1)]})
+
+    mine = F.pmod(F.xxhash64("row_id"), F.lit(parts)).cast("int")
+    dealt = z.select(mine.alias("__p"), *cols).withColumn("__q", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    low, high = F.least("__p", "__q"), F.greatest("__p", "__q")
+    met = dealt.select((high * (high + 1) / 2 + low).cast("int").alias("__g"), (F.col("__p") == F.col("__q")).alias("__alone"), "__p", low.alias("__low"), *cols)
+    pairs = parts * (parts + 1) // 2
+    total = met.repartitionById(pairs, "__g").groupBy("__g").applyInPandas(summed, "s double").agg(F.sum("s")).first()[0]
+    if not total:
         raise ValueError("all training rows are alike")
-    return d
+    return total / (rows * (rows - 1) / 2)
+
+
+def _summed_distances(a: np.ndarray, b: np.ndarray) -> float:
+    """Of each column of ``a`` to each of ``b``."""
+    wide = max(1, min(b.shape[1], CELLS))
+    tall = max(1, CELLS // wide)
+    rooms, out = np.empty((2, tall * wide)), 0.0
+    for i in range(0, a.shape[1], tall):
+        for j in range(0, b.shape[1], wide):
+            left, right = a[:, i : i + tall, None], b[:, None, j : j + wide]
+            d2, d = (r[: left.shape[1] * right.shape[2]].reshape(left.shape[1], -1) for r in rooms)
+            d2[:] = 0.0
+            for x, y in zip(left, right, strict=True):
+                np.subtract(x, y, out=d)
+                d2 += np.multiply(d, d, out=d)
+            out += float(np.sqrt(d2, out=d2).sum())
+    return out
 
 
 def nearest_in_features(query: DataFrame, data: DataFrame, n: int, condition: Column | None = None) -> DataFrame:
@@ -86,7 +125,7 @@ def describe(new: DataFrame, train_di: DataFrame, limit: float) -> str:
     return f"<area of applicability>\nnew rows: {n} ({n - known} without an index)\ninside: {inside or 0} ({share})\nthreshold: {limit:.4g}, largest index: {top}\ntraining rows: {train_di.count()}"
 
 
-def area_of_applicability(new: DataFrame, train: DataFrame, predictors: list[str], weights: dict | None = None, folds=None, limit: float | None = None, normalizer_max_n: int = 5000):
+def area_of_applicability(new: DataFrame, train: DataFrame, predictors: list[str], weights: dict | None = None, folds=None, limit: float | None = None):
     """(``row_id, DI, AOA`` of new rows, train ``row_id, di``, threshold).
 
     Training rows are compared with rows of other folds (``checked_folds``), or with all others.  Rows
@@ -98,7 +137,7 @@ def area_of_applicability(new: DataFrame, train: DataFrame, predictors: list[str
     if not n:
         raise ValueError("no predictor varies")
     tz = scaled(ok, rules, "row_id")
-    norm = mean_pairwise(tz, n, normalizer_max_n)
+    norm = mean_pairwise(tz, n)
     if folds is not None:
         tz = tz.join(checked_folds(folds, train), "row_id")
     other = "fold" if folds is not None else "row_id"

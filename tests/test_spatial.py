@@ -218,6 +218,18 @@ def test_applicability_values(spark):
     assert di([1.0] * 9 + [10.0]) == 1.0 and di([1.0, 2.0, 3.0, 4.0, 5.0]) == 5.0
 
 
+def test_normalizer_is_over_all_pairs(spark, monkeypatch):
+    """Also of more rows than the 5,000 that were drawn, and however many parts the rows are dealt to."""
+    line = spark.range(6000).select(F.col("id").alias("row_id"), F.col("id").cast("double").alias("z0"), F.lit(0.0).alias("z1"))
+    assert aoa.mean_pairwise(line, 2) == pytest.approx(6001 / 3, rel=1e-12)
+    monkeypatch.setattr(aoa, "PART", 500)
+    monkeypatch.setattr(aoa, "CELLS", 100)
+    assert aoa.mean_pairwise(line.limit(900), 1) == pytest.approx(901 / 3, rel=1e-12)
+    assert aoa.mean_pairwise(line.limit(2), 1) == 1.0
+    with pytest.raises(ValueError):
+        aoa.mean_pairwise(line.limit(1), 1)
+
+
 def test_gwr_paths_agree(spark):
     rng = np.random.default_rng(5)
     xy, a = cloud(60), rng.normal(size=60)
